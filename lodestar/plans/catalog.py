@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import graph_queries, text_queries
 
 FLAGSHIP = "search_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = text_queries.QUERIES | graph_queries.QUERIES
+SQL = text_queries.SQL | graph_queries.SQL
