@@ -17,6 +17,8 @@ a limit and then built anew, which bounds memory and changes no result.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE_LIMIT = 160_000
-PIECE_LIMIT = 160_000
-PAIR_LIMIT = 500_000
-#: Tokens decoded at once.
-DECODE_CHUNK = 4096
+STATE_LIMIT = 250_000
+PIECE_LIMIT = 120_000
+_NEVER = 1 << 60
+#: Letters of texts that the faster of two regular expression engines can split the same way.
+_PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Tokens decoded at once, and rows whose ids a worker holds at once.
+DECODE_CHUNK, ROWS = 4096, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,44 +65,72 @@ class BpeTransducer:
                     self.inner.append(False)
                 node = self.child[key]
             self.ends[node] = rank
-        self._stable: dict[int, bool] = {}
+        self._histories: dict[int, tuple[bool, list[tuple[int, bytes, bytes]]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start: tuple = ((-1, 0, ()),)
+        start = self._pack([(-1, 0, ())])
         self._id = {start: 0}
         self._ways = [start]
-        self._step: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """The definition: merge the neighbours whose joint token has the least rank, the first ones first, while there are any."""
-        parts = [bytes([b]) for b in data]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        self._step: dict[int, int] = {}
+        self._emits: list[tuple[int, tuple[int, ...]]] = []
 
-    def stable(self, last: int, token: int) -> bool:
-        """Whether ``token`` can follow ``last``, or stand at the start (last = -1)."""
-        pair = last + 1 << 32 | token
-        known = self._stable.get(pair)
+    @staticmethod
+    def _pack(ways: list[tuple[int, int, tuple[int, ...]]]) -> bytes:
+        """Open ways as bytes, a tenth of what tuples take: last, node, number of tokens held back, these tokens."""
+        return array("i", [x for last, node, out in ways for x in (last, node, len(out), *out)]).tobytes()
+
+    @staticmethod
+    def _unpack(packed: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        flat, i = array("i", packed), 0
+        while i < len(flat):
+            n = flat[i + 2]
+            yield flat[i], flat[i + 1], tuple(flat[i + 3 : i + 3 + n])
+            i += 3 + n
+
+    def _history(self, token: int) -> tuple[bool, list[tuple[int, bytes, bytes]]]:
+        """Whether merging the token's bytes gives it back, and after each merge its rank and the first and last part."""
+        known = self._histories.get(token)
         if known is None:
-            if len(self._stable) >= PAIR_LIMIT:
-                self._stable.clear()
-            if last < 0:
-                known = self.merge(self.tokens[token]) == [token]
-            else:
-                known = self.merge(self.tokens[last] + self.tokens[token]) == [last, token]
-            self._stable[pair] = known
+            parts, ranks, steps = [bytes([b]) for b in self.tokens[token]], self.ranks, []
+            steps.append((-1, parts[0], parts[-1]))
+            while len(parts) > 1:
+                rank, at = min((ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
+                if rank == _NEVER:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append((rank, parts[0], parts[-1]))
+            known = self._histories[token] = (len(parts) == 1, steps)
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition, determinised now and kept."""
+    def stable(self, last: int, token: int) -> bool:
+        """Whether ``token`` can follow ``last``, or stand at the start (last = -1).
+
+        Both merge on their own, the lesser rank first, unless the parts that
+        meet at the border merge before that: then it can't.
+        """
+        alone, right = self._history(token)
+        if last < 0 or not alone:
+            return alone
+        alone, left = self._history(last)
+        i, j, get = 0, 0, self.ranks.get
+        while True:
+            across = get(left[i][2] + right[j][1], _NEVER)
+            next_left = left[i + 1][0] if i + 1 < len(left) else _NEVER
+            next_right = right[j + 1][0] if j + 1 < len(right) else _NEVER
+            if across < next_left and across <= next_right and across != _NEVER:
+                return False
+            if next_left <= next_right:
+                if next_left == _NEVER:
+                    return alone
+                i += 1
+            else:
+                j += 1
+
+    def _advance(self, state: int, byte: int) -> int:
+        """The transition, determinised now and kept: the next state, or ~i where entry i of ``_emits`` has it and the tokens emitted."""
         ways = []
-        for last, node, out in self._ways[state]:
+        for last, node, out in self._unpack(self._ways[state]):
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
@@ -111,13 +143,15 @@ class BpeTransducer:
         shortest = min(map(len, outs))
         while shared < shortest and all(o[shared] == outs[0][shared] for o in outs):
             shared += 1
-        key = tuple(sorted((last, node, out[shared:]) for last, node, out in ways))
-        to = self._id.get(key)
-        if to is None:
-            to = self._id[key] = len(self._ways)
+        key = self._pack(sorted((last, node, out[shared:]) for last, node, out in ways))
+        to = self._id.setdefault(key, len(self._ways))
+        if to == len(self._ways):
             self._ways.append(key)
-        step = self._step[state << 8 | byte] = (to, outs[0][:shared])
-        return step
+        if shared:
+            self._emits.append((to, outs[0][:shared]))
+            to = ~(len(self._emits) - 1)
+        self._step[state << 8 | byte] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self._ways) > self.state_limit:
@@ -125,13 +159,17 @@ class BpeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:  # as tiktoken has it, also for tokens that merges don't reach
             return [whole]
-        state, out, steps = 0, [], self._step
+        state, out, steps, emits = 0, [], self._step, self._emits
         for byte in piece:
-            step = steps.get(state << 8 | byte) or self._advance(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += next(rest for _, node, rest in self._ways[state] if node == 0)
+            to = steps.get(state << 8 | byte)
+            if to is None:
+                to = self._advance(state, byte)
+            if to >= 0:
+                state = to
+            else:
+                state, tokens = emits[~to]
+                out += tokens
+        out += next(rest for _, node, rest in self._unpack(self._ways[state]) if node == 0)
         return out
 
 
@@ -141,6 +179,10 @@ class BpeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = BpeTransducer(ranks)
         self.pattern = regex.compile(pattern)
+        # where a text has no other letters, digits or blanks than these, \p{L} and \p{N} are plain classes
+        plain = pattern.replace(r"\p{L}+", f"[{_PLAIN_LETTERS}]+").replace(r"\p{N}+", "[0-9]+").replace(r"\p{L}", _PLAIN_LETTERS).replace(r"\p{N}", "0-9")
+        self.plain = None if r"\p" in plain else re.compile(plain)
+        self.is_plain = re.compile(f"[ -~\t\n{_PLAIN_LETTERS}]*").fullmatch
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
 
@@ -149,7 +191,8 @@ class BpeCodec:
         out: list[int] = []
         known, encode = self._pieces, self.transducer.encode
         text = text or ""
-        pieces: Iterable[str] = self.pattern.findall(text) if len(text) < 1 << 20 else (m.group() for m in self.pattern.finditer(text))
+        pattern = self.plain if self.plain and self.is_plain(text) else self.pattern
+        pieces: Iterable[str] = pattern.findall(text) if len(text) < 1 << 20 else (m.group() for m in pattern.finditer(text))
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
@@ -218,26 +261,33 @@ def _codec(shared, pattern: str) -> BpeCodec:
     return _codecs[key]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Whole texts; null and empty texts have no ids. The vocabulary is read on
-    the driver and broadcast: its size is that of the file, whatever the input.
+    Whole texts; null and empty texts have no ids. With ``decode`` also what
+    the ids decode to, by the same worker, as decoded. The vocabulary is read
+    on the driver and broadcast: its size is that of the file, whatever the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    names = ["doc_id", "ids", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _codec(shared, pattern).encode
-        for batch in batches:
-            flat, ends = [], np.zeros(batch.num_rows + 1, np.int32)
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py())
-                flat.append(np.array(ids, np.int32))
-                ends[i + 1] = ends[i] + len(ids)
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values, pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+        codec = _codec(shared, pattern)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                flat, ends, texts = [], [0], []
+                for text in batch.column(1):
+                    ids = codec.encode(text.as_py())
+                    flat.append(np.array(ids, np.int32))
+                    ends.append(ends[-1] + len(ids))
+                    if decode:
+                        texts.append(codec.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, *([pa.array(texts, pa.string())] if decode else [])], names)
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>" + ", decoded string" * decode
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -246,12 +296,11 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
-        for batch in batches:
-            texts = []
-            for ids in batch.column(1):
-                values = ids.values.to_pylist() if ids.is_valid else []
-                texts.append("".join(decode_stream(values, tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts = ["".join(decode_stream(ids.values.to_pylist() if ids.is_valid else [], tokens)) for ids in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = dict(encoded.dtypes)["doc_id"]
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
@@ -273,4 +322,4 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path))
+    return digests(bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True))
