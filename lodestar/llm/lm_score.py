@@ -94,6 +94,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words of ``counts`` (word, c) from some count on, no more than ``most``.
+
+    The count is found from a histogram of at most a few thousand bins, so no
+    task has to send its own most frequent words to the driver.
+    """
+    step = F.floor(F.log2("c") * 32)
+    bins = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for at, n in bins:
+        total += n
+        if total > most:
+            break
+        least = at
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 class LogBilinear:
     """Parameters r, q (classes x dim), c1, c2 (dim x dim) and b (classes)."""
 
@@ -230,7 +247,10 @@ def score_texts(docs: DataFrame, ws: Workspace | None = None, classes: int = CLA
     counts = ws.save(count_words(docs), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(head_size).collect()]  # bounded by head_size
+    head = [(bytes(r.word), r.c) for r in frequent_words(counts, head_size).collect()]
+    ends = counts.where(F.octet_length("word") == 0).first()
+    head = sorted({*head, *([(END, ends.c)] if ends else [])}, key=lambda x: (-x[1], x[0]))
+    unseen_end = 0 if ends else 1  # without training rows even the end is unknown
     words = [w for w, _ in head if w != END][: classes - 2]
     class_of = {END: END_CLASS} | {w: i + 2 for i, w in enumerate(words)}
     by_head = dict(head)
@@ -272,7 +292,7 @@ def score_texts(docs: DataFrame, ws: Workspace | None = None, classes: int = CLA
                     pa.array(ids, batch_kind),
                     pa.array([is_held_out(i) for i in ids]),
                     pa.array(ends - cut),
-                    pa.array(ends - cut - np.array(tail_n)),
+                    pa.array(ends - cut - np.array(tail_n) - unseen_end),
                     pa.array(np.add.reduceat(logs, cut) - (ends - cut) * log_all),
                     pa.array(np.add.reduceat(bits, cut)),
                     pa.array(tails, tail_kind),
