@@ -99,12 +99,12 @@ def fingerprint(x: Column | str) -> Column:
     return F.sha1(F.substring(F.regexp_replace(F.lower(strip(text_or_empty(x))), r"(?U)\s+", " "), 1, 1600))
 
 
-def clean_extracted(x: Column | str, odd_glyphs: str = r"[À-ɏɐ-ʯ-]") -> Column:
+def clean_extracted(x: Column | str, odd_glyphs: str = r"[\u00C0-\u024F\u0250-\u02AF\uE000-\uF8FF]") -> Column:
     """Text of an extractor without invisible characters, broken words, and lines that are mostly glyph noise.
 
     ``odd_glyphs`` becomes spaces; give an empty class for languages that use accents.
     """
-    t = F.regexp_replace(text_or_empty(x), r"[ ﻿�​-‏⁠]", " ")
+    t = F.regexp_replace(text_or_empty(x), r"[\u00A0\uFEFF\uFFFD\u200B-\u200F\u2060]", " ")
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     if odd_glyphs:
         t = F.regexp_replace(t, odd_glyphs, " ")

@@ -85,7 +85,7 @@ READINESS = {
 }
 
 # Numbers with a unit, as chunk scoring, indexing and search each look for them (Java syntax).
-_NUMBER = r"(?iu)(?<![\w.,+-])[+-]?(?:\d{1,3}(?:[\s ]\d{3})+|\d+)(?:[,.]\d+)?\s*"
+_NUMBER = r"(?iu)(?<![\w.,+-])[+-]?(?:\d{1,3}(?:[\s\u00A0]\d{3})+|\d+)(?:[,.]\d+)?\s*"
 SCORING_NUMERIC = _NUMBER + r"(?:%|°\s*C|degC|мг/л|мг/дм3|мг/дм³|г/л|кг/т|см/с|мм/с|м/с|Гц|Hz|A/m2|А/м2|ppm|ppb)(?!\w)"
 INDEX_NUMERIC = _NUMBER + r"(?:%|°\s*C|degC|мг/л|мг/дм3|мг/дм³|г/л|кг/т|см/с|мм/с|м/с|A/m2|А/м2|ppm|ppb|кПа|МПа)(?!\w)"
 SEARCH_NUMERIC = r"(?iu)\d+(?:[,.]\d+)?\s*(?:°\s*c|c|к|%|мг/л|мг/дм3|мг/дм³|г/л|м/с|а/м2|a/m2|кпа|мпа)"

@@ -121,7 +121,7 @@ class Ontology:
 
 
 _ALIASES = {fold(a): (name, factor, dim) for name, factor, dim, aliases in V.UNITS for a in (name, *aliases)}
-_NUMBER = r"[-+]?\d+(?:[\s ]?\d{3})*(?:[,.]\d+)?"
+_NUMBER = r"[-+]?\d+(?:[\s\u00a0]?\d{3})*(?:[,.]\d+)?"
 #: Operators as written, with what they mean.
 OPERATORS = {
     "<=": "<=", "≤": "<=", "до": "<=", "не более": "<=", "<": "<", ">=": ">=", "≥": ">=", "от": ">=", "не менее": ">=", ">": ">",
@@ -134,7 +134,7 @@ QUANTITY = re.compile(rf"(?P<op>(?:{_WORDS})?)\s*(?P<low>{_NUMBER})(?:\s*(?:[-
 
 def number_of(text: str) -> float:
     """Thousands may be grouped by blanks, decimals marked by a comma."""
-    return float(re.sub(r"[\s ]", "", text).replace(",", "."))
+    return float(re.sub(r"[\s\u00a0]", "", text).replace(",", "."))
 
 
 def unit_of(text: str) -> tuple[str, float, str]:
