@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,27 +73,38 @@ def lines(x: Column | str) -> Column:
     return F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def contained(text: Column, terms: list[str]) -> Column:
+    """How many of the terms stand in the text, each once."""
+    return sum((text.contains(t).cast("int") for t in terms), F.lit(0))
+
+
 def count_contained(text: Column, terms: list[str]) -> Column:
-    """How many of the terms stand in the text, each once. The text is bound to a variable, so that it is computed once."""
-    counted = F.transform(F.array(text), lambda x: sum((x.contains(t).cast("int") for t in terms), F.lit(0)))
-    return F.get(counted, F.lit(0))
+    return bind(text, lambda x: contained(x, terms))
 
 
 def line_stats(x: Column | str) -> Column:
     """lines, short_line_ratio, table_separator_ratio, uppercase_ratio of the lines that aren't blank; (0, 1, 0, 0) without one."""
-    own = F.filter(F.transform(lines(x), strip), lambda t: t != "")
-    n = F.size(own)
-    share = lambda test: F.size(F.filter(own, test)) / n
     letters = lambda t: F.length(F.regexp_replace(t, r"\P{L}", ""))
     capitals = lambda t: F.length(F.regexp_replace(t, r"\P{Lu}", ""))
-    found = F.struct(
-        n.cast("double").alias("lines"),
-        share(lambda t: F.length(t) <= 38).alias("short_line_ratio"),
-        share(lambda t: t.rlike(V.TABLE_SEPARATOR)).alias("table_separator_ratio"),
-        share(lambda t: (letters(t) > 0) & (capitals(t) / letters(t) > 0.72)).alias("uppercase_ratio"),
-    )
     none = F.struct(F.lit(0.0).alias("lines"), F.lit(1.0).alias("short_line_ratio"), F.lit(0.0).alias("table_separator_ratio"), F.lit(0.0).alias("uppercase_ratio"))
-    return F.when(n == 0, none).otherwise(found)
+
+    def shares(own: Column) -> Column:
+        n = F.size(own)
+        share = lambda test: F.size(F.filter(own, test)) / n
+        found = F.struct(
+            n.cast("double").alias("lines"),
+            share(lambda t: F.length(t) <= 38).alias("short_line_ratio"),
+            share(lambda t: t.rlike(V.TABLE_SEPARATOR)).alias("table_separator_ratio"),
+            share(lambda t: (letters(t) > 0) & (capitals(t) / letters(t) > 0.72)).alias("uppercase_ratio"),
+        )
+        return F.when(n == 0, none).otherwise(found)
+
+    return bind(F.filter(F.transform(lines(x), strip), lambda t: t != ""), shares)
 
 
 def fingerprint(x: Column | str) -> Column:

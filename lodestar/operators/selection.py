@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
-from ..functions.text import count_contained, fingerprint, line_stats, normalize, scoring_tokens, selection_document_type
+from ..functions.text import bind, contained, count_contained, fingerprint, line_stats, normalize, scoring_tokens, selection_document_type
 
 
 def _hits(text: Column, terms: list[str]) -> Column:
@@ -32,16 +32,32 @@ def rough_score(text: Column, n_tags: Column, section_type: Column) -> Column:
 
 def kg_score(text: Column, n_tags: Column, has_fact: Column, citation: Column) -> Column:
     """Usefulness of a chunk for a graph: struct of score, to 4 digits, and reasons."""
-    numeric = has_fact | text.rlike(V.SCORING_NUMERIC)
-    tags = F.least(n_tags, F.lit(12))
-    process, material, prop = (F.least(_hits(text, t), F.lit(8)) for t in (V.PROCESS_TERMS, V.MATERIAL_TERMS, V.PROPERTY_TERMS))
-    table = text.rlike(V.TABLE_LIKE)
     section = F.concat(F.coalesce(citation, F.lit("")), F.lit("\n"), F.substring(text, 1, 500)).rlike(V.SECTION_WORD)
-    part = lambda n, of: F.least(n / of, F.lit(1.0))
-    score = _has(numeric, 0.35) + 0.20 * part(tags, 6.0) + 0.15 * part(process, 3.0) + 0.10 * part(material, 3.0) + 0.10 * part(prop, 3.0) + _has(table, 0.07) + _has(section, 0.03)
-    named = [(numeric, F.lit("numeric_fact_or_unit")), *[(n > 0, F.concat(F.lit(f"{k}:"), n)) for k, n in (("ontology_terms", tags), ("process_terms", process), ("material_terms", material), ("property_terms", prop))], (table, F.lit("table_like")), (section, F.lit("section_boost"))]
-    reasons = F.array_compact(F.array(*[F.when(test, text) for test, text in named]))
-    return F.struct(F.bround(score, 4).alias("score"), F.when(F.size(reasons) == 0, F.array(F.lit("weak_context"))).otherwise(reasons).alias("reasons"))
+    counts = bind(
+        normalize(text),
+        lambda low: F.struct(
+            (has_fact | text.rlike(V.SCORING_NUMERIC)).alias("numeric"),
+            F.least(n_tags, F.lit(12)).alias("ontology_terms"),
+            F.least(contained(low, V.PROCESS_TERMS), F.lit(8)).alias("process_terms"),
+            F.least(contained(low, V.MATERIAL_TERMS), F.lit(8)).alias("material_terms"),
+            F.least(contained(low, V.PROPERTY_TERMS), F.lit(8)).alias("property_terms"),
+            text.rlike(V.TABLE_LIKE).alias("table"),
+            section.alias("section"),
+        ),
+    )
+
+    def scored(c: Column) -> Column:
+        part = lambda n, of: F.least(c[n] / of, F.lit(1.0))
+        score = (
+            _has(c["numeric"], 0.35) + 0.20 * part("ontology_terms", 6.0) + 0.15 * part("process_terms", 3.0) + 0.10 * part("material_terms", 3.0)
+            + 0.10 * part("property_terms", 3.0) + _has(c["table"], 0.07) + _has(c["section"], 0.03)
+        )
+        names = ("ontology_terms", "process_terms", "material_terms", "property_terms")
+        named = [F.when(c["numeric"], F.lit("numeric_fact_or_unit")), *[F.when(c[n] > 0, F.concat(F.lit(f"{n}:"), c[n])) for n in names]]
+        reasons = F.array_compact(F.array(*named, F.when(c["table"], F.lit("table_like")), F.when(c["section"], F.lit("section_boost"))))
+        return F.struct(F.bround(score, 4).alias("score"), F.when(F.size(reasons) == 0, F.array(F.lit("weak_context"))).otherwise(reasons).alias("reasons"))
+
+    return bind(counts, scored)
 
 
 def chunk_quality(rows: DataFrame, kg: Column | None = None) -> DataFrame:

@@ -261,6 +261,14 @@ SQL = {
             + least(0.24, 0.035 * ({_kg_sql(T.V.PROCESS_TERMS)} + {_kg_sql(T.V.PROPERTY_TERMS)})) + least(0.08, length(text) / 12000.0), 6) AS rough_score
         FROM (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS low FROM chunks))
         SELECT theme_id, chunk_id, rough_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY rough_score DESC, chars DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10""",
+    "kg_score": rf"""WITH {_CHUNKS}, counts AS (
+        SELECT chunk_id, regexp_matches(text, '{_SCORING_RE2}') AS numeric, least(8, {_kg_sql(T.V.PROCESS_TERMS)}) AS p, least(8, {_kg_sql(T.V.MATERIAL_TERMS)}) AS m,
+            least(8, {_kg_sql(T.V.PROPERTY_TERMS)}) AS q, regexp_matches(text, '{_TABLE_RE2}') AS t, regexp_matches(substr(text, 1, 500), '{_SECTION_RE2}') AS s
+        FROM (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS low FROM chunks)),
+        named AS (SELECT *, array_to_string(list_filter([CASE WHEN numeric THEN 'numeric_fact_or_unit' END, CASE WHEN p > 0 THEN 'process_terms:' || p END, CASE WHEN m > 0 THEN 'material_terms:' || m END,
+            CASE WHEN q > 0 THEN 'property_terms:' || q END, CASE WHEN t THEN 'table_like' END, CASE WHEN s THEN 'section_boost' END], lambda x: x IS NOT NULL), ';') AS r FROM counts)
+        SELECT chunk_id, round(CASE WHEN numeric THEN 0.35 ELSE 0 END + 0.15 * least(p / 3.0, 1) + 0.10 * least(m / 3.0, 1) + 0.10 * least(q / 3.0, 1)
+            + CASE WHEN t THEN 0.07 ELSE 0 END + CASE WHEN s THEN 0.03 ELSE 0 END, 4) AS score, CASE WHEN r = '' THEN 'weak_context' ELSE r END AS reasons FROM named""",
     "budgeted_context": f"""WITH {_CHUNKS}, running AS (
         SELECT theme_id, doc_id, chunk_index, length(text) AS chars, coalesce(sum(length(text)) OVER (PARTITION BY theme_id ORDER BY doc_id, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks)
         SELECT theme_id, doc_id, chunk_index, CAST(least(chars, 24000 - before) AS BIGINT) AS used FROM running WHERE before < 24000""",
