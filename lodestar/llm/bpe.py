@@ -17,9 +17,11 @@ a limit and then built anew, which bounds memory and changes no result.
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE_LIMIT = 250_000
-PIECE_LIMIT = 120_000
+STATE_LIMIT = 300_000
+PIECE_LIMIT = 300_000
 _NEVER = 1 << 60
 #: Letters of texts that the faster of two regular expression engines can split the same way.
 _PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -183,30 +185,47 @@ class BpeCodec:
         plain = pattern.replace(r"\p{L}+", f"[{_PLAIN_LETTERS}]+").replace(r"\p{N}+", "[0-9]+").replace(r"\p{L}", _PLAIN_LETTERS).replace(r"\p{N}", "0-9")
         self.plain = None if r"\p" in plain else re.compile(plain)
         self.is_plain = re.compile(f"[ -~\t\n{_PLAIN_LETTERS}]*").fullmatch
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str | None) -> list[int]:
+        self.decoder = Decoder(self.transducer.tokens)
+        self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _missing(self, piece: str) -> bytes:
+        """Ids of a piece, as the bytes of 32-bit integers, that the pieces in use lately don't have."""
+        ids = self._pieces.get(piece)  # it may have come up before in the same text
+        if ids is not None:
+            return ids
+        ids = self._older.get(piece)
+        if ids is None:
+            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self._pieces) >= PIECE_LIMIT:
+                self._older, self._pieces = self._pieces, {}
+            self._pieces[piece] = ids
+        return ids
+
+    def encode_array(self, text: str | None) -> np.ndarray:
         """Token ids of the whole text; none for null and for the empty text."""
-        out: list[int] = []
-        known, encode = self._pieces, self.transducer.encode
-        text = text or ""
+        text, out = text or "", []
         pattern = self.plain if self.plain and self.is_plain(text) else self.pattern
-        pieces: Iterable[str] = pattern.findall(text) if len(text) < 1 << 20 else (m.group() for m in pattern.finditer(text))
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._older.get(piece) or tuple(encode(piece.encode()))
-                if len(piece) <= 64:
-                    if len(known) >= PIECE_LIMIT:  # what was in use lately stays
-                        self._older, self._pieces = known, {}
-                        known = self._pieces
-                    known[piece] = ids
+        for pieces in [pattern.findall(text)] if len(text) < 1 << 20 else _some(m.group() for m in pattern.finditer(text)):
+            ids, at = list(map(self._pieces.get, pieces)), 0
+            with contextlib.suppress(ValueError):  # until no more is missing
+                while True:
+                    at = ids.index(None, at)
+                    ids[at] = self._missing(pieces[at])
             out += ids
-        return out
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(decode_stream(ids, self.transducer.tokens))
+        return "".join(self.decoder.stream(ids))
+
+
+def _some(items: Iterator[str], n: int = 1 << 16) -> Iterator[list[str]]:
+    while some := list(islice(items, n)):
+        yield some
 
 
 class Utf8Stream:
@@ -241,12 +260,24 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], tokens: dict[int, bytes]) -> Iterator[str]:
-    """Text of the ids, as soon as characters are complete."""
-    ids, stream = list(ids) if not isinstance(ids, list | np.ndarray) else ids, Utf8Stream()
-    for i in range(0, len(ids), DECODE_CHUNK):
-        yield stream.feed(b"".join(map(tokens.__getitem__, ids[i : i + DECODE_CHUNK])))
-    yield stream.finish()
+class Decoder:
+    """All tokens' bytes in one array, from which the bytes of ids are gathered."""
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        size = max(tokens) + 1
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+
+    def stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """Text of the ids, as soon as characters are complete."""
+        ids, stream = ids if isinstance(ids, np.ndarray) else np.fromiter(ids, np.int64), Utf8Stream()
+        for i in range(0, len(ids), DECODE_CHUNK):
+            some = ids[i : i + DECODE_CHUNK]
+            n = self.lengths[some]
+            ends = np.cumsum(n)
+            yield stream.feed(self.data[np.repeat(self.starts[some] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        yield stream.finish()
 
 
 _codecs: dict[tuple[int, str], BpeCodec] = {}
@@ -278,8 +309,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = Fa
                 batch = whole.slice(start, ROWS)
                 flat, ends, texts = [], [0], []
                 for text in batch.column(1):
-                    ids = codec.encode(text.as_py())
-                    flat.append(np.array(ids, np.int32))
+                    ids = codec.encode_array(text.as_py())
+                    flat.append(ids)
                     ends.append(ends[-1] + len(ids))
                     if decode:
                         texts.append(codec.decode(ids))
@@ -292,14 +323,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = Fa
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, decoded string) of each row of ``encoded`` (doc_id, ids); null ids decode to the empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(Decoder({rank: token for token, rank in read_ranks(ranks_path).items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        stream = shared.value.stream
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                texts = ["".join(decode_stream(ids.values.to_pylist() if ids.is_valid else [], tokens)) for ids in batch.column(1)]
+                texts = ["".join(stream(ids.values.to_numpy() if ids.is_valid else ())) for ids in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = dict(encoded.dtypes)["doc_id"]
