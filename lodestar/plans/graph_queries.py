@@ -265,6 +265,14 @@ SQL = {
         array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS source_ids FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY p_brand""",
     "interval_facts": f"""WITH {FACTS_SQL} SELECT fact_id, property_id, value FROM facts
         WHERE (property_id = 'quantity' AND value BETWEEN 10 AND 12) OR (property_id = 'price' AND value >= 90000) OR (property_id = 'discount' AND value = 0.05)""",
+    "route_themes": """WITH t AS (
+        SELECT 't' || n_nationkey AS theme_id, lower(n_name) AS o, lower(n_name || ' ' || r_name) AS k, lower(r_name) AS c, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS sources
+        FROM nation JOIN region ON n_regionkey = r_regionkey),
+        parts AS (SELECT theme_id, sources, len(list_filter(q, lambda x: contains(o, x))) / 4 AS onto, len(list_filter(q, lambda x: contains(k, x))) / 4 AS kw,
+            CASE WHEN contains('nation_3 and region_1 please', o) THEN 0.6 ELSE 0 END + CASE WHEN contains('nation_3 and region_1 please', c) THEN 0.25 ELSE 0 END AS meta
+            FROM t, (SELECT ['nation_3', 'and', 'region_1', 'please'] AS q))
+        SELECT theme_id, round(0.35 * onto + 0.35 * kw + 0.15 * meta + CASE WHEN sources > 0 THEN 0.02 ELSE 0 END, 6) AS route_score, round(onto, 6) AS ontology, round(kw, 6) AS keyword,
+            CAST(round(meta, 6) AS DOUBLE) AS metadata FROM parts ORDER BY route_score DESC, theme_id LIMIT 5""",
     "readiness_state": "SELECT 25 AS themes, 15 AS search_ready, 10 AS graph_ready, 'full_kg_ready' AS best_status, CAST(sum(n_nationkey) AS BIGINT) AS sources FROM nation",
     "cosine_topk": f"""SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {[1.0 if i % 2 else -1.0 for i in range(64)]}), 4) AS similarity
         FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20""",

@@ -269,6 +269,18 @@ SQL = {
             CASE WHEN q > 0 THEN 'property_terms:' || q END, CASE WHEN t THEN 'table_like' END, CASE WHEN s THEN 'section_boost' END], lambda x: x IS NOT NULL), ';') AS r FROM counts)
         SELECT chunk_id, round(CASE WHEN numeric THEN 0.35 ELSE 0 END + 0.15 * least(p / 3.0, 1) + 0.10 * least(m / 3.0, 1) + 0.10 * least(q / 3.0, 1)
             + CASE WHEN t THEN 0.07 ELSE 0 END + CASE WHEN s THEN 0.03 ELSE 0 END, 4) AS score, CASE WHEN r = '' THEN 'weak_context' ELSE r END AS reasons FROM named""",
+    "chunk_quality": rf"""WITH {_CHUNKS}, parts AS (
+        SELECT chunk_id, list_transform(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё%°./+-]{{2,}}'), lambda x: lower(x)) AS tokens,
+            length(regexp_replace(text, '\P{{L}}', '', 'g')) / greatest(length(text), 1) AS alpha, len(regexp_extract_all(text, '{_SCORING_RE2}')) AS numeric,
+            {_kg_sql(T.V.PROCESS_TERMS)} + {_kg_sql(T.V.MATERIAL_TERMS)} + {_kg_sql(T.V.PROPERTY_TERMS)} AS domain,
+            len(regexp_extract_all(text, '[.!?…]\s+')) AS ends, regexp_matches(text, '{_TABLE_RE2}') AS tab,
+            list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS own
+        FROM (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS low FROM chunks)),
+        scored AS (SELECT chunk_id, numeric, domain, greatest(0.0, least(1.0, 0.10 + CASE WHEN len(tokens) >= 45 THEN 0.18 WHEN len(tokens) < 12 THEN -0.18 ELSE 0 END
+            + CASE WHEN alpha >= 0.45 THEN 0.08 ELSE -0.12 END + CASE WHEN len(tokens) > 25 AND len(list_distinct(tokens)) / len(tokens) < 0.28 THEN -0.10 ELSE 0 END
+            + least(0.28, 0.07 * numeric) + least(0.28, 0.06 * domain) + CASE WHEN ends >= 2 THEN 0.08 ELSE 0 END + CASE WHEN tab AND numeric > 0 THEN 0.08 ELSE 0 END
+            + CASE WHEN numeric = 0 AND len(own) > 0 AND len(list_filter(own, lambda x: regexp_matches(x, '^\s*\|?\s*[-:]{{2,}}\s*(?:\|\s*[-:]{{2,}}\s*)+\|?\s*$'))) / len(own) > 0.2 THEN -0.22 ELSE 0 END)) AS q FROM parts)
+        SELECT chunk_id, 'generic' AS doc_type, numeric AS numeric_hits, domain AS domain_hits, round(q, 4) AS chunk_quality, round(q, 9) >= 0.20 AS is_informative FROM scored""",
     "budgeted_context": f"""WITH {_CHUNKS}, running AS (
         SELECT theme_id, doc_id, chunk_index, length(text) AS chars, coalesce(sum(length(text)) OVER (PARTITION BY theme_id ORDER BY doc_id, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks)
         SELECT theme_id, doc_id, chunk_index, CAST(least(chars, 24000 - before) AS BIGINT) AS used FROM running WHERE before < 24000""",
