@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .chat import op8_chat
 from .decontaminate import op6_decontaminate
-from .line_rules import op10_line_rules
+from .line_rules import MAX_SHARE, MIN_DOCS, op10_line_rules
 from .lm_score import op7_lm_score
 from .quality_model import op9_quality_model
 from .secret_scan import op4_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
-from .url_filter import op5_urls
+from .url_filter import HOST_RULES, PATTERN_RULES, op5_urls
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,36 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_cha
 FROM read
 """
 
-SQL: dict[str, str] = {"op8_chat": _CONVERSATIONS}
+
+
+def _urls_sql() -> str:
+    by_length = sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in by_length)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in by_length)
+    patterns = " ".join(f"WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.verdict}'" for r in PATTERN_RULES)
+    return f"""SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} {patterns} ELSE 'allow' END AS verdict
+        FROM (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path
+            FROM (SELECT page_id, coalesce(url, '') AS url FROM pages))"""
+
+
+_LINE_RULES = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own FROM d),
+windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+texts AS (SELECT DISTINCT host, text, own FROM w),
+lines AS (SELECT host, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT host, text, unnest(own) AS l FROM texts)),
+frequent AS (SELECT host, line FROM lines JOIN (SELECT host, count(*) AS docs FROM texts GROUP BY host) USING (host)
+    GROUP BY host, line, docs HAVING count(DISTINCT text) > {MIN_DOCS} AND count(DISTINCT text) > {MAX_SHARE} * docs),
+lost AS (SELECT host, text, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM lines JOIN frequent USING (host, line) GROUP BY host, text),
+measured AS (SELECT doc_id, host, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(own) - len(list_distinct(own)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * coalesce(l.n, 0) <= n_words AS kept
+FROM measured LEFT JOIN lost l USING (host, text)
+"""
+
+SQL: dict[str, str] = {"op5_urls": _urls_sql(), "op8_chat": _CONVERSATIONS, "op10_line_rules": _LINE_RULES}
