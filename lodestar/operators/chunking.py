@@ -115,3 +115,48 @@ CHUNK_SCHEMA = T.StructType(
         )
     ]
 )
+
+
+_PAGE_NUMBER = r"(?iu)^\s*(?:page|стр\.?)?\s*\d{1,4}(?:\s*(?:/|of|из)\s*\d{1,4})?\s*$"
+_FOOTNOTE = r"^\s*(?:\*{1,3}|\[\d{1,2}\]|[¹²³])\s+\S.{0,160}$"
+_LINK = r"(?i)^\s*(?:https?://|www\.|doi:)\S*\s*$"
+_BIBLIOGRAPHY = r"(?iu)^\s*(?:\d+\.?\s*)?(?:references|bibliography|список литературы|литература|библиография)\s*:?\s*$"
+_APPENDIX = r"(?iu)^\s*(?:appendix|приложение)\b"
+#: Types of documents that keep what follows a heading of references.
+KEEPS_TAIL = ("presentation", "spreadsheet", "patent")
+
+
+def without_noise(docs: DataFrame, text: str = "text", document_type: str | None = None, repeated: str | None = None) -> DataFrame:
+    """``docs`` with page numbers, repeated lines (``repeated``: a column of normalised lines), footnotes, bare links and the list of references taken out of ``text``.
+
+    The list runs from its heading to the end or to an appendix, and stays in documents of the types in ``KEEPS_TAIL``.
+    """
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    seen = (lambda x: F.coalesce(F.array_contains(F.col(repeated), norm(x)), F.lit(False))) if repeated else (lambda x: F.lit(False))
+    noise = lambda x: x.rlike(_PAGE_NUMBER) | x.rlike(_FOOTNOTE) | x.rlike(_LINK) | seen(x)
+    drops = ~F.col(document_type).isin(*KEEPS_TAIL) if document_type else F.lit(True)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("tail"))
+
+    def step(acc: Column, line: Column) -> Column:
+        tail = F.when(line.rlike(_APPENDIX), False).when(line.rlike(_BIBLIOGRAPHY) & drops, True).otherwise(acc["tail"])
+        return F.struct(F.when(tail | noise(line), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line))).alias("kept"), tail.alias("tail"))
+
+    kept = F.aggregate(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), start, step, lambda acc: acc["kept"])
+    return docs.withColumn(text, F.array_join(kept, "\n"))
+
+
+def table_description(rows: Column, most: int = 24) -> Column:
+    """Text of a parsed table (array of arrays, the first one the header): counts, then ``most`` rows of column = value."""
+    head, body = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    numeric = F.size(F.filter(F.flatten(body), lambda c: c.rlike(r"\d")))
+    title = F.concat(F.lit("Table of "), F.size(body), F.lit(" rows and "), F.size(head), F.lit(" columns, "), numeric, F.lit(" cells with numbers."))
+    pair = lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit(" = "), v))
+    shown = F.transform(F.slice(body, 1, most), lambda r: F.array_join(F.zip_with(head, r, pair), "; "))
+    return F.concat_ws("\n", title, F.filter(shown, lambda x: x != ""))
+
+
+def with_header(metadata: Column, text: Column) -> Column:
+    """A text below lines of its metadata (a map), without null and empty values."""
+    entries = F.filter(F.array_sort(F.map_entries(metadata)), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    head = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return F.concat(F.array_join(head, "\n"), F.when(F.size(head) > 0, "\n\n").otherwise(""), text)
