@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import SALTS, connected_components
 from ..workspace import Workspace
+from .near_copies import copies_to_keep
 
 BITS = 64
 RADIUS = 2
@@ -209,8 +210,12 @@ def simhash_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id, once; rows with null doc_id stay."""
-    of = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near copies stays: that with the smallest doc_id, once; rows with null doc_id stay.
+
+    Near copies are as ``near_copies`` has them, five-word shingles at a
+    similarity of 0.8; the radius of op1's fingerprints is too small for these.
+    """
+    of = copies_to_keep(docs, Workspace(docs.sparkSession, "copies"))
     kept = docs.join(of, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

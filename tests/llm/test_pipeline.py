@@ -1,12 +1,13 @@
 """The pipeline: each stage on its own input against brute force, and the whole run."""
 
+import random
 import re
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, secret_scan, simhash
+from lodestar.llm import decontaminate, near_copies, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +51,41 @@ def test_one_of_each_group_stays(stages):
     assert set(after) == set(groups.values())
 
 
+def near_groups(texts):
+    """Least document of each group by 5-word Jaccard of 0.8, all pairs compared."""
+    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    root = {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return set(root.values())
+
+
+def test_near_copies_go(stages):
+    before, after = ({r.doc_id: r.text for r in df.collect()} for df in stages[1])
+    assert set(after) == near_groups(before)
+
+
+@pytest.mark.parametrize("centres", [2, 32])
+def test_edited_copies_go(spark, monkeypatch, centres):
+    """Copies with words changed, in a crowd and in chains, around and across the limit of 0.8."""
+    monkeypatch.setattr(near_copies, "CENTRES", centres)
+    rng, texts = random.Random(3), {}
+    for group in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(25):
+            own = list(base)
+            for at in rng.sample(range(120), rng.randrange(7)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(own)
+            base = own if group % 2 else base
+    got = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == near_groups(texts) and len(got) < len(texts)
+
+
 def test_no_contamination_is_left(stages, spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     find = decontaminate.Decontaminator(items).find
