@@ -4,7 +4,8 @@ A small network is trained in numpy to minimise the non-negative unbiased risk
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
-with the logistic loss l, trusted positives p and unlabelled web text u. Where
+with the logistic loss l, trusted positives p and web text u, which is drawn
+from all training rows, labels ignored. Where
 the second term of a batch is negative, the step goes against it. The class
 prior is estimated as the share of positives among the labelled training rows;
 labelled negatives serve for nothing else.
@@ -148,7 +149,7 @@ def text_features(docs: DataFrame) -> DataFrame:
 
 
 def train_quality(described: DataFrame, labels: DataFrame) -> PuNetwork | None:
-    """The network, or None where there is no positive or no unlabelled row to learn from.
+    """The network, or None where there is no positive row to learn from.
 
     A document labelled both ways counts as negative; null labels don't count.
     """
@@ -157,13 +158,12 @@ def train_quality(described: DataFrame, labels: DataFrame) -> PuNetwork | None:
     seen = own.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("int")).alias("ones")).first()
     pool = described.where(~held_out(F.col("doc_id")))
     positive = pool.join(own.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    unlabelled = pool.join(own.select("doc_id"), "doc_id", "left_anti")
 
     def take(df: DataFrame, most: int) -> np.ndarray:
         rows = df.select(F.xxhash64("doc_id").alias("h"), "doc_id", "x").orderBy("h", "doc_id", "x").limit(most).collect()
         return np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES)
 
-    p, u = take(positive, MAX_POSITIVE), take(unlabelled, MAX_UNLABELLED)
+    p, u = take(positive, MAX_POSITIVE), take(pool, MAX_UNLABELLED)
     if not len(p) or not len(u):
         return None
     prior = min(max(seen.ones / seen.n, 0.02), 0.98)

@@ -455,6 +455,14 @@ def test_quality_edges(spark, edges, none):
     assert quality_model.score_quality(none, labels).count() == 0
 
 
+def test_quality_learns_where_all_are_labelled(spark):
+    rows = [(i, f"Calm words number {i} stand here." if i % 2 else f"BUY!!! ||| {i} $$$ NOW!!!") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = {r.doc_id: r.score for r in quality_model.score_quality(docs, labels).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
+
+
 def test_non_negative_risk_finds_the_positives():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (2000, 2))
