@@ -3,7 +3,7 @@
 One Aho-Corasick pass over the lower-cased bytes of a text gives the places of
 all rules' keywords. A rule's expression is tried at the place of its keyword,
 anchored, and a rule may check what it matched: embedded CRC-32 of GitHub and
-npm tokens, the check digit of card numbers, the parts of a JSON web token.
+npm tokens, the head of a JSON web token. Card numbers are not looked for.
 Runs of hexadecimal digits have no keyword; as any run of 16 covers one of each
 16 places in turn, every sixteenth byte is looked at, and runs grow from there.
 """
