@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import SALTS, connected_components
 from ..workspace import Workspace
-from .near_copies import copies_to_keep
+from .near_copies import copies_to_keep, text_digest
 
 BITS = 64
 RADIUS = 2
@@ -210,13 +210,20 @@ def simhash_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id, once; rows with null doc_id stay.
+    """One document of each group of near copies stays: that with the smallest doc_id; rows with null doc_id stay.
 
     Near copies are as ``near_copies`` has them, five-word shingles at a
     similarity of 0.8; the radius of op1's fingerprints is too small for these.
+    Of rows that share that doc_id, texts that are no near copies of each other
+    all stay; of near copies the text with the least MD5 stays, and of rows with
+    that text the first by all columns. Null texts are as empty ones, and texts
+    without words are copies of each other. An empty table gives an empty result.
     """
     of = copies_to_keep(docs, Workspace(docs.sparkSession, "copies"))
-    kept = docs.join(of, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nested = docs.where("doc_id IS NOT NULL").select("doc_id", text_digest().alias("digest"), F.struct(*docs.columns).alias("doc"))
+    unordered = [c for c, kind in docs.dtypes if "map<" in kind or "variant" in kind]
+    first = F.min_by("doc", F.to_json("doc")) if unordered else F.min("doc")
+    kept = nested.join(of, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(first.alias("doc")).select("doc.*")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
