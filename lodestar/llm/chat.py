@@ -7,11 +7,16 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A text ends at the first closing marker. Within a turn, a backslash followed by
 a second one stands for one backslash, and a backslash before anything else is
-dropped. A turn is first rendered with its text as it is; the parser reads it
-back, and where role and text don't come back identical, control strings and
-backslashes in the text are escaped, after which they do. Turns are judged one
-by one: as each begins with its marker and ends with its first closing one, a
-conversation of such turns parses into them.
+dropped.
+
+The round trip goes on until it is identical. A turn is rendered with its text
+as it is, parsed, and compared with the source; where role and text differ,
+control strings and backslashes are escaped, and it is parsed and compared
+again; where they still differ, each character that markers are made of is
+escaped, and it is parsed and compared once more. Then the turns of a
+conversation are joined, the whole is parsed and compared with all its turns,
+and where it differs it is rendered anew with each turn escaped further. What
+differs even then raises an error instead of being returned.
 """
 
 from __future__ import annotations
@@ -23,19 +28,25 @@ TURN = r"(?s)\[INST\] (.*?) \[/INST\]|<s>(.*?)</s>|<<(.*?)>>(.*?)<</>>"
 CLOSED = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 
 
-def escape(text: Column) -> Column:
-    """Doubles backslashes and puts one inside each control string."""
+#: How far roles and texts can be escaped: not, control strings, each character of a marker.
+LEVELS = 3
+_CONTROL = (r"([\[<>])(?=/?INST\]|/?s>|<|>)", r"([\[\]<>])")
+
+
+def escape(text: Column, level: int = 1) -> Column:
+    """Doubles backslashes and puts one inside each control string, or after each character of a marker."""
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, r"([\[<>])(?=/?INST\]|/?s>|<|>)", "$1\\\\")
+    return F.regexp_replace(doubled, _CONTROL[level - 1], "$1\\\\") if level else text
 
 
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def render(role: Column, body: Column) -> Column:
-    """A turn as the grammar has it; ``body`` is put in as it is."""
-    out = F.concat(F.lit("<<"), escape(role), F.lit(">>"), body, F.lit("<</>>"))
+def render(role: Column, text: Column, level: int) -> Column:
+    """A turn as the grammar has it. Other roles than the two known ones are escaped at any level, a ``>`` at their end too."""
+    body = escape(text, level)
+    out = F.concat(F.lit("<<"), escape(role, 2 if level == 2 else 1), F.lit(">>"), body, F.lit("<</>>"))
     for name, (head, tail) in CLOSED.items():
         out = F.when(role == name, F.concat(F.lit(head), body, F.lit(tail))).otherwise(out)
     return out
@@ -58,23 +69,46 @@ def reads_back(piece: Column, role: Column, text: Column) -> Column:
     return (F.regexp_extract(piece, TURN, 0) == piece) & (parsed_role(piece) == role) & (unescape(parsed_body(piece)) == text)
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """(conv_id, turns): the sorted turns of each conversation. Rows without conv_id are not gathered: there may be any number of them."""
+    struct = F.struct("turn", "role", "text", "pieces")
+    gathered = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(struct)).alias("turns"))
+    return gathered.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array(struct).alias("turns")))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted) of each conversation in ``rows`` (conv_id, turn, role, text; other columns are ignored).
 
     Turns in order of turn, then role, then text; null roles and texts count
-    as empty, null turns come first, rows with null conv_id form a conversation
-    of their own, and repeated rows are repeated turns. One string holds a
-    conversation; rendering and checking are done before its turns meet.
+    as empty, null turns come first, each row with null conv_id is a conversation
+    of its own, repeated rows are repeated turns, and an empty table gives an
+    empty result. One string holds a conversation; its turns are rendered and
+    compared before they meet.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("plain", render(F.col("role"), F.col("text")))
-    same = reads_back(F.col("plain"), F.col("role"), F.col("text"))
-    turns = turns.withColumn("piece", F.when(same, F.col("plain")).otherwise(render(F.col("role"), escape(F.col("text")))))
-    return (
-        turns.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "piece"))).alias("turns"))
-        .select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"))
-    )
+    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    at = [render(F.col("role"), F.col("text"), level) for level in range(LEVELS)]
+    turns = turns.withColumns({f"_{level}": piece for level, piece in enumerate(at)})
+    # pieces[k]: of this level or of the first above that reads back; the last is taken where none does, and found out below
+    pieces = [F.col(f"_{LEVELS - 1}")]
+    for level in reversed(range(LEVELS - 1)):
+        own = F.col(f"_{level}")
+        pieces.insert(0, F.when(reads_back(own, F.col("role"), F.col("text")), own).otherwise(pieces[0]))
+    whole = _whole(turns.select("conv_id", "turn", "role", "text", F.array(*pieces).alias("pieces")))
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    formatted = F.raise_error(F.lit("a conversation does not read back as its turns"))
+    for level in reversed(range(LEVELS)):
+        joined = F.col(f"_{level}")
+        formatted = F.when(_told(joined) == source, joined).otherwise(formatted)
+    piece_at = lambda level: lambda t: t["pieces"][level]
+    whole = whole.withColumns({f"_{level}": F.array_join(F.transform("turns", piece_at(level)), "") for level in range(LEVELS)})
+    return whole.select("conv_id", formatted.alias("formatted"))
+
+
+def _told(formatted: Column) -> Column:
+    """Role and text of each turn that the parser finds."""
+    pieces = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0))
+    return F.transform(pieces, lambda p: F.struct(parsed_role(p).alias("role"), unescape(parsed_body(p)).alias("text")))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -90,6 +124,12 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the formatted ``conversations``, and from conversation -1 with conflicting texts.
+
+    Null roles and texts are empty, each row with null conv_id is a conversation
+    of its own, repeated rows are repeated turns, further columns are ignored,
+    and of an empty table conversation -1 alone is left.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     conflict = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(
