@@ -1,20 +1,20 @@
 r"""Quality rules by cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, blanks collapsed) and hashed. For each host
-(``source``) the documents are counted that hold a line; documents with the
-same text on the same host count once, so that copies, which deduplication
-deals with, don't make their own lines frequent. A line is boilerplate if it
-stands in more than ``MIN_DOCS`` documents of the host and in more than
-``MAX_SHARE`` of them. Boilerplate lines are removed, and a document that
-loses more than half of its words is depleted and rejected, as are
-documents that fail the base rules (under 50 words, or over half of the words
-within repeated 3-word windows).
+(``source``) the distinct documents are counted that hold a line, and so are
+their distinct texts. A line is boilerplate if it stands in more than
+``MIN_DOCS`` documents of the host, in more than ``MAX_SHARE`` of them, and in
+``MIN_TEXTS`` texts at least: what stands in fewer is repeated because whole
+texts are, which deduplication deals with. Boilerplate lines are removed, and a
+document that loses more than half of its words is depleted and rejected, as
+are documents that fail the base rules (under 50 words, or over half of the
+words within repeated 3-word windows).
 
 Everything about a single text is computed in its row, without exploding words.
-Line counts are combined before they are shuffled, and lines meet the counts of
-their host salted by document, so no host or line is one task. Documents meet
-the verdict on their text in a sort-merge join whose large partitions, those of
-large groups of copies, adaptive execution can split.
+Counts are combined before they are shuffled, and lines meet the counts of
+their host salted, so no host or line is one task. Documents meet the verdict
+on their text in a sort-merge join whose large partitions, those of large
+groups of copies, adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 
-MIN_DOCS, MAX_SHARE = 20, 0.05
+MIN_DOCS, MAX_SHARE, MIN_TEXTS = 20, 0.05, 3
+#: Longer texts sort whole hashes of their windows, which takes longer.
+PACKED_WORDS = 1 << 16
 SALTS = 16
 _BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -42,26 +44,29 @@ def normal_line(line: Column) -> Column:
 def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` (text) with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long.
 
-    Null texts measure as the empty text. For repeated windows, a window's hash
-    and its place share a long: the hash keeps the bits that places don't need
-    (55 of them for 500 words), equal hashes meet by sorting, and the words that
-    their windows cover are counted from the sorted places.
+    Null texts measure as the empty text. Equal hashes of windows meet by
+    sorting, and the words that their windows cover are counted from the sorted
+    places. In texts of up to ``PACKED_WORDS`` words a window's hash and its
+    place share a long, and the hash keeps 47 bits at least: less than one in
+    60,000 of the longest such texts has two windows taken for one. Longer texts
+    sort structs of the whole hash and the place.
     """
     d = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_bare", _trim("_text"))
     d = d.withColumn("_words", F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", _BLANKS)))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_bits", F.length(F.bin("n_words")))
-    window = F.expr(
-        "CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE"
-        " transform(sequence(0, CAST(n_words AS int) - 3), i -> shiftleft(xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2]), _bits) + i) END"
-    )
-    d = d.withColumn("_windows", F.sort_array(window))
-    d = d.withColumn("_keys", F.expr("transform(_windows, x -> shiftright(x, _bits))"))
+    hashed = "transform(sequence(0, CAST(n_words AS int) - 3), i -> {})"
+    window = "xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])"
+    packed = hashed.format(f"shiftleft({window}, _bits) + i")
+    whole = hashed.format(f"named_struct('h', {window}, 'i', CAST(i AS bigint))")
+    d = d.withColumn("_packed", F.expr(f"sort_array(CASE WHEN n_words BETWEEN 3 AND {PACKED_WORDS} THEN {packed} ELSE CAST(array() AS array<bigint>) END)"))
+    d = d.withColumn("_whole", F.expr(f"sort_array(CASE WHEN n_words > {PACKED_WORDS} THEN {whole} ELSE CAST(array() AS array<struct<h:bigint,i:bigint>>) END)"))
+    d = d.withColumn("_keys", F.expr(f"CASE WHEN n_words > {PACKED_WORDS} THEN transform(_whole, x -> x.h) ELSE transform(_packed, x -> shiftright(x, _bits)) END"))
     # places of windows found again, in order
-    again = F.expr(
-        "sort_array(filter(transform(_windows, (x, i) ->"
-        " CASE WHEN _keys[i] = get(_keys, i - 1) OR _keys[i] = get(_keys, i + 1) THEN x - shiftleft(_keys[i], _bits) ELSE -1L END), x -> x >= 0))"
-    )
+    twice = "_keys[i] = get(_keys, i - 1) OR _keys[i] = get(_keys, i + 1)"
+    of_packed = f"transform(_packed, (x, i) -> CASE WHEN {twice} THEN x - shiftleft(_keys[i], _bits) ELSE -1L END)"
+    of_whole = f"transform(_whole, (x, i) -> CASE WHEN {twice} THEN x.i ELSE -1L END)"
+    again = F.expr(f"sort_array(filter(CASE WHEN n_words > {PACKED_WORDS} THEN {of_whole} ELSE {of_packed} END, x -> x >= 0))")
     d = d.withColumn("_again", F.when(F.size(F.array_distinct("_keys")) == F.size("_keys"), F.array().cast("array<bigint>")).otherwise(again))
     covered = F.expr("aggregate(transform(_again, (x, i) -> least(3L, x - coalesce(get(_again, i - 1), -3L))), 0L, (a, x) -> a + x)")
     symbols = F.col("_text")
@@ -97,20 +102,23 @@ def text_keys() -> list[Column]:
     return [F.coalesce("source", F.lit("")).alias("host"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")]
 
 
-def judge_texts(docs: DataFrame, ws: Workspace, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """A row for each host and text of ``docs`` (source, text): host, digest, the measures, base_failed, kept, removed.
+def judge_texts(docs: DataFrame, ws: Workspace, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """A row for each host and text of ``docs`` (doc_id, source, text): host, digest, the measures, base_failed, kept, removed.
 
-    ``removed`` has the hashes of the lines that the text loses, or is null. The
-    table is written: filters on it don't reach back into the measuring.
+    Documents are told apart by id and text; rows equal in both, null ids too,
+    are one. ``removed`` has the hashes of the lines that the text loses, or is
+    null. The table is written: filters on it don't reach back into the measuring.
     """
     measured = with_measures(docs.select(*text_keys(), "text")).select("host", "digest", *MEASURES, line_structs().alias("lines"))
     firsts = [F.first(c).alias(c) for c in (*MEASURES, "lines")]
     texts = ws.save(measured.groupBy("host", "digest").agg(*firsts), "texts")
+    copies = ws.save(docs.select("doc_id", *text_keys()).distinct().groupBy("host", "digest").agg(F.count("*").alias("copies")), "copies")
 
-    sizes = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    seen = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    frequent = counts.join(sizes, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "h", "n")
+    sizes = copies.groupBy("host").agg(F.sum("copies").alias("docs")).select("host", "docs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = texts.join(copies, ["host", "digest"]).select("host", "copies", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = seen.groupBy("host", "h").agg(F.sum("copies").alias("n"), F.count("*").alias("texts")).where((F.col("n") > min_docs) & (F.col("texts") >= min_texts))
+    counts = counts.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    frequent = counts.join(sizes, ["host", "salt"]).where(F.col("n") > max_share * F.col("docs")).select("host", "h", "n")
     frequent = ws.save(frequent, "frequent")  # for each host no more than its lines per document / max_share
 
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
@@ -123,11 +131,12 @@ def judge_texts(docs: DataFrame, ws: Workspace, min_docs: int = MIN_DOCS, max_sh
 
 
 def apply_rules(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """The rows of ``docs`` (source, text, others) that are kept, without their boilerplate lines.
+    """The rows of ``docs`` (doc_id, source, text, others) that are kept, without their boilerplate lines.
 
     n_chars, where there is one, is as the text then is; other columns stay,
     whatever their names. Null sources are one host, with the empty name; null
     and empty texts fail the base rules. Copies and repeated rows are judged alike.
+    An empty table gives an empty result.
     """
     ws = ws or Workspace(docs.sparkSession, "lines")
     verdicts = judge_texts(docs, ws).where("kept").select("host", "digest", "removed")
@@ -142,6 +151,12 @@ def apply_rules(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each row of ``documents``.
+
+    Null and empty texts measure zero and fail the base rules, null sources are
+    one host, repeated rows come back as often, further columns are ignored, and
+    an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     verdicts = judge_texts(docs, Workspace(spark, "lines"))
     rows = docs.select("doc_id", *text_keys()).join(verdicts, ["host", "digest"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .chat import op8_chat
 from .decontaminate import op6_decontaminate
-from .line_rules import MAX_SHARE, MIN_DOCS, op10_line_rules
+from .line_rules import MAX_SHARE, MIN_DOCS, MIN_TEXTS, op10_line_rules
 from .lm_score import op7_lm_score
 from .quality_model import op9_quality_model
 from .secret_scan import op4_secrets
@@ -42,14 +42,20 @@ _CONVERSATIONS = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), rendered AS (  -- characters of the markers, and of the escapes where a text would not read back as it is
+    SELECT *, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '<</>>' END AS closing,
+        CASE role WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 3 + 4 ELSE 4 + 5 + length(role) END AS markers,
+        len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = '\' OR regexp_matches(substr(text, i, 8), '^[\[<>](/?INST\]|/?s>|<|>)'))) AS escapes,
+        CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE len(list_filter(range(1, length(role) + 1),
+            lambda i: substr(role, i, 1) = '\' OR regexp_matches(substr(role, i, 8), '^[\[<>](/?INST\]|/?s>|<|>)'))) END AS role_escapes
+    FROM turns
 ), read AS (
     SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-        sum(length(text)
-            + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE length(role) + 9 END
-            + CASE WHEN conv_id = -1 AND role = 'user' THEN 3 WHEN conv_id = -1 THEN 3 ELSE 0 END) AS formatted_chars
-    FROM turns GROUP BY conv_id
+        sum(length(text) + markers + role_escapes
+            + CASE WHEN strpos(text || closing, closing) <= length(text) OR strpos(text, '\') > 0 THEN escapes ELSE 0 END) AS formatted_chars
+    FROM rendered GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
     CAST(formatted_chars AS BIGINT) AS formatted_chars
@@ -76,11 +82,12 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lam
 windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
-texts AS (SELECT DISTINCT host, text, own FROM w),
-lines AS (SELECT host, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT host, text, unnest(own) AS l FROM texts)),
+texts AS (SELECT DISTINCT doc_id, host, text, own FROM w),
+lines AS (SELECT DISTINCT doc_id, host, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, pos
+    FROM (SELECT doc_id, host, text, unnest(own) AS l, unnest(range(len(own))) AS pos FROM texts)),
 frequent AS (SELECT host, line FROM lines JOIN (SELECT host, count(*) AS docs FROM texts GROUP BY host) USING (host)
-    GROUP BY host, line, docs HAVING count(DISTINCT text) > {MIN_DOCS} AND count(DISTINCT text) > {MAX_SHARE} * docs),
-lost AS (SELECT host, text, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM lines JOIN frequent USING (host, line) GROUP BY host, text),
+    GROUP BY host, line, docs HAVING count(DISTINCT (doc_id, text)) > {MIN_DOCS} AND count(DISTINCT (doc_id, text)) > {MAX_SHARE} * docs AND count(DISTINCT text) >= {MIN_TEXTS}),
+lost AS (SELECT host, text, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM (SELECT DISTINCT host, text, line, pos FROM lines) JOIN frequent USING (host, line) GROUP BY host, text),
 measured AS (SELECT doc_id, host, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(own) - len(list_distinct(own)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

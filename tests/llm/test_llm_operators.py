@@ -421,7 +421,7 @@ def test_chat_fuzz(spark):
 
     random.seed(5)
     parts = ["[INST]", "[/INST]", " ", "<s>", "</s>", "<<", ">>", "<</>>", "\\", "a", "\n", "[", "<", "/INST]", "s>", "é", "$1", " [/INST]"]
-    rows = [(i // 4, i % 4, random.choice(["user", "assistant", "system", "", "x>>y", "<<", "tool\\"]), "".join(random.choices(parts, k=random.randrange(12)))) for i in range(3000)]
+    rows = [(i // 4, i % 4, random.choice(["user", "assistant", "system", "", "x>>y", "<<", "tool\\", "a>", "<a", ">"]), "".join(random.choices(parts, k=random.randrange(12)))) for i in range(3000)]
     read = chat.parse_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     want = defaultdict(list)
     for c, _, r, x in rows:
@@ -429,6 +429,16 @@ def test_chat_fuzz(spark):
     assert {r.conv_id: [tuple(t) for t in r.turns] for r in read} == want
 
 
+def test_turns_without_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "a>", ">x"), (3, 1, "user", "<</>>")]
+    read = chat.parse_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, [tuple(t) for t in r.turns]) for r in read) == [
+        (0, [("assistant", "b", True)]),
+        (0, [("user", "a", False)]),
+        (3, [("a>", ">x", False), ("user", "<</>>", False)]),
+    ]
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, None, "user", "first"), (None, 1, "assistant", LONG), (2, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))
@@ -484,17 +494,19 @@ def slow_measures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def slow_verdicts(docs, min_docs, max_share):
-    """docs: (host, text). Kept, and the normalised lines that go, by (host, text)."""
-    texts = {(h or "", t or "") for h, t in docs}
-    norm = lambda x: " ".join(x.replace("\x0b", " ").split(" ")).lower()
+def slow_verdicts(docs, min_docs, max_share, min_texts):
+    """docs: (doc_id, host, text). Kept, and the normalised lines that go, by (host, text)."""
+    docs = {(d, h or "", t or "") for d, h, t in docs}
+    texts = {(h, t) for _, h, t in docs}
     lines_of = lambda t: [x for x in (" ".join(WORD.findall(x)).lower() for x in t.split("\n")) if x]
-    counts, sizes = Counter(), Counter(h for h, _ in texts)
-    for h, t in texts:
+    counts, among, sizes = Counter(), Counter(), Counter(h for _, h, _ in docs)
+    for _, h, t in docs:
         counts.update((h, x) for x in set(lines_of(t)))
+    for h, t in texts:
+        among.update((h, x) for x in set(lines_of(t)))
     out = {}
     for h, t in texts:
-        gone = [x for x in lines_of(t) if counts[h, x] > min_docs and counts[h, x] > max_share * sizes[h]]
+        gone = [x for x in lines_of(t) if counts[h, x] > min_docs and counts[h, x] > max_share * sizes[h] and among[h, x] >= min_texts]
         n, _, _, _, r = slow_measures(t)
         failed = n < 50 or 100 * r > 50 * n
         out[h, t] = (failed, not failed and 2 * sum(len(x.split(" ")) for x in gone) <= n, set(gone))
@@ -503,7 +515,7 @@ def slow_verdicts(docs, min_docs, max_share):
 
 def test_line_rules_query(spark, documents):
     rows = documents.collect()
-    verdicts = slow_verdicts([(r.source, r.text) for r in rows], line_rules.MIN_DOCS, line_rules.MAX_SHARE)
+    verdicts = slow_verdicts([(r.doc_id, r.source, r.text) for r in rows], line_rules.MIN_DOCS, line_rules.MAX_SHARE, line_rules.MIN_TEXTS)
     got = {r.doc_id: r for r in line_rules.op10_line_rules(spark, SF).collect()}
     assert set(got) == {r.doc_id for r in rows}
     for r in rows:
@@ -529,6 +541,22 @@ def test_copies_do_not_make_lines_frequent(spark):
     assert line_rules.apply_rules(docs).count() == 100
 
 
+def test_lines_are_counted_by_document(spark):
+    """A footer in three texts that 40 documents share is boilerplate; repeated rows of one document are not."""
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(3)]
+    many = [(i, f"Shared footer\n{own[i % 3]}", "a", 0) for i in range(40)]
+    few = [(i % 3, f"Shared footer\n{own[i % 3]}", "a", 0) for i in range(40)]
+    assert {r.text for r in line_rules.apply_rules(spark.createDataFrame(many, SCHEMA)).collect()} == set(own)
+    assert all(r.text.startswith("Shared") for r in line_rules.apply_rules(spark.createDataFrame(few, SCHEMA)).collect())
+
+
+def test_long_texts_take_whole_hashes(spark, monkeypatch, documents):
+    measures = lambda: {r.doc_id: tuple(r)[1:] for r in line_rules.with_measures(documents.select("doc_id", "text")).select("doc_id", *line_rules.MEASURES).collect()}
+    packed = measures()
+    monkeypatch.setattr(line_rules, "PACKED_WORDS", 100)
+    assert measures() == packed
+
+
 def test_line_rules_edges(spark, edges, none):
     out = line_rules.apply_rules(edges)
     assert out.columns == edges.columns and out.count() == 0
