@@ -8,9 +8,9 @@ seed. Tiles may come in any order, so a passage whose sentences were
 rearranged is found as well. A document is contaminated by an item if tiles
 cover at least ``COVERAGE`` of the item's words.
 
-The benchmark is read in blocks of bounded size, each broadcast and held
-against all documents; a usual benchmark is one block. All whole documents and
-all whole items take part.
+The benchmark is read in blocks of bounded size, each broadcast, held against
+all documents and released; a usual benchmark is one block. All whole documents
+and all whole items take part.
 """
 
 from __future__ import annotations
@@ -22,33 +22,64 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..workspace import Workspace
 
 SEED = 5
 COVERAGE = 0.5
 #: UTF-8 bytes of benchmark texts that are broadcast at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER, _PUNCTUATION).split()
 
 
-def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(hash, start) of each run of ``size`` free tokens, by rolling the hash along."""
-    top, value, run = pow(_BASE, size - 1, _MOD), 0, 0
-    for i, token in enumerate(tokens):
-        if not free[i]:
-            value = run = 0
-            continue
-        if run >= size:
-            value = (value - tokens[i - size] * top) % _MOD
-        value = (value * _BASE + token) % _MOD
-        run += 1
-        if run >= size:
-            yield value, i - size + 1
+class _Rolling:
+    """Karp-Rabin hashes, modulo 2^64, of all windows of a sequence; the hash of each size comes from one running sum."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        n = len(tokens)
+        powers = lambda base: np.cumprod(np.array([1, *[base] * n], np.uint64))
+        self.tokens, self.up, down = tokens, powers(_BASE), powers(_INVERSE)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((tokens + 1).astype(np.uint64) * down[:-1])])
+
+    def windows(self, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the windows of ``size`` free tokens."""
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        starts = np.nonzero(taken[size:] == taken[:-size])[0] if len(free) >= size else np.zeros(0, np.int64)
+        return (self.sums[starts + size] - self.sums[starts]) * self.up[starts], starts
+
+
+def _maximal(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, places: Iterable[tuple[int, np.ndarray]], size: int) -> list[tuple[int, int, int]]:
+    """(-length, place in item, place in text) of the matches of at least ``size`` that can't be longer, from where windows have equal hashes.
+
+    A match that could begin one earlier is part of another, so of a run of
+    equal words there are as many as item and text have words, and not their product.
+    """
+    found = []
+    for p, at in places:
+        if p and free_i[p - 1]:
+            before = np.maximum(at - 1, 0)
+            at = at[(at == 0) | ~free_t[before] | (text[before] != item[p - 1])]
+        n, going = np.zeros(len(at), np.int64), np.arange(len(at))
+        most = len(item) - p
+        for k in range(most):
+            if not free_i[p + k] or not len(going):
+                break
+            here = at[going] + k
+            going, here = going[here < len(text)], here[here < len(text)]
+            going = going[(text[here] == item[p + k]) & free_t[here]]
+            n[going] = k + 1
+        for length, t in zip(n.tolist(), at.tolist()):
+            if length >= size:  # else the hashes only happened to be equal
+                found.append((-length, p, t))
+    return sorted(found)
 
 
 def tile(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -57,32 +88,29 @@ def tile(item: list[int], text: list[int], least: int) -> list[tuple[int, int, i
     Negative tokens match nothing. Of matches of one length the first in the
     item is marked first, then the first in the text.
     """
-    free_i, free_t = [x >= 0 for x in item], [x >= 0 for x in text]
+    own, other = np.asarray(item, np.int64), np.asarray(text, np.int64)
+    free_i, free_t = own >= 0, other >= 0
+    of_item, of_text = _Rolling(own), _Rolling(other)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), 20))
+    size = max(least, min(len(own), 20))
     while True:
-        table: dict[int, list[int]] = defaultdict(list)
-        for value, at in _windows(text, free_t, size):
-            table[value].append(at)
-        found: list[tuple[int, int, int]] = []
-        for value, p in _windows(item, free_i, size):
-            for t in table.get(value, ()):
-                n = 0
-                while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and free_i[p + n] and free_t[t + n]:
-                    n += 1
-                if n >= size:  # else the hashes only happened to be equal
-                    found.append((-n, p, t))
-        found.sort()
+        hashes, starts = of_text.windows(free_t, size)
+        order = np.argsort(hashes, kind="stable")
+        hashes, starts = hashes[order], starts[order]
+        values, at = of_item.windows(free_i, size)
+        low, high = np.searchsorted(hashes, values, "left"), np.searchsorted(hashes, values, "right")
+        places = ((int(p), starts[a:b]) for p, a, b in zip(at, low, high) if a < b)
+        found = _maximal(own, other, free_i, free_t, places, size)
         if found and -found[0][0] > 2 * size:  # so long a match speaks for a greater size
             size = -found[0][0]
             continue
         cut = False
         for minus, p, t in found:
             n = -minus
-            if not (all(free_i[p : p + n]) and all(free_t[t : t + n])):
+            if not (free_i[p : p + n].all() and free_t[t : t + n].all()):
                 cut = True  # by a tile; what is left of it must be found anew before lesser ones
                 break
-            free_i[p : p + n] = free_t[t : t + n] = [False] * n
+            free_i[p : p + n] = free_t[t : t + n] = False
             tiles.append((n, p, t))
         if cut:
             continue
@@ -124,11 +152,11 @@ class Decontaminator:
         return value
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, tiles, words covered) of each item that contaminates the text."""
+        """(item_id, coverage, tiles, words covered) of each item that contaminates the text, as items were given."""
         get = self.ids.get
         words = words_of(text)
         tokens = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        touched: dict[int, set[int]] = defaultdict(set)
+        touched: dict[int, list[int]] = defaultdict(list)
         for size in self.sizes:
             if len(tokens) < size:
                 continue
@@ -142,24 +170,21 @@ class Decontaminator:
             for start, value in zip(starts[hit].tolist(), values[hit].tolist()):
                 for k in self.seeds[value]:
                     if self.items[k][2] == size:
-                        touched[k].update(range(start, start + size))
+                        touched[k].append(start)
         found = []
-        for k, places in touched.items():
+        for k in sorted(touched):
             item_id, item, least = self.items[k]
-            here: list[int] = []
-            last = -2
-            for place in sorted(places):  # other words lie in no seed of this item, so in no tile
-                if place != last + 1 and here:
-                    here.append(-1)
-                here.append(int(tokens[place]))
-                last = place
-            if not self._may_cover(item, here, least):
+            # other words lie in no seed of this item, so in no tile
+            places = np.unique(np.array(touched[k])[:, None] + np.arange(least))
+            gaps = np.nonzero(np.diff(places) > 1)[0] + 1
+            here = np.insert(tokens[places], gaps, -1)
+            if not self._may_cover(item, here.tolist(), least):
                 continue
             tiles = tile(item, here, least)
             covered = sum(n for n, _, _ in tiles)
             if covered >= self.coverage * len(item):
                 found.append((item_id, covered / len(item), len(tiles), covered))
-        return sorted(found)
+        return found
 
     def _may_cover(self, item: list[int], here: list[int], least: int) -> bool:
         """Tiles lie within shared seeds: whether these cover enough of the item."""
@@ -171,31 +196,39 @@ class Decontaminator:
         return len(covered) >= self.coverage * len(item)
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, object]]:
+    """Whether it is the last, and the broadcast items of each block of the benchmark; at any time one block is held."""
+    items, spark = benchmark.select("item_id", "text"), benchmark.sparkSession
+    n_bytes = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    n_blocks = max(1, -(-n_bytes // block_bytes))
+    for block in range(n_blocks):
+        at = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(at).orderBy("item_id", "text").collect()])
+        yield block == n_blocks - 1, shared
+        if block < n_blocks - 1:  # the caller has written what it found
+            shared.destroy()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, contaminated, coverage, n_tiles, n_words) for each document (doc_id, text) and item (item_id, text) that contaminates it.
 
     ``contaminated`` is true in all rows; documents without rows are clean.
-    Items and documents without words match nothing, null texts have none.
-    Repeated rows of documents come back as often; repeated items too. Empty tables give an empty result.
+    Items and documents without words match nothing, null texts have none; null
+    ids are ids like any other, of whatever type. Repeated rows of documents come
+    back as often; repeated items too. Empty tables give an empty result.
+    Documents are read once for each ``block_bytes`` of the benchmark.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
-    n_bytes = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    doc_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, contaminated boolean, coverage double, n_tiles int, n_words int"
-    blocks = []
-    for block in range(n_blocks):
-        at = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(at).collect()])
-        blocks.append(docs.select("doc_id", "text").mapInArrow(_scan(shared, coverage), schema))
-    out = blocks[0]
-    for more in blocks[1:]:
-        out = out.unionByName(more)
+    types = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    schema = f"doc_id {types['doc_id'].simpleString()}, item_id {types['item_id'].simpleString()}, contaminated boolean, coverage double, n_tiles int, n_words int"
+    kind, ws, out = to_arrow_type(types["item_id"]), Workspace(docs.sparkSession, "tiles"), None
+    for i, (last, shared) in enumerate(_blocks(benchmark, block_bytes)):
+        found = docs.select("doc_id", "text").mapInArrow(_scan(shared, coverage, kind), schema)
+        found = found if last else ws.save(found, f"block{i}")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scan(shared, coverage: float):
+def _scan(shared, coverage: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Decontaminator(shared.value, coverage).find
         for batch in batches:
@@ -206,21 +239,21 @@ def _scan(shared, coverage: float):
                     hits.append(hit)
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             item, cover, tiles, words = zip(*hits) if hits else ((), (), (), ())
-            columns = [ids, pa.array(item), pa.array([True] * len(hits), pa.bool_()), pa.array(cover, pa.float64()), pa.array(tiles, pa.int32()), pa.array(words, pa.int32())]
+            columns = [ids, pa.array(item, kind), pa.array([True] * len(hits), pa.bool_()), pa.array(cover, pa.float64()), pa.array(tiles, pa.int32()), pa.array(words, pa.int32())]
             if hits:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "contaminated", "coverage", "n_tiles", "n_words"])
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The clean rows of ``docs``. Rows with null doc_id can't be told apart and are judged by their own text all the same."""
-    spark = docs.sparkSession
-    n_bytes = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    for block in range(n_blocks):
-        at = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block
-        shared = spark.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").where(at).collect()])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The clean rows of ``docs``, judged one by one by their own text, those with null or repeated ids too; null texts are clean.
+
+    All columns stay, whatever their names. Empty tables of documents give an
+    empty result, and of an empty benchmark all rows stay.
+    """
+    ws = Workspace(docs.sparkSession, "clean")
+    for last, shared in _blocks(benchmark, block_bytes):
 
         @F.pandas_udf("boolean")
         def clean(texts, shared=shared):
@@ -228,8 +261,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return texts.map(lambda t: not find(t)).astype(bool)
 
         docs = docs.where(clean("text"))
+        docs = docs if last else ws.save(docs, "left")
     return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that contaminates it; what ``find_contamination`` says of nulls, repeats and empty tables holds."""
     return find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

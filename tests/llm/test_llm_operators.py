@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -341,6 +342,26 @@ def test_decontamination_query(spark, texts):
     assert {(r.doc_id, r.item_id) for r in got} == want and all(r.contaminated for r in got)
 
 
+def test_tiles_of_equal_words_take_little():
+    began = time.perf_counter()
+    assert decontaminate.tile([0] * 60, [0] * 120_000, 5) == [(60, 0, 0)]
+    short = decontaminate.tile([0, 1] * 10, [0, 1, 1] * 30, 2)
+    assert (sum(n for n, _, _ in short), len(short)) == slow_tiles([0, 1] * 10, [0, 1, 1] * 30, 2)
+    assert decontaminate.tile([0, 1] * 40, [0, 1, 1] * 40_000, 2)
+    assert time.perf_counter() - began < 20
+
+
+def test_items_of_any_id(spark):
+    """Null, repeated and narrow ids of items that match one text."""
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text)], "doc_id smallint, text string")
+    bench = spark.createDataFrame([(1, text), (None, text), (None, text + " eight")], "item_id int, text string")
+    for size in (1 << 20, 8):
+        got = decontaminate.find_contamination(docs, bench, block_bytes=size)
+        assert sorted(str(r.item_id) for r in got.collect()) == ["1", "None", "None"] and dict(got.dtypes)["item_id"] == "int"
+        assert decontaminate.drop_contaminated(docs, bench, block_bytes=size).count() == 0
+
+
 def test_reordered_passages_are_found(spark):
     item = [f"w{i}" for i in range(30)]
     moved = " ".join([*item[20:], "x", *item[:10], "y", *item[10:20]])
