@@ -33,10 +33,14 @@ class Workspace:
         self._paths: dict[str, str] = {}
         atexit.register(self.clear)
 
+    def path(self, name: str) -> str:
+        """A new folder's path, for what the caller writes."""
+        self._n += 1
+        return f"{self.root}/{self._n:03d}-{name}"
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from there; a table saved before under this name is dropped."""
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
+        path = self.path(name)
         df.write.parquet(path)
         old, self._paths[name] = self._paths.get(name), path
         if old:
