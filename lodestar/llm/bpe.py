@@ -165,6 +165,12 @@ class BpeTransducer:
         for byte in piece:
             to = steps.get(state << 8 | byte)
             if to is None:
+                if len(self._ways) > self.state_limit:  # within a long piece
+                    packed = self._ways[state]
+                    self._reset()
+                    state, steps, emits = self._id.setdefault(packed, len(self._ways)), self._step, self._emits
+                    if state == len(self._ways):
+                        self._ways.append(packed)
                 to = self._advance(state, byte)
             if to >= 0:
                 state = to
@@ -228,35 +234,37 @@ def _some(items: Iterator[str], n: int = 1 << 16) -> Iterator[list[str]]:
         yield some
 
 
+#: Continuation bytes that are still to come after a lead byte; -1 where none can lead.
+_NEED = [0] * 0x80 + [-1] * 0x42 + [1] * 0x1E + [2] * 0x10 + [3] * 0x05 + [-1] * 0x0B
+
+
 class Utf8Stream:
     """Incremental UTF-8: takes bytes cut anywhere and gives the characters that are complete.
 
-    The state is how many bytes of a character are pending and how many it
-    needs; what is not UTF-8 becomes U+FFFD.
+    A state machine whose state is the number of bytes that the last character
+    still needs. Within ``data`` it need only run from the last byte that can
+    lead a character; all before that is complete. What is not UTF-8 becomes U+FFFD.
     """
 
     def __init__(self) -> None:
-        self.pending = b""
+        self.pending, self.need = b"", 0
 
-    @staticmethod
-    def _cut(data: bytes) -> int:
-        """Where a character begins that ``data`` does not complete, or its length."""
-        for back in range(1, min(4, len(data) + 1)):
-            b = data[-back]
-            if b & 0xC0 == 0x80:
-                continue
-            need = 4 if b >= 0xF0 else 3 if b >= 0xE0 else 2 if b >= 0xC0 else 1
-            return len(data) - back if need > back else len(data)
-        return len(data)
+    def _run(self, data: bytes) -> int:
+        """Where the character begins that ``data`` does not complete, or its length; sets the state."""
+        start = next((i for i in range(len(data) - 1, max(-1, len(data) - 4), -1) if data[i] & 0xC0 != 0x80), len(data))
+        self.need = 0
+        for byte in data[start:]:
+            self.need = self.need - 1 if self.need else max(0, _NEED[byte])
+        return start if self.need else len(data)
 
     def feed(self, data: bytes) -> str:
         data = self.pending + data
-        cut = self._cut(data)
+        cut = self._run(data)
         self.pending = data[cut:]
         return data[:cut].decode("utf-8", "replace")
 
     def finish(self) -> str:
-        rest, self.pending = self.pending, b""
+        rest, self.pending, self.need = self.pending, b"", 0
         return rest.decode("utf-8", "replace")
 
 
@@ -295,7 +303,8 @@ def _codec(shared, pattern: str) -> BpeCodec:
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Whole texts; null and empty texts have no ids. With ``decode`` also what
+    Whole texts; null and empty texts have no ids. Null ids and repeated rows
+    come back as they are, and an empty table gives an empty result. With ``decode`` also what
     the ids decode to, by the same worker, as decoded. The vocabulary is read
     on the driver and broadcast: its size is that of the file, whatever the input.
     """
@@ -349,6 +358,7 @@ def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each row of ``documents`` and of what they decode to; null texts are as empty ones, for the rest see ``bpe_encode``."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
