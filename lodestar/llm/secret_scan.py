@@ -53,12 +53,16 @@ def is_jwt(match: re.Match) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is tried where one of ``keywords`` (lower case) begins; ``valid`` has the last word."""
+    """``pattern`` is tried where one of ``keywords`` (lower case) begins; ``valid`` has the last word.
+
+    ``run``: where the pattern fails, it fails at each later place of the run that this matches there, too.
+    """
 
     kind: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
     valid: Callable[[re.Match], bool] = lambda m: True
+    run: re.Pattern | None = None
 
 
 def _any_case(words: str) -> str:
@@ -79,7 +83,7 @@ HEX_KIND, HEX_LEAST = "hex", 16
 MORE_RULES = (
     Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), has_crc62),
     Rule("npm", ("npm_",), re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), has_crc62),
-    Rule("jwt", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), is_jwt),
+    Rule("jwt", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"), is_jwt, re.compile(rb"[A-Za-z0-9_-]+")),
     Rule("slack", ("xox",), re.compile(rb"xox[abposr]-[0-9]{8,}-[0-9A-Za-z-]{12,}")),
     Rule("stripe", ("sk_live_", "rk_live_"), re.compile(rb"[sr]k_live_[0-9A-Za-z]{20,}")),
     Rule("private_key", ("-----begin",), re.compile(rb"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[^-]+-----END [A-Z ]{0,32}PRIVATE KEY-----")),
@@ -115,6 +119,8 @@ class Scanner:
                 past[rule.kind] = match.end()
                 if rule.valid(match):
                     spans.append((rule.kind, start, match.end()))
+            elif rule.run and (run := rule.run.match(data, start)):
+                past[rule.kind] = run.end()
         spans += self._hex_runs(data)
         if len(data) != len(text or ""):
             chars = np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80) if spans else None
@@ -144,7 +150,12 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) of each row of ``docs`` (doc_id, text; other columns are ignored); null and empty texts have no spans."""
+    """(doc_id, spans) of each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Null and empty texts have no spans; null ids and repeated rows come back as
+    they are, and an empty table gives an empty result. Time and memory grow
+    with the length of a text.
+    """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +180,11 @@ def redact(text: str | None, spans: Iterable[tuple[str, int, int]]) -> str | Non
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in text replaced, and n_chars, where there is one, as the text then has. All rows and other columns stay."""
+    """``docs`` with secrets in text replaced, and n_chars, where there is one, as the text then has.
+
+    All rows, repeated ones too, and all other columns stay, whatever their
+    names; null texts stay null, and an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):
@@ -181,6 +196,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of each row of ``documents``; what ``find_secrets`` says of nulls, repeats and empty tables holds."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
