@@ -6,14 +6,21 @@ A small network is trained in numpy to minimise the non-negative unbiased risk
 
 with the logistic loss l, trusted positives p and web text u, which is drawn
 from all training rows, labels ignored. Where
-the second term of a batch is negative, the step goes against it. The class
-prior is estimated as the share of positives among the labelled training rows;
-labelled negatives serve for nothing else.
+the second term of a batch is negative, the step goes against it. Labelled
+negatives serve for nothing.
+
+The class prior is estimated from positives and unlabelled rows alone. A network
+of the same form learns to tell half of the positives from half of the
+unlabelled; on the other halves, the share of the unlabelled above any threshold
+is at least the prior times the share of the positives above it, so the least
+ratio of the two, over thresholds that enough positives pass, bounds the prior
+from above and meets it where the best positives are unlike any negative.
 
 A text is described by shares and counts over all of it: kinds of characters,
 repeated words and lines, lengths. Features of all documents are computed once
-and kept; training takes at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows of
-them, those with the least hash of the id, and scoring takes all.
+and kept; training takes about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows of
+them at most, those whose hash of the id lies below a limit that is set from
+their numbers, so no task sends more than its share; scoring takes all.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from ..workspace import Workspace
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 HIDDEN, EPOCHS, BATCH, RATE = 16, 60, 1024, 5e-3
+#: Share of the positives that must pass a threshold for it to count in the estimate of the prior.
+LEAST_PASSING = 0.2
 FOLDS = 5
 THRESHOLD = 0.3
 _KINDS = {
@@ -103,7 +112,8 @@ class PuNetwork:
         back = by_logit[:, None] * v * (1 - h * h)
         return [x.T @ back, back.sum(axis=0), h.T @ by_logit, np.array([by_logit.sum()])]
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> PuNetwork:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, contrast: bool = False) -> PuNetwork:
+        """``contrast``: tells positives from unlabelled rows, as if these were negatives, instead."""
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
         p, u = self._norm(positive), self._norm(unlabelled)
@@ -119,9 +129,10 @@ class PuNetwork:
                 g = np.tanh(x @ w + b) @ v + c[0]
                 sig = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
                 gp, gu, sp, su = g[: len(i)], g[len(i) :], sig[: len(i)], sig[len(i) :]
-                negative = np.logaddexp(0, gu).mean() - self.prior * np.logaddexp(0, gp).mean()
-                d_negative = np.concatenate([-self.prior * sp / len(i), su / len(j)])
-                d_positive = np.concatenate([self.prior * (sp - 1) / len(i), np.zeros(len(j))])
+                less = 0.0 if contrast else self.prior  # of the positives among the unlabelled, what is taken off
+                negative = np.logaddexp(0, gu).mean() - less * np.logaddexp(0, gp).mean()
+                d_negative = np.concatenate([-less * sp / len(i), su / len(j)])
+                d_positive = np.concatenate([(1.0 if contrast else self.prior) * (sp - 1) / len(i), np.zeros(len(j))])
                 grads = self._gradient(x, d_positive + d_negative if negative >= 0 else -d_negative)
                 t += 1
                 for k, grad in enumerate(grads):
@@ -131,6 +142,19 @@ class PuNetwork:
         return self
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from these two samples."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = PuNetwork(positive.shape[1], 0.5, seed=1).fit(positive[::2], unlabelled[::2], contrast=True)
+    p, u = np.sort(model.logit(positive[1::2])), np.sort(model.logit(unlabelled[1::2]))
+    shares = np.linspace(max(LEAST_PASSING, 4 / len(p)), 1, 100)
+    limits = p[np.minimum(np.floor((1 - shares) * len(p)).astype(int), len(p) - 1)]
+    above = lambda x: 1 - np.searchsorted(x, limits, "left") / len(x)
+    slack = (above(u) * (1 - above(u)) / len(u)) ** 0.5 + above(u) * ((1 - above(p)) / np.maximum(above(p) * len(p), 1)) ** 0.5
+    return float(np.clip(((above(u) + slack / 2) / above(p)).min(), 0.02, 0.98))
+
+
 def held_out(doc_id: Column) -> Column:
     """Of the folds by crc32 of the id as text, the first; null ids are as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
@@ -148,30 +172,36 @@ def text_features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<float>")
 
 
-def train_quality(described: DataFrame, labels: DataFrame) -> PuNetwork | None:
+def train_quality(described: DataFrame, labels: DataFrame, most: tuple[int, int] = (MAX_POSITIVE, MAX_UNLABELLED)) -> PuNetwork | None:
     """The network, or None where there is no positive row to learn from.
 
     A document labelled both ways counts as negative; null labels don't count.
     """
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.where(~held_out(F.col("doc_id")))
-    seen = own.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("int")).alias("ones")).first()
-    pool = described.where(~held_out(F.col("doc_id")))
+    pool = described.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", "x"))
     positive = pool.join(own.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
 
     def take(df: DataFrame, most: int) -> np.ndarray:
-        rows = df.select(F.xxhash64("doc_id").alias("h"), "doc_id", "x").orderBy("h", "doc_id", "x").limit(most).collect()
-        return np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES)
-
-    p, u = take(positive, MAX_POSITIVE), take(pool, MAX_UNLABELLED)
+        """About ``most`` rows at most, in the order of their hash."""
+        n = df.count()
+        limit = -(1 << 63) + int((1 << 64) * min(1.0, most / max(n, 1)) * (1 - 1e-12))
+        rows = df.where(F.col("h") <= limit).select("h", F.col("x").cast("array<double>").alias("x")).toArrow()
+        x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+        return x[np.lexsort((*x.T, rows["h"].to_numpy()))]
+
+    p, u = take(positive, most[0]), take(pool, most[1])
     if not len(p) or not len(u):
         return None
-    prior = min(max(seen.ones / seen.n, 0.02), 0.98)
-    return PuNetwork(FEATURES, prior).fit(p, u)
+    return PuNetwork(FEATURES, estimate_prior(p, u)).fit(p, u)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """(doc_id, score) of each row of ``docs``, repeated ones too; 0.5 for all where nothing can be learned."""
+    """(doc_id, score) of each row of ``docs`` (doc_id, text; other columns are ignored), repeated ones and those with null ids too.
+
+    Null texts are as empty ones, which have a score as well. 0.5 for all where
+    nothing can be learned; an empty table gives an empty result.
+    """
     ws = ws or Workspace(docs.sparkSession, "quality")
     described = ws.save(text_features(docs), "features")
     model = train_quality(described, labels)
@@ -186,6 +216,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, ws: Workspace | None = Non
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold, score and prediction of each row of ``documents``; what ``score_quality`` says of nulls, repeats and empty tables holds."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs, labels)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
