@@ -158,6 +158,19 @@ def test_sharding_edges(edges, none, spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(EDGES)
 
 
+def test_repeated_rows_are_scattered(spark):
+    """One row a thousand times does not stay in one bucket, and rows of any type take part."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") < 1000, F.lit("same")).otherwise(F.concat(F.lit("own "), "id")).alias("text"),
+    )
+    rows = rows.withColumns({"m": F.create_map(F.lit("k"), "text"), "a": F.array("doc_id"), "d": F.col("doc_id").cast("decimal(20,2)"), "b": F.col("text").cast("binary")})
+    placed = sharding.shuffle_into_shards(rows, 7, bucket_bytes=3000, hot_rows=100)
+    got = placed.select("doc_id", "text", "shard", "slot").collect()
+    assert len({(r.shard, r.slot) for r in got}) == 3000 and len({r.shard for r in got if r.text == "same"}) == 7
+    assert placed.columns == [*rows.columns, "shard", "slot"]
+
+
 def test_shuffle_is_uniform(spark):
     """Neighbours in the input end up far from each other."""
     rows = sharding.shuffle_into_shards(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text")), 10, bucket_bytes=200_000)
@@ -203,6 +216,13 @@ def test_bpe_states_built_anew(reference, texts):
         assert small.encode(word.encode()) == encoding.encode_ordinary(word) or len(codec.pattern.findall(word)) > 1
 
 
+def test_long_pieces_are_bounded(reference):
+    encoding, codec = reference[:2]
+    small = bpe.BpeTransducer(codec.transducer.ranks, state_limit=50)
+    piece = "".join(chr(97 + i * i * 7 % 26) for i in range(3000))
+    assert small.encode(piece.encode()) == codec.transducer.encode(piece.encode()) and len(small._ways) <= 60
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40), st.lists(st.integers(0, 40), max_size=6))
 def test_utf8_stream_takes_any_cut(data, cuts):
@@ -261,6 +281,14 @@ def test_checksums_decide():
     assert [s[0] for s in scan("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc-_")] == ["jwt"] and not scan("eyJxxxx.eyJyyyy.zzz")
 
 
+def test_scan_takes_time_by_length():
+    """Texts that begin a token at each place."""
+    for part in ("eyJ", "eyJ.", "secret=", "AKIA", "token: ", "xoxb-1", "-----BEGIN ", "ghp_", "0f", "sk_live_"):
+        began = time.perf_counter()
+        secret_scan.Scanner().scan(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 15, part
+
+
 def test_secrets_edges(edges, none):
     assert secret_scan.find_secrets(edges).count() == len(EDGES) and secret_scan.find_secrets(none).count() == 0
     assert secret_scan.redact("a token=abcdefabcdefabcdef0123 b", secret_scan.Scanner().scan("a token=abcdefabcdefabcdef0123 b")) == "a [SECRET] b"
@@ -293,6 +321,45 @@ def test_split_url(url, want):
     assert url_filter.split_url(url) == want
 
 
+@pytest.mark.parametrize(
+    "pattern, tokens",
+    [
+        (r"/tracker\.gif", ("tracker",)),
+        (r"[/.]ads[/.]", ("ads",)),
+        (r"\bcasino\b", ("casino",)),
+        (r"(?:^|[/.])xxx(?:[/.]|$)", ("xxx",)),
+        (r"^[a-z]+://m\..*\.html$", ("m", "html")),
+        (r"\?page=[0-9]+&ref=", ("page", "ref")),
+        (r"/a+b/", ()),
+        (r"/ab?/", ()),
+        (r"/x/|/y/", ()),
+        (r"[/a]ads/", ()),
+        (r"/?ads/", ()),
+        (r"[^/]ads/", ()),
+        (r"[!-z]ads/", ()),
+        (r"(?:/|x)ads/", ()),
+        (r"/+ads/", ("ads",)),
+        (r"/{0,2}ads/", ()),
+    ],
+)
+def test_tokens_are_read_off_patterns(pattern, tokens):
+    assert url_filter.whole_tokens(pattern) == tokens
+
+
+def test_many_rules_few_candidates(spark):
+    """5000 rules; a URL runs those of its rarest tokens only, and gets what all rules in turn would give."""
+    kinds = [r"/sec{i}/[a-z]+\.html", r"^http://host{i}\.", r"[?&]key{i}=[0-9]+", r"/common/item{i}$", r"\.net/common/x{i}/"]
+    rules = url_filter.read_rules(["# fixed", "", *(f"{'block' if i % 3 else 'allow'} {kinds[i % 5].replace('{i}', str(i))}" for i in range(5000))])
+    urls = [f"http://host{i}.net/common/x{i + 1}/item{i}?key{i}={i}&b" for i in range(0, 300, 7)] + [f"http://a.net/SEC{i}/page.html" for i in range(100)] + [f"http://b.net/common/item{i}" for i in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = url_filter.UrlFilter(url_filter.rule_token_counts(pages, rules), rules, ())
+    compiled = [(r.verdict, re.compile(r.pattern)) for r in rules]
+    want = [next((v for v, p in compiled if p.search(u.lower())), "allow") for u in urls]
+    assert [found.verdict(u) for u in urls] == want and "block" in want
+    assert max(len(found.candidates(u.lower())) for u in urls) <= 6
+    assert [r.verdict for r in url_filter.filter_urls(pages, rules, ()).orderBy("page_id").collect()] == want
+
+
 def test_urls_edges(spark):
     pages = spark.createDataFrame([(1, None), (None, "http://x.org/"), (2, ""), (2, "")], "page_id long, url string").withColumn("host", F.lit(1))
     assert sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect() if r.rule) == [("None", "org/", "allow")]
@@ -405,6 +472,63 @@ def test_tail_words_are_joined(spark, documents):
     assert rows(100) == rows(10**6)
 
 
+def test_scores_do_not_depend_on_partitions(spark, documents):
+    docs = documents.select("doc_id", "text")
+    scores = lambda df: {r.doc_id: r.score for r in lm_score.score_texts(df, classes=64, head_size=3000).collect()}
+    one, many = scores(docs.coalesce(1)), scores(docs.repartition(8))
+    assert one.keys() == many.keys() and all(many[d] == pytest.approx(one[d], rel=1e-5) for d in one)
+
+
+def test_model_beats_unigrams_on_held_out_texts(spark):
+    got = lm_score.op7_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] - got[1] > 0.05 * got[2]  # log10 a token
+
+
+def test_narrow_ids_are_scored(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (None, "a")], "doc_id smallint, text string")
+    got = lm_score.score_texts(docs, classes=8)
+    assert dict(got.dtypes)["doc_id"] == "smallint" and got.count() == 3
+
+
+def test_head_of_equal_counts(spark):
+    counts = spark.range(5000).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(1).cast("long").alias("c"))
+    assert 800 < lm_score.frequent_words(counts, 1000).count() < 1200 and lm_score.frequent_words(counts, 6000).count() == 5000
+
+
+def test_word_probabilities_sum_to_one():
+    """Over all words, the end and the rare ones, for each pair of classes before."""
+    rng = np.random.default_rng(0)
+    head = [(b"w%d" % i, int(1000 / (i + 1))) for i in range(300)]
+    vocabulary = lm_score.Vocabulary(head, 50, 32)
+    share = vocabulary.log_class_share(100)
+    model, words = lm_score.LogBilinear(share), lm_score.WordModel(vocabulary, 32)
+    for _ in range(30):
+        model.train(*rng.integers(0, 32, (3, 256)), rng)
+        words.train(rng.integers(0, 32, 500), rng.integers(vocabulary.first, 300, 500), rng)
+    s1, s2, z = model.table()
+    sums = words.log_sums()
+    for a, b in ((0, 1), (3, 7), (31, 20)):
+        p = np.exp(s1[a] + s2[b] - z[a, b])
+        inside = vocabulary.share * np.exp(words.v @ words.u[b]) / np.exp(sums[vocabulary.kind, b])
+        inside[: vocabulary.first] = 1
+        empty = np.bincount(vocabulary.kind, minlength=32) == 0
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        assert (p[vocabulary.kind] * inside).sum() + p[:2].sum() + p[2:][empty[2:]].sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_second_level_learns_what_follows_a_class():
+    rng = np.random.default_rng(0)
+    vocabulary = lm_score.Vocabulary([(b"w%d" % i, 10) for i in range(40)], 1, 4)
+    words = lm_score.WordModel(vocabulary, 4)
+    before = rng.integers(2, 4, 40_000)
+    own = np.nonzero(vocabulary.kind == vocabulary.kind[-1])[0]
+    seen = np.where(before == 2, own[0], rng.choice(own, 40_000))
+    for i in range(0, 40_000, 400):
+        words.train(before[i : i + 400], seen[i : i + 400], rng)
+    p = vocabulary.share[own[0]] * np.exp(words.v[own[0]] @ words.u.T) / np.exp(words.log_sums()[vocabulary.kind[-1]])
+    assert p[2] > 0.8 and p[3] < 0.3
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = lm_score.LogBilinear(np.log(np.full(20, 0.05)))
@@ -494,6 +618,39 @@ def test_quality_learns_where_all_are_labelled(spark):
     assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior_is_estimated_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(4)
+    n = int(4000 * prior)
+    u = np.concatenate([rng.normal(2, 1, (n, 3)), rng.normal(-2, 1, (4000 - n, 3))])
+    assert quality_model.estimate_prior(rng.normal(2, 1, (2000, 3)), u) == pytest.approx(prior, abs=0.06)
+
+
+def test_risk_is_the_non_negative_unbiased_one():
+    """The gradient that a step follows against the risk, worked out by differences."""
+    rng = np.random.default_rng(0)
+    p, u, prior = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3)), 0.4
+    model = quality_model.PuNetwork(3, prior)
+    risk = lambda m: prior * np.logaddexp(0, -m.logit(p)).mean() + max(0, np.logaddexp(0, m.logit(u)).mean() - prior * np.logaddexp(0, m.logit(p)).mean())
+    before = risk(model)
+    model.fit(p, u)
+    assert risk(model) < before
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    described = quality_model.text_features(docs)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    taken = []
+    fit = quality_model.PuNetwork.fit
+    quality_model.PuNetwork.fit = lambda self, p, u, contrast=False: taken.append((len(p), len(u))) or fit(self, p[:50], u[:50], contrast)
+    try:
+        quality_model.train_quality(described, labels, most=(300, 500))
+    finally:
+        quality_model.PuNetwork.fit = fit
+    assert all(abs(p - 300) < 80 and abs(u - 500) < 100 for p, u in taken[1:])
+
+
 def test_non_negative_risk_finds_the_positives():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (2000, 2))
