@@ -14,6 +14,8 @@ bucket has to hold all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,10 @@ BUCKET_BYTES, MOST_BYTES, BUCKETS = 32 << 20, 512 << 20, 50_000
 OVERHEAD = 16
 #: Equal records from which on they are scattered one by one, at least; never more than ``HOT_KEYS`` of them are told apart.
 HOT_ROWS, HOT_KEYS = 10_000, 10_000
+#: Bytes of a partition, at least.
+LEAST_PARTITION = 8 << 20
+#: Rows of a batch that a task gives back.
+OUT_ROWS = 4096
 _BUCKET, _HASH, _SECOND = "lodestar bucket", "lodestar hash", "lodestar second hash"
 
 
@@ -69,8 +75,10 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_byte
     base, more = divmod(int(counts.sum()), n_shards)
     columns = df.columns
 
-    def deal(table: pa.Table) -> pa.Table:
-        bucket = table[_BUCKET][0].as_py()
+    names = [*columns, _HASH, _SECOND]
+
+    def deal(bucket: int, batches: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(batches)
         by_hash = np.lexsort((table[_SECOND].to_numpy(), table[_HASH].to_numpy()))  # how rows arrive must not matter
         order = np.arange(len(table))
         np.random.Generator(np.random.Philox([seed, bucket])).shuffle(order)  # Fisher-Yates
@@ -81,8 +89,28 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_byte
         table = table.select(columns).take(pa.array(by_hash[order]))
         return table.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket after the other; they come sorted."""
+        held, bucket = [], None
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(ids))[0] + 1).tolist(), len(ids)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if held and ids[start] != bucket:
+                    yield from deal(bucket, held).to_batches(max_chunksize=OUT_ROWS)
+                    held = []
+                bucket = int(ids[start])
+                held.append(batch.slice(start, end - start).select(names))
+        if held:
+            yield from deal(bucket, held).to_batches(max_chunksize=OUT_ROWS)
+
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return keyed.repartition(n_buckets, _BUCKET).groupBy(_BUCKET).applyInArrow(deal, schema)
+    # a bucket is a partition, by its number and not by a hash of it, so none has two; only buckets of less than usual size share one
+    n_parts = min(n_buckets, max(1, -(-(n_bytes or 0) // LEAST_PARTITION)))
+    placed = keyed.select(*columns, _HASH, _SECOND, _BUCKET).repartitionById(n_parts, F.col(_BUCKET) % n_parts).sortWithinPartitions(_BUCKET)
+    return placed.mapInArrow(run, schema)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
