@@ -8,12 +8,18 @@ import sys
 
 from .operators.extraction import Ontology
 from .plans.engine import MODES, Engine, Settings
-from .session import local_session
+from .session import ship_package, submitted_session
+
+
+VERBS = [
+    "ingest", "build", "ask", "route", "parse", "extract", "facts", "stats", "validate", "export", "delete", "metrics", "quality", "documents", "runs", "preview",
+    "preflight", "nightly", "status",
+]
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodestar", description=__doc__)
-    p.add_argument("verb", choices=["ingest", "build", "ask", "route", "parse", "extract", "stats", "validate", "export", "delete"])
+    p.add_argument("verb", choices=VERBS)
     p.add_argument("store", help="folder of the store")
     p.add_argument("rest", nargs="*", help="folder to ingest, graph mode, question, text, folder to export to, or source id")
     p.add_argument("--ontology", help="YAML or JSON file")
@@ -21,9 +27,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--year", type=int, help="what 'the last N years' of a question count back from")
     a = p.parse_args(argv)
     text = " ".join(a.rest)
-    spark = local_session()
+    spark = submitted_session()
+    ship_package(spark)
     engine = Engine(spark, a.store, Ontology.load(a.ontology) if a.ontology else Ontology(), Settings.load(a.settings) if a.settings else None)
-    show = lambda df: print("\n".join(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str) for r in df.limit(1000).collect()))
+
+    def show(df) -> None:
+        for row in df.toLocalIterator():  # a partition at a time
+            print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
+
     if a.verb == "ingest":
         show(engine.ingest(text))
     elif a.verb == "build":
@@ -36,8 +47,20 @@ def main(argv: list[str] | None = None) -> int:
         print(engine.parse(text, a.year or 9999))
     elif a.verb == "extract":
         print("\n".join(map(str, engine.extract(text))))
-    elif a.verb == "stats":
-        show(engine.stats())
+    elif a.verb == "facts":
+        print("\n".join(json.dumps(f, ensure_ascii=False) for f in engine.facts(text, a.year)))
+    elif a.verb in ("stats", "quality", "documents", "runs"):
+        show(getattr(engine, a.verb)())
+    elif a.verb == "metrics":
+        show(engine.metrics(a.rest or None))
+    elif a.verb in ("preview", "preflight"):
+        show(getattr(engine, a.verb)(text))
+    elif a.verb == "nightly":
+        done = engine.nightly(text)
+        print(json.dumps(done, ensure_ascii=False))
+        return 0 if done["status"] == "done" else 2
+    elif a.verb == "status":
+        engine.set_status(*a.rest)
     elif a.verb == "validate":
         found = engine.validate()
         show(found)

@@ -37,10 +37,11 @@ def alnum_key(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.lower(text_or_empty(x)), "ё", "е"), "[^0-9a-zа-я]", "")
 
 
-def slug(x: Column | str, fallback: str = "general") -> Column:
-    """Words joined by underscores."""
-    made = F.regexp_replace(F.translate(F.lower(text_or_empty(x)), "ё", "е"), r"[^0-9a-zа-я]+", "_")
-    made = F.regexp_replace(made, "^_+|_+$", "")
+def slug(x: Column | str, fallback: str = "misc") -> Column:
+    """Of the last segment: letters, digits, dots and hyphens as they are, all else as single underscores; none of these at the ends."""
+    name = F.element_at(F.split(F.translate(F.trim(text_or_empty(x)), "\\", "/"), "/"), -1)
+    made = F.regexp_replace(F.translate(name, "ёЁ", "еЕ"), r"[^0-9A-Za-zА-Яа-я_.-]+", "_")
+    made = F.regexp_replace(F.regexp_replace(made, "_+", "_"), r"^[_.-]+|[_.-]+$", "")
     return F.when(made == "", F.lit(fallback)).otherwise(made)
 
 
@@ -112,43 +113,53 @@ def fingerprint(x: Column | str) -> Column:
     return F.sha1(F.substring(F.regexp_replace(F.lower(strip(text_or_empty(x))), r"(?U)\s+", " "), 1, 1600))
 
 
-def clean_extracted(x: Column | str, odd_glyphs: str = r"[\u00C0-\u024F\u0250-\u02AF\uE000-\uF8FF]") -> Column:
-    """Text of an extractor without invisible characters, broken words, and lines that are mostly glyph noise.
+def clean_extracted(x: Column | str, odd_glyphs: str = V.ODD_GLYPHS) -> Column:
+    """Text of an extractor without invisible characters, image marks, words broken at line ends, and lines of glyph noise.
 
-    ``odd_glyphs`` becomes spaces; give an empty class for languages that use accents.
+    ``odd_glyphs`` becomes blanks; give an empty string for languages that use accents.
     """
-    t = F.regexp_replace(text_or_empty(x), r"[\u00A0\uFEFF\uFFFD\u200B-\u200F\u2060]", " ")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-    if odd_glyphs:
-        t = F.regexp_replace(t, odd_glyphs, " ")
-    t = F.regexp_replace(t, r"(?i)<!--\s*image\s*-->|!\[[^\]]*\]\([^)]*\)", " ")
-    t = F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
-    good = lambda s: F.length(F.regexp_replace(s, r"(?U)[^0-9A-Za-zА-Яа-яЁё.,;:!?%()\[\]/+°|\-]", ""))
-    dense = lambda s: F.regexp_replace(s, r"(?U)\s", "")
-    noisy = lambda s: (F.length(dense(s)) >= 24) & (good(dense(s)) < 0.55 * F.length(dense(s)))
-    spaced = lambda s: (F.length(s) > 40) & s.rlike(r"(?U)^(?:\w\s+){12,}")
-    kept = F.filter(F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(s, r"[ \t]+", " ")), lambda s: ~noisy(s) & ~spaced(s))
-    return strip(F.regexp_replace(F.array_join(F.transform(kept, strip), "\n"), r"\n{3,}", "\n\n"))
+    t = F.regexp_replace(F.regexp_replace(text_or_empty(x), V.INVISIBLE, " "), V.CONTROL, " ")
+    t = F.regexp_replace(t, odd_glyphs, " ") if odd_glyphs else t
+    t = F.regexp_replace(t, V.IMAGE_MARK, " ")
+    t = F.regexp_replace(t, rf"(?U)(?<={V.LETTER})-\s*\n\s*(?={V.LETTER})", "")
+
+    def noise(line: Column) -> Column:
+        dense = F.replace(line, F.lit(" "), F.lit(""))
+        good = F.length(F.regexp_replace(dense, f"[^{V.GOOD_CHARACTERS}]", ""))
+        return (
+            ((F.length(dense) >= 24) & (good < 0.55 * F.length(dense)))
+            | ((F.length(line) > 40) & line.rlike("(?U)" + V.SPACED_LETTERS))
+            | ((F.length(line) > 30) & line.rlike(V.GLYPH_RUN))
+        )
+
+    own = F.transform(lines(t), lambda s: strip(F.regexp_replace(s, r"[ \t]{2,}", " ")))
+    joined = F.array_join(F.filter(own, lambda s: ~noise(s)), "\n")
+    return strip(F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
 def document_type(name: Column, text: Column, explicit: Column | None = None) -> Column:
-    """Type of a document at chunking: what is given, else by extension and words."""
-    hay = normalize(F.concat_ws("\n", name, F.substring(text_or_empty(text), 1, 2000)))
-    ext = F.lower(F.regexp_extract(text_or_empty(name), r"\.([A-Za-z0-9]+)$", 1))
-    has = lambda *words: F.lit(False) if not words else sum((hay.contains(w).cast("int") for w in words), F.lit(0)) > 0
-    found = (
-        F.when(ext.isin("ppt", "pptx") | has("презентац", "slide"), "presentation")
-        .when(ext.isin("xls", "xlsx", "csv", "tsv"), "spreadsheet")
-        .when(hay.rlike(r"гост\s*р?\s*\d|gost\s*\d") | has("стандарт", "standard") | F.concat(F.lit(" "), hay, F.lit(" ")).contains(" iso "), "standard")
-        .when(has("патент", "patent"), "patent")
-        .when((ext == "pdf") & has("abstract", "аннотац", "references", "список литературы", "doi"), "article")
-        .when(has("отчет", "report"), "report")
-        .when(ext == "pdf", "pdf_report")
-        .otherwise("generic")
-    )
+    """Type of a document at chunking: what is given, else by extension and words of the name and the first 5000 characters."""
+    sample = F.concat(text_or_empty(name), F.lit("\n"), F.substring(text_or_empty(text), 1, 5000))
+
+    def typed(hay: Column) -> Column:
+        low = F.translate(F.lower(hay), "ё", "е")
+        ext = F.lower(F.regexp_extract(text_or_empty(name), r"\.([A-Za-z0-9]+)(?:$|[#?])", 1))
+        return (
+            F.when(ext.isin("ppt", "pptx") | low.contains("презентац") | low.contains("slide"), "presentation")
+            .when(ext.isin("xls", "xlsx", "csv", "tsv"), "spreadsheet")
+            .when(hay.rlike(V.STANDARD_NUMBER) | low.contains("гост") | F.concat(F.lit(" "), low, F.lit(" ")).contains(" iso ") | low.contains("стандарт"), "standard")
+            .when(hay.rlike(V.PATENT_WORD), "patent")
+            .when((ext == "pdf") & hay.rlike(V.JOURNAL_WORD), "article")
+            .when(hay.rlike(V.REPORT_WORD), "report")
+            .when(ext == "pdf", "pdf_report")
+            .otherwise("generic")
+        )
+
+    found = bind(sample, typed)
     if explicit is None:
         return found
-    return F.when(explicit.isNull() | explicit.isin("", "document", "generic"), found).otherwise(explicit)
+    given = F.lower(F.trim(text_or_empty(explicit)))
+    return F.when(given.isin("", "document", "generic"), found).otherwise(given)
 
 
 def selection_document_type(name: Column, text: Column) -> Column:
@@ -166,34 +177,30 @@ def selection_document_type(name: Column, text: Column) -> Column:
     )
 
 
-#: Section types in the order in which they are tried.
-SECTIONS = [
-    ("abstract", r"\babstract\b|аннотац|реферат"),
-    ("introduction", r"\bintroduction\b|введени"),
-    ("methods", r"\bmethods?\b|\bmethodology\b|\bexperimental\b|методик|материалы и методы"),
-    ("results", r"\bresults?\b|результат"),
-    ("discussion", r"\bdiscussion\b|обсужден"),
-    ("conclusion", r"\bconclusions?\b|заключени|вывод"),
-    ("requirements", r"\brequirements?\b|требовани"),
-    ("definitions", r"\bdefinitions?\b|термины и определения|определени"),
-    ("appendix", r"\bappendix\b|приложени"),
-    ("references", r"\breferences\b|\bbibliography\b|список литературы|литература"),
-]
+def section_title(text: Column) -> Column:
+    """The first line of 8 to 140 characters without blanks and number signs around it, or the empty string."""
+    own = F.filter(F.transform(lines(text), lambda t: F.regexp_replace(t, r"^[ #\t]+|[ #\t]+$", "")), lambda t: F.length(t).between(8, 140))
+    return F.coalesce(F.get(own, F.lit(0)), F.lit(""))
 
 
-def section_title(text: Column) -> Column:
-    """The first line of 8 to 140 characters, or null."""
-    own = F.filter(F.transform(lines(text), strip), lambda t: F.length(t).between(8, 140))
-    return F.get(own, F.lit(0))
+def section_type(name: Column, text: Column, object_type: Column | None = None, document_type: Column | None = None) -> Column:
+    """The first section type found in name, title and the first 500 characters; else what slides tell, else body; tables are tables."""
+
+    def typed(sample: Column) -> Column:
+        title = F.translate(F.lower(section_title(sample)), "ё", "е")
+        return bind(F.concat(text_or_empty(name), F.lit("\n"), title, F.lit("\n"), F.substring(sample, 1, 500)), first)
 
+    def first(hay: Column) -> Column:
+        out = F.lit("body")
+        slides = F.coalesce(document_type == "presentation", F.lit(False)) if document_type is not None else F.lit(False)
+        for kind, words in reversed(V.SLIDE_SECTIONS):
+            out = F.when(slides & hay.rlike(rf"(?iU)\b(?:{words})\b"), kind).otherwise(out)
+        for kind, words in reversed(V.SECTIONS):
+            out = F.when(hay.rlike(rf"(?iU)\b(?:{words})\b"), kind).otherwise(out)
+        return out
 
-def section_type(name: Column, text: Column, object_type: Column | None = None) -> Column:
-    """The first section type found in name, title and the first 500 characters; else body; tables are tables."""
-    hay = F.lower(F.concat_ws("\n", name, section_title(text), F.substring(text_or_empty(text), 1, 500)))
-    out = F.lit("body")
-    for kind, pattern in reversed(SECTIONS):
-        out = F.when(hay.rlike(pattern), kind).otherwise(out)
-    return out if object_type is None else F.when(object_type == "table", "table").otherwise(out)
+    found = bind(F.substring(clean_extracted(text), 1, 2200), typed)
+    return found if object_type is None else F.when(object_type == "table", "table").otherwise(found)
 
 
 def source_year(name: Column, text: Column) -> Column:
@@ -219,12 +226,12 @@ def path_years(parts: Column) -> Column:
 
 
 def theme_from_file_name(name: Column | str) -> Column:
-    """A readable theme: no extension, years or separators; of over 80 characters the first 8 words."""
-    t = F.regexp_replace(text_or_empty(name), r"\.[^./\\]+$", "")
-    t = F.regexp_replace(t, r"(?iu)\b(?:final|draft|copy|version|v\d+|копия|финал|черновик|версия)\b", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<!\d)(?:19|20)\d{2}(?!\d)", " "), r"[_\-.,()\[\]]+", " ")
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.when(F.length(t) > 80, F.array_join(F.slice(F.split(t, " "), 1, 8), " ")).otherwise(t)
+    """A readable theme: no extension, kind of document, years or separators; of over 80 characters the first 8 words; null where nothing is left."""
+    t = F.regexp_replace(text_or_empty(name), r"(?<=[^/])\.[^./\\]+$", "")
+    t = F.regexp_replace(t, r"(?iu)\b(?:proceedings|article|статья|готовая|final|draft|презентация|presentation)\b", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<!\d)(?:19|20)\d{2}(?!\d)", " "), r"[_-]+", " ")
+    t = strip(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.nullif(F.when(F.length(t) > 80, F.array_join(F.slice(F.split(t, " "), 1, 8), " ")).otherwise(t), F.lit(""))
 
 
 def human_source_name(source: Column | str) -> Column:
@@ -252,11 +259,12 @@ def snippet(text: Column, tokens: list[str], most: int = 900) -> Column:
     return F.when(F.length(clean) <= most, clean).otherwise(cut)
 
 
-def compact(text: Column | str, most: int) -> Column:
-    """One line with spacing before punctuation mended, cut at the last space before ``most``."""
-    t = F.regexp_replace(strip(text_or_empty(text)), r"(?U)\s+", " ")
-    t = F.regexp_replace(t, r"\s+([,.;:!?])(?!\d)", "$1")
-    head = F.regexp_replace(F.substring(t, 1, most), r"\s+\S*$", "")
+def compact(text: Column | str, most: int = 520) -> Column:
+    """One line without marks at its ends and with spacing around punctuation mended, not within numbers; cut at the last space before ``most``."""
+    t = F.regexp_replace(F.regexp_replace(clean_extracted(text), r"(?U)\s+", " "), r"^[ \-•#|\t]+|[ \-•#|\t]+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+([,.;:])", "$1"), r"([,.;:])(?!\s|$|\d)", "$1 ")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    head = F.regexp_replace(F.trim(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", "")), r"[ ,;:]+$", "")
     return F.when(F.length(t) <= most, t).otherwise(F.concat(head, F.lit("…")))
 
 

@@ -112,3 +112,50 @@ ARTICLE_NOISE = (
 )
 NORMATIVE = r"(?iu)\b(?:должен|должна|должны|следует|необходимо|требовани[ея]|норма|ГОСТ|GOST|ISO|shall|must|requirement)\b"
 CONTACTS = r"(?iu)\b[\w.%-]+@[\w.-]+\.[A-Za-zА-Яа-я]{2,}\b|\+?\d[\d\s().-]{7,}\d|https?://|www\."
+
+# Characters and marks of extractors that clean-up replaces by a blank, and what a line of glyph noise looks like.
+INVISIBLE = r"[\u00A0\uFEFF\uFFFD\u200B-\u200F\u202A-\u202E\u2060-\u206F]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+ODD_GLYPHS = (
+    r"[\u00A1-\u00AF\u00B4\u00B6-\u00BF\u00C0-\u00D6\u00D8-\u00FF\u0100-\u024F\u0250-\u02AF\u0300-\u036F"
+    r"\u1D00-\u1D7F\u2C60-\u2C7F\uA720-\uA7FF]"
+)
+IMAGE_MARK = r"(?i)<!-+\s*image\s*-+>|\[image\]|\(image\)"
+GOOD_CHARACTERS = r"\p{L}\p{N}°%.,;:/\\\-+()\[\]{}№#=<>≤≥±×·"
+LETTER = "[A-Za-zА-Яа-яЁё]"
+SPACED_LETTERS = rf"(?:^|\s)(?:{LETTER}\s+){{8,}}{LETTER}(?:\s|$)"
+GLYPH_RUN = r"[\x00-\x1F]|[\u0370-\u03FF]{8,}|[\u0180-\u024F]{8,}"
+
+# Types of documents (Java syntax).
+STANDARD_NUMBER = r"(?iU)\b(?:ГОСТ|GOST|СТО|ОСТ|ТУ)\s*[РR]?\s*\d+[\d.\-:]*"
+PATENT_WORD = r"(?iU)\bпатент\b|\bpatent\b"
+JOURNAL_WORD = r"(?iU)\b(?:аннотация|abstract|ключевые слова|keywords|удк|doi)\b"
+REPORT_WORD = r"(?iU)\bотчет\b|\bпротокол\b|\breport\b"
+
+# Section types in the order in which they are tried, and those of presentations after them.
+SECTIONS = [
+    ("abstract", "аннотация|abstract|резюме|summary"),
+    ("introduction", "введение|introduction|актуальность"),
+    ("methods", r"методика|материалы\s+и\s+методы|методы|эксперимент|оборудование|methods?|experimental|procedure"),
+    ("results", r"результаты|обсуждение\s+результатов|results?|полученные\s+данные"),
+    ("discussion", "обсуждение|discussion"),
+    ("conclusion", "заключение|выводы|conclusions?"),
+    ("requirements", r"требования|нормы|нормативные\s+требования|shall|must|requirements?"),
+    ("definitions", r"термины\s+и\s+определения|definitions?|обозначения"),
+    ("appendix", "приложение|appendix|annex"),
+    ("references", r"список\s+литературы|литература|references|bibliography"),
+]
+SLIDE_SECTIONS = [
+    ("introduction", "актуальность|цель|задачи"),
+    ("methods", "прибор|оборудование|методика|измерени"),
+    ("results", "результат|зарегистрирован|получен|анализ"),
+]
+
+# Lines that are taken out before chunking, and the types of documents that lose their list of references.
+PAGE_NUMBER = r"(?iu)^\s*(?:стр\.?|страница|page|p\.?|с\.?)?\s*\d{1,4}\s*(?:из|of|/)?\s*\d{0,4}\s*$"
+REFERENCE_HEADING = r"(?iu)^\s*(?:список\s+литературы|литература|библиограф(?:ия|ический\s+список)|references|bibliography|works\s+cited)\s*$"
+FOOTNOTE = r"(?iu)^\s*(?:\[\d{1,3}\]|\d{1,3}[).]|[*†‡])\s+(?:https?://|www\.|doi:|источник:|примечан|ibid\b|там\s+же)"
+BARE_LINK = r"(?i)^\s*(?:doi:|https?://|www\.)\S+\s*$"
+APPENDIX_HEADING = r"(?iU)^\s*(?:приложение|appendix|annex)\b"
+LOSE_REFERENCES = ["article", "pdf_report", "report", "standard", "generic"]
+TABLE_LINE = r"^\s*\|.+\|\s*$"

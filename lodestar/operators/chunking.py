@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions import vocabulary as V
+from ..functions.text import bind, clean_extracted, lines, strip
 
 MAX_CHARS, OVERLAP = 3200, 300
 
@@ -53,10 +55,11 @@ def sha1_of(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def with_ids(chunks: DataFrame, source_name: Column, source_hash: Column, kind: str = "chunk") -> DataFrame:
-    """Chunks (chunk_index, chunk) with object_id, text_hash, chunk_id, fragment_id and source_id."""
+def with_ids(chunks: DataFrame, source_name: Column, source_hash: Column, kind: Column | str = "chunk", at: Column | None = None) -> DataFrame:
+    """Chunks (chunk_index, chunk) with object_id, text_hash, chunk_id, fragment_id and source_id; ``at``: what numbers an object, else chunk_index."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     rows = chunks.withColumn("source_hash", source_hash).withColumn(
-        "object_id", F.substring(sha1_of(source_name, F.lit(kind), F.col("chunk_index"), F.substring("chunk", 1, 120)), 1, 16)
+        "object_id", F.substring(sha1_of(source_name, kind, F.col("chunk_index") if at is None else at, F.substring("chunk", 1, 120)), 1, 16)
     )
     return (
         rows.withColumn("text_hash", F.sha2("chunk", 256))
@@ -70,93 +73,109 @@ def citation_name(source: Column, kind: Column, page: Column, section: Column, o
     return F.concat(source, F.lit("#"), kind, F.lit(":"), F.coalesce(page.cast("string"), section, object_id))
 
 
-def repeated_lines(pages: DataFrame, group: str, page: str, text: str = "text", min_repeats: int = 2) -> DataFrame:
-    """(group, line, pages): headers and footers, lines that stand on ``min_repeats`` pages of a group or more.
+def repeated_lines(pages: DataFrame, group: str, page: str, text: str = "text", min_repeats: int = 3) -> DataFrame:
+    """(group, line, pages): headers and footers, lines that stand on ``min_repeats`` pages of a group or more, on two at least.
 
-    Lines of 4 to 160 characters, longer ones only with a pipe; page numbers
-    don't count, nor do data rows (three numbers or more and a pipe).
+    Normalised lines of 4 to 160 characters, longer ones only with a pipe; page
+    numbers don't count, nor do data rows (three numbers or more and a pipe).
     """
-    line = F.trim(F.regexp_replace(F.lower(F.col("line")), r"\s+", " "))
-    rows = pages.select(F.col(group).alias("group"), F.col(page).alias("page"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    rows = rows.withColumn("line", line)
+    rows = pages.select(F.col(group).alias("group"), F.col(page).alias("page"), F.explode(lines(text)).alias("line"))
+    rows = rows.withColumn("line", F.trim(F.regexp_replace(F.translate(F.lower("line"), "ё", "е"), r"(?U)\s+", " ")))
     fits = (F.length("line") >= 4) & ((F.length("line") <= 160) | F.col("line").contains("|"))
-    number = F.col("line").rlike(r"^(?:page |стр\.? )?[0-9]+(?: ?(?:/|of|из) ?[0-9]+)?$")
-    data = F.col("line").contains("|") & (F.regexp_count("line", F.lit("[0-9]+")) >= 3)
-    counted = rows.where(fits & ~number & ~data).distinct().groupBy("group", "line").agg(F.count("*").alias("pages"))
+    data = F.col("line").contains("|") & (F.regexp_count("line", F.lit(r"\d+(?:[,.]\d+)?")) >= 3)
+    counted = rows.where(fits & ~F.col("line").rlike(V.PAGE_NUMBER) & ~data).distinct().groupBy("group", "line").agg(F.count("*").alias("pages"))
     return counted.where(F.col("pages") >= max(2, min_repeats))
 
 
-def markdown_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, table_index, rows array<array<string>>): runs of two or more lines with pipes, without separator rows, padded to the widest."""
-    line = F.col("l")
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    marked = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(x.contains("|"), x).otherwise(F.lit("\x00")))
-    runs = F.split(F.array_join(marked, "\n"), "\n?\x00\n?")
-    tables = F.filter(F.transform(runs, lambda r: F.filter(F.split(r, "\n"), lambda x: x != "")), lambda r: F.size(r) >= 2)
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(tables).alias("table_index", "l"))
-    parsed = F.filter(F.transform(line, cells), lambda r: ~F.array_join(r, "|").rlike(r"^[-:|\s]+$"))
-    rows = rows.withColumn("rows", parsed)
-    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
-    padded = F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    return rows.where(F.size("rows") > 0).select("key", "table_index", padded.alias("rows"))
-
-
-CHUNK_SCHEMA = T.StructType(
-    [
-        T.StructField(n, t)
-        for n, t in (
-            ("chunk_id", T.StringType()),
-            ("source_id", T.StringType()),
-            ("source_name", T.StringType()),
-            ("theme_id", T.StringType()),
-            ("object_type", T.StringType()),
-            ("text", T.StringType()),
-            ("domain_tags", T.ArrayType(T.StringType())),
-        )
-    ]
-)
-
-
-_PAGE_NUMBER = r"(?iu)^\s*(?:page|стр\.?)?\s*\d{1,4}(?:\s*(?:/|of|из)\s*\d{1,4})?\s*$"
-_FOOTNOTE = r"^\s*(?:\*{1,3}|\[\d{1,2}\]|[¹²³])\s+\S.{0,160}$"
-_LINK = r"(?i)^\s*(?:https?://|www\.|doi:)\S*\s*$"
-_BIBLIOGRAPHY = r"(?iu)^\s*(?:\d+\.?\s*)?(?:references|bibliography|список литературы|литература|библиография)\s*:?\s*$"
-_APPENDIX = r"(?iu)^\s*(?:appendix|приложение)\b"
-#: Types of documents that keep what follows a heading of references.
-KEEPS_TAIL = ("presentation", "spreadsheet", "patent")
-
+def without_noise(docs: DataFrame, text: str = "text", document_type: str | None = None, repeated: str | None = None, drop_references: bool = True) -> DataFrame:
+    """``docs`` with ``text`` cleaned and without page numbers, repeated lines, footnotes, bare links and the list of references.
 
-def without_noise(docs: DataFrame, text: str = "text", document_type: str | None = None, repeated: str | None = None) -> DataFrame:
-    """``docs`` with page numbers, repeated lines (``repeated``: a column of normalised lines), footnotes, bare links and the list of references taken out of ``text``.
-
-    The list runs from its heading to the end or to an appendix, and stays in documents of the types in ``KEEPS_TAIL``.
+    ``repeated``: a column of normalised lines. The list runs from its heading to
+    an appendix or the end, and goes from documents of the types in
+    ``LOSE_REFERENCES``. Of blank lines in a row one stays.
     """
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    norm = lambda x: F.trim(F.regexp_replace(F.translate(F.lower(x), "ё", "е"), r"(?U)\s+", " "))
     seen = (lambda x: F.coalesce(F.array_contains(F.col(repeated), norm(x)), F.lit(False))) if repeated else (lambda x: F.lit(False))
-    noise = lambda x: x.rlike(_PAGE_NUMBER) | x.rlike(_FOOTNOTE) | x.rlike(_LINK) | seen(x)
-    drops = ~F.col(document_type).isin(*KEEPS_TAIL) if document_type else F.lit(True)
+    loses = F.lit(drop_references) & (F.coalesce(F.col(document_type), F.lit("generic")).isin(*V.LOSE_REFERENCES) if document_type else F.lit(True))
+    passed = lambda x: x.rlike(V.PAGE_NUMBER) | seen(x)  # noqa: E731  gone before the list of references is looked at
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("tail"))
 
     def step(acc: Column, line: Column) -> Column:
-        tail = F.when(line.rlike(_APPENDIX), False).when(line.rlike(_BIBLIOGRAPHY) & drops, True).otherwise(acc["tail"])
-        return F.struct(F.when(tail | noise(line), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line))).alias("kept"), tail.alias("tail"))
+        heading = loses & line.rlike(V.REFERENCE_HEADING)
+        tail = F.when(line == "", acc["tail"]).when(passed(line), acc["tail"]).when(heading, True).when(line.rlike(V.APPENDIX_HEADING), False).otherwise(acc["tail"])
+        last = F.element_at(acc["kept"], -1)
+        blank = (F.size(acc["kept"]) > 0) & (last != "")
+        stays = F.when(line == "", blank).otherwise(~(passed(line) | tail | line.rlike(V.FOOTNOTE) | line.rlike(V.BARE_LINK)))
+        return F.struct(F.when(F.coalesce(stays, F.lit(False)), F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"), tail.alias("tail"))
+
+    own = F.transform(lines(clean_extracted(text)), lambda x: strip(F.regexp_replace(x, r"[ \t]{2,}", " ")))
+    kept = F.aggregate(own, start, step, lambda acc: acc["kept"])
+    return docs.withColumn(text, strip(F.array_join(kept, "\n")))
+
+
+def split_tables(text: Column) -> Column:
+    """Struct of rest, the text without its tables, and tables, runs of two or more lines between pipes."""
+    own = F.transform(lines(text), lambda x, i: F.struct(x.alias("x"), x.rlike(V.TABLE_LINE).alias("t"), i.alias("i")))
+
+    def parted(rows: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(rows, i)["t"], F.lit(False))
+        marked = F.transform(rows, lambda r: F.struct(r["x"].alias("x"), (r["t"] & (at(r["i"] - 1) | at(r["i"] + 1))).alias("t")))
+        # tables are joined by lines, parted by a character that no line holds
+        joined = F.array_join(F.transform(marked, lambda r: F.when(r["t"], r["x"]).otherwise(F.lit("\x00"))), "\n")
+        tables = F.filter(F.transform(F.split(joined, "\x00"), strip), lambda x: x != "")
+        rest = F.array_join(F.transform(F.filter(marked, lambda r: ~r["t"]), lambda r: r["x"]), "\n")
+        return F.struct(rest.alias("rest"), tables.alias("tables"))
+
+    return bind(own, parted)
+
+
+def parsed_table(table: Column) -> Column:
+    """Cells of a table's lines, without separator and empty rows, padded to the widest."""
+    cells = lambda x: F.transform(F.split(F.regexp_replace(strip(x), r"^\|+|\|+$", ""), r"\|"), strip)
+    rows = F.transform(F.filter(F.split(table, "\n"), lambda x: x.rlike(V.TABLE_LINE)), cells)
+    real = F.filter(rows, lambda r: ~F.forall(r, lambda c: c.rlike("^[-: ]+$")) & F.exists(r, lambda c: c != ""))
+    return bind(real, lambda kept: F.transform(kept, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.array_max(F.transform(kept, F.size)) - F.size(r)))))
+
+
+def markdown_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, table_index, rows array<array<string>>) of each table in the texts that has a row with words."""
+    found = docs.select(F.col(key).alias("key"), F.posexplode(split_tables(F.col(text))["tables"]).alias("table_index", "t"))
+    return found.select("key", "table_index", parsed_table(F.col("t")).alias("rows")).where(F.size("rows") > 0)
+
+
+def table_description(rows: Column, most: int = 24, tags: Column | None = None) -> Column:
+    """Text of a parsed table, whose first row is the header: counts, tags, then ``most`` rows of column = value."""
+    say = F.lit
+
+    def told(head: Column, body: Column) -> Column:
+        cells = F.size(F.filter(F.flatten(body), lambda c: c.rlike(r"\d")))
+        title = F.concat(say("Таблица содержит "), F.size(body), say(" строк и "), F.size(head), say(" столбцов: "), F.array_join(F.slice(head, 1, 12), ", "), say("."))
+        numbers = F.when(cells > 0, F.concat(say("В таблице обнаружены числовые значения: "), cells, say(" ячеек с числами.")))
+        related = F.when(F.size(tags) > 0, F.concat(say("Связанные доменные теги: "), F.array_join(F.slice(tags, 1, 10), ", "), say("."))) if tags is not None else F.lit(None).cast("string")
+        pair = lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit(" = "), v))
+        shown = F.transform(F.slice(body, 1, most), lambda r, i: F.struct(F.array_join(F.zip_with(head, r, pair), "; ").alias("x"), i.alias("i")))
+        listed = F.transform(F.filter(shown, lambda r: r["x"] != ""), lambda r: F.concat(say("Строка "), r["i"] + 1, say(": "), r["x"], say(".")))
+        rest = F.when(F.size(body) > most, F.concat(say("Остальные строки сохранены в оригинальном табличном представлении: "), F.size(body) - most, say(".")))
+        return F.concat_ws("\n", title, numbers, related, listed, rest)
+
+    head = F.transform(F.get(rows, F.lit(0)), lambda h, i: F.when(h == "", F.concat(say("Колонка "), i + 1)).otherwise(h))
+    body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    return F.when(F.size(rows) == 0, "").otherwise(bind(F.struct(head.alias("h"), body.alias("b")), lambda s: told(s["h"], s["b"])))
+
 
-    kept = F.aggregate(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), start, step, lambda acc: acc["kept"])
-    return docs.withColumn(text, F.array_join(kept, "\n"))
+def table_text(table: Column, tags: Column | None = None) -> Column:
+    """What is stored of a table: its description and its lines."""
+    description = table_description(parsed_table(table), tags=tags)
+    whole = F.concat(F.lit("[Описание таблицы]\n"), description, F.lit("\n\n[Оригинальная таблица]\n"), table)
+    return F.when(description == "", table).otherwise(whole)
 
 
-def table_description(rows: Column, most: int = 24) -> Column:
-    """Text of a parsed table (array of arrays, the first one the header): counts, then ``most`` rows of column = value."""
-    head, body = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    numeric = F.size(F.filter(F.flatten(body), lambda c: c.rlike(r"\d")))
-    title = F.concat(F.lit("Table of "), F.size(body), F.lit(" rows and "), F.size(head), F.lit(" columns, "), numeric, F.lit(" cells with numbers."))
-    pair = lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit(" = "), v))
-    shown = F.transform(F.slice(body, 1, most), lambda r: F.array_join(F.zip_with(head, r, pair), "; "))
-    return F.concat_ws("\n", title, F.filter(shown, lambda x: x != ""))
+def worth_storing(text: Column, n_tags: Column) -> Column:
+    """Whether a chunk is more than a fragment: 60 characters, a term or a digit."""
+    return (F.length(strip(F.regexp_replace(text, r"(?U)\s+", " "))) >= 60) | (n_tags > 0) | text.rlike(r"\d")
 
 
-def with_header(metadata: Column, text: Column) -> Column:
-    """A text below lines of its metadata (a map), without null and empty values."""
-    entries = F.filter(F.array_sort(F.map_entries(metadata)), lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    head = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return F.concat(F.array_join(head, "\n"), F.when(F.size(head) > 0, "\n\n").otherwise(""), text)
+def with_header(metadata: list[tuple[str, Column]], text: Column) -> Column:
+    """A text below its metadata, a line for each in the order given, without null and empty values."""
+    head = [F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{name}: "), v.cast("string"))) for name, v in metadata]
+    return strip(F.concat(F.lit("[METADATA]\n"), F.concat_ws("\n", *head), F.lit("\n[/METADATA]\n\n"), strip(text)))

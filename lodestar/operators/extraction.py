@@ -276,14 +276,49 @@ def constraints_of(spark: SparkSession, parsed: ParsedQuery) -> DataFrame:
     return spark.createDataFrame(rows, "c_dimension string, c_operator string, c_value double, c_value_max double, c_entity_ids array<string>")
 
 
-def expanded_query(parsed: ParsedQuery, facts: list[dict], most: int = MOST_EXPANDED) -> str:
+def expanded_query(parsed: ParsedQuery, facts: list[dict], most: int = 40) -> str:
     """The question with labelled lines of what is known about it, for an external search."""
-    labels = list(dict.fromkeys([*parsed.expanded, *(e for f in facts[:8] for e in (*f["entity_ids"], f["property_id"]))]))[:most]
-    parts = [("Question", parsed.text), ("Intent", parsed.intent), ("Terms", ", ".join(labels)), ("Geography", ", ".join(parsed.places)), ("Facets", ", ".join(parsed.facets))]
-    return "\n".join(f"{k}: {v}" for k, v in parts if v)
+    of_facts = [x for f in facts[:8] for x in (*(f.get("entity_labels") or f["entity_ids"] or ()), f.get("property_label") or f["property_id"]) if x]
+    terms = list(dict.fromkeys([*dict.fromkeys(parsed.expanded[:most]), *of_facts]))
+    years = f"{parsed.year_from}-{parsed.year_to}" if parsed.year_from and parsed.year_to else ""
+    lines = [
+        ("Исходный запрос", parsed.text),
+        ("Intent", parsed.intent),
+        ("Двуязычные термины и KG-соседи", ", ".join(terms)),
+        ("Числовые ограничения", "; ".join(c[8] for c in parsed.constraints)),
+        ("География", ", ".join(parsed.places)),
+        ("Временной диапазон", years),
+    ]
+    return "\n".join(f"{label}: {value}" for label, value in lines if value or label in ("Исходный запрос", "Intent"))
 
 
 def fact_context(facts: list[dict], limit: int = 10) -> str:
-    """Numbered lines of facts."""
-    line = lambda f: f"{f['property_id']} {f['operator']} {f['value']:g}" + (f"–{f['value_max']:g}" if f["value_max"] is not None else "") + f" {f['unit']} ({f['source_name']}): {f['context'][:160]}"
-    return "\n".join(f"{i}. {line(f)}" for i, f in enumerate(facts[:limit], 1))
+    """Numbered lines of facts below a heading; empty without facts."""
+
+    def line(i: int, f: dict) -> str:
+        value = f.get("raw_value") or (f"{f['value']}-{f['value_max']} {f['unit']}" if f.get("value_max") is not None else f"{f['value']} {f['unit']}")
+        entities = ", ".join(f.get("entity_labels") or f["entity_ids"] or ()) or "не определено"
+        label = f.get("property_label") or f["property_id"]
+        parts = [
+            f"Источник={f['source_name']}", f"объект={f.get('object_id')}", f"тип={f.get('object_type')}", f"параметр={label} ({f['property_id']})", f"сущности={entities}",
+            f"значение={value}", f"confidence={f['confidence']}", f"контекст={f['context']}",
+        ]
+        return f"{i}. " + "; ".join(parts)
+
+    return "\n".join(["Структурированные факты, извлечённые из корпуса:", *(line(i, f) for i, f in enumerate(facts[:limit], 1))]) if facts else ""
+
+
+def parse_queries(questions: DataFrame, ontology: Ontology, this_year: int, key: str = "question_id", text: str = "text") -> DataFrame:
+    """(key, intent, term_ids, places, year_from, year_to, facets, expanded, constraints) of each question; constraints as ``raw operator value``."""
+    schema = f"{key} {dict(questions.dtypes)[key]}, intent string, term_ids array<string>, places array<string>, year_from int, year_to int, facets array<string>, expanded array<string>, constraints array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf[key], pdf[text]):
+                q = parse_query(t or "", ontology, this_year)
+                rows.append((k, q.intent, q.term_ids, q.places, q.year_from, q.year_to, q.facets, q.expanded, [f"{c[3]} {c[5]} {c[12]:g}" for c in q.constraints]))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield out.astype({"year_from": "Int32", "year_to": "Int32"})
+
+    return questions.select(key, text).mapInPandas(run, schema)

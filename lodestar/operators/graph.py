@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
 from ..workspace import Workspace
 
 
@@ -70,20 +71,34 @@ def health(nodes: Column, isolated: Column, components: Column) -> Column:
     )
 
 
+SALTS = 16
+
+
+def _passed_on(ranks: DataFrame, flow: DataFrame) -> DataFrame:
+    """(to, got): what each vertex gets. ``ranks``: id, rank; ``flow``: frm, to, share, salt. Sources are salted, so a hub's edges are not one task."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    held = ranks.select(F.col("id").alias("frm"), "rank", salts)
+    return flow.join(held, ["frm", "salt"]).groupBy("to").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+
+
+def _salted(flow: DataFrame) -> DataFrame:
+    return flow.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int"))
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, ws: Workspace, iterations: int = 25, damping: float = 0.85) -> DataFrame:
     """(id, rank): directed, uniform weights, a fixed number of rounds; what vertices without out-edges hold is spread evenly."""
     n = vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    flow = ws.save(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")), "flow")
+    flow = ws.save(_salted(edges.join(out, "src").select(F.col("src").alias("frm"), F.col("dst").alias("to"), (1.0 / F.col("out")).alias("share"))), "flow")
     sinks = vertices.join(out.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink"))
     ranks = ws.save(sinks.withColumn("rank", F.lit(1.0 / n)), "ranks")
     for _ in range(iterations):
         dangling = ranks.where("sink").agg(F.sum("rank")).first()[0] or 0.0
-        into = ranks.join(flow, ranks.id == flow.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        into = _passed_on(ranks, flow)
         base = (1 - damping) / n + damping * dangling / n
-        fresh = ranks.select("id", "sink").join(into, F.col("id") == F.col("dst"), "left")
+        fresh = ranks.select("id", "sink").join(into, F.col("id") == F.col("to"), "left")
         ranks = ws.save(fresh.select("id", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks")
     return ranks.select("id", "rank")
 
@@ -98,16 +113,15 @@ def weighted_centrality(vertices: DataFrame, edges: DataFrame, ws: Workspace, it
     pairs = edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("weight").cast("double").alias("w"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     total = both.groupBy("a").agg(F.sum("w").alias("total"))
-    flow = ws.save(both.join(total, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "undirected")
+    flow = ws.save(_salted(both.join(total, "a").select(F.col("a").alias("frm"), F.col("b").alias("to"), (F.col("w") / F.col("total")).alias("share"))), "undirected")
     n = vertices.count()
     if not n or flow.limit(1).count() == 0:
         return vertices.select("id", F.lit(0.0).alias("centrality"))
-    linked = flow.select(F.col("a").alias("id"), F.lit(False).alias("sink")).distinct()
+    linked = flow.select(F.col("frm").alias("id"), F.lit(False).alias("sink")).distinct()
     ranks = ws.save(vertices.join(linked, "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink"), F.lit(1.0 / n).alias("rank")), "central")
     for _ in range(iterations):
         dangling = ranks.where("sink").agg(F.sum("rank")).first()[0] or 0.0
-        into = ranks.join(flow, ranks.id == flow.a).groupBy("b").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        fresh = ranks.join(into, F.col("id") == F.col("b"), "left")
+        fresh = ranks.join(_passed_on(ranks, flow), F.col("id") == F.col("to"), "left")
         rank = F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("got", F.lit(0.0))
         ranks = ws.save(fresh.select("id", "sink", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "central")
         if ranks.agg(F.sum("change")).first()[0] < n * tolerance:
@@ -124,12 +138,13 @@ def degree_share(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.bround(F.coalesce("w", F.lit(0.0)) / F.coalesce("total", F.lit(1.0)), 8).alias("centrality"))
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, ws: Workspace, sample: int | None = 32, max_depth: int = 64) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, ws: Workspace, sample: int | None = 32, seed: int = 13) -> DataFrame:
     """(id, betweenness): dependencies of shortest paths from the roots, summed and divided by the number of roots.
 
-    Half of the roots are those of highest degree, half those of least id hash;
-    all vertices where there are no more than ``sample``, or with None. Breadth
-    first from all roots at once, level by level, then back: joins only.
+    Half of the roots are those of highest degree, half those of least seeded id
+    hash; all vertices where there are no more than ``sample``, or with None (one
+    row for each pair of vertices: for small graphs). Breadth first from all roots
+    at once, level by level until nothing new is reached, then back: joins only.
     """
     ends = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
     near = ws.save(edges.where("src <> dst").select(F.inline(ends)).distinct(), "near")
@@ -138,14 +153,14 @@ def betweenness(vertices: DataFrame, edges: DataFrame, ws: Workspace, sample: in
         roots = vertices.select("id")
     else:
         by_degree = degrees(vertices, edges).orderBy(F.desc("degree"), "id").limit(sample // 2).select("id")
-        by_hash = vertices.join(by_degree, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(sample - sample // 2)
+        by_hash = vertices.join(by_degree, "id", "left_anti").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(sample - sample // 2)
         roots = by_degree.unionByName(by_hash)
     roots = ws.save(roots, "roots")
     n_roots = roots.count()
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("paths"), F.lit(0).alias("depth"))
     seen = level = ws.save(level, "level0")
     depth = 0
-    while depth < max_depth:
+    while True:
         step = level.join(near, level.node == near.a).groupBy("root", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
         fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth + 1))
         level = ws.save(fresh.select("root", "node", "paths", "depth"), f"level{depth + 1}")
@@ -168,3 +183,36 @@ def betweenness(vertices: DataFrame, edges: DataFrame, ws: Workspace, sample: in
         owed = owed.unionByName(p)
     sums = owed.where("root <> node").groupBy(F.col("node").alias("id")).agg((F.sum("owed") / max(n_roots, 1)).alias("betweenness"))
     return vertices.join(sums, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def top_labelled(scores: DataFrame, labels: DataFrame, name: str, top_n: int = 20) -> DataFrame:
+    """(kind, node_id, label, score) of the vertices (id, ``name``) with the highest scores, to 6 digits; a vertex without a label has its id."""
+    best = scores.orderBy(F.desc(name), "id").limit(top_n).join(labels.select("id", "label"), "id", "left")
+    return best.select(F.lit(f"top_{name}").alias("kind"), F.col("id").alias("node_id"), F.coalesce("label", "id").alias("label"), F.round(F.col(name).cast("double"), 6).alias("score"))
+
+
+def graph_metrics(vertices: DataFrame, edges: DataFrame, labels: DataFrame, ws: Workspace, top_n: int = 20, iterations: int = 40, sample: int | None = 64) -> DataFrame:
+    """One row: the scalars of ``graph_scalars``, the largest component and ratios, and top lists (array of kind, node_id, label, score)."""
+    from .components import connected_components
+
+    vertices, edges = ws.save(vertices, "vertices"), ws.save(edges, "edges")
+    roots = ws.save(connected_components(edges, ws), "roots")
+    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("largest"))
+    tops = top_labelled(degrees(vertices, edges), labels, "degree", top_n)
+    tops = tops.unionByName(top_labelled(pagerank(vertices, edges, ws, iterations).withColumnRenamed("rank", "pagerank"), labels, "pagerank", top_n))
+    tops = tops.unionByName(top_labelled(betweenness(vertices, edges, ws, sample), labels, "betweenness", top_n))
+    listed = tops.agg(F.array_sort(F.collect_list(F.struct("kind", (-F.col("score")).alias("order"), "node_id", "label", "score"))).alias("tops"))  # 3 x top_n rows
+    rows = graph_scalars(vertices, edges, roots).crossJoin(sizes).crossJoin(listed)  # one row each
+    n = F.greatest(F.col("nodes"), F.lit(1))
+    return rows.select(
+        "*", F.when(F.col("nodes") > 0, F.col("largest")).otherwise(0).alias("largest_component_size"), F.round(F.when(F.col("nodes") > 0, F.col("largest")).otherwise(0) / n, 4).alias("largest_component_ratio"),
+        F.round(F.col("isolated") / n, 4).alias("isolated_nodes_ratio"),
+    ).drop("largest")
+
+
+def central_labels(metrics: DataFrame) -> DataFrame:
+    """(label, weight, score) of the top lists of ``graph_metrics``, as routing takes them."""
+    from .search import CENTRAL_WEIGHTS
+
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in CENTRAL_WEIGHTS.items() for x in kv]), F.col("t.kind"))
+    return metrics.select(F.explode("tops").alias("t")).select(normalize(F.col("t.label")).alias("label"), weight.alias("weight"), F.col("t.score").alias("score"))

@@ -119,27 +119,43 @@ def document_limit(n_chunks: Column, n_chars: Column, base: int) -> Column:
     )
 
 
+def combined_score(kg: Column, quality: Column) -> Column:
+    """What chunks are chosen by: mostly their use for a graph, partly their quality; to 4 digits."""
+    return F.bround(0.72 * kg + 0.28 * quality, 4)
+
+
+def with_selection_scores(rows: DataFrame, has_fact: Column, n_tags: Column, citation: Column) -> DataFrame:
+    """``rows`` (source_name, text) with kg_score_raw, kg_reasons, chunk_quality, doc_type, is_informative and kg_score, the combined one."""
+    scored = rows.withColumn("_s", kg_score(F.coalesce("text", F.lit("")), n_tags, has_fact, citation))
+    scored = scored.withColumns({"kg_score_raw": F.col("_s.score"), "kg_reasons": F.col("_s.reasons")}).drop("_s")
+    scored = chunk_quality(scored, F.col("kg_score_raw"))
+    return scored.withColumn("kg_score", combined_score(F.col("kg_score_raw"), F.col("chunk_quality")))
+
+
 def select_chunks(scored: DataFrame, base_limit: int = 4, min_score: float = 0.18, min_quality: float = 0.20, theme_cap: int = 48, group: str = "theme_id") -> DataFrame:
-    """The chosen rows of ``scored`` (theme_id, source_id, chunk_id, text, kg_score, kg_reasons, chunk_quality, is_informative).
+    """The chosen rows of ``scored`` (theme_id, source_id, source_name, chunk_id, text, kg_score, kg_reasons, chunk_quality, is_informative).
 
-    Document by document (in order of source_id), its rows by (informative,
-    score, quality, length): a row is passed over if neither informative nor a
-    hard signal (a number, or quality of 0.34 and up), or below ``min_quality``
-    without one, or below ``min_score`` once the document has given a row, or if
-    a chosen row of the theme has its fingerprint. Then the ``theme_cap`` best
-    of the theme stay.
+    Document by document, in the order of each one's first row by (source_name,
+    citation_name, chunk_id), its rows by (informative, score, quality, length):
+    a row is passed over if neither informative nor a hard signal (a number, or
+    quality of 0.34 and up), or below ``min_quality`` without one, or below
+    ``min_score`` once the document has given a row, or if a chosen row of the
+    theme has its fingerprint. Then the ``theme_cap`` best of the theme stay.
 
     The choice depends on what was chosen before, so a theme is gone through in
     order by one task; its input is the theme's candidates, which
-    ``top_candidates`` bounds.
+    ``top_candidates`` bounds, without their texts.
     """
     size = Window.partitionBy(group, "source_id")
+    citation = F.coalesce("citation_name", F.lit("")) if "citation_name" in scored.columns else F.lit("")
+    place = F.struct(F.coalesce("source_name", F.lit("")), citation, "chunk_id")
     rows = scored.withColumn("_limit", document_limit(F.count("*").over(size), F.sum(F.length("text")).over(size), base_limit))
     rows = rows.withColumn("_hard", F.array_contains("kg_reasons", "numeric_fact_or_unit") | (F.col("chunk_quality") >= max(min_quality, 0.34)))
     rows = rows.withColumn("_print", fingerprint(F.col("text"))).withColumn("_chars", F.length("text"))
+    rows = rows.withColumn("_document", F.to_json(F.min(place).over(size))).withColumn("_own", F.to_json(place))
 
     def choose(pdf):
-        pdf = pdf.sort_values(["source_id", "is_informative", "kg_score", "chunk_quality", "_chars", "chunk_id"], ascending=[True, False, False, False, False, True])
+        pdf = pdf.sort_values(["document", "is_informative", "kg_score", "chunk_quality", "chars", "own"], ascending=[True, False, False, False, False, True])
         seen, taken, keep = set(), {}, []
         for r in pdf.itertuples():
             have = taken.get(r.source_id, 0)
@@ -151,10 +167,42 @@ def select_chunks(scored: DataFrame, base_limit: int = 4, min_score: float = 0.1
                 taken[r.source_id] = have + 1
         return pdf[keep]
 
-    fields = [f for f in scored.schema.fields]
-    names = [f.name for f in fields]
-    small = rows.select(group, "source_id", "chunk_id", "kg_score", "chunk_quality", "is_informative", F.col("_hard").alias("hard"), F.col("_limit").alias("limit"), F.col("_print").alias("print"), "_chars")
+    small = rows.select(
+        group, "source_id", "chunk_id", "kg_score", "chunk_quality", "is_informative", F.col("_hard").alias("hard"), F.col("_limit").alias("limit"),
+        F.col("_print").alias("print"), F.col("_chars").alias("chars"), F.col("_document").alias("document"), F.col("_own").alias("own"),
+    )
     picked = small.groupBy(group).applyInPandas(choose, small.schema).select(group, "chunk_id")
     best = Window.partitionBy(group).orderBy(F.desc("kg_score"), "chunk_id")
     out = scored.join(picked, [group, "chunk_id"], "left_semi").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= theme_cap)
-    return out.select(*names)
+    return out.select(*scored.columns)
+
+
+def selection_report(total: DataFrame, candidates: DataFrame, selected: DataFrame, base_limit: int = 4, min_quality: float = 0.20, group: str = "theme_id") -> DataFrame:
+    """(theme_id, total_chunks, candidate_chunks, selected_chunks, selection_ratio, selected_types, rejected_types, document_limits).
+
+    The last three are maps of counts by document type, and by limit. ``total``
+    (theme_id), ``candidates`` and ``selected`` as for ``select_chunks`` with doc_type.
+    """
+
+    def histogram(rows: DataFrame, key: Column, name: str) -> DataFrame:
+        counted = rows.groupBy(group, key.cast("string").alias("k")).agg(F.count("*").alias("n"))
+        return counted.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    hard = F.array_contains("kg_reasons", "numeric_fact_or_unit") | (F.col("chunk_quality") >= max(min_quality, 0.34))
+    rejected = candidates.where(~hard & (~F.col("is_informative") | (F.col("chunk_quality") < min_quality)))
+    limits = candidates.groupBy(group, "source_id").agg(document_limit(F.count("*"), F.sum(F.length("text")), base_limit).alias("l"))
+    out = total.groupBy(group).agg(F.count("*").alias("total_chunks"))
+    for rows, name in ((candidates, "candidate_chunks"), (selected, "selected_chunks")):
+        out = out.join(rows.groupBy(group).agg(F.count("*").alias(name)), group, "left").na.fill(0, [name])
+    out = out.withColumn("selection_ratio", F.bround(F.col("selected_chunks") / F.col("total_chunks"), 4))
+    for part in (histogram(selected, F.col("doc_type"), "selected_types"), histogram(rejected, F.col("doc_type"), "rejected_types"), histogram(limits, F.col("l"), "document_limits")):
+        out = out.join(part, group, "left")
+    return out
+
+
+def source_order(rows: DataFrame) -> list[Column]:
+    """Order of a source's chunks: by an index or page where there is one, else by a number in the id, else by id."""
+    given = [F.col(c).cast("string") for c in ("chunk_index", "chunk_no", "page") if c in rows.columns]
+    whole = [F.when(x.rlike(r"^\d+$"), x.cast("long")) for x in given]
+    in_id = F.nullif(F.regexp_extract("chunk_id", r"(?i)(?:chunk|page|slide|p)[_: -]?(\d+)", 1), F.lit("")).cast("long")
+    return [F.coalesce("source_name", F.lit("")), F.coalesce(*whole, in_id), F.col("chunk_id")]

@@ -57,8 +57,8 @@ def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def validate(sources: DataFrame, chunks: DataFrame, facts: DataFrame, most: int = 200) -> DataFrame:
-    """(level, rule, key): what breaks the store's integrity, ``most`` of each level in order."""
+def violations(sources: DataFrame, chunks: DataFrame, facts: DataFrame) -> list[DataFrame]:
+    """(level, rule, key) of what breaks the store's integrity, a table for each rule."""
     ids = sources.select("source_id").distinct()
     chunk_ids = chunks.select("chunk_id").distinct()
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -66,7 +66,7 @@ def validate(sources: DataFrame, chunks: DataFrame, facts: DataFrame, most: int
     def found(df: DataFrame, level: str, rule: str, key: str) -> DataFrame:
         return df.select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.coalesce(F.col(key), F.lit("")).alias("key"))
 
-    parts = [
+    return [
         found(chunks.groupBy("chunk_id").count().where("count > 1"), "warning", "duplicate chunk_id", "chunk_id"),
         found(chunks.where(blank("source_id")), "error", "chunk without source_id", "chunk_id"),
         found(chunks.where(~blank("source_id")).join(ids, "source_id", "left_anti"), "error", "chunk with unknown source_id", "chunk_id"),
@@ -76,9 +76,24 @@ def validate(sources: DataFrame, chunks: DataFrame, facts: DataFrame, most: int
         found(facts.where(~blank("chunk_id")).join(chunk_ids, "chunk_id", "left_anti"), "warning", "fact with unknown chunk_id", "fact_id"),
         found(facts.where(F.col("value").isNotNull() & blank("unit")), "error", "fact with a value and no unit", "fact_id"),
     ]
+
+
+def violation_counts(sources: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(level, rule, n) of each rule that something breaks."""
+    parts = [p.groupBy("level", "rule").agg(F.count("*").alias("n")) for p in violations(sources, chunks, facts)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out
+
+
+def validate(sources: DataFrame, chunks: DataFrame, facts: DataFrame, most: int = 200) -> DataFrame:
+    """(level, rule, key): what breaks the store's integrity, ``most`` of each level in order."""
+    parts = violations(sources, chunks, facts)
+    firsts = [p.orderBy("key").limit(most) for p in parts]  # so that the window below has few rows
+    out = firsts[0]
+    for p in firsts[1:]:
+        out = out.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("level").orderBy("rule", "key"))
     return out.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
@@ -116,50 +131,70 @@ def duplicate_titles(sources: DataFrame, title: str, key: str = "source_id") ->
 
 
 class KnowledgeStore:
-    """The tables below one folder, Parquet by theme. Writes replace a table's files, or only those of the themes written."""
+    """The tables below one folder, Parquet by theme.
+
+    Each table is a folder of versions. A write makes a new version, whole or with
+    links to nothing of the old one, and only then names it the current one, so a
+    driver lost in between leaves the table as it was. The version before is kept
+    for readers that have begun; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, table: str) -> str:
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def versions(self, table: str) -> list[str]:
+        """Complete versions, the oldest first: those whose writer has finished."""
         if table not in TABLES:
             raise KeyError(table)
-        return f"{self.root}/{table}"
+        fs, where = self._fs(f"{self.root}/{table}")
+        if not fs.exists(where):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(where))
+        return [f"{self.root}/{table}/{n}" for n in names if fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])]
+
+    def path(self, table: str) -> str:
+        """The current version's folder."""
+        found = self.versions(table)
+        if not found:
+            raise FileNotFoundError(f"{self.root}/{table}")
+        return found[-1]
 
     def exists(self, table: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return bool(self.versions(table))
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 
     def write(self, table: str, df: DataFrame) -> None:
-        writer = df.write.mode("overwrite")
-        if "theme_id" in df.columns:
-            writer = writer.partitionBy("theme_id").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(table))
+        """A new version, which may be made from the current one."""
+        found = self.versions(table)
+        n = int(found[-1].rsplit("v", 1)[1]) + 1 if found else 0
+        target = f"{self.root}/{table}/v{n:08d}"
+        fs, where = self._fs(target)
+        fs.delete(where, True)  # what a lost writer left
+        writer = df.write.partitionBy("theme_id") if "theme_id" in df.columns else df.write
+        writer.parquet(target)
+        for old in found[:-1]:
+            fs.delete(self._fs(old)[1], True)
 
     def append(self, table: str, df: DataFrame) -> None:
-        writer = df.write.mode("append")
-        (writer.partitionBy("theme_id") if "theme_id" in df.columns else writer).parquet(self.path(table))
+        self.write(table, self.read(table).unionByName(df, allowMissingColumns=True) if self.exists(table) else df)
 
     def upsert(self, table: str, new: DataFrame, keys: tuple[str, ...] = ("source_id", "source_hash", "source_name")) -> None:
-        """Reads, replaces and writes back by way of a table in the shared folder, as a table can't be read and overwritten at once."""
-        from ..workspace import Workspace
-
-        if not self.exists(table):
-            return self.write(table, new)
-        ws = Workspace(self.spark, "upsert")
-        merged = ws.save(upsert(self.read(table), new, tuple(k for k in keys if k in new.columns)), table)
-        merged.write.mode("overwrite").parquet(self.path(table)) if "theme_id" not in merged.columns else merged.write.mode("overwrite").partitionBy("theme_id").parquet(self.path(table))
-        ws.clear()
+        self.write(table, upsert(self.read(table), new, tuple(k for k in keys if k in new.columns)) if self.exists(table) else new)
 
     def export(self, out: str, fmt: str = "parquet") -> dict[str, int]:
-        """Copies of the tables there are, and how many rows each has."""
+        """Copies of the tables there are with a manifest of how many rows each has, which it gives too."""
         counts = {}
         for table in TABLES:
             if self.exists(table):
                 df = self.read(table)
                 df.write.mode("overwrite").format(fmt).save(f"{out.rstrip('/')}/{table}")
                 counts[table] = df.count()
+        rows = self.spark.createDataFrame(list(counts.items()) or [("", 0)], "table string, rows long").where("table <> ''")
+        rows.coalesce(1).write.mode("overwrite").json(f"{out.rstrip('/')}/manifest")
         return counts

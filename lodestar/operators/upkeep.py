@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vocabulary as V
 from ..functions.text import alnum_key, normalize
 from ..sources.readers import embed
 from .search import budgeted
+from .store import readiness_rank
 
 _FIELDS = ("theme_id", "theme_name", "collection", "source_name", "relative_path")
 
@@ -37,7 +39,7 @@ def profile_texts(themes: DataFrame, chunks: DataFrame, most_chunks: int = 24, m
     """
     order = [F.desc(F.size("domain_tags")), F.desc(F.col("text").rlike(r"\d").cast("int")), F.desc(F.least(F.length("text"), F.lit(8000))), F.col("chunk_id")]
     ranked = chunks.withColumn("_rank", F.row_number().over(Window.partitionBy("theme_id").orderBy(*order))).where(F.col("_rank") <= most_chunks)
-    kept = budgeted(ranked, [F.col("_rank")], F.length("text"), most_chars, group="theme_id", truncate=True)
+    kept = budgeted(ranked.withColumn("_chars", F.length("text")), ["_rank"], "_chars", most_chars, group="theme_id", truncate=True)
     texts = kept.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("_rank", F.expr("substr(text, 1, used)").alias("t")))).alias("s"))
     rows = themes.select("theme_id", "theme_name", "collection").join(texts, "theme_id", "left")
     body = F.array_join(F.transform(F.coalesce("s", F.array().cast("array<struct<_rank:int,t:string>>")), lambda s: s["t"]), "\n")
@@ -61,14 +63,65 @@ def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
-def quality_report(chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """(theme_id, chunks, facts, facts_without_unit, facts_without_chunk, flags) of each theme."""
-    c = chunks.groupBy("theme_id").agg(F.count("*").alias("chunks"))
-    blank = lambda x: F.coalesce(F.col(x), F.lit("")).isin("", "unknown")
-    f = facts.groupBy("theme_id").agg(F.count("*").alias("facts"), F.count_if(blank("unit")).alias("facts_without_unit"), F.count_if(blank("chunk_id")).alias("facts_without_chunk"))
-    rows = c.join(f, "theme_id", "full").na.fill(0, ["chunks", "facts", "facts_without_unit", "facts_without_chunk"])
-    flags = F.array_compact(F.array(F.when(F.col("chunks") == 0, "no_chunks"), F.when(F.col("facts") == 0, "no_facts"), F.when(F.col("facts_without_unit") > 0, "missing_units")))
-    return rows.withColumn("flags", flags)
+def quality_report(sources: DataFrame, facts: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """(theme_id, sources, numeric_facts, graph_health, facts_without_unit, facts_without_chunk, issues) of each theme; ``health``: theme_id, graph_health."""
+    s = sources.groupBy("theme_id").agg(F.count("*").alias("sources"))
+    blank = lambda x: F.coalesce(F.col(x), F.lit("")) == ""
+    no_unit = blank("unit") & F.col("value").isNotNull() if "value" in facts.columns else blank("unit")
+    f = facts.groupBy("theme_id").agg(F.count("*").alias("numeric_facts"), F.count_if(no_unit).alias("facts_without_unit"), F.count_if(blank("chunk_id")).alias("facts_without_chunk"))
+    rows = s.join(f, "theme_id", "full").na.fill(0, ["sources", "numeric_facts", "facts_without_unit", "facts_without_chunk"])
+    rows = rows.join(health, "theme_id", "left") if health is not None else rows.withColumn("graph_health", F.lit(None).cast("string"))
+    c = F.col
+    issues = F.array(
+        F.when(c("sources") == 0, "empty_theme"), F.when(c("graph_health").isin("weak_graph", "split_needed"), c("graph_health")),
+        F.when(c("facts_without_unit") > 0, "numeric_facts_without_unit"), F.when(c("facts_without_chunk") > 0, "numeric_facts_without_chunk"),
+    )
+    return rows.withColumn("issues", F.array_compact(issues))
+
+
+def list_documents(sources: DataFrame, chunks: DataFrame, themes: DataFrame, limit: int = 500) -> DataFrame:
+    """(id, filename, status, theme_id, collection, theme_name, chars, chunks, updated_at) of stored sources, newest first.
+
+    A source of a theme that can be searched is processed, others have the theme's status.
+    """
+    n = chunks.where("coalesce(source_id, '') <> ''").groupBy("source_id").agg(F.count("*").alias("n"))
+    t = themes.select("theme_id", "collection", "theme_name", F.coalesce("status", F.lit("search_ready")).alias("theme_status"))
+    own = sources.drop("collection", "theme_name").join(t, "theme_id").join(n, "source_id", "left")
+    ready = readiness_rank(F.col("theme_status")) >= V.READINESS["search_ready"]
+    rows = own.select(
+        F.col("source_id").alias("id"), F.coalesce("original_path", "source_name", "source_id").alias("filename"), F.when(ready, "processed").otherwise(F.col("theme_status")).alias("status"),
+        "theme_id", "collection", "theme_name", F.coalesce("total_chars", F.lit(0)).alias("chars"), F.coalesce("n", "objects_count", F.lit(0)).alias("chunks"), "updated_at",
+    )
+    return rows.orderBy(F.desc("updated_at"), F.desc("filename")).limit(limit)
+
+
+def recent_runs(runs: DataFrame, most: int = 50) -> DataFrame:
+    """The newest ``most`` runs (run_id, created_at, others), newest first."""
+    return runs.orderBy(F.desc("created_at"), "run_id").limit(most)
+
+
+def catalog(themes: DataFrame) -> DataFrame:
+    """Themes in the order in which they are listed."""
+    return themes.orderBy(F.coalesce("collection", F.lit("")), F.coalesce("theme_name", F.lit("")), "theme_id")
+
+
+def recovered_themes(themes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``themes`` and those that sources have and the catalog lacks, as parsed, with what their first source says."""
+    lost = sources.join(themes.select("theme_id"), "theme_id", "left_anti").where("theme_id IS NOT NULL")
+    first = lost.groupBy("theme_id").agg(F.min(F.struct("source_id", "collection", "theme_name", "year", "source_type")).alias("f"))
+    found = first.select(
+        "theme_id", F.coalesce("f.collection", F.lit("unknown")).alias("collection"), F.coalesce("f.theme_name", "theme_id").alias("theme_name"), "f.year",
+        F.coalesce("f.source_type", F.lit("unknown")).alias("source_type"), F.lit("parsed_ready").alias("status"),
+    )
+    return themes.unionByName(found, allowMissingColumns=True)
+
+
+def below_target(themes: DataFrame, target: str, force: bool = False, selectors: list[str] = (), limit: int | None = None) -> DataFrame:
+    """Themes that a build towards ``target`` takes: those selected, below it unless forced, in the catalog's order."""
+    rows = select_themes(themes, list(selectors))
+    rows = rows if force else rows.where(readiness_rank(F.col("status")) < V.READINESS[target])
+    rows = catalog(rows)
+    return rows.limit(limit) if limit else rows
 
 
 def latest_documents(rows: DataFrame, name: str = "file_name", at: str = "updated_at", limit: int | None = None) -> DataFrame:

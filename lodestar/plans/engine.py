@@ -9,14 +9,17 @@ and answers from the best of them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import document_type, section_type, source_year
-from ..operators import answers, chunking, graph, kg, search, selection, store, themes
-from ..operators.extraction import Ontology, extract_facts, find_terms, parse_query
+from ..functions import vocabulary as V
+from ..functions.text import document_type, section_title, section_type, source_year
+from ..operators import answers, chunking, graph, kg, search, selection, store, themes, upkeep
+from ..operators.extraction import MOST_TAGS, Ontology, constraints_of, extract_facts, fact_context, find_terms, parse_query
 from ..sources import readers
 from ..workspace import Workspace
 
@@ -44,6 +47,20 @@ class Settings:
     candidate_cap: int = 800
     parsers: dict[str, readers.Parser] | None = None
     model: Callable[[str, str], str] | None = None
+    embedder: Callable[[list[str]], list[list[float]]] | None = None
+    reranker: Callable[[list[str]], list[float]] | None = None
+
+    def updated(self, **changes) -> Settings:
+        """With some settings changed; unknown ones are refused."""
+        return replace(self, **changes)
+
+    def save(self, path: str) -> None:
+        """To YAML: the plain values."""
+        import yaml
+
+        plain = {f.name: list(v) if isinstance(v, tuple) else v for f in fields(self) if isinstance(v := getattr(self, f.name), (int, float, str, tuple))}
+        with open(path, "w", encoding="utf-8") as f:
+            yaml.safe_dump(plain, f, allow_unicode=True, sort_keys=True)
 
     @classmethod
     def load(cls, path: str) -> Settings:
@@ -68,46 +85,77 @@ class Engine:
 
     def ingest(self, folder: str, limit: int | None = None) -> DataFrame:
         """New files of ``folder`` into the store; gives (relative_path, theme_id, chunks, numeric_facts, error)."""
-        files = readers.discover(self.spark, folder, self.settings.ignored_folders, limit=limit)
-        if self.store.exists("sources"):
-            known = self.store.read("sources").select(F.col("original_path").alias("relative_path"))
-            files = files.join(known, "relative_path", "left_anti")
+        known = self.store.read("sources").select(F.col("original_path").alias("relative_path")) if self.store.exists("sources") else None
+        files = readers.discover(self.spark, folder, self.settings.ignored_folders, limit=limit, known=known)
         return self.ingest_objects(readers.parse(files, self.settings.parsers))
 
+    def _cleaned(self, objects: DataFrame) -> DataFrame:
+        """Objects without noise: of each document its type, and lines that stand on several of its pages."""
+        name = F.element_at(F.split("relative_path", "/"), -1)
+        rows = objects.withColumn("source_name", name)
+        first = rows.where("object_index = 0").select("relative_path", document_type(F.col("source_name"), F.col("text")).alias("document_type"), source_year(F.col("source_name"), F.col("text")).alias("_year"))
+        pages = rows.where("object_type = 'text'")
+        noise = chunking.repeated_lines(pages, "relative_path", "object_index").groupBy("group").agg(F.collect_set("line").alias("_noise"))
+        rows = rows.join(first.dropDuplicates(["relative_path"]), "relative_path", "left").join(noise.withColumnRenamed("group", "relative_path"), "relative_path", "left")
+        return chunking.without_noise(rows, document_type="document_type", repeated="_noise").drop("_noise")
+
+    def _objects(self, cleaned: DataFrame) -> DataFrame:
+        """Chunks and tables (object_type, chunk_index, chunk) of cleaned objects."""
+        parted = cleaned.withColumn("_parts", chunking.split_tables(F.col("text")))
+        tables = parted.select(*cleaned.columns, F.posexplode("_parts.tables").alias("chunk_index", "_table"))
+        tables = tables.withColumn("chunk", chunking.table_text(F.col("_table"))).withColumn("object_type", F.lit("table")).drop("_table")
+        chunks = chunking.packed(parted.withColumn("_rest", F.col("_parts.rest")).drop("_parts"), text="_rest").drop("_rest").withColumn("object_type", F.lit("chunk"))
+        return tables.unionByName(chunks).withColumn("chunk_index", F.col("chunk_index") + 1)
+
     def ingest_objects(self, objects: DataFrame) -> DataFrame:
-        """The same from parsed objects (relative_path, source_hash, object_type, object_index, page, text, error)."""
+        """The same from parsed objects (relative_path, source_hash, object_type, object_index, page, text, error).
+
+        Texts are cleaned, tables described beside their lines, the rest packed into
+        chunks; fragments without term or number are left out.
+        """
         ws = Workspace(self.spark, "ingest")
         objects = ws.save(objects, "objects")
         good = objects.where("error IS NULL")
         first = good.where("object_index < 3").groupBy("relative_path").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("object_index", "text"))), lambda s: s["text"])).alias("preview"))
-        placed = themes.resolve(first, self.settings.rules).select("relative_path", "theme_id", "collection", "theme_name", "year")
-        name = F.element_at(F.split("relative_path", "/"), -1)
-        rows = chunking.packed(good.withColumn("source_name", name)).join(placed, "relative_path")
-        rows = chunking.with_ids(rows.withColumn("_hash", F.col("source_hash")), F.col("source_name"), F.col("_hash")).drop("_hash")
+        placed = themes.resolve(first, self.settings.rules).select("relative_path", "theme_id", "collection", "theme_name", "year", "source_type")
+        rows = self._objects(self._cleaned(good)).join(placed, "relative_path")
+        rows = chunking.with_ids(rows.withColumn("_hash", F.col("source_hash")), F.col("source_name"), F.col("_hash"), kind=F.col("object_type"), at=F.concat_ws(".", F.nullif("object_index", F.lit(0)), "chunk_index")).drop("_hash")
+        section = F.nullif(section_title(F.col("chunk")), F.lit(""))
         rows = rows.select(
-            "chunk_id", "fragment_id", "object_id", "source_id", "source_hash", "source_name", F.col("relative_path").alias("original_path"), "theme_id", "collection", "theme_name",
-            F.coalesce("year", source_year(F.col("source_name"), F.col("chunk"))).alias("year"), "object_type", "chunk_index", "page",
-            document_type(F.col("source_name"), F.col("chunk")).alias("document_type"), section_type(F.col("source_name"), F.col("chunk"), F.col("object_type")).alias("section_type"),
+            "chunk_id", "fragment_id", "object_id", "source_id", "source_hash", "source_name", F.col("relative_path").alias("original_path"), "theme_id", "collection", "theme_name", "source_type",
+            F.coalesce("year", "_year").alias("year"), "object_type", "chunk_index", "page", "document_type", section.alias("section"),
+            section_type(F.col("source_name"), F.col("chunk"), F.col("object_type"), F.col("document_type")).alias("section_type"),
+            chunking.citation_name(F.col("source_name"), F.col("object_type"), F.col("page"), section, F.col("object_id")).alias("citation_name"),
             "text_hash", F.length("chunk").alias("chars"), F.col("chunk").alias("text"),
         )
         rows = ws.save(rows.dropDuplicates(["chunk_id"]), "rows")
         terms = ws.save(find_terms(rows, self.ontology, "chunk_id"), "terms")
-        tags = terms.groupBy("chunk_id").agg(F.array_sort(F.collect_set("term_id")).alias("domain_tags"))
+        tags = terms.groupBy("chunk_id", "term_id").agg(F.min("start").alias("at")).groupBy("chunk_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "term_id"))), lambda s: s["term_id"]), 1, MOST_TAGS).alias("domain_tags"))
         chunks = rows.join(tags, "chunk_id", "left").withColumn("domain_tags", F.coalesce("domain_tags", F.array().cast("array<string>")))
+        rows = ws.save(chunks.where((F.col("object_type") == "table") | chunking.worth_storing(F.col("text"), F.size("domain_tags"))), "kept")
+        meta = [(c, F.col(c)) for c in ("object_id", "object_type", "document_type", "year", "page", "section", "section_type")]
+        chunks = rows.withColumn("lightrag_text", chunking.with_header([("source", F.col("source_name")), *meta, ("domain_tags", F.array_join("domain_tags", ","))], F.col("text")))
+        terms = terms.join(rows.select("chunk_id"), "chunk_id", "left_semi")
         keys = rows.select("chunk_id", "object_id", "source_id", "fragment_id", "theme_id")
         facts = extract_facts(rows, self.ontology).join(keys, "object_id").withColumn("fact_id", F.concat(F.lit("fact:"), "fact_id"))
         facts = ws.save(facts, "facts")
         self.store.upsert("chunks", chunks, ("source_id", "original_path"))
+        fragments = rows.select("fragment_id", "source_id", "source_hash", "source_name", "original_path", "object_id", "object_type", "citation_name", "text_hash", "chars", "domain_tags", "theme_id")
+        self.store.upsert("source_fragments", fragments, ("source_id", "original_path"))
         self.store.upsert("numeric_facts", facts, ("source_id",))
         self.store.upsert("triples", self._triples(rows, terms, facts), ("source_id",))
-        sources = rows.groupBy("source_id", "source_hash", "source_name", "original_path", "theme_id", "collection", "theme_name").agg(F.sum("chars").alias("total_chars"), F.count("*").alias("objects_count"))
-        self.store.upsert("sources", sources, ("source_id", "original_path"))
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        sources = rows.groupBy("source_id", "source_hash", "source_name", "original_path", "theme_id", "collection", "theme_name", "source_type").agg(F.sum("chars").alias("total_chars"), F.count("*").alias("objects_count"), F.min("year").alias("year"))
+        self.store.upsert("sources", sources.withColumn("updated_at", now), ("source_id", "original_path"))
+        runs = sources.select(F.concat(F.lit("run:"), F.substring(F.sha1(F.concat_ws("|", "source_hash", now)), 1, 16)).alias("run_id"), "source_id", "source_name", "source_hash", "objects_count", F.lit("processed").alias("status"), now.alias("created_at"))
+        self.store.append("ingestion_runs", runs)
         self._merge_entities(terms, rows)
         counts = rows.groupBy(F.col("original_path").alias("relative_path"), "theme_id").agg(F.count("*").alias("chunks"))
         n_facts = facts.join(rows.select("chunk_id", "original_path"), "chunk_id").groupBy(F.col("original_path").alias("relative_path")).agg(F.count("*").alias("numeric_facts"))
         errors = objects.groupBy("relative_path").agg(F.max("error").alias("error"))
         report = errors.join(counts, "relative_path", "left").join(n_facts, "relative_path", "left")
-        return report.select("relative_path", "theme_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("numeric_facts", F.lit(0)).alias("numeric_facts"), "error")
+        report = report.select("relative_path", "theme_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("numeric_facts", F.lit(0)).alias("numeric_facts"), "error")
+        return Workspace(self.spark, "report").save(report, "report")
 
     @staticmethod
     def _triples(rows: DataFrame, terms: DataFrame, facts: DataFrame) -> DataFrame:
@@ -132,9 +180,7 @@ class Engine:
         new = own.join(labels, "entity_id").select("entity_id", "label", "source_ids")
         if self.store.exists("entities"):
             new = store.merge_entities(self.store.read("entities"), new)
-        ws = Workspace(self.spark, "entities")
-        self.store.write("entities", ws.save(new, "entities"))
-        ws.clear()
+        self.store.write("entities", new)
 
     # stage 2
 
@@ -162,42 +208,83 @@ class Engine:
         if "selection" in builds:
             rows = selection.top_candidates(chunks.withColumn("n_tags", F.size("domain_tags")), self.settings.candidate_cap)
             has_fact = facts.select("chunk_id", F.lit(True).alias("has_fact")).distinct()
-            rows = rows.join(has_fact, "chunk_id", "left").withColumn("s", selection.kg_score(F.col("text"), F.col("n_tags"), F.coalesce("has_fact", F.lit(False)), F.col("source_name")))
-            rows = selection.chunk_quality(rows.withColumns({"kg_score": F.col("s.score"), "kg_reasons": F.col("s.reasons")}).drop("s", "has_fact", "rank"), F.col("kg_score"))
-            s = self.settings
-            write("selected_chunks", selection.select_chunks(ws.save(rows, "scored"), s.per_document, s.min_kg_score, theme_cap=s.theme_cap))
-        write("themes", self._themes(status))
+            rows = rows.join(has_fact, "chunk_id", "left")
+            rows = selection.with_selection_scores(rows, F.coalesce("has_fact", F.lit(False)), F.col("n_tags"), F.col("citation_name")).drop("has_fact", "rank")
+            s, rows = self.settings, ws.save(rows, "scored")
+            write("selected_chunks", selection.select_chunks(rows, s.per_document, s.min_kg_score, theme_cap=s.theme_cap))
+            write("selection_report", selection.selection_report(chunks, rows, self.spark.read.parquet(out["selected_chunks"]), s.per_document))
+        if self.settings.embedder:
+            named = chunks.groupBy("theme_id").agg(F.min("theme_name").alias("theme_name"), F.min("collection").alias("collection"))
+            old = self._graph("theme_embeddings")
+            write("theme_embeddings", ws.save(upkeep.theme_embeddings(upkeep.profile_texts(named, chunks), old, self.settings.embedder), "vectors"))
+        write("themes", self._themes(status, self._graph("retrieval_edges") if "index" in builds else None, central if "index" in builds else None))
         ws.clear()
         return out
 
-    def _themes(self, status: str) -> DataFrame:
-        chunks, sources = self.store.read("chunks"), self.store.read("sources")
-        n = sources.groupBy("theme_id").agg(F.count("*").alias("sources"))
+    def _graph(self, name: str) -> DataFrame | None:
+        path = f"{self.root}/graphs/{name}"
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return self.spark.read.parquet(path) if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where) else None
+
+    def _themes(self, status: str, edges: DataFrame | None = None, centrality: DataFrame | None = None) -> DataFrame:
+        """The catalog; with a graph, each theme's 20 most central terms too."""
+        chunks, sources, triples = self.store.read("chunks"), self.store.read("sources"), self.store.read("triples")
+        n = sources.groupBy("theme_id").agg(F.count("*").alias("sources"), F.min("source_type").alias("source_type"))
         rows = chunks.groupBy("theme_id").agg(
             F.min("theme_name").alias("theme_name"), F.min("collection").alias("collection"), F.array_sort(F.collect_set("year")).alias("years"),
             F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("domain_tags")))), " ").alias("ontology_text"),
         )
-        none = F.array().cast("array<struct<label:string,weight:double,score:double>>")
-        rows = rows.join(n, "theme_id", "left").withColumns({"status": F.lit(status), "central": none, "sources": F.coalesce("sources", F.lit(0))})
-        return rows.withColumn("keyword_text", F.concat_ws(" ", "theme_name", "collection", "ontology_text"))
+        kind = "array<struct<label:string,weight:double,score:double>>"
+        if centrality is not None:
+            own = triples.where("object_id LIKE 'onto:%'").select("theme_id", F.col("object_id").alias("id")).distinct().join(centrality, "id")
+            rank = F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("centrality"), "id"))
+            label = F.translate(F.regexp_replace("id", "^onto:", ""), "_", " ")
+            top = own.withColumn("r", rank).where("r <= 20").groupBy("theme_id").agg(F.collect_list(F.struct(label.alias("label"), F.lit(1.0).alias("weight"), F.col("centrality").alias("score"))).alias("central"))
+            rows = rows.join(top, "theme_id", "left").withColumn("central", F.coalesce("central", F.array().cast(kind)))
+        else:
+            rows = rows.withColumn("central", F.array().cast(kind))
+        rows = rows.join(n, "theme_id", "left").withColumns({"status": F.lit(status), "sources": F.coalesce("sources", F.lit(0))})
+        years = F.array_join(F.col("years").cast("array<string>"), " ")
+        return rows.withColumn("keyword_text", F.concat_ws(" ", "theme_id", "collection", "theme_name", "source_type", "ontology_text", years))
+
+    def set_status(self, theme_id: str, status: str) -> None:
+        """Names a theme's state anew, as after a failed build."""
+        if status not in V.READINESS:
+            raise ValueError(status)
+        ws = Workspace(self.spark, "status")
+        rows = self._graph("themes").withColumn("status", F.when(F.col("theme_id") == theme_id, status).otherwise(F.col("status")))
+        ws.save(rows, "themes").write.mode("overwrite").parquet(f"{self.root}/graphs/themes")
+        ws.clear()
+
+    def metrics(self, theme_ids: list[str] | None = None, top_n: int = 20) -> DataFrame:
+        """Metrics of the store's graph, or of that of some themes."""
+        entities, facts, triples = (self.store.read(t) for t in ("entities", "numeric_facts", "triples"))
+        if theme_ids:
+            facts, triples = (df.where(F.col("theme_id").isin(theme_ids)) for df in (facts, triples))
+            entities = entities.join(triples.select(F.col("object_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+        vertices, edges = graph.store_graph(entities, facts, triples)
+        return graph.graph_metrics(vertices, edges, entities.select(F.col("entity_id").alias("id"), "label"), Workspace(self.spark, "metrics"), top_n)
 
     # questions
 
     def rows(self) -> DataFrame:
         """The retrieval index where it has been built, else the chunks."""
-        path = f"{self.root}/graphs/retrieval_index"
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.parquet(path) if there else self.store.read("chunks")
-
-    def route(self, question: str) -> DataFrame:
-        """The themes to ask; where the scores name none, those of the best hits."""
-        catalog = self.spark.read.parquet(f"{self.root}/graphs/themes")
-        found = search.route_themes(catalog, question, max_themes=self.settings.max_themes)
+        built = self._graph("retrieval_index")
+        return built if built is not None else self.store.read("chunks")
+
+    def route(self, question: str, min_readiness: str = "search_ready") -> DataFrame:
+        """The themes to ask; where the scores name none, those of the best hits, and at last the first ready ones."""
+        catalog, vector = self._graph("themes"), None
+        vectors = self._graph("theme_embeddings") if self.settings.embedder else None
+        if vectors is not None:
+            vector = self.settings.embedder([question])[0]
+            catalog = catalog.join(vectors.select("theme_id", F.col("embedding").alias("profile")), "theme_id", "left")
+        found = search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness, fallback=False)
         if found.limit(1).count():
             return found
         best = search.search(self.rows(), question, 1, group="theme_id").select("theme_id", F.col("score").alias("route_score"))
-        return best.orderBy(F.desc("route_score"), "theme_id").limit(self.settings.max_themes)
+        best = best.orderBy(F.desc("route_score"), "theme_id").limit(self.settings.max_themes)
+        return best if best.limit(1).count() else search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness)
 
     def hits(self, question: str, theme_ids: list[str] | None = None) -> list[dict]:
         """The best chunks of the routed themes, or of all where these have none."""
@@ -206,12 +293,27 @@ class Engine:
         got = search.search(rows.where(F.col("theme_id").isin(ids)), question, self.settings.hits, group="theme_id").collect() if ids else []
         if not got and not theme_ids:
             got = search.search(rows, question, self.settings.hits).collect()
-        return [r.asDict(recursive=True) for r in got]
+        best = sorted((r.asDict(recursive=True) for r in got), key=lambda h: (-h["score"], h["chunk_id"]))
+        return search.rerank(best, self.settings.reranker)
+
+    def facts(self, question: str, this_year: int | None = None, limit: int = 12) -> list[dict]:
+        """Facts that a question asks for by terms, numbers, places or years; none where it names nothing of the kind."""
+        parsed = self.parse(question, this_year or date.today().year)
+        if not parsed.is_structured or not self.store.exists("numeric_facts"):
+            return []
+        found = search.fact_search(self.store.read("numeric_facts"), constraints_of(self.spark, parsed), parsed.term_ids, parsed.expanded, limit, parsed.places)
+        return [r.asDict(recursive=True) for r in found.collect()]
 
     def ask(self, question: str, theme_ids: list[str] | None = None) -> dict:
-        """The answer with its hits."""
-        found = self.hits(question, theme_ids)
-        return {"answer": answers.answer(question, found, self.settings.model), "hits": found}
+        """The answer with its hits and the facts that match the question's terms and numbers."""
+        found, facts = self.hits(question, theme_ids), self.facts(question)
+        model = self.settings.model
+        if model and facts:  # a model reads the facts above the passages
+            model = lambda q, context, ask=self.settings.model: ask(q, f"{fact_context(facts)}\n\n{context}")
+        text = answers.answer(question, found, model)
+        if facts and not found:
+            text = fact_context(facts)
+        return {"answer": text, "hits": found, "facts": facts}
 
     def extract(self, text: str) -> list[tuple]:
         from ..operators.extraction import facts_of
@@ -230,9 +332,42 @@ class Engine:
         return store.validate(self.store.read("sources"), self.store.read("chunks"), self.store.read("numeric_facts"))
 
     def delete_source(self, source_id: str) -> None:
-        ws = Workspace(self.spark, "delete")
         tables = {t: self.store.read(t) for t in store.TABLES if self.store.exists(t)}
-        for name, df in store.delete_source(tables, source_id).items():
-            kept = ws.save(df, name)
-            self.store.write(name, kept) if "theme_id" not in kept.columns else kept.write.mode("overwrite").partitionBy("theme_id").parquet(self.store.path(name))
-        ws.clear()
+        for name, kept in store.delete_source(tables, source_id).items():
+            self.store.write(name, kept)
+
+    def quality(self) -> DataFrame:
+        return upkeep.quality_report(self.store.read("sources"), self.store.read("numeric_facts"))
+
+    def documents(self, limit: int = 500) -> DataFrame:
+        return upkeep.list_documents(self.store.read("sources"), self.store.read("chunks"), self._graph("themes"), limit)
+
+    def runs(self, most: int = 50) -> DataFrame:
+        return upkeep.recent_runs(self.store.read("ingestion_runs"), most)
+
+    def preview(self, folder: str, limit: int | None = None) -> DataFrame:
+        """What themes the files of ``folder`` would have, without storing anything."""
+        objects = readers.parse(readers.discover(self.spark, folder, self.settings.ignored_folders, limit=limit), self.settings.parsers)
+        texts = objects.where("error IS NULL").groupBy("relative_path").agg(F.min_by("text", "object_index").alias("preview"), F.sum(F.ceil(F.length("text") / 3200)).alias("chunks"))
+        return themes.theme_distribution(themes.resolve(texts, self.settings.rules))
+
+    def preflight(self, folder: str) -> DataFrame:
+        """(level, message) of what would hinder a run: no files, no parser for them, an empty ontology, settings that can't work."""
+        listed = readers.discover(self.spark, folder, self.settings.ignored_folders, limit=None).select("relative_path")
+        ext = F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1))
+        parsers = self.settings.parsers or readers.PARSERS
+        counts = {r.ext: r["n"] for r in listed.groupBy(ext.alias("ext")).agg(F.count("*").alias("n")).collect()}  # a row for each extension
+        found = [] if counts else [("error", f"{folder} has no file of a supported kind")]
+        found += [("warning", f"{n} files of kind {e} have no parser") for e, n in sorted(counts.items()) if e not in parsers]
+        found += [] if self.ontology.terms else [("warning", "the ontology has no terms, so no term will be found")]
+        s = self.settings
+        found += [("error", f"{k} must be above zero") for k in ("max_themes", "hits", "per_document", "theme_cap", "candidate_cap") if getattr(s, k) <= 0]
+        return self.spark.createDataFrame(found, "level string, message string")
+
+    def nightly(self, folder: str, mode: str = "compressed_kg") -> dict:
+        """Both stages one after the other, if nothing hinders them; gives what happened."""
+        checks = [tuple(r) for r in self.preflight(folder).collect()]
+        if any(level == "error" for level, _ in checks):
+            return {"status": "failed", "checks": checks}
+        report = self.ingest(folder).agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")).first()
+        return {"status": "done", "checks": checks, "stage1": report.asDict(), "stage2": self.build(mode)}

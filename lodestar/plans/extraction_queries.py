@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import chunking
 from ..operators.extraction import Ontology, Term, extract_facts, find_terms
 from ..operators.records import repair_table
 from ..streaming.ingest import sessions
@@ -37,27 +35,12 @@ def record_repair(spark, sf_dir):
     return rows.select("n_nationkey", "tag", F.array_join("fields", ";").alias("fields"))
 
 
-def markdown_tables(spark, sf_dir):
-    return chunking.markdown_tables(table(spark, sf_dir, "documents"), "doc_id").select(F.col("key").alias("doc_id"), "table_index", F.size("rows").alias("n_rows"))
-
-
-def packed_chunks(spark, sf_dir):
-    """Documents have no blank lines; their sentences stand for paragraphs."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\. ", ".\n\n").alias("text"))
-    return chunking.packed(d, size=1000).select("doc_id", "chunk_index", F.length("chunk").alias("chars"))
-
-
-def clean_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha1(T.clean_extracted("text", odd_glyphs="")).alias("text_sha1"))
-
-
 def event_sessions(spark, sf_dir):
     rows = sessions(table(spark, sf_dir, "events").select("ts", "user_id"), gap="2 hours")
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (numeric_facts_text, find_part_terms, record_repair, markdown_tables, packed_chunks, clean_text, event_sessions)}
+QUERIES = {f.__name__: f for f in (numeric_facts_text, find_part_terms, record_repair, event_sessions)}
 
 SQL = {
     "numeric_facts_text": """SELECT 'concentration' AS property_id, '<=' AS operator, CAST(CAST(trunc(l_quantity) AS INT) AS DOUBLE) AS value, 'mg/L' AS unit, 'concentration' AS dimension, count(*) AS n FROM lineitem GROUP BY 3

@@ -101,15 +101,14 @@ def degree_share(spark, sf_dir):
 def weighted_centrality(spark, sf_dir):
     vertices, edges = _customer_graph(spark, sf_dir)
     weighted = edges.select(F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), F.lit(1).alias("weight"))
-    return graph.weighted_centrality(vertices, weighted, Workspace(spark, "central"), iterations=ROUNDS)
+    ranks = graph.weighted_centrality(vertices, weighted, Workspace(spark, "central"), iterations=ROUNDS, tolerance=0.0)
+    return ranks.select("id", F.round("centrality", 7).alias("centrality"))
 
 
 def betweenness(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("src"), F.lit("world").alias("dst"))
-    edges = n.unionByName(r)
-    vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return graph.betweenness(vertices, edges, Workspace(spark, "between"), sample=None)
+    """On the customer graph, with the sampled roots."""
+    vertices, edges = _customer_graph(spark, sf_dir)
+    return graph.betweenness(vertices, edges, Workspace(spark, "between")).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def retrieval_index(spark, sf_dir):
@@ -128,7 +127,7 @@ def validate_store(spark, sf_dir):
     sources = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.concat(F.lit("order:"), "o_orderkey").alias("source_id"))
     chunks = lines(spark, sf_dir).select(F.col("line_id").alias("chunk_id"), F.col("order_id").alias("source_id"), F.when(F.col("quantity") % 5 != 0, F.col("kind")).alias("text"))
     f = facts(spark, sf_dir).select("fact_id", "source_id", F.regexp_extract("fact_id", r"(line:[0-9]+\.[0-9]+)", 1).alias("chunk_id"), "value", F.when(F.col("property_id") != "discount", F.col("unit")).alias("unit"))
-    return store.validate(sources, chunks, f, most=1 << 30).groupBy("level", "rule").agg(F.count("*").alias("n"))
+    return store.violation_counts(sources, chunks, f)
 
 
 def store_stats(spark, sf_dir):
@@ -153,18 +152,37 @@ def interval_facts(spark, sf_dir):
     return search.facts_matching(facts(spark, sf_dir), c).select("fact_id", "property_id", "value")
 
 
-def route_themes(spark, sf_dir):
-    """Nations as themes in regions, customers as sources."""
+QUESTION = "NATION_3 and REGION_1 in 1995 please"
+VECTOR = [1.0 if i % 3 else -1.0 for i in range(64)]
+
+
+def _routable(spark, sf_dir) -> DataFrame:
+    """Nations as themes in regions, customers as sources, with statuses, years, central labels and, but for some, vectors as profiles."""
     n, r, c = (table(spark, sf_dir, x) for x in ("nation", "region", "customer"))
     sources = c.groupBy("c_nationkey").agg(F.count("*").alias("sources"))
     t = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(sources, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    empty = F.array().cast("array<struct<label:string,weight:double,score:double>>")
-    t = t.select(
-        F.concat(F.lit("t"), "n_nationkey").alias("theme_id"), F.col("n_name").alias("theme_name"), F.col("r_name").alias("collection"), F.lit("search_ready").alias("status"),
-        F.coalesce("sources", F.lit(0)).alias("sources"), F.array().cast("array<int>").alias("years"), F.col("n_name").alias("ontology_text"),
-        F.concat_ws(" ", "n_name", "r_name").alias("keyword_text"), empty.alias("central"),
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n_nationkey"), F.col("embedding").alias("profile")).where("n_nationkey % 4 <> 1")
+    key = F.col("n_nationkey")
+    status = F.element_at(F.array(*map(F.lit, ("search_ready", "retrieval_kg_ready", "parsed_ready", "full_kg_ready"))), key.cast("int") % 4 + 1)
+    label = F.struct(F.concat(F.lit("please "), "n_name").alias("label"), F.when(key % 2 == 0, 1.0).otherwise(0.5).alias("weight"), (key / 1000.0).alias("score"))
+    return t.join(e, "n_nationkey", "left").select(
+        F.concat(F.lit("t"), "n_nationkey").alias("theme_id"), F.col("n_name").alias("theme_name"), F.col("r_name").alias("collection"), status.alias("status"),
+        F.coalesce("sources", F.lit(0)).alias("sources"), F.array((key + 1980).cast("int")).alias("years"), F.col("n_name").alias("ontology_text"),
+        F.concat_ws(" ", "n_name", "r_name").alias("keyword_text"), F.array(label).alias("central"), "profile",
     )
-    return search.route_themes(t, "NATION_3 and REGION_1 please", max_themes=5, min_score=0.0)
+
+
+def route_themes(spark, sf_dir):
+    return search.route_themes(_routable(spark, sf_dir), QUESTION, max_themes=12, min_score=0.0)
+
+
+def route_by_vectors(spark, sf_dir):
+    return search.route_themes(_routable(spark, sf_dir), QUESTION, VECTOR, max_themes=12, min_score=0.0)
+
+
+def route_fallback(spark, sf_dir):
+    """Nothing fits the question, so the first ready themes are taken."""
+    return search.route_themes(_routable(spark, sf_dir).withColumn("sources", F.lit(0)), "qqq", max_themes=6)
 
 
 def readiness_state(spark, sf_dir):
@@ -192,7 +210,7 @@ def event_windows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     edge_counts, node_counts, cooccurrence, cooccurrence_capped, facts_by_property, cheap_kg, band_similarity, components, degree_density,
     graph_health, pagerank, degree_share, weighted_centrality, betweenness, retrieval_index, validate_store, store_stats, merge_entities,
-    interval_facts, route_themes, readiness_state, cosine_topk, theme_centroids, event_windows,
+    interval_facts, route_themes, route_by_vectors, route_fallback, readiness_state, cosine_topk, theme_centroids, event_windows,
 )}
 
 _ENTITIES = """per_chunk AS (SELECT DISTINCT chunk_id, e FROM (SELECT chunk_id, brand AS e FROM lines UNION ALL SELECT chunk_id, kind FROM lines))"""
@@ -210,6 +228,32 @@ _PAGERANK_ROUNDS = "".join(
     for i in range(1, ROUNDS + 1)
 )
 
+DEPTH = 8
+#: Breadth first, level by level, and back: what each node owes to paths through it. No path of the customer graph is longer than ``DEPTH``.
+_LEVELS = "".join(
+    f""", l{i} AS (SELECT root, b AS node, sum(paths) AS paths FROM l{i - 1} JOIN near ON a = node
+        WHERE (root, b) NOT IN ({' UNION ALL '.join(f'SELECT (root, node) FROM l{j}' for j in range(i))}) GROUP BY root, b)"""
+    for i in range(1, DEPTH + 1)
+) + f", o{DEPTH} AS (SELECT root, node, paths, 0.0::DOUBLE AS owed FROM l{DEPTH})" + "".join(
+    f""", o{i} AS (SELECT l.root, l.node, l.paths, l.paths * coalesce(sum((1 + o.owed) / o.paths), 0) AS owed FROM l{i} l
+        LEFT JOIN (near JOIN o{i + 1} o ON near.b = o.node) ON near.a = l.node AND o.root = l.root GROUP BY l.root, l.node, l.paths)"""
+    for i in range(DEPTH - 1, -1, -1)
+)
+_OWED = " UNION ALL ".join(f"SELECT root, node, owed FROM o{i}" for i in range(DEPTH + 1))
+_ROUTES = f"""WITH t AS (
+    SELECT n_nationkey AS k, 't' || n_nationkey AS theme_id, n_name, r_name, lower(n_name) AS o, lower(n_name || ' ' || r_name) AS kt, lower(r_name) AS c,
+        (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS sources, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.5 END * least(1.0, n_nationkey / 1000.0 * 10 + 0.1) AS central,
+        e.embedding IS NOT NULL AS has, greatest(0.0, coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), {VECTOR}), 0.0)) AS vec
+    FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN embeddings e ON e.vec_id = n_nationkey AND n_nationkey % 4 <> 1 WHERE n_nationkey % 4 <> 2),
+    q AS (SELECT ['1995', 'and', 'nation_3', 'please', 'region_1'] AS q),
+    parts AS (SELECT *, len(list_filter(q, lambda x: contains(o, x))) / 5 AS onto, len(list_filter(q, lambda x: contains(kt, x))) / 5 AS kw, array_to_string(list_filter(q, lambda x: contains(kt, x)), ', ') AS why,
+        least(1.0, CASE WHEN contains('nation_3 and region_1 in 1995 please', o) THEN 0.6 ELSE 0 END + CASE WHEN contains('nation_3 and region_1 in 1995 please', c) THEN 0.25 ELSE 0 END
+            + CASE WHEN k + 1980 = 1995 THEN 0.35 ELSE 0 END) AS meta FROM t, q)"""
+_PLAIN = "(0.35 * onto + 0.35 * kw + 0.15 * least(1.0, central) + 0.15 * meta)"
+_WITH_VECTOR = "(0.35 * vec + 0.25 * onto + 0.20 * kw + 0.10 * least(1.0, central) + 0.10 * meta)"
+_ROUTE_COLUMNS = """theme_id, CAST(round_even({score} + CASE WHEN sources > 0 THEN 0.02 ELSE 0 END, 4) AS DOUBLE) AS route_score, CAST(round_even({vector}, 4) AS DOUBLE) AS vector, round_even(onto, 4) AS ontology,
+    round_even(kw, 4) AS keyword, CAST(round_even(least(1.0, central), 4) AS DOUBLE) AS centrality, CAST(round_even(meta, 4) AS DOUBLE) AS metadata, CASE WHEN why = '' THEN 'weak lexical/semantic match' ELSE why END AS reason"""
+
 SQL = {
     "edge_counts": f"WITH {TRIPLES_SQL} SELECT predicate, object_id, count(*) AS weight FROM triples WHERE predicate = 'MENTIONS' GROUP BY 1, 2",
     "node_counts": f"""WITH {TRIPLES_SQL} SELECT node_id, count(*) AS n FROM (SELECT subject_id AS node_id FROM triples UNION ALL SELECT object_id FROM triples)
@@ -265,15 +309,22 @@ SQL = {
         array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS source_ids FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY p_brand""",
     "interval_facts": f"""WITH {FACTS_SQL} SELECT fact_id, property_id, value FROM facts
         WHERE (property_id = 'quantity' AND value BETWEEN 10 AND 12) OR (property_id = 'price' AND value >= 90000) OR (property_id = 'discount' AND value = 0.05)""",
-    "route_themes": """WITH t AS (
-        SELECT 't' || n_nationkey AS theme_id, lower(n_name) AS o, lower(n_name || ' ' || r_name) AS k, lower(r_name) AS c, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS sources
-        FROM nation JOIN region ON n_regionkey = r_regionkey),
-        parts AS (SELECT theme_id, sources, len(list_filter(q, lambda x: contains(o, x))) / 4 AS onto, len(list_filter(q, lambda x: contains(k, x))) / 4 AS kw,
-            CASE WHEN contains('nation_3 and region_1 please', o) THEN 0.6 ELSE 0 END + CASE WHEN contains('nation_3 and region_1 please', c) THEN 0.25 ELSE 0 END AS meta
-            FROM t, (SELECT ['nation_3', 'and', 'region_1', 'please'] AS q))
-        SELECT theme_id, round(0.35 * onto + 0.35 * kw + 0.15 * meta + CASE WHEN sources > 0 THEN 0.02 ELSE 0 END, 6) AS route_score, round(onto, 6) AS ontology, round(kw, 6) AS keyword,
-            CAST(round(meta, 6) AS DOUBLE) AS metadata FROM parts ORDER BY route_score DESC, theme_id LIMIT 5""",
-    "readiness_state": "SELECT 25 AS themes, 15 AS search_ready, 10 AS graph_ready, 'full_kg_ready' AS best_status, CAST(sum(n_nationkey) AS BIGINT) AS sources FROM nation",
+    "route_themes": f"""{_ROUTES} SELECT {_ROUTE_COLUMNS.format(vector='0.0', score=_PLAIN)} FROM parts ORDER BY route_score DESC, theme_id LIMIT 12""",
+    "route_by_vectors": f"""{_ROUTES} SELECT {_ROUTE_COLUMNS.format(vector='vec', score=f'CASE WHEN has THEN {_WITH_VECTOR} ELSE {_PLAIN} END')} FROM parts ORDER BY route_score DESC, theme_id LIMIT 12""",
+    "route_fallback": f"""SELECT 't' || n_nationkey AS theme_id, 0.0::DOUBLE AS route_score, 0.0::DOUBLE AS vector, 0.0::DOUBLE AS ontology, 0.0::DOUBLE AS keyword, 0.0::DOUBLE AS centrality, 0.0::DOUBLE AS metadata,
+        'fallback_ready_theme' AS reason FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 2 ORDER BY r_name, n_name, theme_id LIMIT 6""",
+    "readiness_state": """WITH t AS (SELECT n_nationkey AS k, ['not_ready', 'parsed_ready', 'search_ready', 'cheap_kg_ready', 'full_kg_ready'][n_nationkey % 5 + 1] AS status FROM nation),
+        r AS (SELECT k, status, CASE status WHEN 'parsed_ready' THEN 1 WHEN 'search_ready' THEN 2 WHEN 'cheap_kg_ready' THEN 3 WHEN 'full_kg_ready' THEN 5 ELSE 0 END AS rank FROM t)
+        SELECT count(*) AS themes, count(*) FILTER (WHERE rank >= 2) AS search_ready, count(*) FILTER (WHERE rank >= 3) AS graph_ready, arg_max(status, rank) AS best_status, CAST(sum(k) AS BIGINT) AS sources FROM r""",
+    "weighted_centrality": f"""WITH {_CUSTOMERS}, total AS (SELECT count(*) AS n FROM vertices), both_ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
+        flow AS (SELECT a AS src, b AS dst, count(*) / sum(count(*)) OVER (PARTITION BY a) AS share FROM both_ways WHERE a <> b GROUP BY a, b),
+        r0 AS (SELECT id, 1.0 / n AS rank FROM vertices, total){_PAGERANK_ROUNDS.replace('NOT IN (SELECT src FROM edges)', 'NOT IN (SELECT src FROM flow)')}
+        SELECT id, round(round_even(rank, 8), 7) AS centrality FROM r{ROUNDS}""",
+    "betweenness": f"""WITH {_CUSTOMERS}, near AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+        degree AS (SELECT id, count(b) AS d FROM vertices LEFT JOIN near ON a = id GROUP BY id), high AS (SELECT id FROM degree ORDER BY d DESC, id LIMIT 16),
+        roots AS (SELECT id FROM high UNION ALL SELECT id FROM (SELECT id FROM vertices WHERE id NOT IN (SELECT id FROM high) ORDER BY md5('13:' || id), id LIMIT 16)),
+        l0 AS (SELECT id AS root, id AS node, 1.0::DOUBLE AS paths FROM roots){_LEVELS}
+        SELECT id, round(coalesce(s, 0) / 32, 6) AS betweenness FROM vertices LEFT JOIN (SELECT node, sum(owed) AS s FROM ({_OWED}) WHERE root <> node GROUP BY node) ON node = id""",
     "cosine_topk": f"""SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {[1.0 if i % 2 else -1.0 for i in range(64)]}), 4) AS similarity
         FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20""",
     "theme_centroids": """SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2""",

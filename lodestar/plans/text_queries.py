@@ -42,16 +42,6 @@ def chunk_ids(spark, sf_dir):
     return made.select("doc_id", "chunk_index", "object_id", "text_hash", "chunk_id", "fragment_id")
 
 
-def doc_type(spark, sf_dir):
-    kinds = T.selection_document_type(F.col("source"), F.col("text"))
-    return documents(spark, sf_dir).groupBy(kinds.alias("doc_type")).agg(F.count("*").alias("n"))
-
-
-def section_type(spark, sf_dir):
-    kinds = T.section_type(F.lit(""), F.col("text"))
-    return documents(spark, sf_dir).groupBy(kinds.alias("section_type")).agg(F.count("*").alias("n"))
-
-
 def line_stats(spark, sf_dir):
     s = T.line_stats(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", s.alias("s")).select(
@@ -72,7 +62,9 @@ def text_fingerprint(spark, sf_dir):
 
 
 def slug_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"), T.alnum_key("p_type").alias("key"))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("a/"), "p_name")).when(k == 1, F.concat(F.lit(".."), "p_name", F.lit(" — "))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug(name).alias("slug"), T.alnum_key("p_type").alias("key"))
 
 
 def theme_from_url(spark, sf_dir):
@@ -105,17 +97,29 @@ def topn_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir, 10).select("theme_id", "chunk_id", "rough_score", "rank")
 
 
+def _scored(spark, sf_dir, cap: int) -> DataFrame:
+    """Candidates with their scores, written once; a document is a source."""
+    rows = _candidates(spark, sf_dir, cap).withColumn("source_id", F.col("doc_id").cast("string"))
+    rows = selection.with_selection_scores(rows, F.lit(False), F.lit(0), F.lit(""))
+    return Workspace(spark, "select").save(rows.drop("n_tags", "section_type", "rank"), "scored")
+
+
 def select_chunks(spark, sf_dir):
-    rows = selection.chunk_quality(_candidates(spark, sf_dir, 800))
-    s = selection.kg_score(F.col("text"), F.lit(0), F.lit(False), F.lit(""))
-    rows = rows.withColumn("s", s).withColumns({"kg_score": F.col("s.score"), "kg_reasons": F.col("s.reasons"), "source_id": F.col("doc_id").cast("string")})
-    rows = Workspace(spark, "select").save(rows.drop("s", "n_tags", "section_type", "rank"), "scored")
-    return selection.select_chunks(rows).select("theme_id", "source_id", "chunk_id", "kg_score", "chunk_quality")
+    chosen = selection.select_chunks(_scored(spark, sf_dir, 800))
+    return chosen.select("theme_id", "source_id", "chunk_id", "kg_score", "chunk_quality")
+
+
+def selection_counts(spark, sf_dir):
+    """Of each theme how many chunks there are, are candidates and are selected, and how many documents have which limit."""
+    rows = _scored(spark, sf_dir, 20)
+    report = selection.selection_report(chunks(spark, sf_dir), rows, selection.select_chunks(rows))
+    limit = lambda n: F.coalesce(F.element_at("document_limits", n), F.lit(0)).alias(f"limit_{n}")
+    return report.select("theme_id", "total_chunks", "candidate_chunks", "selected_chunks", "selection_ratio", limit("3"), limit("4"), limit("6"))
 
 
 def budgeted_context(spark, sf_dir):
     rows = chunks(spark, sf_dir).withColumn("chars", F.length("text"))
-    kept = search.budgeted(rows, [F.col("doc_id"), F.col("chunk_index")], F.col("chars"), 24_000, group="theme_id", truncate=True)
+    kept = search.budgeted(rows, ["doc_id", "chunk_index"], "chars", 24_000, group="theme_id", truncate=True)
     return kept.select("theme_id", "doc_id", "chunk_index", F.col("used").cast("long").alias("used"))
 
 
@@ -148,20 +152,10 @@ def dup_titles(spark, sf_dir):
     return store.duplicate_titles(d, "title", "doc_id")
 
 
-def guide_class(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy(citations.guide_class(F.col("text")).alias("guide_class")).agg(F.count("*").alias("n"))
-
-
-def citations_split(spark, sf_dir):
-    """References in documents to which a list of them is added, as the documents have none."""
-    tail = F.concat(F.col("text"), F.lit("\nReferences\n1. A first work of "), F.col("source"), F.lit(",\n   continued.\n2. Another work.\n2. Another WORK.\n"))
-    return citations.extract_citations(documents(spark, sf_dir).select("doc_id", tail.alias("text")), "doc_id")
-
-
 QUERIES = {f.__name__: f for f in (
-    norm_tokens_topn, chunk_windows, chunk_ids, doc_type, section_type, line_stats, lang_vote, repeated_lines, text_fingerprint, slug_names,
-    theme_from_url, search_topk, search_by_theme, kg_score, chunk_quality, topn_candidates, select_chunks, budgeted_context, history_tail,
-    chat_titles, skip_existing, upsert_sources, dup_titles, guide_class, citations_split,
+    norm_tokens_topn, chunk_windows, chunk_ids, line_stats, lang_vote, repeated_lines, text_fingerprint, slug_names,
+    theme_from_url, search_topk, search_by_theme, kg_score, chunk_quality, topn_candidates, select_chunks, selection_counts, budgeted_context, history_tail,
+    chat_titles, skip_existing, upsert_sources, dup_titles,
 )}
 
 _CHUNKS = """chunks AS (
@@ -214,6 +208,38 @@ _SCORING_RE2 = r"(?i)(?:^|[^\w.,+-])[+-]?(?:\d{1,3}(?:\s\d{3})+|\d+)(?:[,.]\d+)?
 _TABLE_RE2 = r"(?i)\|[^\n]*\||\t| {2,}\S+ {2,}\S+|(?:табл|table)\.?\s*\d*"
 _SECTION_RE2 = r"(?i)\b(?:abstract|introduction|results|discussion|conclusion|table)\b"
 
+# Candidates, their scores, and the greedy choice document by document, which carries the fingerprints that have been chosen.
+_SELECTION = rf"""WITH RECURSIVE {_CHUNKS}, parts AS (
+    SELECT *, length(text) AS chars, regexp_matches(text, '{_SCORING_RE2}') AS has_number, {_kg_sql(T.V.PROCESS_TERMS)} AS p, {_kg_sql(T.V.MATERIAL_TERMS)} AS m, {_kg_sql(T.V.PROPERTY_TERMS)} AS q,
+        regexp_matches(text, '{_TABLE_RE2}') AS tab, regexp_matches(substr(text, 1, 500), '{_SECTION_RE2}') AS sec,
+        list_transform(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё%°./+-]{{2,}}'), lambda x: lower(x)) AS tokens, len(regexp_extract_all(text, '{_SCORING_RE2}')) AS numbers,
+        length(regexp_replace(text, '\P{{L}}', '', 'g')) / greatest(length(text), 1) AS alpha, len(regexp_extract_all(text, '[.!?…]\s+')) AS ends,
+        list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS own
+    FROM (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS low FROM chunks)),
+rough AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY round(CASE WHEN has_number THEN 0.42 ELSE 0.0 END + least(0.24, 0.035 * (p + q)) + least(0.08, chars / 12000.0), 6) DESC, chars DESC, chunk_id) AS rk FROM parts),
+raw AS (SELECT *, round_even(CASE WHEN has_number THEN 0.35 ELSE 0 END + 0.15 * least(least(p, 8) / 3.0, 1) + 0.10 * least(least(m, 8) / 3.0, 1) + 0.10 * least(least(q, 8) / 3.0, 1)
+    + CASE WHEN tab THEN 0.07 ELSE 0 END + CASE WHEN sec THEN 0.03 ELSE 0 END, 4) AS kg FROM rough WHERE rk <= CAP),
+quality AS (SELECT *, greatest(0.0, least(1.0, 0.10 + CASE WHEN len(tokens) >= 45 THEN 0.18 WHEN len(tokens) < 12 THEN -0.18 ELSE 0 END
+    + CASE WHEN alpha >= 0.45 THEN 0.08 ELSE -0.12 END + CASE WHEN len(tokens) > 25 AND len(list_distinct(tokens)) / len(tokens) < 0.28 THEN -0.10 ELSE 0 END
+    + least(0.28, 0.07 * numbers) + least(0.28, 0.06 * (p + m + q)) + CASE WHEN ends >= 2 THEN 0.08 ELSE 0 END + CASE WHEN tab AND numbers > 0 THEN 0.08 ELSE 0 END
+    + CASE WHEN numbers = 0 AND len(own) > 0 AND len(list_filter(own, lambda x: regexp_matches(x, '^\s*\|?\s*[-:]{{2,}}\s*(?:\|\s*[-:]{{2,}}\s*)+\|?\s*$'))) / len(own) > 0.2 THEN -0.22 ELSE 0 END
+    + CASE WHEN kg >= 0.30 THEN 0.10 ELSE 0 END)) AS score FROM raw),
+sized AS (SELECT theme_id, CAST(doc_id AS VARCHAR) AS source_id, chunk_id, chars, round_even(score, 4) AS chunk_quality, round_even(0.72 * kg + 0.28 * round_even(score, 4), 4) AS kg_score,
+    round(score, 9) >= 0.20 AS informative, has_number OR round_even(score, 4) >= 0.34 AS hard,
+    CASE WHEN count(*) OVER d <= 5 OR sum(chars) OVER d <= 12000 THEN 3 WHEN count(*) OVER d >= 24 OR sum(chars) OVER d >= 50000 THEN 6 ELSE 4 END AS lim,
+    min(chunk_id) OVER d AS document, sha1(substr(regexp_replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g'), 1, 1600)) AS print
+    FROM quality WINDOW d AS (PARTITION BY theme_id, doc_id)),
+fit AS (SELECT theme_id, source_id, document, lim, list({{'id': chunk_id, 'kg': kg_score, 'print': print}} ORDER BY informative DESC, kg_score DESC, chunk_quality DESC, chars DESC, chunk_id) AS own
+    FROM sized WHERE (informative OR hard) AND (chunk_quality >= 0.20 OR hard) GROUP BY ALL),
+docs AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY document) AS i FROM fit),
+walk(theme_id, i, seen, chosen) AS (
+    SELECT DISTINCT theme_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM docs
+    UNION ALL SELECT theme_id, i, list_concat(seen, list_transform(taken, lambda x: x.print)), list_transform(taken, lambda x: x.id)
+        FROM (SELECT theme_id, i, seen, list_concat(fresh[1:1], list_filter(fresh[2:], lambda x: x.kg >= 0.18))[1:lim] AS taken
+            FROM (SELECT theme_id, i, seen, lim, list_filter(unseen, lambda x, n: list_position(list_transform(unseen, lambda y: y.print), x.print) = n) AS fresh
+                FROM (SELECT d.theme_id, d.i, w.seen, d.lim, list_filter(d.own, lambda x: NOT list_contains(w.seen, x.print)) AS unseen FROM walk w JOIN docs d ON d.theme_id = w.theme_id AND d.i = w.i + 1)))),
+best AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY kg_score DESC, chunk_id) AS place FROM sized WHERE (theme_id, chunk_id) IN (SELECT (theme_id, unnest(chosen)) FROM walk))"""
+
 SQL = {
     "norm_tokens_topn": """SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-zа-яё_.+-]{2,}')) AS token FROM documents)
         GROUP BY token ORDER BY n DESC, token LIMIT 100""",
@@ -224,32 +250,21 @@ SQL = {
         FROM chunks c JOIN documents d USING (doc_id))
         SELECT doc_id, chunk_index, object_id, text_hash, 'chunk:' || sha1(h || '|' || object_id || '|' || text_hash) AS chunk_id,
             'fragment:' || sha1(h || '|' || object_id) AS fragment_id FROM hashed""",
-    "doc_type": r"""SELECT CASE WHEN contains(hay, 'презентац') OR contains(hay, 'slide') THEN 'presentation'
-        WHEN contains(hay, 'гост') OR contains(hay, 'gost') OR contains(' ' || hay || ' ', ' iso ') OR contains(hay, 'стандарт') THEN 'standard'
-        ELSE 'generic' END AS doc_type, count(*) AS n
-        FROM (SELECT trim(regexp_replace(lower(source || chr(10) || substr(text, 1, 1200)), '\s+', ' ', 'g')) AS hay FROM documents) GROUP BY 1""",
-    "section_type": r"""SELECT CASE WHEN regexp_matches(hay, '\babstract\b') THEN 'abstract' WHEN regexp_matches(hay, '\bintroduction\b') THEN 'introduction'
-        WHEN regexp_matches(hay, '\bmethods?\b|\bmethodology\b|\bexperimental\b') THEN 'methods' WHEN regexp_matches(hay, '\bresults?\b') THEN 'results'
-        WHEN regexp_matches(hay, '\bdiscussion\b') THEN 'discussion' WHEN regexp_matches(hay, '\bconclusions?\b') THEN 'conclusion'
-        WHEN regexp_matches(hay, '\brequirements?\b') THEN 'requirements' WHEN regexp_matches(hay, '\bdefinitions?\b') THEN 'definitions'
-        WHEN regexp_matches(hay, '\bappendix\b') THEN 'appendix' WHEN regexp_matches(hay, '\breferences\b|\bbibliography\b') THEN 'references' ELSE 'body' END AS section_type, count(*) AS n
-        FROM (SELECT lower(substr(text, 1, 500)) AS hay FROM documents) GROUP BY 1""",
-    "guide_class": """SELECT CASE WHEN g AND ru > 1.2 * en AND ru > 5 THEN 'ru_guide' WHEN g THEN 'en_guide' WHEN ru > 1.2 * en AND ru > 5 THEN 'ru_other' ELSE 'other' END AS guide_class, count(*) AS n
-        FROM (SELECT length(regexp_replace(text, '[^а-яёА-ЯЁ]', '', 'g')) AS ru, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS en,
-            regexp_matches(text, '(?i)handbook|manual|guide\\b|textbook|encyclop|справочник|руководств|учебник|учебное пособие|энциклопед|методическ') AS g FROM documents) GROUP BY 1""",
     "lang_vote": """SELECT lang, CASE WHEN ru > 1.2 * en AND ru > 5 THEN 'ru' WHEN en > 1.2 * ru AND en > 5 THEN 'en' ELSE 'unknown' END AS vote, count(*) AS n
         FROM (SELECT lang, length(regexp_replace(text, '[^а-яёА-ЯЁ]', '', 'g')) AS ru, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS en FROM documents) GROUP BY 1, 2""",
     "line_stats": r"""SELECT doc_id, CAST(n AS DOUBLE) AS lines, CASE WHEN n = 0 THEN 1.0 ELSE round(len(list_filter(own, lambda x: length(x) <= 38)) / n, 6) END AS short_line_ratio,
         CASE WHEN n = 0 THEN 0.0 ELSE round(len(list_filter(own, lambda x: regexp_matches(x, '^\s*\|?\s*[-:]{2,}\s*(?:\|\s*[-:]{2,}\s*)+\|?\s*$'))) / n, 6) END AS table_separator_ratio
         FROM (SELECT doc_id, own, len(own) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS own FROM documents))""",
     "repeated_lines": r"""SELECT source AS "group", line, count(DISTINCT doc_id) AS pages
-        FROM (SELECT source, doc_id, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
-        WHERE length(line) >= 4 AND (length(line) <= 160 OR contains(line, '|')) AND NOT regexp_matches(line, '^(?:page |стр\.? )?[0-9]+(?: ?(?:/|of|из) ?[0-9]+)?$')
-            AND NOT (contains(line, '|') AND len(regexp_extract_all(line, '[0-9]+')) >= 3)
+        FROM (SELECT source, doc_id, trim(regexp_replace(replace(lower(l), 'ё', 'е'), '\s+', ' ', 'g')) AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
+        WHERE length(line) >= 4 AND (length(line) <= 160 OR contains(line, '|'))
+            AND NOT regexp_matches(line, '(?i)^\s*(?:стр\.?|страница|page|p\.?|с\.?)?\s*\d{1,4}\s*(?:из|of|/)?\s*\d{0,4}\s*$')
+            AND NOT (contains(line, '|') AND len(regexp_extract_all(line, '\d+(?:[,.]\d+)?')) >= 3)
         GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3""",
     "text_fingerprint": r"SELECT doc_id, sha1(substr(regexp_replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g'), 1, 1600)) AS fingerprint FROM documents",
-    "slug_names": """SELECT p_partkey, CASE WHEN s = '' THEN 'general' ELSE s END AS slug, key
-        FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^0-9a-zа-я]+', '_', 'g'), '_') AS s, regexp_replace(lower(p_type), '[^0-9a-zа-я]', '', 'g') AS key FROM part)""",
+    "slug_names": """SELECT p_partkey, CASE WHEN s = '' THEN 'misc' ELSE s END AS slug, key
+        FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(string_split(trim(p_name), '/')[-1], '[^0-9A-Za-zА-Яа-я_.-]+', '_', 'g'), '_+', '_', 'g'), '_.-') AS s,
+            regexp_replace(lower(p_type), '[^0-9a-zа-я]', '', 'g') AS key FROM (SELECT p_partkey, p_type, CASE p_partkey % 4 WHEN 0 THEN 'a/' || p_name WHEN 1 THEN '..' || p_name || ' — ' ELSE p_name END AS p_name FROM part))""",
     "theme_from_url": r"""SELECT collection, theme, count(*) AS n FROM (
         SELECT CASE WHEN len(p) >= 1 AND length(p[1]) = 2 THEN p[1] ELSE 'general' END AS collection, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://(?:www\.|m\.|blog\.|docs\.)?([^./?#]+)', 1), ''), 'general') AS theme
         FROM (SELECT url, list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)) GROUP BY 1, 2""",
@@ -281,6 +296,14 @@ SQL = {
             + least(0.28, 0.07 * numeric) + least(0.28, 0.06 * domain) + CASE WHEN ends >= 2 THEN 0.08 ELSE 0 END + CASE WHEN tab AND numeric > 0 THEN 0.08 ELSE 0 END
             + CASE WHEN numeric = 0 AND len(own) > 0 AND len(list_filter(own, lambda x: regexp_matches(x, '^\s*\|?\s*[-:]{{2,}}\s*(?:\|\s*[-:]{{2,}}\s*)+\|?\s*$'))) / len(own) > 0.2 THEN -0.22 ELSE 0 END)) AS q FROM parts)
         SELECT chunk_id, 'generic' AS doc_type, numeric AS numeric_hits, domain AS domain_hits, round(q, 4) AS chunk_quality, round(q, 9) >= 0.20 AS is_informative FROM scored""",
+    "select_chunks": f"""{_SELECTION.replace('CAP', '800')} SELECT theme_id, source_id, chunk_id, kg_score, chunk_quality FROM best WHERE place <= 48""",
+    "selection_counts": f"""{_SELECTION.replace('CAP', '20')}, limits AS (SELECT DISTINCT theme_id, source_id, lim FROM sized)
+        SELECT t.theme_id, t.n AS total_chunks, (SELECT count(*) FROM sized c WHERE c.theme_id = t.theme_id) AS candidate_chunks,
+            (SELECT count(*) FROM best b WHERE b.theme_id = t.theme_id AND place <= 48) AS selected_chunks,
+            round_even((SELECT count(*) FROM best b WHERE b.theme_id = t.theme_id AND place <= 48) / t.n, 4) AS selection_ratio,
+            (SELECT count(*) FROM limits l WHERE l.theme_id = t.theme_id AND lim = 3) AS limit_3, (SELECT count(*) FROM limits l WHERE l.theme_id = t.theme_id AND lim = 4) AS limit_4,
+            (SELECT count(*) FROM limits l WHERE l.theme_id = t.theme_id AND lim = 6) AS limit_6
+        FROM (SELECT theme_id, count(*) AS n FROM chunks GROUP BY 1) t""",
     "budgeted_context": f"""WITH {_CHUNKS}, running AS (
         SELECT theme_id, doc_id, chunk_index, length(text) AS chars, coalesce(sum(length(text)) OVER (PARTITION BY theme_id ORDER BY doc_id, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks)
         SELECT theme_id, doc_id, chunk_index, CAST(least(chars, 24000 - before) AS BIGINT) AS used FROM running WHERE before < 24000""",

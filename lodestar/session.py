@@ -25,6 +25,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def submitted_session(app: str = "lodestar") -> SparkSession:
+    """The session that the submitter's settings describe; local where nothing names a master."""
+    return SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
 _shipped: set[str] = set()
 
 

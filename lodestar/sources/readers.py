@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import office
+
 TEXT_EXTENSIONS = ("txt", "md", "markdown", "rst", "log", "json", "jsonl", "xml", "html", "htm", "yaml")
 OFFICE_EXTENSIONS = ("doc", "docx", "xls", "xlsx", "ppt", "pptx")
 OTHER_EXTENSIONS = ("pdf", "csv", "tsv", "rtf")
@@ -36,31 +38,55 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*sorted(df.columns)).write.mode(mode).json(path)
 
 
+BOM = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """With a header in each part, whose first name begins with the byte order mark that spreadsheets look for."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """With or without a byte order mark."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = df.toDF(*[c.lstrip(BOM).strip('"') for c in df.columns])
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
     return df
 
 
-def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), extensions: tuple[str, ...] = SUPPORTED, limit: int | None = None) -> DataFrame:
-    """(path, relative_path, length, content) of supported files below ``root``, none below an ignored folder; a limit takes the first by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _listed(files: DataFrame, root: str, ignored: tuple[str, ...], extensions: tuple[str, ...]) -> DataFrame:
     prefix = re.escape(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
     relative = F.regexp_replace("path", rf"^(?:[a-z0-9]+:/*(?=/))?.*?{prefix}/", "")
-    key = lambda p: F.regexp_replace(F.lower(p), "[^0-9a-zа-я]", "")
-    rows = files.select("path", relative.alias("relative_path"), "length", "content")
+    key = lambda p: F.regexp_replace(F.translate(F.lower(p), "ё", "е"), "[^0-9a-zа-я]", "")
+    rows = files.withColumn("relative_path", relative)
     rows = rows.where(F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1)).isin(*extensions))
     folders = F.slice(F.split("relative_path", "/"), 1, F.size(F.split("relative_path", "/")) - 1)
-    names = [re.sub("[^0-9a-zа-я]", "", x.lower()) for x in ignored]
-    if names:
-        rows = rows.where(~F.exists(folders, lambda p: key(p).isin(*names)))
-    return rows.orderBy("relative_path").limit(limit) if limit else rows
+    names = [re.sub("[^0-9a-zа-я]", "", x.lower().replace("ё", "е")) for x in ignored]
+    return rows.where(~F.exists(folders, lambda p: key(p).isin(*names))) if names else rows
+
+
+def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), extensions: tuple[str, ...] = SUPPORTED, limit: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(path, relative_path, length, content) of supported files below ``root``, none below an ignored folder; a limit takes the first by path.
+
+    ``known``: relative_path of files to leave out. They are left out by name, so
+    their content is never read; the names of the others go to the driver, whose
+    file index holds those of all files anyway.
+    """
+    read = lambda *paths: spark.read.format("binaryFile").option("recursiveFileLookup", len(paths) == 1 and paths[0] == root).load(list(paths))
+    listed = _listed(read(root).select("path", "length"), root, ignored, extensions)
+    if known is None and not limit:
+        return _listed(read(root).select("path", "length", "content"), root, ignored, extensions).select("path", "relative_path", "length", "content")
+    if known is not None:
+        listed = listed.join(known.select("relative_path").distinct(), "relative_path", "left_anti")
+    if limit:
+        listed = listed.orderBy("relative_path").limit(limit)
+    paths = [r.path for r in listed.select("path").collect()]
+    files = read(*paths) if paths else read(root).limit(0)
+    rows = _listed(files.select("path", "length", "content"), root, ignored, extensions).select("path", "relative_path", "length", "content")
+    return rows.orderBy("relative_path") if limit else rows
 
 
 def unzip(path: str, to: str) -> list[str]:
@@ -139,8 +165,8 @@ def _table(content: bytes, name: str) -> list[tuple[str, str, int | None]]:
     return [("table", markdown_table(list(csv.reader(io.StringIO(text), delimiter=delimiter))), None)]
 
 
-PARSERS: dict[str, Parser] = {**dict.fromkeys(TEXT_EXTENSIONS, _text), "csv": _table, "tsv": _table}
-"""By extension. Office and PDF parsers are plug-ins: add a function here."""
+PARSERS: dict[str, Parser] = {**dict.fromkeys(TEXT_EXTENSIONS, _text), "csv": _table, "tsv": _table, **office.PARSERS}
+"""By extension. More parsers are plug-ins: add a function here, or give others to ``parse``."""
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
@@ -178,10 +204,11 @@ def hashing_embedder(text: Column, dim: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
 
 
-def embed(rows: DataFrame, text: str, service: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 32) -> DataFrame:
-    """``rows`` with embedding, by a service for lists of texts or else by hashing. Texts are sent in batches from the executors."""
+def embed(rows: DataFrame, text: str, service: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 32, concurrency: int | None = 8) -> DataFrame:
+    """``rows`` with embedding, by a service for lists of texts or else by hashing. Texts are sent in batches from the executors, ``concurrency`` tasks at a time."""
     if service is None:
         return rows.withColumn("embedding", hashing_embedder(F.col(text)))
+    rows = rows.coalesce(concurrency) if concurrency else rows
 
     @F.pandas_udf("array<float>")
     def call(texts: pd.Series) -> pd.Series:
@@ -191,3 +218,28 @@ def embed(rows: DataFrame, text: str, service: Callable[[list[str]], list[list[f
         return pd.Series(out)
 
     return rows.withColumn("embedding", call(text))
+
+
+def http_embedder(url: str, model: str, api_key: str = "", batch: int = 32, timeout: float = 180.0, field: str = "input", vector: str = "embedding") -> Callable[[list[str]], list[list[float]]]:
+    """A service for ``embed`` that posts lists of texts to ``url``/embeddings, in batches, as OpenAI-compatible servers take them.
+
+    A task has one request open at a time, so ``embed(concurrency=...)`` bounds how many there are at once.
+    """
+
+    def call(texts: list[str]) -> list[list[float]]:
+        import json
+        import urllib.request
+
+        out: list[list[float]] = []
+        for i in range(0, len(texts), batch):
+            some = texts[i : i + batch]
+            headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+            request = urllib.request.Request(url.rstrip("/") + "/embeddings", json.dumps({"model": model, field: some}).encode(), headers)
+            with urllib.request.urlopen(request, timeout=timeout) as response:
+                rows = json.load(response).get("data")
+            if not isinstance(rows, list) or len(rows) != len(some) or not all(isinstance(r, dict) and r.get(vector) for r in rows):
+                raise ValueError("the embedding service did not give a vector for each text")
+            out += [[float(x) for x in r[vector]] for r in sorted(rows, key=lambda r: r.get("index", 0))]
+        return out
+
+    return call

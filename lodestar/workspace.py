@@ -23,6 +23,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where it has fewer, as of one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Workspace:
     """Tables of one operator call. They go when dropped, or else when the driver ends."""
 

@@ -10,8 +10,8 @@ ONTOLOGY = Ontology(
     properties={"temperature": ("temperature",)},
 )
 FILES = {
-    "reports/leaching/nickel 2019.txt": "Nickel leaching was studied at length in this work.\n\nThe temperature of nickel leaching was 60 °C in all of the runs that were made.",
-    "reports/leaching/copper.txt": "Copper was recovered from solution by heap leaching over many months of the year.",
+    "reports/leach/nickel 2019.txt": "Page 1\n\u200bNickel leaching was studied at length in this work.\n\nThe temperature of nickel leaching was 60 °C in all of the runs that were made.\n\n| run | yield |\n|---|---|\n| one | 71 % |\n| two | 75 % |",
+    "reports/leach/copper.txt": "Copper was recovered from solution by heap leaching over many months of the year.",
     "reports/safety/rules.txt": "Workers must wear helmets at all times, and visitors must be led by a guide.",
     "reports/safety/empty.txt": " ",
 }
@@ -32,15 +32,23 @@ def engine(spark, tmp_path_factory):
 
 
 def test_report(engine):
-    r = engine.report["reports/leaching/nickel 2019.txt"]
-    assert (r.theme_id, r.chunks, r.numeric_facts, r.error) == ("reports__leaching", 1, 1, None)
+    r = engine.report["reports/leach/nickel 2019.txt"]
+    assert (r.theme_id, r.chunks, r.error) == ("отчеты__leach", 2, None) and r.numeric_facts >= 3
     assert engine.report["reports/safety/empty.txt"].error == "no text"
 
 
 def test_store_is_whole(engine):
     assert engine.validate().count() == 0
     stats = {(r.kind, r.key): r.n for r in engine.stats().collect()}
-    assert stats["rows", "chunks"] == stats["rows", "sources"] == 3 and stats["facts_by_property", "temperature"] == 1
+    assert stats["rows", "chunks"] == stats["rows", "source_fragments"] == 4 and stats["rows", "sources"] == stats["rows", "ingestion_runs"] == 3
+    assert stats["facts_by_property", "temperature"] == 1
+
+
+def test_texts_are_cleaned_and_tables_described(engine):
+    rows = {r.object_type: r for r in engine.store.read("chunks").where("source_name = 'nickel 2019.txt'").collect()}
+    assert rows["chunk"].text.startswith("Nickel leaching") and "Page 1" not in rows["chunk"].text and "|" not in rows["chunk"].text
+    assert "Строка 2: run = two; yield = 75 %." in rows["table"].text and rows["table"].citation_name.startswith("nickel 2019.txt#table:")
+    assert rows["chunk"].lightrag_text.startswith("[METADATA]\nsource: nickel 2019.txt\n") and rows["chunk"].domain_tags == ["nickel", "leaching"]
 
 
 def test_ingest_again_changes_nothing(engine):
@@ -50,18 +58,45 @@ def test_ingest_again_changes_nothing(engine):
 
 
 def test_graphs(engine, spark):
-    assert set(engine.built) == {"cheap_kg", "retrieval_edges", "retrieval_index", "selected_chunks", "themes"}
-    index = {r.source_name: r for r in spark.read.parquet(engine.built["retrieval_index"]).collect()}
-    assert index["nickel 2019.txt"].graph_boost > index["rules.txt"].graph_boost and index["nickel 2019.txt"].numeric_fact_count == 1
+    assert set(engine.built) == {"cheap_kg", "retrieval_edges", "retrieval_index", "selected_chunks", "selection_report", "themes"}
+    index = {(r.source_name, r.object_type): r for r in spark.read.parquet(engine.built["retrieval_index"]).collect()}
+    nickel = index["nickel 2019.txt", "chunk"]
+    assert nickel.graph_boost > index["rules.txt", "chunk"].graph_boost and nickel.numeric_fact_count == 1
+    catalog = {r.theme_id: r for r in spark.read.parquet(engine.built["themes"]).collect()}
+    assert {c.label for c in catalog["отчеты__leach"].central} >= {"nickel", "leaching", "copper"} and not catalog["отчеты__safety"].central
+    m = engine.metrics().first()
+    assert m.nodes > 8 and m.health == "ok" and {t.kind for t in m.tops} == {"top_degree", "top_pagerank", "top_betweenness"}
 
 
 def test_ask(engine):
     got = engine.ask("What is the temperature of nickel leaching?")
     assert "60 °C" in got["answer"] and got["hits"][0]["source_name"] == "nickel 2019.txt"
-    assert engine.route("safety rules").first().theme_id == "reports__safety"
+    assert [f["property_id"] for f in got["facts"]][:1] == ["temperature"] and engine.ask("hello there")["facts"] == []
+    assert engine.route("safety rules").first().theme_id == "отчеты__safety"
+    seen = []
+    engine.settings.model = lambda q, context: seen.append(context) or "It was 60 °C."
+    assert engine.ask("temperature of nickel leaching")["answer"] == "It was 60 °C." and "параметр=temperature" in seen[0] and "[1] theme=" in seen[0]
+    engine.settings.model = None
+
+
+def test_vectors_and_status(engine):
+    engine.settings.embedder = lambda texts: [[float("safety" in t), float("nickel" in t.lower())] for t in texts]
+    engine.build("retrieval_kg")
+    assert engine.route("nickel").first().vector == 1.0
+    engine.set_status("отчеты__safety", "failed")
+    assert "отчеты__safety" not in [r.theme_id for r in engine.route("safety rules", "search_ready").collect()]
+    engine.settings.embedder = None
+
+
+def test_reports_and_preflight(engine, tmp_path):
+    assert engine.quality().where("theme_id = 'отчеты__leach'").first().sources == 2 and engine.documents().count() == 3 and engine.runs().count() == 3
+    assert [r.theme_id for r in engine.preview(engine.folder).collect()] == ["отчеты__leach", "отчеты__safety"]
+    assert engine.preflight(engine.folder).where("level = 'error'").count() == 0
+    (tmp_path / "x.bin").write_text("")
+    assert engine.nightly(str(tmp_path))["status"] == "failed"
 
 
 def test_delete(engine):
     source = engine.store.read("sources").where("source_name = 'copper.txt'").first().source_id
     engine.delete_source(source)
-    assert engine.store.read("chunks").where(f"source_id = '{source}'").count() == 0 and engine.store.read("chunks").count() == 2
+    assert engine.store.read("chunks").where(f"source_id = '{source}'").count() == 0 and engine.store.read("chunks").count() == 3

@@ -26,14 +26,14 @@ def one(spark, column, **values):
 
 def test_text_functions(spark):
     assert one(spark, T.normalize("t"), t="  Ёлка  и\tДом ") == "елка и дом"
-    assert one(spark, T.slug("t"), t=" Ni / Co: plant ") == "ni_co_plant"
-    assert one(spark, T.slug("t"), t="!!") == "general"
+    assert one(spark, T.slug("t"), t=" Ni / Co: plant v1.") == "Co_plant_v1"
+    assert one(spark, T.slug("t"), t="!!") == "misc"
     assert one(spark, T.lines("t"), t="a\r\nb\n") == ["a", "b"]
     assert one(spark, T.human_source_name("t"), t="x/y/paper.pdf#page:3#kgchunk:1") == "paper.pdf#page:3"
     assert one(spark, T.source_year(F.col("n"), F.col("t")), n="report.pdf", t="from 1956 to 2010, no. 12345") == 2010
     assert one(spark, T.safe_path("t"), t="../a\\b/./c:d?.txt") == "a/b/c_d_.txt"
     assert one(spark, T.language_vote("t"), t="привет мир") == "ru"
-    assert one(spark, T.theme_from_file_name("t"), t="Heap_leaching_2019.final.pdf") == "Heap leaching"
+    assert one(spark, T.theme_from_file_name("t"), t="Heap_leaching 2019 final.pdf") == "Heap leaching"
     assert one(spark, T.search_tokens("t"), t="What is the Heap-leach 5%?") == ["is", "heap-leach"]
     assert one(spark, T.strip_thinking("t"), t="<think>no</think>\n```json\n{}\n```") == "{}"
 
@@ -58,9 +58,11 @@ def test_windows_overlap(spark):
 
 
 def test_markdown_tables(spark):
-    text = "head\n| a | b |\n|---|---|\n| 1 | 2 | 3 |\ntail\n| single |\nend"
-    rows = chunking.markdown_tables(spark.createDataFrame([(1, text)], "k int, text string"), "k").collect()
-    assert [r.rows for r in rows] == [[["a", "b", ""], ["1", "2", "3"]]]
+    text = "head\n| a | b |\n|---|---|\n| 1 | 2 | 3 |\ntail\n| single |\nend\n|x|\n|y|"
+    df = spark.createDataFrame([(1, text)], "k int, text string")
+    rows = chunking.markdown_tables(df, "k").collect()
+    assert [r.rows for r in rows] == [[["a", "b", ""], ["1", "2", "3"]], [["x"], ["y"]]]
+    assert df.select(chunking.split_tables(F.col("text"))["rest"].alias("r")).first().r == "head\ntail\n| single |\nend"
 
 
 def test_terms_are_greedy_by_length():
@@ -158,31 +160,50 @@ def test_store_round_trip(spark, tmp_path):
 
 
 def test_selection_takes_each_text_once(spark):
-    rows = [("t", f"s{i}", f"c{i}", "same text of nickel", 0.5, ["numeric_fact_or_unit"], 0.5, True) for i in range(4)]
-    df = spark.createDataFrame(rows, "theme_id string, source_id string, chunk_id string, text string, kg_score double, kg_reasons array<string>, chunk_quality double, is_informative boolean")
-    assert [r.chunk_id for r in selection.select_chunks(df).collect()] == ["c0"]
+    rows = [("t", f"s{i}", f"n{9 - i}", f"c{i}", "same text of nickel", 0.5, ["numeric_fact_or_unit"], 0.5, True) for i in range(4)]
+    df = spark.createDataFrame(rows, "theme_id string, source_id string, source_name string, chunk_id string, text string, kg_score double, kg_reasons array<string>, chunk_quality double, is_informative boolean")
+    assert [r.chunk_id for r in selection.select_chunks(df).collect()] == ["c3"]  # documents go by name
 
 
 def test_budget_stops_for_good(spark):
     df = spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "k int, n int")
-    assert [r.k for r in search.budgeted(df, [F.col("k")], F.col("n"), 10).collect()] == [1]
-    assert [(r.k, r.used) for r in search.budgeted(df, [F.col("k")], F.col("n"), 10, truncate=True).collect()] == [(1, 5), (2, 5)]
+    assert [r.k for r in search.budgeted(df, ["k"], "n", 10, key="k").collect()] == [1]
+    assert sorted((r.k, r.used) for r in search.budgeted(df, ["k"], "n", 10, truncate=True, key="k").collect()) == [(1, 5), (2, 5)]
 
 
 def test_themes(spark):
-    rules = themes.ThemeRules(overrides=(("blast.*vibration", "reports", "Blasting"),), content=(("flotation", "Flotation"),))
-    rows = [("articles/leaching/x.pdf", ""), ("uploads/2019/flotation report.pdf", ""), ("a.pdf", "blast and vibration"), ("articles/2001/.hidden", "")]
-    got = themes.resolve(spark.createDataFrame(rows, "relative_path string, preview string"), rules).orderBy("relative_path").collect()
+    rules = themes.ThemeRules(overrides=(("blast.*vibration", "reports", "Blasting"),), least_confidence=0.72)
+    rows = [
+        ("articles/heap leaching/x.pdf", ""), ("uploads/2019/mixed hydroxide report.pdf", ""), ("a.pdf", "blast and vibration"), ("top/журнал/files/my final paper 2001.pdf", ""),
+        ("x/gost 12.pdf", ""), ("x/data.pdf", "about mine water"), ("x/some name.txt", ""),
+    ]
+    got = themes.resolve(spark.createDataFrame(rows, "relative_path string, preview string"), rules).collect()
     by = {r.relative_path: r for r in got}
-    assert (by["articles/leaching/x.pdf"].theme_id, by["articles/leaching/x.pdf"].confidence) == ("articles__leaching", 0.85)
-    assert (by["uploads/2019/flotation report.pdf"].theme_name, by["uploads/2019/flotation report.pdf"].year) == ("Flotation", 2019)
-    assert (by["a.pdf"].theme_name, by["a.pdf"].confidence) == ("Blasting", 0.98)
+    r = by["articles/heap leaching/x.pdf"]
+    assert (r.theme_id, r.confidence, r.source_type, r.evidence) == ("журналы__heap_leaching", 0.85, "journal_article", ["path:collection:articles", "path:theme:heap leaching"])
+    r = by["uploads/2019/mixed hydroxide report.pdf"]
+    assert (r.theme_name, r.collection, r.year, r.confidence, r.evidence) == ("mixed_hydroxides", "гидрометаллургия", 2019, 0.98, ["override_pattern", "year_detected"])
+    assert (by["a.pdf"].theme_id, by["a.pdf"].confidence, by["a.pdf"].source_type) == ("reports__Blasting", 0.98, "report_or_article")
+    r = by["top/журнал/files/my final paper 2001.pdf"]
+    assert (r.collection, r.theme_name, r.confidence) == ("журналы", "general", 0.63) and r.evidence[-1] == "low_confidence_theme_collapsed:my paper:0.63<min:0.72"
+    assert by["x/gost 12.pdf"].theme_id == "стандарты__standards" and by["x/data.pdf"].theme_name == "mine_water"
+    assert by["x/some name.txt"].evidence[:1] == ["filename:auto_theme"]
 
 
 def test_citations(spark):
     text = "Intro\nReferences\n1. Smith A first work\n   goes on.\n2. Jones Another work\n[3] jones another WORK\nAppendix\n4. not one"
     got = citations.extract_citations(spark.createDataFrame([("p", text)], "pdf string, text string"), "pdf").collect()
     assert [r.citation_text for r in got] == ["Smith A first work goes on.", "Jones Another work"]
+    assert citations.split_citations("first of all\n- one more here\n12) x") == ["first of all", "one more here"]
+
+
+def test_citation_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.pdf", "References\n1. A handbook of everything\n2. Справочник по всему на свете\n3. a plain paper")], "relative_path string, text string")
+    citations.citations_csv(rows, f"{tmp_path}/c")
+    got = citations.classified_csv(spark, f"{tmp_path}/c", f"{tmp_path}/out")
+    assert sorted(r.class_label for r in got.collect()) == ["en_guide", "not_guide", "ru_guide"]
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "out" / "ru_guide").glob("*.csv"))
+    assert "\ufeff".encode() in raw and "Справочник".encode() in raw
 
 
 TABLE = """| Name | Type | Description |
@@ -222,8 +243,32 @@ def test_answers():
     hits = [{"chunk_id": "1", "score": 5.0, "source_name": "a.pdf", "text": "The temperature of nickel leaching was 60 °C in all runs. Thanks to everyone who helped with this."}]
     text = answers.extractive_answer("temperature of leaching", hits)
     assert "60 °C" in text and "1. a.pdf" in text
-    assert answers.answer("q", hits, lambda q, c: "From the context.\nSources:\n1. a") == "From the context."
-    assert answers.is_no_result("nothing was found", True) and answers.is_general_question("hello there")
+    assert answers.answer("q", hits, lambda q, c: "From the context.\n## References\n1. a") == "From the context."
+    assert answers.is_no_result("Ответ не получен", True) and answers.is_general_question("hello there") and not answers.is_general_question("что в pdf")
+
+
+def test_evidence():
+    text = "ОБЩИЙ ЗАГОЛОВОК РАЗДЕЛА Температура составила 60 °C, извлечение никеля выросло; Потери упали. см. mail@x.org и другие сведения об авторах | Диапазон скоростей смещения до 12,5 мм/с при взрывах"
+    windows = answers.numeric_windows(text)
+    assert any(w.startswith("Диапазон скоростей") for w in windows) and any("60 °C" in w for w in windows)
+    assert answers.numeric_windows("без чисел") == [] and not any("mail@" in u for u in answers.sentences(text))
+    assert answers.unit_score("извлечение 60 мг/л установлено", ["извлечение"]) == pytest.approx(1.4 + 3.0 + 0.8)
+    assert answers.unit_score("ivanov@x.org", []) == -2.0 and answers.unit_score("x" * 500, []) == pytest.approx(-0.4)
+    assert answers.compact(" #- a ,b;c 0,5 |", 50) == "a, b; c 0,5"
+
+
+def test_rerank_moves_the_head_only():
+    hits = [{"chunk_id": str(i), "score": 5.0 - i, "text": "x" * i} for i in range(4)]
+    assert [h["chunk_id"] for h in search.rerank(hits, lambda texts: [len(t) for t in texts], head=3)] == ["2", "1", "0", "3"]
+    assert search.rerank(hits, None) == hits
+
+
+def test_many_constraints_are_joined(spark):
+    facts = spark.createDataFrame([(str(i), f"d{i % 3}", "observed", float(i), None, ["x"] if i % 2 else []) for i in range(60)], "fact_id string, dimension string, operator string, value double, value_max double, entity_ids array<string>")
+    rows = [(f"d{i % 3}", "=", float(i), None, ["y"]) for i in range(40)] + [("unknown", ">", 57.0, None, None)]
+    c = spark.createDataFrame(rows, "c_dimension string, c_operator string, c_value double, c_value_max double, c_entity_ids array<string>")
+    assert sorted(int(r.fact_id) for r in search.facts_matching(facts, c).collect()) == [*range(0, 40, 2), 57, 58, 59]
+    assert search.facts_matching(facts, c.limit(0)).count() == 60
     assert len(answers.runtime_documents([{"chunk_id": "chunk:1", "source_name": "s", "citation_name": "s", "text": "x" * 3000, "chunk_index": i} for i in range(3)], 1)) == 3
 
 

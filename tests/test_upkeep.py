@@ -29,9 +29,11 @@ def test_profiles_and_vectors(spark):
 
 def test_reports(spark):
     c = spark.createDataFrame([("a",), ("a",), ("b",)], "theme_id string")
-    f = spark.createDataFrame([("a", "mg/L", "1"), ("a", "", "1"), ("z", "C", None)], "theme_id string, unit string, chunk_id string")
-    rows = {r.theme_id: r for r in upkeep.quality_report(c, f).collect()}
-    assert (rows["a"].facts_without_unit, rows["a"].flags) == (1, ["missing_units"]) and rows["b"].flags == ["no_facts"] and rows["z"].flags == ["no_chunks"]
+    f = spark.createDataFrame([("a", "mg/L", "1", 1.0), ("a", "", "1", 2.0), ("z", "C", None, 3.0)], "theme_id string, unit string, chunk_id string, value double")
+    health = spark.createDataFrame([("b", "weak_graph"), ("a", "ok")], "theme_id string, graph_health string")
+    rows = {r.theme_id: r for r in upkeep.quality_report(c, f, health).collect()}
+    assert (rows["a"].facts_without_unit, rows["a"].issues) == (1, ["numeric_facts_without_unit"])
+    assert rows["b"].issues == ["weak_graph"] and rows["z"].issues == ["empty_theme", "numeric_facts_without_chunk"]
 
 
 def test_statuses(spark):
@@ -53,14 +55,22 @@ def test_import(spark):
 
 
 def test_noise_goes(spark):
-    text = "Head\nBody one.\n12\nhttp://x.org/a\n* a footnote\nReferences\n1. gone\nAppendix A\nstays"
+    text = "Head\nBody one.\n12\nhttp://x.org/a\n[1] doi: a footnote\n\n\nReferences\n1. gone\nAppendix A\nstays"
     df = spark.createDataFrame([(text, "article", ["head"]), (text, "patent", [])], "text string, kind string, lines array<string>")
     rows = {r.kind: r.text for r in chunking.without_noise(df, document_type="kind", repeated="lines").collect()}
-    assert rows["article"] == "Body one.\nAppendix A\nstays"
-    assert rows["patent"] == "Head\nBody one.\nReferences\n1. gone\nAppendix A\nstays"
+    assert rows["article"] == "Body one.\n\nAppendix A\nstays"
+    assert rows["patent"] == "Head\nBody one.\n\nReferences\n1. gone\nAppendix A\nstays"
 
 
 def test_tables_and_headers(spark):
-    df = spark.createDataFrame([([["n", "v"], ["a", "1"], ["b", ""]], {"b": "2", "a": None, "c": "3"}, "t")], "rows array<array<string>>, m map<string,string>, t string")
-    r = df.select(chunking.table_description(F.col("rows")).alias("d"), chunking.with_header(F.col("m"), F.col("t")).alias("h")).first()
-    assert r.d == "Table of 2 rows and 2 columns, 1 cells with numbers.\nn = a; v = 1\nn = b" and r.h == "b: 2\nc: 3\n\nt"
+    df = spark.createDataFrame([("| n | |\n|--|--|\n| a | 1 |\n| b | |", None, "3", " t ")], "table string, a string, c string, t string")
+    r = df.select(chunking.table_text(F.col("table"), F.array(F.lit("nickel"))).alias("d"), chunking.with_header([("b", F.lit(2)), ("a", F.col("a")), ("c", F.col("c"))], F.col("t")).alias("h")).first()
+    lines = r.d.split("\n")
+    assert lines[1] == "Таблица содержит 2 строк и 2 столбцов: n, Колонка 2." and lines[3] == "Связанные доменные теги: nickel."
+    assert lines[4:6] == ["Строка 1: n = a; Колонка 2 = 1.", "Строка 2: n = b."] and lines[-4] == "| n | |"
+    assert r.h == "[METADATA]\nb: 2\nc: 3\n[/METADATA]\n\nt"
+
+
+def test_fragments_are_left_out(spark):
+    df = spark.createDataFrame([("short", 0), ("short 5", 0), ("short", 1), ("x" * 60, 0)], "t string, n int")
+    assert [r.x for r in df.select(chunking.worth_storing(F.col("t"), F.col("n")).alias("x")).collect()] == [False, True, True, True]
