@@ -196,7 +196,7 @@ def graph_metrics(vertices: DataFrame, edges: DataFrame, labels: DataFrame, ws:
     from .components import connected_components
 
     vertices, edges = ws.save(vertices, "vertices"), ws.save(edges, "edges")
-    roots = ws.save(connected_components(edges, ws), "roots")
+    roots = ws.save(connected_components(edges, ws), "members")  # of components
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("largest"))
     tops = top_labelled(degrees(vertices, edges), labels, "degree", top_n)
     tops = tops.unionByName(top_labelled(pagerank(vertices, edges, ws, iterations).withColumnRenamed("rank", "pagerank"), labels, "pagerank", top_n))

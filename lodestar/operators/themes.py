@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, normalize, path_parts, path_years, slug, text_or_empty, theme_from_file_name
+from ..workspace import Workspace
 
 # Collections with their aliases, and the source type of each.
 COLLECTIONS = {
@@ -235,6 +236,8 @@ def theme_distribution(resolved: DataFrame, least_documents: int = 2, least_chun
 
     ``examples``: the least paths; ``evidence``: the most frequent kinds with their counts. Neither list is longer than asked for while it is gathered.
     """
+    ws = Workspace(resolved.sparkSession, "themes")  # read three times below
+    resolved = ws.save(resolved.select("theme_id", "relative_path", "chunks", "evidence"), "resolved")
     sums = resolved.groupBy("theme_id").agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"))
     firsts = _ranked(resolved.select("theme_id", F.col("relative_path").alias("x"), F.col("relative_path").alias("o")), examples).alias("examples")
     counted = resolved.select("theme_id", F.explode("evidence").alias("e")).groupBy("theme_id", "e").agg(F.count("*").alias("n"))

@@ -42,7 +42,7 @@ def test_discovery_and_parsing(spark, tmp_path):
     files = readers.discover(spark, str(tmp_path / "in"), ignored=("Old_Cache",))
     rows = {r.relative_path: r for r in readers.parse(files).collect()}
     assert set(rows) == {"a.txt", "b.csv", "c.html", "d.pdf"}
-    assert rows["a.txt"].text == "привет" and rows["c.html"].text == "one\ntwo" and rows["d.pdf"].error == "no parser"
+    assert rows["a.txt"].text == "привет" and rows["c.html"].text == "one\ntwo" and rows["d.pdf"].error == "no text"
     assert rows["b.csv"].text.splitlines()[0] == "| x | y |  |"
 
 
@@ -88,7 +88,7 @@ def test_office_files():
     cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
     body = f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}{cell('')}</w:tr></w:tbl><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>"
     assert office.docx(_zip({"word/document.xml": body}), "x.docx") == [("text", "One two\n\nThree", None), ("table", "| a | b |\n| --- | --- |\n| 1 |  |", None)]
-    slide = lambda t: f'<p xmlns:a="a"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p>'
+    slide = lambda t: f'<sld xmlns:a="a"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></sld>'
     assert office.pptx(_zip({"ppt/slides/slide10.xml": slide("ten"), "ppt/slides/slide2.xml": slide("two")}), "x") == [("text", "two", 1), ("text", "ten", 2)]
     sheet = '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row><c r="A2" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
     rows = office.xlsx(_zip({"xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": "<sst><si><t>head</t></si></sst>"}), "x")
