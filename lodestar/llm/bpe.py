@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import spread
+
 STATE_LIMIT = 300_000
 PIECE_LIMIT = 300_000
 _NEVER = 1 << 60
@@ -362,5 +364,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return digests(bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 SEED = 5
 COVERAGE = 0.5
@@ -267,4 +267,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that contaminates it; what ``find_contamination`` says of nulls, repeats and empty tables holds."""
-    return find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_contamination(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

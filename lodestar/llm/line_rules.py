@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 MIN_DOCS, MAX_SHARE, MIN_TEXTS = 20, 0.05, 3
 #: Longer texts sort whole hashes of their windows, which takes longer.
@@ -157,7 +157,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     one host, repeated rows come back as often, further columns are ignored, and
     an empty table gives an empty result.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     verdicts = judge_texts(docs, Workspace(spark, "lines"))
     rows = docs.select("doc_id", *text_keys()).join(verdicts, ["host", "digest"])
     return rows.select("doc_id", *MEASURES, "base_failed", "kept")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 #: Classes of the model, how many of them are groups of words, and the dimensions of classes' and of words' vectors.
 CLASSES, GROUPS, DIM, WORD_DIM = 512, 256, 16, 8
@@ -459,4 +459,4 @@ def _add_tail(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of each row of ``documents``; what ``score_texts`` says of nulls, repeats and empty tables holds."""
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_texts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 HIDDEN, EPOCHS, BATCH, RATE = 16, 60, 1024, 5e-3
@@ -217,6 +217,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, ws: Workspace | None = Non
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold, score and prediction of each row of ``documents``; what ``score_quality`` says of nulls, repeats and empty tables holds."""
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs, labels)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

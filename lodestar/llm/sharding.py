@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 #: Least and greatest bytes of a bucket; between them there are ``BUCKETS``.
 BUCKET_BYTES, MOST_BYTES, BUCKETS = 32 << 20, 512 << 20, 50_000
@@ -125,7 +125,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated rows and further columns are dealt like any other, and an empty
     table gives an empty result.
     """
-    placed = shuffle_into_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40, seed=42)
+    placed = shuffle_into_shards(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), 40, seed=42)
     path = Workspace(spark, "shards").path("written")
     write_shards(placed, path)
     written = spark.read.schema(placed.schema).parquet(path)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import SALTS, connected_components
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 from .near_copies import copies_to_keep, text_digest
 
 BITS = 64
@@ -228,5 +228,5 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
