@@ -449,8 +449,8 @@ SQL = {
         SELECT fact_id, CAST(place AS INT) AS fact_score, round(confidence, 6) AS confidence FROM (SELECT * FROM p ORDER BY place DESC, p.confidence DESC, fact_id LIMIT 30) WHERE place >= 0""",
     "fact_confidence": """WITH t AS (SELECT p_partkey AS k, p_name, p_partkey % 31 * 3 AS gap, p_partkey % 3 <> 0 AS named FROM part)
         SELECT CAST(k AS VARCHAR) AS object_id, 'concentration' AS property_id, CAST(k % 50 + 1 AS DOUBLE) AS value,
-            -- the space before the number is part of the match, so a name of 7 letters ends gap + 1 characters before it and must begin within 96
-            CAST(CASE WHEN named AND gap + 8 <= 96 THEN round(least(0.97, 0.77 + 0.20 * (96 - (gap + 1)) / 96.0), 4) ELSE 0.66 END AS DOUBLE) AS confidence,
+            -- blanks before the number are part of the match, so a name of 7 letters ends gap + 1 characters before it, or right there, and must begin within 96
+            CAST(CASE WHEN named AND gap + 8 <= 96 THEN round(least(0.97, 0.77 + 0.20 * (96 - CASE WHEN gap = 0 THEN 0 ELSE gap + 1 END) / 96.0), 4) ELSE 0.66 END AS DOUBLE) AS confidence,
             coalesce((SELECT string_agg(w, ',' ORDER BY pos) FROM (SELECT w, strpos(' ' || p_name || ' ', ' ' || w || ' ') AS pos FROM (SELECT unnest(['bolt', 'gear', 'red']) AS w)) WHERE pos > 0), '') AS entities FROM t""",
     "evidence_units": """SELECT p_partkey, round(1.4 * (CAST(contains(p_name, 'bolt') AS INT) + CAST(contains(p_name, 'gear') AS INT)) + CASE WHEN p_partkey % 2 = 0 THEN 3.0 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1.6 ELSE 0 END
         + CASE WHEN p_partkey % 5 = 0 THEN 0.8 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 AND NOT contains(p_name, 'bolt') AND NOT contains(p_name, 'gear') THEN 2.0 ELSE 0 END - CASE WHEN p_partkey % 11 = 0 THEN 0.4 ELSE 0 END, 6) AS score FROM part""",
