@@ -71,7 +71,7 @@ def reads_back(piece: Column, role: Column, text: Column) -> Column:
 
 def _whole(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the sorted turns of each conversation. Rows without conv_id are not gathered: there may be any number of them."""
-    struct = F.struct("turn", "role", "text", "pieces")
+    struct = F.struct("turn", "role", "text", "piece")
     gathered = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(struct)).alias("turns"))
     return gathered.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array(struct).alias("turns")))
 
@@ -85,24 +85,24 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     empty result. One string holds a conversation; its turns are rendered and
     compared before they meet.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    at = [render(F.col("role"), F.col("text"), level) for level in range(LEVELS)]
-    turns = turns.withColumns({f"_{level}": piece for level, piece in enumerate(at)})
-    # pieces[k]: of this level or of the first above that reads back; the last is taken where none does, and found out below
-    pieces = [F.col(f"_{LEVELS - 1}")]
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text = F.col("role"), F.col("text")
+    # the least escaped piece that reads back; where none does, the last, which is found out below
+    piece = render(role, text, LEVELS - 1)
     for level in reversed(range(LEVELS - 1)):
-        own = F.col(f"_{level}")
-        pieces.insert(0, F.when(reads_back(own, F.col("role"), F.col("text")), own).otherwise(pieces[0]))
-    whole = _whole(turns.select("conv_id", "turn", "role", "text", F.array(*pieces).alias("pieces")))
+        own = render(role, text, level)
+        piece = F.when(reads_back(own, role, text), own).otherwise(piece)
+    whole = _whole(turns.withColumn("piece", piece)).withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["piece"]), ""))
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     formatted = F.raise_error(F.lit("a conversation does not read back as its turns"))
-    for level in reversed(range(LEVELS)):
-        joined = F.col(f"_{level}")
-        formatted = F.when(_told(joined) == source, joined).otherwise(formatted)
-    piece_at = lambda level: lambda t: t["pieces"][level]
-    whole = whole.withColumns({f"_{level}": F.array_join(F.transform("turns", piece_at(level)), "") for level in range(LEVELS)})
-    return whole.select("conv_id", formatted.alias("formatted"))
+    for level in reversed(range(1, LEVELS)):  # looked at only where the pieces together don't read back
+        further = F.array_join(F.transform("turns", _rendered(level)), "")
+        formatted = F.when(_told(further) == source, further).otherwise(formatted)
+    return whole.select("conv_id", F.when(_told(F.col("formatted")) == source, F.col("formatted")).otherwise(formatted).alias("formatted"))
+
+
+def _rendered(level: int):
+    return lambda t: render(t["role"], t["text"], level)
 
 
 def _told(formatted: Column) -> Column:
