@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..workspace import spread
 
 STATE_LIMIT = 300_000
@@ -310,6 +311,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = Fa
     the ids decode to, by the same worker, as decoded. The vocabulary is read
     on the driver and broadcast: its size is that of the file, whatever the input.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     names = ["doc_id", "ids", *(["decoded"] if decode else [])]
 
@@ -334,6 +336,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = Fa
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, decoded string) of each row of ``encoded`` (doc_id, ids); null ids decode to the empty text."""
+    ship_package(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Decoder({rank: token for token, rank in read_ranks(ranks_path).items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

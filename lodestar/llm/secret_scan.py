@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..workspace import spread
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -158,6 +159,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     they are, and an empty table gives an empty result. Time and memory grow
     with the length of a text.
     """
+    ship_package(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +190,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     names; null texts stay null, and an empty table gives an empty result.
     """
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts):
         scan = Scanner().scan

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Verdict, host with subdomains, path prefix. Fixed values.
 HOST_RULES = (
     ("allow", "org", "/"),
@@ -163,6 +165,7 @@ def filter_urls(pages: DataFrame, rules=PATTERN_RULES, host_rules=HOST_RULES) ->
     without ``://``, have an empty host and path and no host rule. Null ids and
     repeated rows come back as they are, and an empty table gives an empty result.
     """
+    ship_package(pages.sparkSession)
     counts = rule_token_counts(pages, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
