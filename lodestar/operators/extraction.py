@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..session import ship_package
 
 PROPERTY_WINDOW, ENTITY_WINDOW, CONTEXT_WINDOW = 96, 120, 180
 MOST_ENTITIES, MOST_TAGS, MOST_EXPANDED = 8, 24, 48
@@ -195,6 +196,7 @@ def facts_of(ontology: Ontology, text: str | None, source_name: str = "", object
 
 def extract_facts(objects: DataFrame, ontology: Ontology, text: str = "text", key: str = "object_id", source: str = "source_name") -> DataFrame:
     """Facts of all rows of ``objects``; null texts have none."""
+    ship_package(objects.sparkSession)
     columns = [c.split()[0] for c in FACT_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,6 +210,7 @@ def extract_facts(objects: DataFrame, ontology: Ontology, text: str = "text", ke
 
 def find_terms(docs: DataFrame, ontology: Ontology, key: str, text: str = "text") -> DataFrame:
     """(key, term_id, label, start, end) of the terms in each text."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,6 +313,7 @@ def fact_context(facts: list[dict], limit: int = 10) -> str:
 
 def parse_queries(questions: DataFrame, ontology: Ontology, this_year: int, key: str = "question_id", text: str = "text") -> DataFrame:
     """(key, intent, term_ids, places, year_from, year_to, facets, expanded, constraints) of each question; constraints as ``raw operator value``."""
+    ship_package(questions.sparkSession)
     schema = f"{key} {dict(questions.dtypes)[key]}, intent string, term_ids array<string>, places array<string>, year_from int, year_to int, facets array<string>, expanded array<string>, constraints array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.text import bind, contained, count_contained, fingerprint, line_stats, normalize, scoring_tokens, selection_document_type
+from ..session import ship_package
 
 
 def _hits(text: Column, terms: list[str]) -> Column:
@@ -146,6 +147,7 @@ def select_chunks(scored: DataFrame, base_limit: int = 4, min_score: float = 0.1
     order by one task; its input is the theme's candidates, which
     ``top_candidates`` bounds, without their texts.
     """
+    ship_package(scored.sparkSession)
     size = Window.partitionBy(group, "source_id")
     citation = F.coalesce("citation_name", F.lit("")) if "citation_name" in scored.columns else F.lit("")
     place = F.struct(F.coalesce("source_name", F.lit("")), citation, "chunk_id")

@@ -5,8 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.readers import read_jsonl, write_jsonl
+
+
+# Classes of answers by words, in order.
+NICHES = [
+    ("membrane_desalination", ["обратный осмос", "reverse osmosis", "мембран"]),
+    ("ion_exchange", ["ионный обмен", "ion exchange"]),
+    ("electrolyte_circulation", ["католит", "catholyte"]),
+    ("matte_slag_distribution", ["штейн", "matte", "шлак", "slag"]),
+]
+FEEDBACK = "query string, params map<string,double>, score double, comment string"
+
+
+def niche_key(text: Column | str) -> Column:
+    """The class of an answer or of facts by its words, else general."""
+    low, out = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit("general")
+    for name, words in reversed(NICHES):
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+    return out
+
+
+def append_feedback(rows: DataFrame, path: str) -> None:
+    """Adds experts' scores of answers (query, params, score, comment) to a log of JSON lines."""
+    write_jsonl(rows.select("query", "params", "score", "comment"), path, mode="append")
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, StructType.fromDDL(FEEDBACK))
 
 
 def particle_swarm(objective: Callable[[dict[str, float]], float], bounds: dict[str, tuple[float, float]], particles: int = 12, iterations: int = 20, seed: int = 0) -> tuple[dict[str, float], float]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import answers, chunking, citations
+from ..operators import answers, chunking, citations, tuning
 from ..sources import readers
 from ..workspace import Workspace
 from .fixtures import table
@@ -184,9 +184,20 @@ def csv_tables(spark, sf_dir):
     return readers.read_csv(spark, path, required=("citation_text",)).select("key", "citation_text")
 
 
+def feedback_by_niche(spark, sf_dir):
+    """Scores that experts gave, written to a log in two goes and read again, by class of answer."""
+    path, k = Workspace(spark, "feedback").path("log"), F.col("p_partkey")
+    answer = F.concat(_pick(["Обратный осмос and more", "by Ion Exchange", "the catholyte", "шлак", "matte", "no word of it"], k), F.lit(" "), "p_name")
+    rows = table(spark, sf_dir, "part").select(answer.alias("query"), F.create_map(F.lit("k"), (k % 5).cast("double")).alias("params"), (k % 10 / 2).alias("score"), F.lit("say \"yes\"").alias("comment"))
+    tuning.append_feedback(rows.where("score < 2"), path)
+    tuning.append_feedback(rows.where("score >= 2"), path)
+    read = tuning.read_feedback(spark, path)
+    return read.groupBy(tuning.niche_key("query").alias("niche")).agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum(F.col("params")["k"]).alias("params"))
+
+
 QUERIES = {f.__name__: f for f in (
     doc_type, document_types, section_type, section_titles, source_years, path_names, compact_texts, thinking_stripped, clean_text, noise_removed, markdown_tables, table_descriptions, packed_chunks,
-    citations_split, guide_class, answer_rules, answer_sources, json_lines, csv_tables,
+    citations_split, guide_class, answer_rules, answer_sources, json_lines, csv_tables, feedback_by_niche,
 )}
 
 
@@ -316,5 +327,8 @@ SQL = {
         FROM listed l LEFT JOIN (SELECT q, path, CAST(sum(n) AS BIGINT) AS n FROM chunks GROUP BY 1, 2) c ON c.q = l.q AND c.path = l.path""",
     "json_lines": """SELECT event_type, count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n, CAST(sum(event_id) + coalesce(sum(event_id) FILTER (WHERE event_id % 2 = 0), 0) AS BIGINT) AS ids
         FROM events WHERE event_id % 5 >= 3 GROUP BY 1""",
+    "feedback_by_niche": f"""SELECT CASE {' '.join("WHEN " + ' OR '.join(f"contains(lower(q), '{w}')" for w in words) + f" THEN '{name}'" for name, words in tuning.NICHES)} ELSE 'general' END AS niche,
+        count(*) AS n, sum(p_partkey % 10 / 2) AS score, CAST(sum(p_partkey % 5) AS DOUBLE) AS params
+        FROM (SELECT p_partkey, ['Обратный осмос and more', 'by Ion Exchange', 'the catholyte', 'шлак', 'matte', 'no word of it'][p_partkey % 6 + 1] || ' ' || p_name AS q FROM part) GROUP BY 1""",
     "csv_tables": "SELECT CAST(n_nationkey AS VARCHAR) AS key, 'say \"' || n_name || '\",' || chr(10) || 'it' AS citation_text FROM nation",
 }

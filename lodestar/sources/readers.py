@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from . import office
 
 TEXT_EXTENSIONS = ("txt", "md", "markdown", "rst", "log", "json", "jsonl", "xml", "html", "htm", "yaml")
@@ -174,6 +175,7 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
 
     A file without a parser, with a failing one, or without any text has one row with an error.
     """
+    ship_package(files.sparkSession)
     known = dict(PARSERS if parsers is None else parsers)
     schema = "relative_path string, source_hash string, object_type string, object_index int, page int, text string, error string"
 
@@ -208,6 +210,7 @@ def embed(rows: DataFrame, text: str, service: Callable[[list[str]], list[list[f
     """``rows`` with embedding, by a service for lists of texts or else by hashing. Texts are sent in batches from the executors, ``concurrency`` tasks at a time."""
     if service is None:
         return rows.withColumn("embedding", hashing_embedder(F.col(text)))
+    ship_package(rows.sparkSession)
     rows = rows.coalesce(concurrency) if concurrency else rows
 
     @F.pandas_udf("array<float>")

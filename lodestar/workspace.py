@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship_package
+
 
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of this machine only where that is unset, as in tests."""
@@ -33,6 +35,7 @@ class Workspace:
     """Tables of one operator call. They go when dropped, or else when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str = "op") -> None:
+        ship_package(spark)  # operators with intermediate tables may run Python on the executors
         self.spark = spark
         self.root = f"{shared_root(spark)}/lodestar-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
