@@ -272,8 +272,16 @@ class Engine:
         built = self._graph("retrieval_index")
         return built if built is not None else self.store.read("chunks")
 
+    def _ready_rows(self, min_readiness: str = "search_ready") -> DataFrame:
+        """``rows`` of the themes that are ready; all of them before there is a catalog."""
+        catalog = self._graph("themes")
+        if catalog is None:
+            return self.rows()
+        ready = catalog.where(store.readiness_rank(F.col("status")) >= V.READINESS[min_readiness])
+        return self.rows().join(ready.select("theme_id"), "theme_id", "left_semi")
+
     def route(self, question: str, min_readiness: str = "search_ready") -> DataFrame:
-        """The themes to ask; where the scores name none, those of the best hits, and at last the first ready ones."""
+        """The ready themes to ask; where the scores name none, those of the best hits, and at last the first ones."""
         catalog, vector = self._graph("themes"), None
         vectors = self._graph("theme_embeddings") if self.settings.embedder else None
         if vectors is not None:
@@ -282,7 +290,7 @@ class Engine:
         found = search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness, fallback=False)
         if found.limit(1).count():
             return found
-        best = search.search(self.rows(), question, 1, group="theme_id").select("theme_id", F.col("score").alias("route_score"))
+        best = search.search(self._ready_rows(min_readiness), question, 1, group="theme_id").select("theme_id", F.col("score").alias("route_score"))
         best = best.orderBy(F.desc("route_score"), "theme_id").limit(self.settings.max_themes)
         return best if best.limit(1).count() else search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness)
 
@@ -292,7 +300,7 @@ class Engine:
         rows = self.rows()
         got = search.search(rows.where(F.col("theme_id").isin(ids)), question, self.settings.hits, group="theme_id").collect() if ids else []
         if not got and not theme_ids:
-            got = search.search(rows, question, self.settings.hits).collect()
+            got = search.search(self._ready_rows(), question, self.settings.hits).collect()
         best = sorted((r.asDict(recursive=True) for r in got), key=lambda h: (-h["score"], h["chunk_id"]))
         return search.rerank(best, self.settings.reranker)
 
