@@ -11,7 +11,10 @@ from .chat import op8_chat
 from .decontaminate import op6_decontaminate
 from .line_rules import MAX_SHARE, MIN_DOCS, MIN_TEXTS, op10_line_rules
 from .lm_score import op7_lm_score
+from .minhash import op12_minhash
 from .quality_model import op9_quality_model
+from .ranked_search import op13_ranked_search
+from .resample import op11_resample
 from .secret_scan import op4_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
@@ -35,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_quality_model": op9_quality_model,
     "op10_line_rules": op10_line_rules,
+    "op11_resample": op11_resample,
+    "op12_minhash": op12_minhash,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
@@ -95,4 +101,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM measured LEFT JOIN lost l USING (host, text)
 """
 
-SQL: dict[str, str] = {"op5_urls": _urls_sql(), "op8_chat": _CONVERSATIONS, "op10_line_rules": _LINE_RULES}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RESAMPLE = rf"""
+WITH words AS (
+    SELECT 0 AS kind, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+    UNION ALL SELECT 1, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), crc AS (  -- the table of CRC-32 by its rule
+    SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i::UBIGINT) ORDER BY i) AS rows FROM range(256) r(i)
+), hashed AS (
+    SELECT word, xor(4294967295::UBIGINT, list_reduce(list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: ('0x' || x)::UBIGINT),
+        lambda c, b: xor(c >> 8, rows[(xor(c, b) & 255)::INT + 1]), 4294967295::UBIGINT)) % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc
+), features AS (SELECT kind, doc_id, bucket FROM words JOIN hashed USING (word)),
+totals AS (SELECT count(*) FILTER (WHERE kind = 0)::DOUBLE AS s_all, count(*) FILTER (WHERE kind = 1)::DOUBLE AS t_all FROM features),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM totals,
+    (SELECT bucket, count(*) FILTER (WHERE kind = 0)::DOUBLE AS s, count(*) FILTER (WHERE kind = 1)::DOUBLE AS t FROM features GROUP BY bucket)),
+weights AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM documents LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+_MINHASH = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingled AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM words
+), sets AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT rep, n, unnest(s) AS g FROM sets),
+links AS (SELECT a.rep AS a, b.rep AS b FROM members a JOIN members b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+    SELECT rep AS node, rep AS other FROM sets
+    UNION SELECT r.node, l.b FROM reached r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.other
+), roots AS (SELECT node AS rep, min(other) AS root FROM reached GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM shingled LEFT JOIN sets USING (s) LEFT JOIN roots USING (rep)
+"""
+
+_RANKED_SEARCH = rf"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT term, doc_id, count(*)::BIGINT AS tf FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY term, doc_id),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, docs),
+impacts AS (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS impact
+    FROM postings JOIN weights USING (term) JOIN lengths USING (doc_id), corpus),
+scored AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id HAVING sum(impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+SQL: dict[str, str] = {
+    "op5_urls": _urls_sql(),
+    "op8_chat": _CONVERSATIONS,
+    "op10_line_rules": _LINE_RULES,
+    "op11_resample": _RESAMPLE,
+    "op12_minhash": _MINHASH,
+    "op13_ranked_search": _RANKED_SEARCH,
+}
