@@ -274,13 +274,14 @@ def _cells(percent: int):
     return link
 
 
-def _dealt(groups: DataFrame) -> DataFrame:
+def _dealt(groups: DataFrame, ws: Workspace) -> DataFrame:
     """Cells (centre, a, b, id, root, side) of ``groups`` (centre, id, root, bytes): all pairs of a group but those within its greatest component."""
     sizes = groups.groupBy("centre", "root").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
     top = F.max(F.struct("c", "root", "bytes")).alias("top")
     per = sizes.groupBy("centre").agg(top, F.sum("bytes").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     parts = lambda size: F.greatest(F.lit(1), F.ceil(size / PART_BYTES)).cast("int")
     per = per.select("centre", F.col("top.root").alias("main"), parts(F.col("top.bytes")).alias("mains"), parts(F.col("all") - F.col("top.bytes")).alias("rests"))
+    per = ws.save(per, "mixed")  # so that the join below is of two tables, of which a large group can be split
     rows = groups.join(per, "centre").withColumn("hash", F.xxhash64("id"))
     part = lambda n: F.pmod("hash", n).cast("int")
     to = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
@@ -316,12 +317,12 @@ def alike_components(nodes: DataFrame, sets_of, percent: int, ws: Workspace) ->
 
     placed = meetings.join(sets.select("id", (8 * F.col("n")).alias("bytes")), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     groups = ws.save(placed.select("centre", "id", F.coalesce("root", "id").alias("root"), "bytes"), "groups")
-    cells = ws.save(_dealt(groups), "cells")
+    cells = ws.save(_dealt(groups, ws), "cells")
     tasks = max(1, -(-(cells.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     shipped = cells.drop("bytes").join(sets.drop("n"), "id").withColumn("task", F.pmod(F.xxhash64("centre", "a", "b"), F.lit(tasks)))
     more = shipped.groupBy("task").applyInArrow(_cells(percent), _LINKS)
     links = ws.save(links.unionByName(more), "links")
-    for name in ("meetings", "stars of centres", "groups", "cells", "sets"):
+    for name in ("meetings", "stars of centres", "groups", "mixed", "cells", "sets"):
         ws.drop(name)
     return ws.save(connected_components(links, ws), "roots").withColumnRenamed("node", "id")
 

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, near_copies, secret_scan, simhash
+from lodestar.llm import decontaminate, minhash, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,12 +70,12 @@ def test_near_copies_go(stages):
     assert set(after) == near_groups(before)
 
 
-@pytest.mark.parametrize("part", [5, 1024])
+@pytest.mark.parametrize("part", [1, 1024])
 def test_edited_copies_go(spark, monkeypatch, part):
     """Copies with words changed, in a crowd and in chains, around and across the limit of 0.8; blocks split into many cells, and not."""
-    monkeypatch.setattr(near_copies, "PART", part)
-    monkeypatch.setattr(near_copies, "CELL_ROWS", 64 * part)
-    monkeypatch.setattr(near_copies, "GRID_BYTES", 4096 * part)
+    monkeypatch.setattr(minhash, "PART_BYTES", 4096 * part)
+    monkeypatch.setattr(minhash, "TASK_BYTES", 9000 * part)
+    monkeypatch.setattr(minhash, "GRID_BYTES", 4096 * part)
     rng, texts = random.Random(3), {}
     for group in range(6):
         base = [f"w{rng.randrange(5000)}" for _ in range(120)]
