@@ -19,15 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..session import ship_package
+from .terms import Labels, find_sent, fold
 
 PROPERTY_WINDOW, ENTITY_WINDOW, CONTEXT_WINDOW = 96, 120, 180
 MOST_ENTITIES, MOST_TAGS, MOST_EXPANDED = 8, 24, 48
 
 
-def fold(text: str) -> str:
-    return text.lower().replace("ё", "е")
-
-
 @dataclass(frozen=True)
 class Term:
     term_id: str
@@ -65,36 +62,17 @@ class Ontology:
         pairs = lambda key: {k: tuple(v) for k, v in data.get(key, {}).items()}
         return cls(terms, pairs("properties"), pairs("geographies"))
 
-    @cached_property
-    def by_label(self) -> dict[str, Term]:
-        """The first term declared wins a label."""
-        out: dict[str, Term] = {}
-        for term in self.terms:
-            for label in term.all_labels:
-                out.setdefault(fold(label), term)
-        return out
-
     @cached_property
     def by_id(self) -> dict[str, Term]:
         return {t.term_id: t for t in self.terms}
 
     @cached_property
-    def _order(self) -> list[tuple[str, re.Pattern]]:
-        """Longest labels first; of one length in order of declaration."""
-        labels = sorted(self.by_label, key=len, reverse=True)
-        return [(x, re.compile(rf"(?<!\w){re.escape(x)}(?!\w)")) for x in labels]
+    def _labels(self) -> Labels:
+        return Labels((x, t.term_id) for t in self.terms for x in t.all_labels)
 
     def find(self, text: str | None) -> list[tuple[str, str, int, int]]:
         """(term id, label, start, end) of whole-word matches by place: longer labels first, none overlapping one found before."""
-        low, taken, found = fold(text or ""), bytearray(len(text or "")), []
-        for label, pattern in self._order:
-            if label not in low:
-                continue
-            for m in pattern.finditer(low):
-                if not any(taken[m.start() : m.end()]):
-                    taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-                    found.append((self.by_label[label].term_id, label, m.start(), m.end()))
-        return sorted(found, key=lambda x: (x[2], x[3]))
+        return self._labels.find(text)
 
     def tags(self, text: str | None, most: int = MOST_TAGS) -> list[str]:
         return list(dict.fromkeys(t for t, *_ in self.find(text)))[:most]
@@ -162,7 +140,7 @@ def property_of(ontology: Ontology, text: str, start: int, end: int, dimension:
             for m in re.finditer(pattern, window):
                 gap = min(abs(at - m.start()), abs(at - m.end()))
                 if gap <= PROPERTY_WINDOW and m.start() <= at + 5:
-                    score = min(0.97, 0.77 + 0.20 * (PROPERTY_WINDOW - gap) / PROPERTY_WINDOW)
+                    score = min(0.97, 0.72 + (PROPERTY_WINDOW - gap) / PROPERTY_WINDOW * 0.20 + 0.05)
                     if best is None or (score, -gap) > (best[0], -best[1]):
                         best = (score, gap, prop)
     return (best[2], best[0]) if best else V.FALLBACK_PROPERTY.get(dimension, ("numeric_value", 0.50))
@@ -175,14 +153,17 @@ FACT_SCHEMA = (
 
 
 def facts_of(ontology: Ontology, text: str | None, source_name: str = "", object_id: str = "") -> list[tuple]:
-    """Rows of ``FACT_SCHEMA`` for each number with a unit, in order."""
-    text, out = text or "", []
+    """Rows of ``FACT_SCHEMA`` for each number with a unit, in order.
+
+    Numbers are looked for in the text with blanks collapsed and ё as е, so ids don't depend on how it was wrapped.
+    """
+    text, out = " ".join((text or "").replace("ё", "е").split()), []
     for i, m in enumerate(QUANTITY.finditer(text)):
         unit, factor, dimension = unit_of(m["unit"])
         low, high = number_of(m["low"]), number_of(m["high"]) if m["high"] else None
         prop, confidence = property_of(ontology, text, m.start(), m.end(), dimension)
         near = text[max(0, m.start() - ENTITY_WINDOW) : m.end() + ENTITY_WINDOW]
-        context = " ".join(text[max(0, m.start() - CONTEXT_WINDOW) : m.end() + CONTEXT_WINDOW].split())
+        context = text[max(0, m.start() - CONTEXT_WINDOW) : m.end() + CONTEXT_WINDOW].strip()
         key = "|".join((source_name or "", object_id or "", str(i), prop, m.group(), context[:40]))
         out.append(
             (
@@ -209,15 +190,8 @@ def extract_facts(objects: DataFrame, ontology: Ontology, text: str = "text", ke
 
 
 def find_terms(docs: DataFrame, ontology: Ontology, key: str, text: str = "text") -> DataFrame:
-    """(key, term_id, label, start, end) of the terms in each text."""
-    ship_package(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, *m) for k, t in zip(pdf[key], pdf[text]) for m in ontology.find(t)]
-            yield pd.DataFrame(rows, columns=[key, "term_id", "label", "start", "end"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, term_id string, label string, start int, end int")
+    """(key, term_id, label, start, end) of the terms in each text. Labels in a table, of any number, are for ``terms.find_labels``."""
+    return find_sent(docs, ontology._labels, key, text)
 
 
 # Words that tell what a question wants, in order of precedence, and the facets that it asks for.

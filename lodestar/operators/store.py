@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
+from .tables import VersionedTables
 
+#: What tells the rows of a table apart.
+IDS = {"sources": "source_id", "source_fragments": "fragment_id", "chunks": "chunk_id", "numeric_facts": "fact_id", "entities": "entity_id", "triples": "triple_id", "ingestion_runs": "run_id"}
 TABLES = ("sources", "source_fragments", "chunks", "numeric_facts", "entities", "triples", "relations", "claims", "ingestion_runs")
 
 
@@ -130,62 +133,14 @@ def duplicate_titles(sources: DataFrame, title: str, key: str = "source_id") ->
     return rows.join(firsts, "h").where("later <> first").select("first", "later")
 
 
-class KnowledgeStore:
-    """The tables below one folder, Parquet by theme.
-
-    Each table is a folder of versions. A write makes a new version, whole or with
-    links to nothing of the old one, and only then names it the current one, so a
-    driver lost in between leaves the table as it was. The version before is kept
-    for readers that have begun; older ones go.
-    """
+class KnowledgeStore(VersionedTables):
+    """The tables of a knowledge base below one folder, Parquet by theme."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def versions(self, table: str) -> list[str]:
-        """Complete versions, the oldest first: those whose writer has finished."""
-        if table not in TABLES:
-            raise KeyError(table)
-        fs, where = self._fs(f"{self.root}/{table}")
-        if not fs.exists(where):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(where))
-        return [f"{self.root}/{table}/{n}" for n in names if fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])]
-
-    def path(self, table: str) -> str:
-        """The current version's folder."""
-        found = self.versions(table)
-        if not found:
-            raise FileNotFoundError(f"{self.root}/{table}")
-        return found[-1]
-
-    def exists(self, table: str) -> bool:
-        return bool(self.versions(table))
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
-
-    def write(self, table: str, df: DataFrame) -> None:
-        """A new version, which may be made from the current one."""
-        found = self.versions(table)
-        n = int(found[-1].rsplit("v", 1)[1]) + 1 if found else 0
-        target = f"{self.root}/{table}/v{n:08d}"
-        fs, where = self._fs(target)
-        fs.delete(where, True)  # what a lost writer left
-        writer = df.write.partitionBy("theme_id") if "theme_id" in df.columns else df.write
-        writer.parquet(target)
-        for old in found[:-1]:
-            fs.delete(self._fs(old)[1], True)
-
-    def append(self, table: str, df: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(df, allowMissingColumns=True) if self.exists(table) else df)
-
-    def upsert(self, table: str, new: DataFrame, keys: tuple[str, ...] = ("source_id", "source_hash", "source_name")) -> None:
-        self.write(table, upsert(self.read(table), new, tuple(k for k in keys if k in new.columns)) if self.exists(table) else new)
+        super().__init__(spark, root, TABLES)
+
+    def upsert(self, table: str, new: DataFrame, keys: tuple[str, ...] = ("source_id", "source_hash", "source_name"), together: bool = False, batch: tuple[str, int] | None = None) -> None:
+        super().upsert(table, new, keys, together, batch)
 
     def export(self, out: str, fmt: str = "parquet") -> dict[str, int]:
         """Copies of the tables there are with a manifest of how many rows each has, which it gives too."""

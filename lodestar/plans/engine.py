@@ -20,6 +20,7 @@ from ..functions import vocabulary as V
 from ..functions.text import document_type, section_title, section_type, source_year
 from ..operators import answers, chunking, graph, kg, search, selection, store, themes, upkeep
 from ..operators.extraction import MOST_TAGS, Ontology, constraints_of, extract_facts, fact_context, find_terms, parse_query
+from ..operators.tables import VersionedTables
 from ..sources import readers
 from ..workspace import Workspace
 
@@ -80,6 +81,7 @@ class Engine:
         self.spark, self.ontology, self.settings = spark, ontology, settings or Settings()
         self.store = store.KnowledgeStore(spark, root)
         self.root = root.rstrip("/")
+        self.graphs = VersionedTables(spark, f"{self.root}/graphs")
 
     # stage 1
 
@@ -178,9 +180,8 @@ class Engine:
         labels = self.spark.createDataFrame([(f"onto:{t.term_id}", t.all_labels[0] if t.all_labels else t.term_id) for t in self.ontology.terms], "entity_id string, label string")
         own = terms.join(rows.select("chunk_id", "source_id"), "chunk_id").groupBy(F.concat(F.lit("onto:"), "term_id").alias("entity_id")).agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
         new = own.join(labels, "entity_id").select("entity_id", "label", "source_ids")
-        if self.store.exists("entities"):
-            new = store.merge_entities(self.store.read("entities"), new)
-        self.store.write("entities", new)
+        new = Workspace(self.spark, "entities").save(new, "entities")
+        self.store.rewrite("entities", lambda old: new if old is None else store.merge_entities(old, new))
 
     # stage 2
 
@@ -191,8 +192,7 @@ class Engine:
         chunks, triples, facts = (self.store.read(t) for t in ("chunks", "triples", "numeric_facts"))
 
         def write(name: str, df: DataFrame) -> None:
-            out[name] = f"{self.root}/graphs/{name}"
-            df.write.mode("overwrite").parquet(out[name])
+            out[name] = self.graphs.write(name, df)
 
         if "cheap" in builds:
             write("cheap_kg", kg.cheap_kg(triples, facts))
@@ -212,7 +212,7 @@ class Engine:
             rows = selection.with_selection_scores(rows, F.coalesce("has_fact", F.lit(False)), F.col("n_tags"), F.col("citation_name")).drop("has_fact", "rank")
             s, rows = self.settings, ws.save(rows, "scored")
             write("selected_chunks", selection.select_chunks(rows, s.per_document, s.min_kg_score, theme_cap=s.theme_cap))
-            write("selection_report", selection.selection_report(chunks, rows, self.spark.read.parquet(out["selected_chunks"]), s.per_document))
+            write("selection_report", selection.selection_report(chunks, rows, self._graph("selected_chunks"), s.per_document))
         if self.settings.embedder:
             named = chunks.groupBy("theme_id").agg(F.min("theme_name").alias("theme_name"), F.min("collection").alias("collection"))
             old = self._graph("theme_embeddings")
@@ -222,9 +222,7 @@ class Engine:
         return out
 
     def _graph(self, name: str) -> DataFrame | None:
-        path = f"{self.root}/graphs/{name}"
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return self.spark.read.parquet(path) if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where) else None
+        return self.graphs.read(name) if self.graphs.exists(name) else None
 
     def _themes(self, status: str, edges: DataFrame | None = None, centrality: DataFrame | None = None) -> DataFrame:
         """The catalog; with a graph, each theme's 20 most central terms too."""
@@ -251,10 +249,7 @@ class Engine:
         """Names a theme's state anew, as after a failed build."""
         if status not in V.READINESS:
             raise ValueError(status)
-        ws = Workspace(self.spark, "status")
-        rows = self._graph("themes").withColumn("status", F.when(F.col("theme_id") == theme_id, status).otherwise(F.col("status")))
-        ws.save(rows, "themes").write.mode("overwrite").parquet(f"{self.root}/graphs/themes")
-        ws.clear()
+        self.graphs.rewrite("themes", lambda old: old.withColumn("status", F.when(F.col("theme_id") == theme_id, status).otherwise(F.col("status"))))
 
     def metrics(self, theme_ids: list[str] | None = None, top_n: int = 20) -> DataFrame:
         """Metrics of the store's graph, or of that of some themes."""
@@ -340,9 +335,9 @@ class Engine:
         return store.validate(self.store.read("sources"), self.store.read("chunks"), self.store.read("numeric_facts"))
 
     def delete_source(self, source_id: str) -> None:
-        tables = {t: self.store.read(t) for t in store.TABLES if self.store.exists(t)}
-        for name, kept in store.delete_source(tables, source_id).items():
-            self.store.write(name, kept)
+        for name in store.TABLES:
+            if self.store.exists(name):
+                self.store.rewrite(name, lambda old, name=name: store.delete_source({name: old}, source_id)[name])
 
     def quality(self) -> DataFrame:
         return upkeep.quality_report(self.store.read("sources"), self.store.read("numeric_facts"))

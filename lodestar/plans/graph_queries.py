@@ -152,6 +152,25 @@ def interval_facts(spark, sf_dir):
     return search.facts_matching(facts(spark, sf_dir), c).select("fact_id", "property_id", "value")
 
 
+def constraint_batch(spark, sf_dir):
+    """Facts that meet any of as many constraints as there are orders: narrow prices, bounds for one brand, equal numbers of any dimension."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = k % 5
+    pick = lambda *values: F.element_at(F.array(*values), kind.cast("int") + 1)
+    price = F.col("o_totalprice") / 4
+    brand = F.array(F.concat(F.lit("onto:brand_"), F.col("o_custkey") % 5 + 1, k % 5 + 1))
+    return search.facts_matching(
+        facts(spark, sf_dir),
+        o.select(
+            pick(F.lit("price"), F.lit("price"), F.lit("quantity"), F.lit(None), F.lit("discount")).alias("c_dimension"),
+            pick(F.lit("range"), F.lit(">="), F.lit("<"), F.lit("="), F.lit(">")).alias("c_operator"),
+            pick(price, 20000 + price, (F.col("o_custkey") % 3).cast("double"), F.floor(price) + 0.5, F.lit(0.09)).alias("c_value"),
+            F.when(kind == 0, price - 1).alias("c_value_max"),
+            F.when(kind.isin(1, 2, 4), brand).alias("c_entity_ids"),
+        ),
+    ).select("fact_id", "property_id", "value")
+
+
 QUESTION = "NATION_3 and REGION_1 in 1995 please"
 VECTOR = [1.0 if i % 3 else -1.0 for i in range(64)]
 
@@ -210,7 +229,7 @@ def event_windows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     edge_counts, node_counts, cooccurrence, cooccurrence_capped, facts_by_property, cheap_kg, band_similarity, components, degree_density,
     graph_health, pagerank, degree_share, weighted_centrality, betweenness, retrieval_index, validate_store, store_stats, merge_entities,
-    interval_facts, route_themes, route_by_vectors, route_fallback, readiness_state, cosine_topk, theme_centroids, event_windows,
+    interval_facts, constraint_batch, route_themes, route_by_vectors, route_fallback, readiness_state, cosine_topk, theme_centroids, event_windows,
 )}
 
 _ENTITIES = """per_chunk AS (SELECT DISTINCT chunk_id, e FROM (SELECT chunk_id, brand AS e FROM lines UNION ALL SELECT chunk_id, kind FROM lines))"""
@@ -309,6 +328,12 @@ SQL = {
         array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS source_ids FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY p_brand""",
     "interval_facts": f"""WITH {FACTS_SQL} SELECT fact_id, property_id, value FROM facts
         WHERE (property_id = 'quantity' AND value BETWEEN 10 AND 12) OR (property_id = 'price' AND value >= 90000) OR (property_id = 'discount' AND value = 0.05)""",
+    "constraint_batch": f"""WITH {FACTS_SQL}, c AS (SELECT o_orderkey % 5 AS kind, o_totalprice / 4 AS p, o_custkey AS cust, 'onto:brand_' || (o_custkey % 5 + 1) || (o_orderkey % 5 + 1) AS brand FROM orders)
+        SELECT fact_id, property_id, value FROM facts f WHERE (property_id = 'price' AND EXISTS (SELECT 1 FROM c WHERE kind = 0 AND f.value BETWEEN p - 1 AND p))
+            OR (property_id = 'price' AND value >= (SELECT min(20000 + p) FROM c WHERE kind = 1 AND c.brand = f.brand))
+            OR (property_id = 'quantity' AND value <= (SELECT max(cust % 3) FROM c WHERE kind = 2 AND c.brand = f.brand))
+            OR value IN (SELECT floor(p) + 0.5 FROM c WHERE kind = 3)
+            OR (property_id = 'discount' AND value >= 0.09 AND brand IN (SELECT brand FROM c WHERE kind = 4))""",
     "route_themes": f"""{_ROUTES} SELECT {_ROUTE_COLUMNS.format(vector='0.0', score=_PLAIN)} FROM parts ORDER BY route_score DESC, theme_id LIMIT 12""",
     "route_by_vectors": f"""{_ROUTES} SELECT {_ROUTE_COLUMNS.format(vector='vec', score=f'CASE WHEN has THEN {_WITH_VECTOR} ELSE {_PLAIN} END')} FROM parts ORDER BY route_score DESC, theme_id LIMIT 12""",
     "route_fallback": f"""SELECT 't' || n_nationkey AS theme_id, 0.0::DOUBLE AS route_score, 0.0::DOUBLE AS vector, 0.0::DOUBLE AS ontology, 0.0::DOUBLE AS keyword, 0.0::DOUBLE AS centrality, 0.0::DOUBLE AS metadata,

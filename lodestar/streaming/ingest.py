@@ -7,18 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import KnowledgeStore
+from ..operators.store import IDS, KnowledgeStore
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_stream(rows: DataFrame, store: KnowledgeStore, table: str, checkpoint: str, keys: tuple[str, ...] = ("source_id",)) -> StreamingQuery:
-    """Each micro-batch replaces the rows of its keys, so a batch that runs again after a failure changes nothing, and all that is there is then taken in at once."""
+def upsert_stream(rows: DataFrame, store: KnowledgeStore, table: str, checkpoint: str, keys: tuple[str, ...] | None = None) -> StreamingQuery:
+    """Takes in all that is there, each micro-batch once.
 
-    def take(batch: DataFrame, _: int) -> None:
-        store.upsert(table, batch.dropDuplicates(list(keys)), keys)
+    Rows replace those with the same id of that table, or, where they have no such
+    column, equal rows; so a source's rows may come in any number of batches. With
+    ``keys`` a batch holds all rows of each key that it has, and replaces them.
+    Repeated rows of a batch count once. The store notes each batch's number beside its
+    rows, so one that runs again after a failure changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        own = IDS.get(table)
+        own = own if own in batch.columns else None
+        once = batch.dropDuplicates([own] if own else None)
+        on = keys or ((own,) if own else tuple(batch.columns))
+        store.upsert(table, once, on, together=keys is None, batch=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
