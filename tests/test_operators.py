@@ -235,8 +235,22 @@ def test_records_have_exact_fields(raw, fields):
 
 
 def test_repair_falls_back_on_the_source():
-    out = records.repair("I can't do that.", "entity relation entity_types\nText:\nPPV = 12,5 мм/с at 30 Hz")
-    assert '"PPV 12,5 мм/с"' in out and "content_keywords" in out
+    prompt = "entity relation entity_types\nText: an example\n-Real Data-\nText:\nAt the pit wall PPV = 12.5 мм/с was seen at 30 Hz ##\nOutput:\nPVS 99 fps"
+    out = records.repair("I can't do that.", prompt)
+    assert '"PPV = 12,5 мм/с"<|>"Value"' in out and '"30 Hz"' in out and "99" not in out and "content_keywords" in out
+    assert records.fallback_records("PPV = 12,5 мм/с at 30 Hz") == []  # too short to be a text
+
+
+def test_rows_and_labelled_lines_by_kind():
+    """Types are Latin words; labels part their fields by semicolons and tildes too."""
+    read = lambda text: records.read_records(text, records.Delimiters())
+    assert read("никель | влияет на | извлечение | описание")[0][0] == "relationship"
+    assert read("печь | температура | описание") == []
+    assert read("Entity: nickel; material; a metal") == [("entity", ("nickel", "material", "a metal"))]
+    assert read("Relation: a ~ b ~ c") == [("relationship", ("a", "b", "c", "c", "1.0"))]
+    assert read("Связь - a; зависит от; b; so it is")[0][1][:2] == ("a", "b")
+    assert read("`furnace` @ `Equipment`: it melts") == [("entity", ("furnace", "Equipment", "it melts"))]
+    assert read("a line: with nothing; in it") == []
 
 
 def test_answers():
