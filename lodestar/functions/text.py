@@ -70,8 +70,8 @@ def route_tokens(x: Column | str) -> Column:
 
 def lines(x: Column | str) -> Column:
     """Lines as split at any line break, without an empty last one."""
-    split = F.split(text_or_empty(x), r"\R")
-    return F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
+    whole = lambda split: F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
+    return bind(F.split(text_or_empty(x), r"\R"), whole)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -264,8 +264,8 @@ def compact(text: Column | str, most: int = 520) -> Column:
     t = F.regexp_replace(F.regexp_replace(clean_extracted(text), r"(?U)\s+", " "), r"^[ \-•#|\t]+|[ \-•#|\t]+$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+([,.;:])", "$1"), r"([,.;:])(?!\s|$|\d)", "$1 ")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    head = F.regexp_replace(F.trim(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", "")), r"[ ,;:]+$", "")
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(head, F.lit("…")))
+    head = lambda t: F.regexp_replace(F.trim(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", "")), r"[ ,;:]+$", "")
+    return bind(t, lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(head(t), F.lit("…"))))
 
 
 def language_vote(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import answers, graph, kg, search, selection, store, themes, upkeep
+from ..operators import answers, evidence, graph, kg, search, selection, store, themes, upkeep
 from ..operators.extraction import Ontology, Term, extract_facts, parse_queries
 from ..workspace import Workspace
 from .fixtures import FACTS_SQL, LINES_SQL, facts, lines, table, triples
@@ -281,18 +281,25 @@ def fact_confidence(spark, sf_dir):
 
 def evidence_units(spark, sf_dir):
     """Scores of sentences made of parts' names, by words, numbers with units, signals of the domain and contacts."""
-    tokens = ["bolt", "gear"]
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "score": [answers.unit_score(t, tokens) for t in pdf["text"]]})
-
     k = F.col("p_partkey")
     text = F.concat(F.col("p_name"), F.when(k % 2 == 0, F.concat(F.lit(" at "), k % 30, F.lit(" мг/л"))).otherwise(""), F.when(k % 3 == 0, " leaching").otherwise(""), F.when(k % 5 == 0, " результат ").otherwise(""), F.when(k % 7 == 0, " a@b").otherwise(""), F.when(k % 11 == 0, F.repeat(F.lit(" y"), 300)).otherwise(""))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).mapInPandas(run, "p_partkey long, score double")
-    return rows.select("p_partkey", F.round("score", 6).alias("score"))
+    score = evidence.unit_score(text, F.array(F.lit("bolt"), F.lit("gear")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+def answer_claims(spark, sf_dir):
+    """Claims for each part as a question, from its lines as hits: a sentence with a number and one without."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_quantity").cast("int")
+    text = F.concat(
+        F.lit("In the leaching run of supplier "), "l_suppkey", F.lit(" it was held at "), n, F.lit(" мг/л of acid. The operators of order "),
+        F.col("l_orderkey") % 20, F.lit(" saw nothing else that was worth a word"), F.when(F.col("l_linenumber") % 2 == 0, " and went home").otherwise(""), F.lit("."),
+    )
+    hits = li.select(
+        F.col("l_partkey").alias("question_id"), F.array(F.lit("acid"), F.lit("home")).alias("tokens"), F.concat_ws(".", *[F.lpad(c, 9, "0") for c in ("l_linenumber", "l_orderkey", "l_suppkey")], F.lpad(n, 9, "0")).alias("chunk_id"),
+        F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("source_name"), (F.col("l_linenumber") % 3).cast("double").alias("score"), text.alias("text"),
+    )
+    return evidence.claims(hits)
 
 
 def chunk_order(spark, sf_dir):
@@ -307,7 +314,7 @@ def chunk_order(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     theme_rules, theme_preview, themes_by_size, stamped_chunks, theme_upsert, catalog_order, build_targets, document_list, recent_runs, latest_documents, queued_outcomes, status_counts, deleted_source,
-    quality_report, imported_facts, profile_texts, reused_vectors, mean_vectors, store_graph, retrieval_edges, graph_metrics, expanded_terms, parsed_questions, fact_search, fact_confidence, evidence_units,
+    quality_report, imported_facts, profile_texts, reused_vectors, mean_vectors, store_graph, retrieval_edges, graph_metrics, expanded_terms, parsed_questions, fact_search, fact_confidence, evidence_units, answer_claims,
     chunk_order,
 )}
 
@@ -454,6 +461,17 @@ SQL = {
             coalesce((SELECT string_agg(w, ',' ORDER BY pos) FROM (SELECT w, strpos(' ' || p_name || ' ', ' ' || w || ' ') AS pos FROM (SELECT unnest(['bolt', 'gear', 'red']) AS w)) WHERE pos > 0), '') AS entities FROM t""",
     "evidence_units": """SELECT p_partkey, round(1.4 * (CAST(contains(p_name, 'bolt') AS INT) + CAST(contains(p_name, 'gear') AS INT)) + CASE WHEN p_partkey % 2 = 0 THEN 3.0 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1.6 ELSE 0 END
         + CASE WHEN p_partkey % 5 = 0 THEN 0.8 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 AND NOT contains(p_name, 'bolt') AND NOT contains(p_name, 'gear') THEN 2.0 ELSE 0 END - CASE WHEN p_partkey % 11 = 0 THEN 0.4 ELSE 0 END, 6) AS score FROM part""",
+    "answer_claims": """WITH hits AS (SELECT l_partkey AS q, l_linenumber AS l, l_suppkey AS s, CAST(trunc(l_quantity) AS INT) AS n, l_orderkey % 20 AS p, l_linenumber % 3 AS score,
+            row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber % 3 DESC, l_linenumber, l_orderkey, l_suppkey, trunc(l_quantity)) AS hit FROM lineitem),
+        best AS (SELECT *, min(hit) OVER (PARTITION BY q, s % 3) AS first FROM hits WHERE hit <= 8),
+        refs AS (SELECT *, dense_rank() OVER (PARTITION BY q ORDER BY first) AS ref FROM best),
+        u AS (SELECT q, s, ref, hit, 0 AS i, true AS is_numeric, 'In the leaching run of supplier ' || s || ' it was held at ' || n || ' мг/л of acid.' AS claim, n::VARCHAR AS k, 1.4 + 3.0 + 1.6 + 0.05 * score AS gain FROM refs
+            UNION ALL SELECT q, s, ref, hit, 1, false, 'The operators of order ' || p || ' saw nothing else that was worth a word' || CASE WHEN l % 2 = 0 THEN ' and went home' ELSE '' END || '.',
+                p || '.' || l % 2, CASE WHEN l % 2 = 0 THEN 1.4 ELSE 0 END + 0.05 * score FROM refs),
+        once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY q, is_numeric, k ORDER BY hit, i) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY q, is_numeric ORDER BY gain DESC, hit, i) AS place, least(5, count(*) FILTER (WHERE is_numeric) OVER (PARTITION BY q)) AS figures FROM once)
+        SELECT q AS question_id, is_numeric AS "numeric", CAST(place AS INT) AS place, claim, CAST(ref AS INT) AS ref, 's' || s % 3 AS source_name FROM ranked
+        WHERE place <= CASE WHEN is_numeric THEN 5 ELSE greatest(2, 6 - figures) END""",
     "chunk_order": """WITH r AS (SELECT 'o' || l_orderkey AS source_name, 'chunk:' || (l_linenumber * 3) || 'x' || l_suppkey AS chunk_id, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE l_linenumber * 3 END AS n FROM lineitem)
         SELECT source_name, chunk_id, row_number() OVER (PARTITION BY source_name ORDER BY n, chunk_id) AS place FROM r""",
     "expanded_terms": """WITH l AS (SELECT * FROM (VALUES ('bolt', 'Part', 0, 'bolt'), ('bolt', 'Part', 1, 'болт'), ('bolt', 'Part', 2, 'screw'), ('gear', 'Part', 0, 'gear'), ('gear', 'Part', 1, 'шестерня'), ('gear', 'Part', 2, 'cog'), ('gear', 'Part', 3, 'wheel'),

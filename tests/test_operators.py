@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import answers, chunking, citations, graph, records, search, selection, store, themes, tuning
+from lodestar.operators import answers, chunking, citations, evidence, graph, records, search, selection, store, themes, tuning
 from lodestar.operators.components import connected_components
 from lodestar.operators.extraction import Ontology, Term, extract_facts, facts_of, find_terms, parse_query
 from lodestar.workspace import Workspace
@@ -253,22 +253,48 @@ def test_rows_and_labelled_lines_by_kind():
     assert read("a line: with nothing; in it") == []
 
 
-def test_answers():
+def test_answers(spark):
     hits = [{"chunk_id": "1", "score": 5.0, "source_name": "a.pdf", "text": "The temperature of nickel leaching was 60 °C in all runs. Thanks to everyone who helped with this."}]
     text = answers.extractive_answer("temperature of leaching", hits)
     assert "60 °C" in text and "1. a.pdf" in text
+    assert answers.extractive_answer("q", []) == "Nothing was found for this question." and answers.cited_context("q", []) == ""
     assert answers.answer("q", hits, lambda q, c: "From the context.\n## References\n1. a") == "From the context."
     assert answers.is_no_result("Ответ не получен", True) and answers.is_general_question("hello there") and not answers.is_general_question("что в pdf")
 
 
-def test_evidence():
+def test_evidence(spark):
     text = "ОБЩИЙ ЗАГОЛОВОК РАЗДЕЛА Температура составила 60 °C, извлечение никеля выросло; Потери упали. см. mail@x.org и другие сведения об авторах | Диапазон скоростей смещения до 12,5 мм/с при взрывах"
-    windows = answers.numeric_windows(text)
-    assert any(w.startswith("Диапазон скоростей") for w in windows) and any("60 °C" in w for w in windows)
-    assert answers.numeric_windows("без чисел") == [] and not any("mail@" in u for u in answers.sentences(text))
-    assert answers.unit_score("извлечение 60 мг/л установлено", ["извлечение"]) == pytest.approx(1.4 + 3.0 + 0.8)
-    assert answers.unit_score("ivanov@x.org", []) == -2.0 and answers.unit_score("x" * 500, []) == pytest.approx(-0.4)
-    assert answers.compact(" #- a ,b;c 0,5 |", 50) == "a, b; c 0,5"
+    t, none = F.col("t"), F.array().cast("array<string>")
+    score = lambda x, *tokens: evidence.unit_score(F.lit(x), F.array(*map(F.lit, tokens)) if tokens else none)
+    rows = spark.createDataFrame([(text,), ("без чисел",), (None,), ("",), ("1" * 60 + " word " * 500,)], "t string")
+    got = rows.select(
+        evidence.windows(t).alias("w"), evidence.sentences(t).alias("s"), evidence.evidence(t, none, 2).alias("e"), score("извлечение 60 мг/л установлено", "извлечение").alias("a"),
+        score("ivanov@x.org").alias("b"), score("x" * 500).alias("c"), score("см. ivanov@x.org", "ivanov").alias("d"),
+    ).collect()
+    assert any(w.startswith("Диапазон скоростей") for w in got[0].w) and any("60 °C" in w for w in got[0].w) and not any("mail@" in u for u in got[0].s)
+    assert got[1].w == [] and got[1].s == [] and [u.unit for u in got[1].e] == ["без чисел"] and got[2].e == got[3].e == [] and len(got[0].e) == 2
+    assert got[0].a == pytest.approx(1.4 + 3.0 + 0.8) and got[0].b == -2.0 and got[0].c == pytest.approx(-0.4) and got[0].d == pytest.approx(1.4)
+
+
+def test_windows_end_at_words_and_boundaries(spark):
+    long = "слово " * 60
+    rows = spark.createDataFrame([(f"{long}5 % x {long}",), ("Начало. Расход 7 кг/т на ступени; далее другой текст",), (f"{'ах ' * 20}PPV в борту карьера {'бы ' * 20}9 мм/с у края",)], "t string")
+    a, b, c = [r.w for r in rows.select(evidence.windows(F.col("t")).alias("w")).collect()]
+    assert a == [] or all(w.split()[0] == "слово" for w in a)
+    assert b == ["Расход 7 кг/т на ступени;"[:-1]] and c[0].startswith("PPV в борту") and c[0].endswith("у края")
+
+
+def test_claims_and_passages(spark):
+    """Any number of questions at once; a number counts once, sources by first use, budgets end for good."""
+    hit = lambda q, k, source, score, text: (q, ["acid"], k, source, score, text)
+    plain = "The operators of the plant saw nothing else worth a word in {}."
+    rows = [hit(1, "a", "s2", 3.0, "The acid was held at 5 мг/л there. " + plain.format("May")), hit(1, "b", "s1", 2.0, "Others held it at 5 мг/л too. " + plain.format("June")), hit(1, "c", "s2", 1.0, plain.format("may")), hit(2, "d", "s9", 1.0, None)]
+    hits = spark.createDataFrame(rows, "question_id int, tokens array<string>, chunk_id string, source_name string, score double, text string")
+    got = [(r.question_id, r.numeric, r.claim[:22], r.ref, r.source_name) for r in evidence.claims(hits).orderBy("question_id", F.desc("numeric"), "place").collect()]
+    assert got == [(1, True, "The acid was held at 5", 1, "s2"), (1, False, "The operators of the p", 1, "s2"), (1, False, "The operators of the p", 2, "s1")]
+    lines = [r.line for r in evidence.passages(hits, chars=220).orderBy("place").collect()]
+    assert len(lines) == 1 and lines[0].startswith("[1] theme=unknown; source=s2; score=3.0; \nThe acid")
+    assert evidence.claims(hits.limit(0)).count() == 0 and evidence.passages(hits.limit(0)).count() == 0
 
 
 def test_rerank_moves_the_head_only():
