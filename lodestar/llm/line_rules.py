@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace, spread
 
 MIN_DOCS, MAX_SHARE, MIN_TEXTS = 20, 0.05, 3
-#: Longer texts sort whole hashes of their windows, which takes longer.
-PACKED_WORDS = 1 << 16
+#: Hash of the window of three words that begins at i.
+_WINDOW = "xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])"
 SALTS = 16
 _BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -44,30 +44,27 @@ def normal_line(line: Column) -> Column:
 def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` (text) with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long.
 
-    Null texts measure as the empty text. Equal hashes of windows meet by
-    sorting, and the words that their windows cover are counted from the sorted
-    places. In texts of up to ``PACKED_WORDS`` words a window's hash and its
-    place share a long, and the hash keeps 47 bits at least: less than one in
-    60,000 of the longest such texts has two windows taken for one. Longer texts
-    sort structs of the whole hash and the place.
+    Null texts measure as the empty text. Windows that may stand twice meet by
+    sorting their hashes, cut so that the place fits beside them in a long;
+    equal windows have equal hashes, so none is left out. The windows found are
+    then sorted by their words, and those that do stand twice cover the words
+    that count. So the numbers are exact for texts of any length.
     """
     d = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_bare", _trim("_text"))
     d = d.withColumn("_words", F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", _BLANKS)))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_bits", F.length(F.bin("n_words")))
-    hashed = "transform(sequence(0, CAST(n_words AS int) - 3), i -> {})"
-    window = "xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])"
-    packed = hashed.format(f"shiftleft({window}, _bits) + i")
-    whole = hashed.format(f"named_struct('h', {window}, 'i', CAST(i AS bigint))")
-    d = d.withColumn("_packed", F.expr(f"sort_array(CASE WHEN n_words BETWEEN 3 AND {PACKED_WORDS} THEN {packed} ELSE CAST(array() AS array<bigint>) END)"))
-    d = d.withColumn("_whole", F.expr(f"sort_array(CASE WHEN n_words > {PACKED_WORDS} THEN {whole} ELSE CAST(array() AS array<struct<h:bigint,i:bigint>>) END)"))
-    d = d.withColumn("_keys", F.expr(f"CASE WHEN n_words > {PACKED_WORDS} THEN transform(_whole, x -> x.h) ELSE transform(_packed, x -> shiftright(x, _bits)) END"))
-    # places of windows found again, in order
+    packed = f"transform(sequence(0, CAST(n_words AS int) - 3), i -> shiftleft({_WINDOW}, _bits) + i)"
+    d = d.withColumn("_packed", F.expr(f"sort_array(CASE WHEN n_words >= 3 THEN {packed} ELSE CAST(array() AS array<bigint>) END)"))
+    d = d.withColumn("_keys", F.expr("transform(_packed, x -> shiftright(x, _bits))"))
+    # places of windows whose hash is found again
     twice = "_keys[i] = get(_keys, i - 1) OR _keys[i] = get(_keys, i + 1)"
-    of_packed = f"transform(_packed, (x, i) -> CASE WHEN {twice} THEN x - shiftleft(_keys[i], _bits) ELSE -1L END)"
-    of_whole = f"transform(_whole, (x, i) -> CASE WHEN {twice} THEN x.i ELSE -1L END)"
-    again = F.expr(f"sort_array(filter(CASE WHEN n_words > {PACKED_WORDS} THEN {of_whole} ELSE {of_packed} END, x -> x >= 0))")
-    d = d.withColumn("_again", F.when(F.size(F.array_distinct("_keys")) == F.size("_keys"), F.array().cast("array<bigint>")).otherwise(again))
+    maybe = F.expr(f"filter(transform(_packed, (x, i) -> CASE WHEN {twice} THEN x - shiftleft(_keys[i], _bits) ELSE -1L END), x -> x >= 0)")
+    d = d.withColumn("_maybe", F.when(F.size(F.array_distinct("_keys")) == F.size("_keys"), F.array().cast("array<bigint>")).otherwise(maybe))
+    d = d.withColumn("_named", F.expr("sort_array(transform(_maybe, x -> named_struct('w', array_join(slice(_words, CAST(x AS int) + 1, 3), ' '), 'i', x)))"))
+    # and of those whose words are, in order
+    again = "transform(_named, (x, i) -> CASE WHEN x.w = get(_named, i - 1).w OR x.w = get(_named, i + 1).w THEN x.i ELSE -1L END)"
+    d = d.withColumn("_again", F.expr(f"sort_array(filter({again}, x -> x >= 0))"))
     covered = F.expr("aggregate(transform(_again, (x, i) -> least(3L, x - coalesce(get(_again, i - 1), -3L))), 0L, (a, x) -> a + x)")
     symbols = F.col("_text")
     for c in _SYMBOLS:

@@ -728,11 +728,11 @@ def test_lines_are_counted_by_document(spark):
     assert all(r.text.startswith("Shared") for r in line_rules.apply_rules(spark.createDataFrame(few, SCHEMA)).collect())
 
 
-def test_long_texts_take_whole_hashes(spark, monkeypatch, documents):
-    measures = lambda: {r.doc_id: tuple(r)[1:] for r in line_rules.with_measures(documents.select("doc_id", "text")).select("doc_id", *line_rules.MEASURES).collect()}
-    packed = measures()
-    monkeypatch.setattr(line_rules, "PACKED_WORDS", 100)
-    assert measures() == packed
+def test_windows_of_equal_hashes_are_told_apart(spark, monkeypatch, documents):
+    """With a hash of the first word alone most windows meet others; their words decide."""
+    monkeypatch.setattr(line_rules, "_WINDOW", "_hashes[i]")
+    rows = line_rules.with_measures(documents.select("doc_id", "text")).collect()
+    assert rows and all(r.n_repeat_words == slow_measures(r.text)[4] for r in rows)
 
 
 def test_line_rules_edges(spark, edges, none):
