@@ -7,7 +7,7 @@ round at most. Nothing is collected but scalars.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
@@ -71,38 +71,51 @@ def health(nodes: Column, isolated: Column, components: Column) -> Column:
     )
 
 
-SALTS = 16
+#: A source of more edges than ``HUB`` has them dealt to ``SALTS`` tasks.
+HUB, SALTS = 10_000, 16
 
 
-def _passed_on(ranks: DataFrame, flow: DataFrame) -> DataFrame:
-    """(to, got): what each vertex gets. ``ranks``: id, rank; ``flow``: frm, to, share, salt. Sources are salted, so a hub's edges are not one task."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    held = ranks.select(F.col("id").alias("frm"), "rank", salts)
-    return flow.join(held, ["frm", "salt"]).groupBy("to").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+def _with_shares(edges: DataFrame, weight: str) -> DataFrame:
+    """(frm, to, share, salts, salt) of ``edges`` (frm, to and a weight): a share of its source's weight, and which of the source's ``salts`` it falls to."""
+    own = edges.groupBy("frm").agg(F.sum(weight).alias("total"), F.when(F.count("*") > HUB, SALTS).otherwise(1).alias("salts"))
+    shares = edges.join(own, "frm").select("frm", "to", (F.col(weight) / F.col("total")).alias("share"), "salts")
+    return shares.withColumn("salt", F.pmod(F.xxhash64("to"), F.col("salts")).cast("int"))
 
 
-def _salted(flow: DataFrame) -> DataFrame:
-    return flow.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int"))
+def _ranked(vertices: DataFrame, flow: DataFrame, ws: Workspace, rounds: int, damping: float, tolerance: float | None = None) -> DataFrame:
+    """(id, rank) by power iteration over ``flow``, as saved; what vertices without out-edges hold is spread evenly.
 
-
-def pagerank(vertices: DataFrame, edges: DataFrame, ws: Workspace, iterations: int = 25, damping: float = 0.85) -> DataFrame:
-    """(id, rank): directed, uniform weights, a fixed number of rounds; what vertices without out-edges hold is spread evenly."""
+    A round is one job: what the next one needs of all ranks, the share of those
+    vertices and by how much ranks have changed, is observed as they are written.
+    """
     n = vertices.count()
-    if not n:
-        return vertices.select("id", F.lit(0.0).alias("rank"))
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    flow = ws.save(_salted(edges.join(out, "src").select(F.col("src").alias("frm"), F.col("dst").alias("to"), (1.0 / F.col("out")).alias("share"))), "flow")
-    sinks = vertices.join(out.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink"))
-    ranks = ws.save(sinks.withColumn("rank", F.lit(1.0 / n)), "ranks")
-    for _ in range(iterations):
-        dangling = ranks.where("sink").agg(F.sum("rank")).first()[0] or 0.0
-        into = _passed_on(ranks, flow)
-        base = (1 - damping) / n + damping * dangling / n
-        fresh = ranks.select("id", "sink").join(into, F.col("id") == F.col("to"), "left")
-        ranks = ws.save(fresh.select("id", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks")
+    salts = flow.groupBy(F.col("frm").alias("id")).agg(F.max("salts").alias("salts"))
+    start = vertices.join(salts, "id", "left").select("id", F.coalesce("salts", F.lit(0)).alias("salts"), F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("change"))
+
+    def saved(ranks: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        ranks = ranks.observe(seen, F.sum(F.when(F.col("salts") == 0, F.col("rank"))).alias("idle"), F.sum("change").alias("change"))
+        return ws.save(ranks, "ranks"), seen.get
+
+    ranks, seen = saved(start)
+    for _ in range(rounds):
+        base = (1 - damping) / max(1, n) + damping * (seen.get("idle") or 0.0) / max(1, n)
+        held = ranks.where("salts > 0").select(F.col("id").alias("frm"), "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        into = flow.join(held, ["frm", "salt"]).groupBy("to").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
+        fresh = ranks.join(into, F.col("id") == F.col("to"), "left").select("id", "salts", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
+        ranks, seen = saved(fresh)
+        if tolerance is not None and (seen.get("change") or 0.0) < n * tolerance:
+            break
     return ranks.select("id", "rank")
 
 
+def pagerank(vertices: DataFrame, edges: DataFrame, ws: Workspace, iterations: int = 25, damping: float = 0.85) -> DataFrame:
+    """(id, rank): directed, uniform weights, a fixed number of rounds."""
+    one = edges.select(F.col("src").alias("frm"), F.col("dst").alias("to"), F.lit(1.0).alias("weight"))
+    return _ranked(vertices, ws.save(_with_shares(one, "weight"), "flow"), ws, iterations, damping)
+
+
 def weighted_centrality(vertices: DataFrame, edges: DataFrame, ws: Workspace, iterations: int = 30, tolerance: float = 1e-4, damping: float = 0.85) -> DataFrame:
     """(id, centrality): PageRank of the undirected graph of edges (subject_id, object_id, weight), loops left out.
 
@@ -110,23 +123,12 @@ def weighted_centrality(vertices: DataFrame, edges: DataFrame, ws: Workspace, it
     for each vertex on average; without any edge all are zero. ``degree_share``
     is the plainer measure.
     """
-    pairs = edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("weight").cast("double").alias("w"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    total = both.groupBy("a").agg(F.sum("w").alias("total"))
-    flow = ws.save(_salted(both.join(total, "a").select(F.col("a").alias("frm"), F.col("b").alias("to"), (F.col("w") / F.col("total")).alias("share"))), "undirected")
-    n = vertices.count()
-    if not n or flow.limit(1).count() == 0:
+    pairs = edges.where("subject_id <> object_id").select(F.col("subject_id").alias("frm"), F.col("object_id").alias("to"), F.col("weight").cast("double").alias("w"))
+    both = pairs.unionByName(pairs.select(F.col("to").alias("frm"), F.col("frm").alias("to"), "w")).groupBy("frm", "to").agg(F.sum("w").alias("w"))
+    flow = ws.save(_with_shares(both, "w"), "undirected")
+    if flow.limit(1).count() == 0:
         return vertices.select("id", F.lit(0.0).alias("centrality"))
-    linked = flow.select(F.col("frm").alias("id"), F.lit(False).alias("sink")).distinct()
-    ranks = ws.save(vertices.join(linked, "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink"), F.lit(1.0 / n).alias("rank")), "central")
-    for _ in range(iterations):
-        dangling = ranks.where("sink").agg(F.sum("rank")).first()[0] or 0.0
-        fresh = ranks.join(_passed_on(ranks, flow), F.col("id") == F.col("to"), "left")
-        rank = F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("got", F.lit(0.0))
-        ranks = ws.save(fresh.select("id", "sink", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "central")
-        if ranks.agg(F.sum("change")).first()[0] < n * tolerance:
-            break
-    return ranks.select("id", F.bround("rank", 8).alias("centrality"))
+    return _ranked(vertices, flow, ws, iterations, damping, tolerance).select("id", F.bround("rank", 8).alias("centrality"))
 
 
 def degree_share(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.components import connected_components
 from ..workspace import Workspace
 from .fixtures import FACTS_OF_LINES_SQL, FACTS_SQL, LINES_SQL, TRIPLES_SQL, facts, lines, table, triples
 
-ROUNDS = 5
+ROUNDS, CENTRAL_ROUNDS, TOLERANCE = 25, 30, 1e-4
 
 
 def edge_counts(spark, sf_dir):
@@ -88,7 +88,7 @@ def graph_health(spark, sf_dir):
 
 def pagerank(spark, sf_dir):
     vertices, edges = _customer_graph(spark, sf_dir)
-    ranks = graph.pagerank(vertices, edges, Workspace(spark, "pagerank"), iterations=ROUNDS)
+    ranks = graph.pagerank(vertices, edges, Workspace(spark, "pagerank"))
     return ranks.select("id", F.round("rank", 10).alias("rank"))
 
 
@@ -101,7 +101,7 @@ def degree_share(spark, sf_dir):
 def weighted_centrality(spark, sf_dir):
     vertices, edges = _customer_graph(spark, sf_dir)
     weighted = edges.select(F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), F.lit(1).alias("weight"))
-    ranks = graph.weighted_centrality(vertices, weighted, Workspace(spark, "central"), iterations=ROUNDS, tolerance=0.0)
+    ranks = graph.weighted_centrality(vertices, weighted, Workspace(spark, "central"))
     return ranks.select("id", F.round("centrality", 7).alias("centrality"))
 
 
@@ -241,11 +241,18 @@ _SAME = """ends AS (SELECT doc_id, 'f:' || string_split(text, chr(10))[1] AS k F
     e1 AS (SELECT doc_id AS src, dst FROM ends JOIN (SELECT k, min(doc_id) AS dst FROM ends GROUP BY k) USING (k) WHERE doc_id <> dst),
     near AS (SELECT src AS a, dst AS b FROM e1 UNION SELECT dst, src FROM e1),
     reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)"""
+#: Rounds one after the other; each is kept, as the next one reads it twice.
 _PAGERANK_ROUNDS = "".join(
-    f""", r{i} AS (SELECT v.id, 0.15 / n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM edges)) / n
-        + 0.85 * coalesce((SELECT sum(p.rank * f.share) FROM r{i - 1} p JOIN flow f ON f.src = p.id WHERE f.dst = v.id), 0) AS rank FROM vertices v, total)"""
-    for i in range(1, ROUNDS + 1)
+    f""", r{i} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM edges)) / n + 0.85 * coalesce(got, 0) AS rank
+        FROM total, vertices v LEFT JOIN (SELECT f.dst, sum(p.rank * f.share) AS got FROM r{i - 1} p JOIN flow f ON f.src = p.id GROUP BY f.dst) g ON g.dst = v.id)"""
+    for i in range(1, CENTRAL_ROUNDS + 1)
 )
+_ROUND = _PAGERANK_ROUNDS.index(f", r{ROUNDS + 1} AS")
+#: The change of each round, and the first round that changes ranks by less than the limit.
+_SETTLED = ", settled AS (SELECT coalesce(min(i), {last}) AS round FROM ({rounds}) WHERE change < (SELECT n FROM total) * {limit})".format(
+    last=CENTRAL_ROUNDS, limit=TOLERANCE, rounds=" UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.rank - b.rank)) AS change FROM r{i} a JOIN r{i - 1} b USING (id)" for i in range(1, CENTRAL_ROUNDS + 1))
+)
+_ALL_ROUNDS = " UNION ALL ".join(f"SELECT {i} AS i, id, rank FROM r{i}" for i in range(1, CENTRAL_ROUNDS + 1))
 
 DEPTH = 8
 #: Breadth first, level by level, and back: what each node owes to paths through it. No path of the customer graph is longer than ``DEPTH``.
@@ -305,7 +312,7 @@ SQL = {
         SELECT nodes, edges, isolated, round(2 * edges / nodes, 6) AS average_degree, round(2 * edges / (nodes * (nodes - 1)), 8) AS density, components,
             CASE WHEN isolated > greatest(10, floor(nodes * 0.25)) THEN 'weak_graph' WHEN components > greatest(10, floor(nodes * 0.15)) THEN 'split_needed' ELSE 'ok' END AS health FROM s""",
     "pagerank": f"""WITH {_CUSTOMERS}, total AS (SELECT count(*) AS n FROM vertices), flow AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM edges),
-        r0 AS (SELECT id, 1.0 / n AS rank FROM vertices, total){_PAGERANK_ROUNDS} SELECT id, round(rank, 10) AS rank FROM r{ROUNDS}""",
+        r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM vertices, total){_PAGERANK_ROUNDS[:_ROUND]} SELECT id, round(rank, 10) AS rank FROM r{ROUNDS}""",
     "degree_share": f"""WITH {_CUSTOMERS}, own AS (SELECT id, count(*) AS w FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
         SELECT id, round(w / (SELECT sum(w) FROM own), 6) AS centrality FROM own""",
     "retrieval_index": f"""WITH {TRIPLES_SQL}, {_ENTITIES}, n AS (SELECT object_id AS e, count(*) AS n FROM triples WHERE predicate = 'MENTIONS' GROUP BY 1),
@@ -343,8 +350,8 @@ SQL = {
         SELECT count(*) AS themes, count(*) FILTER (WHERE rank >= 2) AS search_ready, count(*) FILTER (WHERE rank >= 3) AS graph_ready, arg_max(status, rank) AS best_status, CAST(sum(k) AS BIGINT) AS sources FROM r""",
     "weighted_centrality": f"""WITH {_CUSTOMERS}, total AS (SELECT count(*) AS n FROM vertices), both_ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
         flow AS (SELECT a AS src, b AS dst, count(*) / sum(count(*)) OVER (PARTITION BY a) AS share FROM both_ways WHERE a <> b GROUP BY a, b),
-        r0 AS (SELECT id, 1.0 / n AS rank FROM vertices, total){_PAGERANK_ROUNDS.replace('NOT IN (SELECT src FROM edges)', 'NOT IN (SELECT src FROM flow)')}
-        SELECT id, round(round_even(rank, 8), 7) AS centrality FROM r{ROUNDS}""",
+        r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM vertices, total){_PAGERANK_ROUNDS.replace('NOT IN (SELECT src FROM edges)', 'NOT IN (SELECT src FROM flow)')}{_SETTLED}
+        SELECT id, round(round_even(rank, 8), 7) AS centrality FROM ({_ALL_ROUNDS}) WHERE i = (SELECT round FROM settled)""",
     "betweenness": f"""WITH {_CUSTOMERS}, near AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
         degree AS (SELECT id, count(b) AS d FROM vertices LEFT JOIN near ON a = id GROUP BY id), high AS (SELECT id FROM degree ORDER BY d DESC, id LIMIT 16),
         roots AS (SELECT id FROM high UNION ALL SELECT id FROM (SELECT id FROM vertices WHERE id NOT IN (SELECT id FROM high) ORDER BY md5('13:' || id), id LIMIT 16)),

@@ -80,7 +80,7 @@ def path_names(spark, sf_dir):
 
 
 def compact_texts(spark, sf_dir):
-    text = F.regexp_replace(F.substring("text", 1, 700), ", ", " ,  ")
+    text = F.regexp_replace(F.col("text"), ", ", " ,  ")
     return table(spark, sf_dir, "documents").select("doc_id", T.compact(F.concat(F.lit(" # - "), text, F.lit(" 0,5 ;x|")), 160).alias("compact"))
 
 
@@ -263,7 +263,7 @@ SQL = {
             CASE WHEN length(theme) > 80 THEN array_to_string(string_split(theme, ' ')[1:8], ' ') ELSE theme END AS theme, 'in/' || p_type || '/' || y || ' a_b/' || file AS safe,
             CASE WHEN y = 2011 THEN '2011' ELSE y || ',2011' END AS years
         FROM (SELECT *, trim(regexp_replace(regexp_replace(CASE WHEN p_partkey % 3 = 2 THEN 'Статья_' ELSE '' END || stem || '- .v2', '[_-]+', ' ', 'g'), '\s+', ' ', 'g')) AS theme FROM t)""",
-    "compact_texts": rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_clean("' # - ' || regexp_replace(substr(text, 1, 700), ', ', ' ,  ', 'g') || ' 0,5 ;x|'")}, '\s+', ' ', 'g'), ' -•#|' || chr(9)) AS x FROM documents),
+    "compact_texts": rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_clean("' # - ' || regexp_replace(text, ', ', ' ,  ', 'g') || ' 0,5 ;x|'")}, '\s+', ' ', 'g'), ' -•#|' || chr(9)) AS x FROM documents),
         -- a mark before a letter gets a blank behind it: the letter is taken along and put back
         u AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '\s+([,.;:])', '\1', 'g'), '([,.;:])([^\s\d])', '\1 \2', 'g'), '\s+', ' ', 'g')) AS x FROM t)
         SELECT doc_id, CASE WHEN length(x) <= 160 THEN x ELSE regexp_replace(trim(regexp_replace(substr(x, 1, 160), ' [^ ]*$', '')), '[ ,;:]+$', '') || '…' END AS compact FROM u""",

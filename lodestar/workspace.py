@@ -17,9 +17,11 @@ from .session import ship_package
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a folder of this machine only where that is unset and the session is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
