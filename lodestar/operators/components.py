@@ -56,3 +56,20 @@ def _is_star_forest(e: DataFrame) -> bool:
     )
     seen = ends.groupBy("n").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
     return seen.where("low > 1 OR (low = 1 AND high = 1)").limit(1).count() == 0
+
+
+def grown_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph with ``roots`` (node, root, as ``connected_components`` has them) to which ``edges`` (src, dst) come.
+
+    Rounds run over the new edges alone, between the roots of their ends; nodes
+    known before are relabelled by one join, salted, as a component may hold most of them.
+    """
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct()
+    ends = ends.join(root_of("src"), "src", "left").join(root_of("dst"), "dst", "left")
+    met = ends.select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
+    moved = connected_components(met, Workspace(roots.sparkSession, "grown"))  # ``roots`` may lie in the caller's
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("fresh"), salts)
+    known = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(to, ["root", "salt"], "left")
+    return known.select("node", F.coalesce("fresh", "root").alias("root")).unionByName(moved.select("node", "root"))

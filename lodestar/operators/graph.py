@@ -218,3 +218,17 @@ def central_labels(metrics: DataFrame) -> DataFrame:
 
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in CENTRAL_WEIGHTS.items() for x in kv]), F.col("t.kind"))
     return metrics.select(F.explode("tops").alias("t")).select(normalize(F.col("t.label")).alias("label"), weight.alias("weight"), F.col("t.score").alias("score"))
+
+
+def grown_degrees(degrees: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, degree) after ``new`` edges (src, dst) come to a graph with ``edges`` and ``degrees`` (id, degree).
+
+    Only neighbours that are not neighbours yet, either way, count; repeated new
+    edges count once, and ids that had no row get one.
+    """
+    met = lambda e: e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    fresh = met(new).join(met(edges), ["a", "b"], "left_anti")
+    more = fresh.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("more"))
+    alone = new.where("src = dst").select(F.col("src").alias("id"), F.lit(0).cast("long").alias("more")).distinct()
+    more = more.unionByName(alone).groupBy("id").agg(F.sum("more").alias("more"))
+    return degrees.join(more, "id", "full").select("id", (F.coalesce("degree", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("degree"))

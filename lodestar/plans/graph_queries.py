@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, kg, search, store
-from ..operators.components import connected_components
+from ..operators import graph, kg, search, store, vectors
+from ..operators.components import connected_components, grown_components
 from ..workspace import Workspace
 from .fixtures import FACTS_OF_LINES_SQL, FACTS_SQL, LINES_SQL, TRIPLES_SQL, facts, lines, table, triples
 
@@ -74,6 +74,25 @@ def components(spark, sf_dir):
     return d.join(found, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
 
+def components_grown(spark, sf_dir):
+    """As ``components``, where the links of every third document come later, in two lots."""
+    ws, links = Workspace(spark, "grown"), _same_text(spark, sf_dir)
+    found = ws.save(connected_components(links.where("src % 3 = 0"), ws), "first")
+    for lot in (1, 2):
+        found = ws.save(grown_components(found, links.where(f"src % 3 = {lot}")), f"lot{lot}")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    return d.join(found, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+
+
+def degrees_grown(spark, sf_dir):
+    """As ``degree_density``, where the edges of nations and segments come later and some come again, turned round."""
+    vertices, edges = _customer_graph(spark, sf_dir)
+    old, new = edges.where("dst NOT LIKE 's%' AND src NOT LIKE 'n%'"), edges.where("dst LIKE 's%' OR src LIKE 'n%' OR src LIKE '%7'")
+    turned = new.unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends = old.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.grown_degrees(graph.degrees(ends, old), old, turned)
+
+
 def degree_density(spark, sf_dir):
     vertices, edges = _customer_graph(spark, sf_dir)
     return graph.degrees(vertices, edges)
@@ -215,6 +234,12 @@ def cosine_topk(spark, sf_dir):
     return search.nearest(table(spark, sf_dir, "embeddings"), [1.0 if i % 2 else -1.0 for i in range(64)], 20)
 
 
+def vector_batch(spark, sf_dir):
+    """The ten nearest of all vectors for each vector whose id 50 divides."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_batch(vectors.build_index(rows), rows.where("vec_id % 50 = 0"), 10).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "similarity", "rank")
+
+
 def theme_centroids(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
     return rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
@@ -227,9 +252,9 @@ def event_windows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    edge_counts, node_counts, cooccurrence, cooccurrence_capped, facts_by_property, cheap_kg, band_similarity, components, degree_density,
+    edge_counts, node_counts, cooccurrence, cooccurrence_capped, facts_by_property, cheap_kg, band_similarity, components, components_grown, degree_density, degrees_grown,
     graph_health, pagerank, degree_share, weighted_centrality, betweenness, retrieval_index, validate_store, store_stats, merge_entities,
-    interval_facts, constraint_batch, route_themes, route_by_vectors, route_fallback, readiness_state, cosine_topk, theme_centroids, event_windows,
+    interval_facts, constraint_batch, route_themes, route_by_vectors, route_fallback, readiness_state, cosine_topk, vector_batch, theme_centroids, event_windows,
 )}
 
 _ENTITIES = """per_chunk AS (SELECT DISTINCT chunk_id, e FROM (SELECT chunk_id, brand AS e FROM lines UNION ALL SELECT chunk_id, kind FROM lines))"""
@@ -304,6 +329,9 @@ SQL = {
         SELECT subject_id, object_id, CAST(greatest(1, round_even(10 * s, 0)) AS BIGINT) AS weight, round(s, 6) AS similarity
         FROM (SELECT *, greatest(j, CASE WHEN p THEN 0.35 ELSE 0 END) AS s FROM pairs) WHERE s >= 0.35 ORDER BY s DESC, subject_id DESC, object_id DESC LIMIT 2000""",
     "components": f"WITH RECURSIVE {_SAME} SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a",
+    "components_grown": f"WITH RECURSIVE {_SAME} SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a",
+    "degrees_grown": f"""WITH {_CUSTOMERS}, near AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)
+        SELECT id, count(b) AS degree FROM vertices LEFT JOIN near ON a = id GROUP BY id""",
     "degree_density": f"""WITH {_CUSTOMERS}, near AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)
         SELECT id, count(b) AS degree FROM vertices LEFT JOIN near ON a = id GROUP BY id""",
     "graph_health": f"""WITH RECURSIVE {_SAME}, d AS (SELECT doc_id, count(b) AS degree FROM documents LEFT JOIN near ON a = doc_id GROUP BY doc_id), s AS (
@@ -359,6 +387,9 @@ SQL = {
         SELECT id, round(coalesce(s, 0) / 32, 6) AS betweenness FROM vertices LEFT JOIN (SELECT node, sum(owed) AS s FROM ({_OWED}) WHERE root <> node GROUP BY node) ON node = id""",
     "cosine_topk": f"""SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {[1.0 if i % 2 else -1.0 for i in range(64)]}), 4) AS similarity
         FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20""",
+    "vector_batch": """SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 4) AS similarity,
+        CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 4) DESC, v.vec_id) AS INT) AS rank
+        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""",
     "theme_centroids": """SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2""",
     "event_windows": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
 }
