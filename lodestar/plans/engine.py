@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,6 +261,26 @@ class Engine:
         vertices, edges = graph.store_graph(entities, facts, triples)
         return graph.graph_metrics(vertices, edges, entities.select(F.col("entity_id").alias("id"), "label"), Workspace(self.spark, "metrics"), top_n)
 
+    def refresh_catalog(self, theme_ids: list[str]) -> None:
+        """Metrics of each of the themes anew, and catalog rows that are as the store now is, with the most central nodes of the theme's own graph.
+
+        Statuses stay; a theme that had no row is ``parsed_ready``. Names that no chunk has change nothing, and other rows stay as they are.
+        """
+        if not theme_ids:
+            return
+        lists = [graph.central_labels(self.metrics([t])).select(F.lit(t).alias("theme_id"), F.struct("label", "weight", "score").alias("node")) for t in dict.fromkeys(theme_ids)]
+        central = reduce(DataFrame.unionByName, lists).groupBy("theme_id").agg(F.array_sort(F.collect_list("node")).alias("found"))  # 3 lists of 20 a theme
+        own = self._themes("parsed_ready").where(F.col("theme_id").isin(theme_ids)).join(central, "theme_id", "left")
+        ws = Workspace(self.spark, "refresh")
+        fresh = ws.save(own.withColumn("central", F.coalesce("found", "central")).drop("found"), "rows")
+
+        def renewed(old: DataFrame) -> DataFrame:
+            held = fresh.join(old.select("theme_id", F.col("status").alias("held")), "theme_id", "left").withColumn("status", F.coalesce("held", "status"))
+            return old.join(fresh.select("theme_id"), "theme_id", "left_anti").unionByName(held.select(*old.columns))
+
+        self.graphs.rewrite("themes", renewed)
+        ws.clear()
+
     # questions
 
     def rows(self) -> DataFrame:

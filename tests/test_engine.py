@@ -96,6 +96,20 @@ def test_reports_and_preflight(engine, tmp_path):
     assert engine.nightly(str(tmp_path))["status"] == "failed"
 
 
+def test_catalog_rows_are_refreshed(engine):
+    """One theme's row has its own graph's central nodes then; its status, and other rows, stay."""
+    rows = lambda: {r.theme_id: r for r in engine._graph("themes").collect()}
+    before = rows()
+    theme = min(before)
+    engine.refresh_catalog([theme, "no such theme"])
+    after = rows()
+    tops = {t.label.lower() for t in engine.metrics([theme]).first().tops}
+    assert set(after) == set(before) and all(after[t] == before[t] for t in before if t != theme)
+    assert after[theme].status == before[theme].status and after[theme].sources == before[theme].sources
+    assert {x.label for x in after[theme].central} == {" ".join(x.replace("ё", "е").split()) for x in tops}
+    assert tops and {x.weight for x in after[theme].central} == {1.0, 0.8, 0.5}
+
+
 def test_delete(engine):
     source = engine.store.read("sources").where("source_name = 'copper.txt'").first().source_id
     engine.delete_source(source)
