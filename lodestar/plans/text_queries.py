@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, citations, search, selection, store, themes
+from ..operators import chunking, citations, lexical, search, selection, store, themes
 from ..workspace import Workspace
 from .fixtures import table
 
@@ -79,6 +79,13 @@ def search_by_theme(spark, sf_dir):
     return search.search(chunks(spark, sf_dir), QUESTION, limit=3, group="theme_id").select("theme_id", "chunk_id", "score")
 
 
+def question_hits(spark, sf_dir):
+    """The eight best chunks of all documents for every turn of a user."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("query"), F.col("text").alias("question"))
+    found = lexical.search_batch(lexical.build_index(chunks(spark, sf_dir)), turns)
+    return found.select("query.conv_id", "query.turn", F.col("key").alias("chunk_id"), "score", "rank")
+
+
 def kg_score(spark, sf_dir):
     scored = chunks(spark, sf_dir).select("chunk_id", selection.kg_score(F.col("text"), F.lit(0), F.lit(False), F.lit("")).alias("s"))
     return scored.select("chunk_id", F.col("s.score").alias("score"), F.array_join("s.reasons", ";").alias("reasons"))
@@ -154,7 +161,7 @@ def dup_titles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     norm_tokens_topn, chunk_windows, chunk_ids, line_stats, lang_vote, repeated_lines, text_fingerprint, slug_names,
-    theme_from_url, search_topk, search_by_theme, kg_score, chunk_quality, topn_candidates, select_chunks, selection_counts, budgeted_context, history_tail,
+    theme_from_url, search_topk, search_by_theme, question_hits, kg_score, chunk_quality, topn_candidates, select_chunks, selection_counts, budgeted_context, history_tail,
     chat_titles, skip_existing, upsert_sources, dup_titles,
 )}
 
@@ -195,6 +202,31 @@ _NEAR = """near AS (
                 FROM scored WHERE score > 0))))"""
 
 
+def _question_hits_sql() -> str:
+    """Every question with every chunk: tokens meet by a join, fields are held against each pair of source and collection."""
+    stop, token = _sql_list(T.V.STOP_WORDS), "[0-9A-Za-zА-Яа-яЁё_.+-]{2,}"
+    numeric = T.V.SEARCH_NUMERIC.replace("(?iu)", "(?i)")
+    return f"""WITH {_CHUNKS}, rows AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS low,
+        trim(regexp_replace(lower(text || ' ' || source || ' ' || theme_id || ' ' || collection), '\\s+', ' ', 'g')) AS hay FROM chunks),
+    asked AS (SELECT text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS phrase FROM conversations WHERE role = 'user' GROUP BY 1),
+    wanted AS (SELECT DISTINCT text, t FROM (SELECT text, lower(unnest(regexp_extract_all(text, '{token}'))) AS t FROM asked) WHERE NOT list_contains({stop}, t)),
+    words AS (SELECT DISTINCT t FROM wanted),
+    times AS (SELECT chunk_id, t, count(*) AS n FROM (SELECT chunk_id, unnest(regexp_extract_all(hay, '{token}')) AS t FROM rows) SEMI JOIN words USING (t) GROUP BY 1, 2),
+    fields AS (SELECT source, collection, t, CASE WHEN contains(source, t) THEN 0.5 ELSE 0 END + CASE WHEN contains(collection, t) THEN 0.75 ELSE 0 END AS named,
+        CASE WHEN contains(collection || ' ' || source, t) THEN 0.35 ELSE 0 END AS about FROM (SELECT DISTINCT source, collection FROM chunks), words),
+    places AS (SELECT chunk_id, t, CASE WHEN length(clean) > 900 THEN nullif(strpos(low, t), 0) END AS place FROM rows, words),
+    sums AS (SELECT w.text, r.chunk_id, sum(CASE WHEN m.n > 0 THEN 1.0 + ln(1 + m.n) + f.named ELSE 0 END + f.about) AS gain, coalesce(min(p.place), 1) - 1 AS p
+        FROM wanted w JOIN places p ON p.t = w.t JOIN rows r ON r.chunk_id = p.chunk_id JOIN fields f ON f.t = w.t AND f.source = r.source AND f.collection = r.collection
+        LEFT JOIN times m ON m.t = w.t AND m.chunk_id = r.chunk_id GROUP BY 1, 2),
+    scored AS (SELECT s.text, s.chunk_id, source, clean, p, round(gain + CASE WHEN contains(hay, phrase) THEN 8.0 ELSE 0 END + CASE WHEN regexp_matches(hay, '{numeric}') THEN 0.9 ELSE 0 END, 4) AS score,
+            least(length(clean), greatest(0, p - 300) + 900) AS e FROM sums s JOIN rows r USING (chunk_id) JOIN asked a ON a.text = s.text),
+    near AS (SELECT *, lower(substr(CASE WHEN length(clean) <= 900 THEN clean ELSE (CASE WHEN e > 900 THEN '…' ELSE '' END) || trim(substr(clean, greatest(0, e - 900) + 1, e - greatest(0, e - 900)))
+            || (CASE WHEN e < length(clean) THEN '…' ELSE '' END) END, 1, 180)) AS start FROM scored WHERE score > 0),
+    firsts AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY text, source, start ORDER BY score DESC, chunk_id) = 1),
+    best AS (SELECT text, chunk_id, score, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, chunk_id) AS INT) AS rank FROM firsts QUALIFY rank <= 8)
+    SELECT conv_id, turn, chunk_id, score, rank FROM conversations JOIN best USING (text) WHERE role = 'user'"""
+
+
 def _near_sql(own: str = "") -> str:
     places = ", ".join(f"strpos(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{t}')" for t in search.query_tokens(QUESTION))
     return _NEAR.format(own=own, places=places)
@@ -269,6 +301,7 @@ SQL = {
         SELECT CASE WHEN len(p) >= 1 AND length(p[1]) = 2 THEN p[1] ELSE 'general' END AS collection, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://(?:www\.|m\.|blog\.|docs\.)?([^./?#]+)', 1), ''), 'general') AS theme
         FROM (SELECT url, list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)) GROUP BY 1, 2""",
     "search_topk": f"WITH {_CHUNKS}, {_search_sql()}, {_near_sql()} SELECT chunk_id, doc_id, score FROM near WHERE first = 1 ORDER BY score DESC, chunk_id LIMIT 8",
+    "question_hits": _question_hits_sql(),
     "search_by_theme": f"""WITH {_CHUNKS}, {_search_sql()}, {_near_sql(', theme_id')}
         SELECT theme_id, chunk_id, score FROM near WHERE first = 1 QUALIFY row_number() OVER (PARTITION BY theme_id ORDER BY score DESC, chunk_id) <= 3""",
     "topn_candidates": rf"""WITH {_CHUNKS}, scored AS (
