@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.text import document_type, section_title, section_type, source_year
-from ..operators import answers, chunking, graph, kg, search, selection, store, themes, upkeep
+from ..operators import answers, chunking, graph, kg, lexical, search, selection, store, themes, upkeep
 from ..operators.extraction import MOST_TAGS, Ontology, constraints_of, extract_facts, fact_context, find_terms, parse_query
 from ..operators.tables import VersionedTables
 from ..sources import readers
@@ -206,6 +206,7 @@ class Engine:
             central = ws.save(graph.weighted_centrality(nodes, edges, ws), "centrality")
             write("retrieval_edges", edges)
             write("retrieval_index", kg.retrieval_index(chunks, triples, facts, central))
+        write("search_index", lexical.build_index(self.rows(), keep=("theme_id",), ws=ws))
         if "selection" in builds:
             rows = selection.top_candidates(chunks.withColumn("n_tags", F.size("domain_tags")), self.settings.candidate_cap)
             has_fact = facts.select("chunk_id", F.lit(True).alias("has_fact")).distinct()
@@ -284,9 +285,13 @@ class Engine:
     # questions
 
     def rows(self) -> DataFrame:
-        """The retrieval index where it has been built, else the chunks."""
-        built = self._graph("retrieval_index")
-        return built if built is not None else self.store.read("chunks")
+        """The retrieval index where it has been built, with the chunks that came since; else the chunks. Chunks that are gone are left out."""
+        built, chunks = self._graph("retrieval_index"), self.store.read("chunks")
+        if built is None:
+            return chunks
+        later = chunks.join(built.select("chunk_id"), "chunk_id", "left_anti")
+        later = later.select("chunk_id", *(c for c in built.columns if c in later.columns and c != "chunk_id"))
+        return built.join(chunks.select("chunk_id"), "chunk_id", "left_semi").unionByName(later, allowMissingColumns=True)
 
     def _ready_rows(self, min_readiness: str = "search_ready") -> DataFrame:
         """``rows`` of the themes that are ready; all of them before there is a catalog."""
@@ -297,13 +302,22 @@ class Engine:
         return self.rows().join(ready.select("theme_id"), "theme_id", "left_semi")
 
     def route(self, question: str, min_readiness: str = "search_ready") -> DataFrame:
-        """The ready themes to ask; where the scores name none, those of the best hits, and at last the first ones."""
+        """The ready themes to ask; where the scores name none, those of the best hits, and at last the first ones.
+
+        Where no theme is as ready as asked, those that are parsed are taken, with any score.
+        """
+        found = self._routed(question, min_readiness)
+        if min_readiness != "parsed_ready" and not found.limit(1).count():
+            return self._routed(question, "parsed_ready", 0.0)
+        return found
+
+    def _routed(self, question: str, min_readiness: str, min_score: float = 0.10) -> DataFrame:
         catalog, vector = self._graph("themes"), None
         vectors = self._graph("theme_embeddings") if self.settings.embedder else None
         if vectors is not None:
             vector = self.settings.embedder([question])[0]
             catalog = catalog.join(vectors.select("theme_id", F.col("embedding").alias("profile")), "theme_id", "left")
-        found = search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness, fallback=False)
+        found = search.route_themes(catalog, question, vector, self.settings.max_themes, min_readiness, min_score, fallback=False)
         if found.limit(1).count():
             return found
         best = search.search(self._ready_rows(min_readiness), question, 1, group="theme_id").select("theme_id", F.col("score").alias("route_score"))
@@ -320,6 +334,23 @@ class Engine:
         best = sorted((r.asDict(recursive=True) for r in got), key=lambda h: (-h["score"], h["chunk_id"]))
         return search.rerank(best, self.settings.reranker)
 
+    def hits_many(self, questions: DataFrame, key: str = "query", text: str = "question", min_readiness: str = "search_ready") -> DataFrame:
+        """The best chunks of all ready themes for each of ``questions``: (query, rank, score, and the chunk's columns).
+
+        One pass over the index that ``build`` stores for a block of questions. Chunks
+        that came since are prepared for this call, those that are gone are left out.
+        """
+        ws, rows = Workspace(self.spark, "hits"), self._ready_rows(min_readiness)
+        stored = self._graph("search_index")
+        if stored is None:
+            index = lexical.build_index(rows, keep=("theme_id",), ws=ws)
+        else:
+            later = rows.join(stored.select(F.col("key").alias("chunk_id")), "chunk_id", "left_anti")
+            index = stored.join(rows.select(F.col("chunk_id").alias("key")), "key", "left_semi")
+            index = index.unionByName(lexical.build_index(later, keep=("theme_id",), ws=ws))
+        best = lexical.search_batch(index, questions, self.settings.hits, key, text, ws).withColumnRenamed("key", "chunk_id")
+        return best.select("query", "chunk_id", "rank", F.col("score").alias("hit_score")).join(rows, "chunk_id").withColumnRenamed("hit_score", "score")
+
     def facts(self, question: str, this_year: int | None = None, limit: int = 12) -> list[dict]:
         """Facts that a question asks for by terms, numbers, places or years; none where it names nothing of the kind."""
         parsed = self.parse(question, this_year or date.today().year)

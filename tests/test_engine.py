@@ -58,7 +58,7 @@ def test_ingest_again_changes_nothing(engine):
 
 
 def test_graphs(engine, spark):
-    assert set(engine.built) == {"cheap_kg", "retrieval_edges", "retrieval_index", "selected_chunks", "selection_report", "themes"}
+    assert set(engine.built) == {"cheap_kg", "retrieval_edges", "retrieval_index", "search_index", "selected_chunks", "selection_report", "themes"}
     index = {(r.source_name, r.object_type): r for r in spark.read.parquet(engine.built["retrieval_index"]).collect()}
     nickel = index["nickel 2019.txt", "chunk"]
     assert nickel.graph_boost > index["rules.txt", "chunk"].graph_boost and nickel.numeric_fact_count == 1
@@ -79,6 +79,29 @@ def test_ask(engine):
     engine.settings.model = None
 
 
+def test_many_questions(engine, spark):
+    """As one question over all ready rows, from the stored index."""
+    from lodestar.operators import search
+
+    texts = ["What is the temperature of nickel leaching?", "safety rules", "heap leaching of copper", "zzz"]
+    got = engine.hits_many(spark.createDataFrame(list(enumerate(texts)), "query int, question string")).orderBy("query", "rank").collect()
+    for i, t in enumerate(texts):
+        want = [(r.chunk_id, r.score, r.source_name) for r in search.search(engine._ready_rows(), t, engine.settings.hits).collect()]
+        assert [(r.chunk_id, r.score, r.source_name) for r in got if r.query == i] == want
+
+
+def test_themes_that_are_parsed_are_asked_where_none_is_ready(engine):
+    status = {r.theme_id: r.status for r in engine._graph("themes").collect()}
+    first, last = min(status), max(status)
+    for t in status:
+        engine.set_status(t, "parsed_ready")
+    engine.set_status(last, "failed")
+    assert [r.theme_id for r in engine.route("nickel leaching").collect()] == [first]
+    engine.set_status(first, status[first])
+    assert [r.theme_id for r in engine.route("zzz").collect()] == [first]
+    engine.set_status(last, status[last])
+
+
 def test_vectors_and_status(engine):
     engine.settings.embedder = lambda texts: [[float("safety" in t), float("nickel" in t.lower())] for t in texts]
     engine.build("retrieval_kg")
@@ -114,3 +137,15 @@ def test_delete(engine):
     source = engine.store.read("sources").where("source_name = 'copper.txt'").first().source_id
     engine.delete_source(source)
     assert engine.store.read("chunks").where(f"source_id = '{source}'").count() == 0 and engine.store.read("chunks").count() == 3
+
+
+def test_new_chunks_are_found_before_the_next_build(engine, spark, tmp_path):
+    folder = tmp_path / "reports" / "leach"
+    folder.mkdir(parents=True)
+    (folder / "cobalt.txt").write_text("Cobalt sulphate crystals were grown slowly from the purified solution of the plant.")
+    engine.ingest(str(tmp_path)).collect()
+    question = "cobalt sulphate crystals"
+    assert engine.ask(question)["hits"][0]["source_name"] == "cobalt.txt"
+    asked = spark.createDataFrame([(1, question)], "query int, question string")
+    assert engine.hits_many(asked).where("rank = 1").first().source_name == "cobalt.txt"
+    assert not [r for r in engine.rows().collect() if r.source_name == "copper.txt"]  # deleted above, still in the stored index
