@@ -61,11 +61,15 @@ def kg_score(text: Column, n_tags: Column, has_fact: Column, citation: Column) -
     return bind(counts, scored)
 
 
-def chunk_quality(rows: DataFrame, kg: Column | None = None) -> DataFrame:
-    """``rows`` (source_name, text) with doc_type, numeric_hits, domain_hits, chunk_quality and is_informative."""
+def chunk_quality(rows: DataFrame, kg: Column | None = None, doc_type: Column | None = None) -> DataFrame:
+    """``rows`` (source_name, text) with doc_type, numeric_hits, domain_hits, chunk_quality and is_informative.
+
+    ``doc_type``: what type the rows are taken for; else it is told from name and text.
+    """
     text = F.coalesce("text", F.lit(""))
     low = normalize(text)
-    d = rows.withColumn("doc_type", selection_document_type(F.col("source_name"), text)).withColumn("_tokens", scoring_tokens(text)).withColumn("_lines", line_stats(text))
+    doc_type = selection_document_type(F.col("source_name"), text) if doc_type is None else doc_type
+    d = rows.withColumn("doc_type", doc_type).withColumn("_tokens", scoring_tokens(text)).withColumn("_lines", line_stats(text))
     d = d.withColumn("numeric_hits", F.regexp_count(text, F.lit(V.SCORING_NUMERIC)))
     d = d.withColumn("domain_hits", _hits(text, V.PROCESS_TERMS) + _hits(text, V.MATERIAL_TERMS) + _hits(text, V.PROPERTY_TERMS))
     n, numeric, domain = F.size("_tokens"), F.col("numeric_hits"), F.col("domain_hits")
@@ -125,11 +129,11 @@ def combined_score(kg: Column, quality: Column) -> Column:
     return F.bround(0.72 * kg + 0.28 * quality, 4)
 
 
-def with_selection_scores(rows: DataFrame, has_fact: Column, n_tags: Column, citation: Column) -> DataFrame:
+def with_selection_scores(rows: DataFrame, has_fact: Column, n_tags: Column, citation: Column, doc_type: Column | None = None) -> DataFrame:
     """``rows`` (source_name, text) with kg_score_raw, kg_reasons, chunk_quality, doc_type, is_informative and kg_score, the combined one."""
     scored = rows.withColumn("_s", kg_score(F.coalesce("text", F.lit("")), n_tags, has_fact, citation))
     scored = scored.withColumns({"kg_score_raw": F.col("_s.score"), "kg_reasons": F.col("_s.reasons")}).drop("_s")
-    scored = chunk_quality(scored, F.col("kg_score_raw"))
+    scored = chunk_quality(scored, F.col("kg_score_raw"), doc_type)
     return scored.withColumn("kg_score", combined_score(F.col("kg_score_raw"), F.col("chunk_quality")))
 
 
