@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lodestar.functions.text import compact
+from lodestar.operators import kg
 from lodestar.plans import catalog
 
 
@@ -38,3 +39,12 @@ def test_runs_of_marks(spark, tmp_path):
     same_as_sql(spark, tmp_path, "compact_texts")
     row = spark.createDataFrame([("a,,b 0,5",)], "t string")
     assert row.select(compact("t").alias("x")).first().x == "a, , b 0,5"  # the operator's own rule
+
+
+def test_half_a_digit_goes_up(spark):
+    chunks = spark.createDataFrame([("a", "text", [])], "chunk_id string, text string, domain_tags array<string>")
+    triples = spark.createDataFrame([("x", "MENTIONS", "onto:a", "a")], "subject_id string, predicate string, object_id string, chunk_id string")
+    facts = spark.createDataFrame([], "chunk_id string, property_id string, unit string")
+    central = spark.createDataFrame([("onto:a", 0.000005)], "id string, centrality double")
+    # 0.12005: half even gave 0.12, and the SQL has 0.1201
+    assert kg.retrieval_index(chunks, triples, facts, central).first().graph_boost == 0.1201
