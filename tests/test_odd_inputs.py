@@ -2,10 +2,14 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.functions.text import compact
-from lodestar.operators import kg
-from lodestar.plans import catalog
+from lodestar.operators import kg, search
+from lodestar.plans import catalog, fixtures
+
+SF = "/root/testdata/sf0.001"
 
 
 def same_as_sql(spark, folder, name):
@@ -48,3 +52,25 @@ def test_half_a_digit_goes_up(spark):
     central = spark.createDataFrame([("onto:a", 0.000005)], "id string, centrality double")
     # 0.12005: half even gave 0.12, and the SQL has 0.1201
     assert kg.retrieval_index(chunks, triples, facts, central).first().graph_boost == 0.1201
+
+
+def test_token_counts_are_those_of_the_list(spark):
+    texts = ["heap-leach heap leach. heap, heap_leach heap", "", "1.5 5 a.b a.b+ a.b ёлка Ёлка елка", "aheap heap\nheap"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize("t").alias("t"))
+    for token in ("heap", "heap-leach", "a.b", "елка", "1.5"):
+        listed = F.size(F.filter(T.search_tokens("t"), lambda x, own=token: x == own))
+        assert rows.where(T.token_count(F.col("t"), token) != listed).count() == 0
+
+
+def test_scores_need_no_token_lists(spark):
+    rows = spark.createDataFrame([("a heap", "x")], "text string, chunk_id string")
+    plan = search.with_scores(rows, "what of a heap")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("name", ["part", "customer"])
+def test_small_tables_are_spread(spark, name):
+    """Their files have one row group, which one task would read and work on."""
+    rows = fixtures.table(spark, SF, name)
+    used = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= spark.sparkContext.defaultParallelism
