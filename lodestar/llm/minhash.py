@@ -24,7 +24,7 @@ Every link is confirmed on the full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -109,10 +109,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return _mixed([np.arange(BANDS), *(rows[:, i] for i in range(ROWS))]).view(np.int64)
 
 
-def signed(docs: DataFrame, width: int, count: bool = False) -> DataFrame:
+def signed(docs: DataFrame, width: int, count: bool = False, fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """``docs`` (any columns, the last one the text) with ``node``, a digest of its set, ``n``, its size, and band ``keys``, null for an empty set, for the text.
 
     With ``count`` the size is that of the set of word tuples, else of the set of their hashes.
+    ``fingerprint`` makes a column ``fp`` of the set's hashes, null for an empty set.
     """
     kept = [f"`{c}` {kind}" for c, kind in docs.dtypes[:-1]]
 
@@ -121,17 +122,22 @@ def signed(docs: DataFrame, width: int, count: bool = False) -> DataFrame:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 names = batch.schema.names
-                digests, sizes, keys = [], [], []
+                digests, sizes, keys, prints = [], [], [], []
                 for text in batch.column(len(names) - 1):
                     words = words_of(text.as_py())
                     found = shingle_set(words, width)
                     digests.append(xxhash.xxh3_128_hexdigest(found.astype("<u8").tobytes()))
                     sizes.append(shingle_count(words, width) if count else len(found))
                     keys.append(band_keys(signature(found)) if len(found) else None)
+                    prints.append(fingerprint(found) if fingerprint and len(found) else None)
                 made = [pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*names[:-1], "node", "n", "keys"])
+                if fingerprint:
+                    made.append(pa.array(prints, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*names[:-1], *added])
 
-    return docs.mapInArrow(sign, ", ".join([*kept, "node string", "n long", "keys array<long>"]))
+    columns = ["node string", "n long", "keys array<long>", *(["fp long"] if fingerprint else [])]
+    added = [c.split()[0] for c in columns]
+    return docs.mapInArrow(sign, ", ".join([*kept, *columns]))
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -294,15 +300,19 @@ def _dealt(groups: DataFrame, ws: Workspace) -> DataFrame:
     return rows.select("centre", "id", "root", "bytes", F.inline(cells))
 
 
-def alike_components(nodes: DataFrame, sets_of, percent: int, ws: Workspace) -> DataFrame:
+def alike_components(nodes: DataFrame, sets_of, percent: int, ws: Workspace, candidates: DataFrame | None = None) -> DataFrame:
     """(id, root) of those of ``nodes`` (id, n, keys) that are alike to another, by any chain: the smallest id reached.
 
-    ``sets_of`` takes a table (id) and gives (id, n, shingles) of these.
+    ``sets_of`` takes a table (id) and gives (id, n, shingles) of these. ``candidates``
+    (src, dst) of another search are confirmed with the stars, before the cells are made.
     """
     entries = nodes.select("id", F.explode("keys").alias("key"))
     shared = ws.save(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = ws.save(entries.join(shared, "key"), "members")
-    sets = ws.save(sets_of(members.select("id").distinct()), "sets")
+    wanted = members.select("id")
+    if candidates is not None:
+        wanted = wanted.unionByName(candidates.select(F.explode(F.array("src", "dst")).alias("id")))
+    sets = ws.save(sets_of(wanted.distinct()), "sets")
     side = max(1, -(-8 * (sets.agg(F.sum("n")).first()[0] or 0) // GRID_BYTES))
 
     weighed = members.join(members.groupBy("id").agg(F.sum("size").alias("weight")), "id")
@@ -311,7 +321,11 @@ def alike_components(nodes: DataFrame, sets_of, percent: int, ws: Workspace) ->
     for name in ("shared", "members", "centres"):
         ws.drop(name)
     most = meetings.where("id <> centre").groupBy("id").agg(F.max(F.struct("times", "centre")).alias("most"))
-    stars = ws.save(most.select(F.col("id").alias("src"), F.col("most.centre").alias("dst")), "stars of centres")
+    stars = most.select(F.col("id").alias("src"), F.col("most.centre").alias("dst"))
+    if candidates is not None:
+        ends = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+        stars = stars.select(*ends).unionByName(candidates.select(*ends)).distinct()
+    stars = ws.save(stars, "stars of centres")
     links = ws.save(confirmed(stars, sets, side, percent), "links")
     roots = ws.save(connected_components(links, ws), "roots")
 

@@ -51,8 +51,12 @@ def fingerprint(text: str | None) -> int:
         return 0
     n = max(1, len(words) - 2)
     shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set, as an unsigned integer."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for i in range(0, n, CHUNK):
         part = hashes[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.int32)
@@ -213,13 +217,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id; rows with null doc_id stay.
 
     Near copies are as ``near_copies`` has them, five-word shingles at a
-    similarity of 0.8; the radius of op1's fingerprints is too small for these.
+    similarity of 0.8. Candidates are found by the fingerprints of these, as ``links``
+    has it, and as its radius is too small for all of them, by MinHash for the rest.
     Of rows that share that doc_id, texts that are no near copies of each other
     all stay; of near copies the text with the least MD5 stays, and of rows with
     that text the first by all columns. Null texts are as empty ones, and texts
     without words are copies of each other. An empty table gives an empty result.
     """
-    of = copies_to_keep(docs, Workspace(docs.sparkSession, "copies"))
+    ws = Workspace(docs.sparkSession, "copies")
+    of = copies_to_keep(docs, ws, lambda found: _signed(majority(found)), lambda fps: links(fps, plan_search(docs.sparkSession, fps), ws))
     nested = docs.where("doc_id IS NOT NULL").select("doc_id", text_digest().alias("digest"), F.struct(*docs.columns).alias("doc"))
     unordered = [c for c, kind in docs.dtypes if "map<" in kind or "variant" in kind]
     first = F.min_by("doc", F.to_json("doc")) if unordered else F.min("doc")
