@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions.text import compact
-from lodestar.operators import kg, search
+from lodestar.operators import extraction, kg, search
 from lodestar.plans import catalog, fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,20 @@ def test_small_tables_are_spread(spark, name):
     rows = fixtures.table(spark, SF, name)
     used = rows.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used >= spark.sparkContext.defaultParallelism
+
+
+def test_facts_of_repeated_texts_are_found_once(spark, monkeypatch):
+    """What does not depend on a row's key is worked out once for each text of a task; ids still differ by row."""
+    ontology = extraction.Ontology((), {"concentration": ("sulfate",)})
+    text, calls = "Sulfate at 5 mg/L and 20 °C.", []
+    found = extraction._quantities
+    monkeypatch.setattr(extraction, "_quantities", lambda o, t: calls.append(t) or found(o, t))
+    rows = spark.createDataFrame([(str(i), "s", text) for i in range(50)], "object_id string, source_name string, text string")
+    want = sorted(f[0] for i in range(50) for f in extraction.facts_of(ontology, text, "s", str(i)))
+    calls.clear()
+    run = {}
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, f, schema: run.setdefault("f", f) and self)
+    extraction.extract_facts(rows, ontology)
+    batches = [rows.select("text", "source_name", "object_id").toPandas()]
+    got = [i for pdf in run["f"](batches) for i in pdf["fact_id"]]
+    assert sorted(got) == want and len(set(got)) == 100 and calls == [text]
