@@ -86,3 +86,28 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "nickel")], "query int, question string")
     assert lexical.search_batch(lexical.build_index(rows.limit(0)), asked).count() == 0
     assert lexical.search_batch(lexical.build_index(rows), asked.limit(0)).count() == 0
+
+
+def test_a_shard_scores_many_questions_at_once():
+    """Frequent tokens as rows of gains, rare ones by lists, phrases on top: as added up one question and row at a time."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = random.Random(5), 300
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(200)], k=30)) for _ in range(n)]
+    boost = [rng.random() for _ in range(n)]
+    plain = pa.array([""] * n)
+    names = ["key", "source", "clean", "hay", "low", "tokens", "name", "place", "marked", "meta", "boost"]
+    columns = [pa.array([f"k{i:03}" for i in range(n)]), plain, pa.array(texts), pa.array(texts), pa.array([len(t) for t in texts]), pa.array([t.split() for t in texts]), plain, plain, plain, plain, pa.array(boost)]
+    asked = [" ".join(rng.choices(words, k=rng.randint(1, 20))) for _ in range(lexical.AT_ONCE + 40)] + [texts[7][3:40]]
+    block = lexical.Block(list(enumerate(asked)))
+    shard = lexical.Shard(pa.record_batch(columns, names=names), block, pa.array(block.tokens, pa.string()))
+    got = dict(shard.best(8, np.zeros(len(asked))))
+    assert len(shard.gains) > 1 and (shard.column < 0).any()  # some tokens are scored in one way, some in the other
+    for number, text in enumerate(asked):
+        score = [sum(1 + np.log1p(t.split().count(w)) for w in set(text.split()) if w in t.split()) + 8.0 * (text in t) + b for t, b in zip(texts, boost)]
+        best = sorted(((-round(s, 4), f"k{i:03}") for i, s in enumerate(score)))[:8]
+        assert [(-s, k) for s, k, _ in got[number]] == [(pytest.approx(s), k) for s, k in best]
