@@ -322,3 +322,19 @@ def test_metrics(spark):
     relevant = spark.createDataFrame([(1, "b"), (2, "z")], "query_id int, item_id string")
     r = tuning.retrieval_metrics(ranked, relevant).first()
     assert (r.recall, r.mrr) == (0.5, 0.25)
+
+
+def test_ranks_of_a_round_are_not_broadcast(spark):
+    """Ranks as small as these would go through the driver in each round."""
+    plans = []
+
+    class Seen(Workspace):
+        def save(self, df, name):
+            if name == "ranks":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string")
+    v = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert graph.pagerank(v, edges, Seen(spark), iterations=2).count() == 3
+    assert len(plans) == 3 and all("SortMergeJoin [frm" in p for p in plans[1:])
