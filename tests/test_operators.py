@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import answers, chunking, citations, evidence, graph, records, search, selection, store, themes, tuning
+from lodestar.operators import answers, chunking, citations, evidence, graph, kg, records, search, selection, store, themes, tuning
 from lodestar.operators.components import connected_components
 from lodestar.operators.extraction import Ontology, Term, extract_facts, facts_of, find_terms, parse_query
 from lodestar.workspace import Workspace
@@ -338,3 +338,24 @@ def test_ranks_of_a_round_are_not_broadcast(spark):
     v = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     assert graph.pagerank(v, edges, Seen(spark), iterations=2).count() == 3
     assert len(plans) == 3 and all("SortMergeJoin [frm" in p for p in plans[1:])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _graph_tables(spark):
+    t = [("c1", "CONTAINS", "l1", "c1"), ("l1", "MENTIONS", "onto:a", "c1"), ("l1", "MENTIONS", "onto:a", "c1"), ("l1", "MENTIONS", "onto:b", "c1"), ("", "MENTIONS", "onto:b", "c1"), ("l2", "MENTIONS", "onto:b", "")]
+    f = [("f1", ["a", "onto:b"]), ("f2", []), ("f1", ["a"])]
+    return spark.createDataFrame(t, "subject_id string, predicate string, object_id string, chunk_id string"), spark.createDataFrame(f, "fact_id string, entity_ids array<string>")
+
+
+def test_retrieval_edges_are_grouped_once(spark):
+    triples, facts = _graph_tables(spark)
+    similar = spark.createDataFrame([("onto:a", "SIMILAR_ONTOLOGY", "onto:b", 7)], "subject_id string, predicate string, object_id string, weight long")
+    edges = kg.retrieval_edges(triples, facts, similar)
+    assert {(r.subject_id, r.predicate, r.object_id): r.weight for r in edges.collect()} == {
+        ("c1", "CONTAINS", "l1"): 1, ("l1", "MENTIONS", "onto:a"): 2, ("l1", "MENTIONS", "onto:b"): 1, ("l2", "MENTIONS", "onto:b"): 1,
+        ("f1", "ABOUT_ENTITY", "onto:a"): 2, ("f1", "ABOUT_ENTITY", "onto:b"): 1, ("onto:a", "CO_OCCURS_IN_CHUNK", "onto:b"): 1, ("onto:a", "SIMILAR_ONTOLOGY", "onto:b"): 7,
+    }
+    assert _plan(edges).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 3  # chunks, pairs, edges
