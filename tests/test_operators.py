@@ -359,3 +359,10 @@ def test_retrieval_edges_are_grouped_once(spark):
         ("f1", "ABOUT_ENTITY", "onto:a"): 2, ("f1", "ABOUT_ENTITY", "onto:b"): 1, ("onto:a", "CO_OCCURS_IN_CHUNK", "onto:b"): 1, ("onto:a", "SIMILAR_ONTOLOGY", "onto:b"): 7,
     }
     assert _plan(edges).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 3  # chunks, pairs, edges
+
+
+def test_entities_are_listed_behind_the_shuffle(spark):
+    entities = kg.chunk_entities(_graph_tables(spark)[0])
+    assert [(r.chunk_id, r.entity_ids) for r in entities.collect()] == [("c1", ["onto:a", "onto:b"])]
+    plan = _plan(kg.chunk_entities(_graph_tables(spark)[0]))
+    assert plan.index("partial_collect_set") < plan.index("Exchange hashpartitioning")
