@@ -366,3 +366,11 @@ def test_entities_are_listed_behind_the_shuffle(spark):
     assert [(r.chunk_id, r.entity_ids) for r in entities.collect()] == [("c1", ["onto:a", "onto:b"])]
     plan = _plan(kg.chunk_entities(_graph_tables(spark)[0]))
     assert plan.index("partial_collect_set") < plan.index("Exchange hashpartitioning")
+
+
+def test_store_graph_shuffles_edges_once(spark):
+    triples, facts = _graph_tables(spark)
+    vertices, edges = graph.store_graph(spark.createDataFrame([("onto:z",), (None,)], "entity_id string"), facts, triples)
+    assert sorted(r.id for r in vertices.collect()) == ["c1", "f1", "f2", "l1", "l2", "onto:a", "onto:b", "onto:z"]
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [("c1", "l1"), ("f1", "onto:a"), ("f1", "onto:b"), ("l1", "onto:a"), ("l1", "onto:b"), ("l2", "onto:b")]
+    assert _plan(vertices).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
