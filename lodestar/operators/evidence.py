@@ -77,7 +77,11 @@ def _window(text: Column, bounds: Column, markers: Column, number: Column) -> Co
 
 def windows(text: Column) -> Column:
     """A window for each number with a unit."""
-    flat = F.trim(F.regexp_replace(clean_extracted(text), r"(?U)\s+", " "))
+    return _windows(clean_extracted(text))
+
+
+def _windows(cleaned: Column) -> Column:
+    flat = F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " "))
 
     def of(t: Column) -> Column:
         places = F.struct(spans(t, "(?iU)" + EVIDENCE_NUMERIC).alias("n"), spans(t, BOUNDARY).alias("b"), spans(t, WINDOW_MARKERS).alias("m"))
@@ -88,7 +92,11 @@ def windows(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts between line breaks, pipes, runs of capitals and ends of sentences; titles, contacts and the like only with a number."""
-    parted = F.regexp_replace(F.regexp_replace(F.translate(clean_extracted(text), "\r", "\n"), r"(?U)\s*\|\s*", " \n"), HEADING, "\n")
+    return _sentences(clean_extracted(text))
+
+
+def _sentences(cleaned: Column) -> Column:
+    parted = F.regexp_replace(F.regexp_replace(F.translate(cleaned, "\r", "\n"), r"(?U)\s*\|\s*", " \n"), HEADING, "\n")
     units = F.transform(F.split(parted, SENTENCE_END), lambda p: compact(p, LONGEST_SENTENCE))
     return F.filter(units, lambda u: (F.length(u) >= LEAST_SENTENCE) & (_found(u, EVIDENCE_NUMERIC) | ~_found(u, NOISE)))
 
@@ -115,7 +123,8 @@ def evidence(text: Column, tokens: Column, limit: int = 3) -> Column:
         whole = F.filter(F.array(compact(text, LONGEST_WINDOW)), lambda u: u != "")
         return F.when(F.size(found) > 0, _firsts(useful, lambda u: F.substring(normalize(u), 1, UNIT_START))).otherwise(whole)
 
-    ranked = F.transform(bind(F.concat(windows(text), sentences(text)), of), lambda u, i: F.struct((-unit_score(u, tokens)).alias("loss"), i.alias("i"), u.alias("unit")))
+    units = bind(clean_extracted(text), lambda cleaned: F.concat(_windows(cleaned), _sentences(cleaned)))  # a text is cleaned once for both
+    ranked = F.transform(bind(units, of), lambda u, i: F.struct((-unit_score(u, tokens)).alias("loss"), i.alias("i"), u.alias("unit")))
     return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda x: F.struct((-x["loss"]).alias("score"), x["unit"].alias("unit")))
 
 

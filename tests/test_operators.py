@@ -374,3 +374,10 @@ def test_store_graph_shuffles_edges_once(spark):
     assert sorted(r.id for r in vertices.collect()) == ["c1", "f1", "f2", "l1", "l2", "onto:a", "onto:b", "onto:z"]
     assert sorted((r.src, r.dst) for r in edges.collect()) == [("c1", "l1"), ("f1", "onto:a"), ("f1", "onto:b"), ("l1", "onto:a"), ("l1", "onto:b"), ("l2", "onto:b")]
     assert _plan(vertices).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_a_text_is_cleaned_once_for_its_evidence(spark, monkeypatch):
+    calls, real = [], evidence.clean_extracted
+    monkeypatch.setattr(evidence, "clean_extracted", lambda text: calls.append(text) or real(text))
+    evidence.evidence(F.col("text"), F.array(F.lit("a")), 2)
+    assert len(calls) == 1
