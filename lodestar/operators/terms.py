@@ -88,7 +88,8 @@ def find_labels(docs: DataFrame, labels: DataFrame, key: str, text: str = "text"
     Null and empty texts and labels have no match; repeated rows of ``docs`` have theirs each.
     """
     ship_package(docs.sparkSession)
-    labels = labels.where("label IS NOT NULL").select("term_id", "label", "pos")
+    # read twice and more, so what it takes to make them is done once
+    labels = Workspace(docs.sparkSession, "labels").save(labels.where("label IS NOT NULL").select("term_id", "label", "pos"), "given")
     size = labels.agg(F.sum(F.octet_length("label") + 8)).first()[0] or 0
     if size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         rows = labels.orderBy("pos", "label", "term_id").collect()
@@ -109,6 +110,27 @@ def find_sent(docs: DataFrame, labels: Labels, key: str, text: str = "text") ->
     return docs.select(key, text).mapInPandas(run, _schema(key, dict(docs.dtypes)[key]))
 
 
+#: One in so many texts tells how small a hash has to be to come into question.
+PROBED = 64
+
+
+def drawn_runs(docs: DataFrame, most: int, sizes: tuple[int, ...] = (2, 3), text: str = "text") -> DataFrame:
+    """(label, h): of all distinct runs of ``sizes`` words in lower-cased texts, the ``most`` with the least MD5 ``h``, equal ones by label.
+
+    Words of a run have one blank between them. The ``most``-th least hash of the
+    runs of some texts is no less than that of all texts, so runs above it can be
+    left out before they are made distinct; the result is that of all runs.
+    """
+    stretches = docs.select(text, F.explode(F.split(F.lower(text), r" {2,}|[^\p{L}\p{N}_ ]+")).alias("stretch"))
+    words = stretches.select(text, F.split(F.trim("stretch"), " ").alias("words")).select(text, "words", F.posexplode("words").alias("i", "word"))
+    at = lambda k: F.get("words", F.col("i") + k)
+    runs = F.array(*(F.when(at(n - 1).isNotNull(), F.concat_ws(" ", *map(at, range(n)))) for n in sizes))
+    runs = words.select(text, F.explode(runs).alias("label")).where("label <> ''").withColumn("h", F.md5("label"))
+    firsts = lambda rows: rows.select("label", "h").distinct().orderBy("h", "label").limit(most)
+    probe = firsts(runs.where(F.pmod(F.xxhash64(text), F.lit(PROBED)) == 0)).agg(F.count("*").alias("n"), F.max("h").alias("h")).first()
+    return firsts(runs.where(F.col("h") <= probe.h) if 0 < most == probe.n else runs)
+
+
 def _signs(words: list[str]) -> list[str]:
     """What a run of words can be filed under: pairs of neighbours, or the one word; nothing for labels without a word character."""
     return [f"{a} {b}" for a, b in zip(words, words[1:])] or words or [""]

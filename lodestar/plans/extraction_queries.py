@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.extraction import Ontology, Term, extract_facts, find_terms
 from ..operators.records import repair_table
-from ..operators.terms import find_labels
+from ..operators.terms import drawn_runs, find_labels
 from ..streaming.ingest import sessions
 from .fixtures import table
 
@@ -34,10 +34,7 @@ MANY_LABELS = 10_000
 def document_terms(spark, sf_dir):
     """10,000 labels, runs of two and three words of the texts drawn by their hash, in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    word = r"[\p{L}\p{N}_]"
-    runs = [F.regexp_extract_all(F.lower("text"), F.lit(f"(?<!{word})(?=({word}+{f' {word}+' * n})(?!{word}))"), F.lit(1)) for n in (1, 2)]
-    labels = docs.select(F.explode(F.concat(*runs)).alias("label")).distinct()
-    drawn = labels.withColumn("h", F.md5("label")).orderBy("h", "label").limit(MANY_LABELS)
+    drawn = drawn_runs(docs, MANY_LABELS)
     drawn = drawn.select("label", F.concat(F.lit("t:"), F.substring("h", 1, 12)).alias("term_id"), F.conv(F.substring("h", 1, 12), 16, 10).cast("long").alias("pos"))
     return find_labels(docs, drawn, "doc_id").select("doc_id", "term_id", "label", "start", "end")
 
