@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import bind, clean_extracted, lines, strip
+from ..functions.text import bind, clean_lines, lines, strip
 
 MAX_CHARS, OVERLAP = 3200, 300
 
@@ -94,23 +94,23 @@ def without_noise(docs: DataFrame, text: str = "text", document_type: str | None
     an appendix or the end, and goes from documents of the types in
     ``LOSE_REFERENCES``. Of blank lines in a row one stays.
     """
-    norm = lambda x: F.trim(F.regexp_replace(F.translate(F.lower(x), "ё", "е"), r"(?U)\s+", " "))
+    # blanks that are one already are left as they are, which most are
+    norm = lambda x: F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("ё"), F.lit("е")), r"(?U)\s{2,}|[^\S ]", " "))
     seen = (lambda x: F.coalesce(F.array_contains(F.col(repeated), norm(x)), F.lit(False))) if repeated else (lambda x: F.lit(False))
     loses = F.lit(drop_references) & (F.coalesce(F.col(document_type), F.lit("generic")).isin(*V.LOSE_REFERENCES) if document_type else F.lit(True))
-    passed = lambda x: x.rlike(V.PAGE_NUMBER) | seen(x)  # noqa: E731  gone before the list of references is looked at
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("tail"))
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = loses & line.rlike(V.REFERENCE_HEADING)
-        tail = F.when(line == "", acc["tail"]).when(passed(line), acc["tail"]).when(heading, True).when(line.rlike(V.APPENDIX_HEADING), False).otherwise(acc["tail"])
-        last = F.element_at(acc["kept"], -1)
-        blank = (F.size(acc["kept"]) > 0) & (last != "")
-        stays = F.when(line == "", blank).otherwise(~(passed(line) | tail | line.rlike(V.FOOTNOTE) | line.rlike(V.BARE_LINK)))
-        return F.struct(F.when(F.coalesce(stays, F.lit(False)), F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"), tail.alias("tail"))
-
-    own = F.transform(lines(clean_extracted(text)), lambda x: strip(F.regexp_replace(x, r"[ \t]{2,}", " ")))
-    kept = F.aggregate(own, start, step, lambda acc: acc["kept"])
-    return docs.withColumn(text, strip(F.array_join(kept, "\n")))
+
+    def kind(line: Column) -> Column:
+        """Blank, passed over before the list of references is looked at, heading of one, appendix, debris or text."""
+        found = F.when(line == "", "b").when(line.rlike(V.PAGE_NUMBER) | seen(line), "p").when(loses & line.rlike(V.REFERENCE_HEADING), "h")
+        return found.when(line.rlike(V.FOOTNOTE) | line.rlike(V.BARE_LINK), "d").when(line.rlike(V.APPENDIX_HEADING), "a").otherwise("t")
+
+    def kept(own: Column) -> Column:
+        # a list of references goes from its heading on, line by line, up to an appendix; blank lines in it stay
+        kinds = F.regexp_replace(F.array_join(F.transform(own, kind), ""), r"h|(?!\A)\G(b*)[^ab]", "$1p")
+        marked = F.zip_with(own, F.split(kinds, ""), lambda line, k: F.when(k.isin("a", "b", "t"), line))
+        return F.regexp_replace(F.array_join(marked, "\n"), r"\n{3,}", "\n\n")
+
+    return docs.withColumn(text, strip(bind(clean_lines(text), kept)))
 
 
 def split_tables(text: Column) -> Column:
