@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,8 +82,36 @@ def violations(sources: DataFrame, chunks: DataFrame, facts: DataFrame) -> list[
 
 
 def violation_counts(sources: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """(level, rule, n) of each rule that something breaks."""
-    parts = [p.groupBy("level", "rule").agg(F.count("*").alias("n")) for p in violations(sources, chunks, facts)]
+    """(level, rule, n) of each rule that something breaks; those of ``violations``.
+
+    Ids are counted before they are shuffled, and those named by facts are held
+    against those of chunks where both are summed up, so no join has a row a fact.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+
+    def counted(df: DataFrame, *rules: tuple[str, str, Column]) -> DataFrame:
+        # one row, and of that one for each rule
+        one = df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n{i}") for i, (_, _, c) in enumerate(rules)))
+        rows = F.array(*(F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col(f"n{i}").alias("n")) for i, (level, rule, _) in enumerate(rules)))
+        return one.select(F.inline(rows)).where("n > 0")
+
+    is_ = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    own = chunks.select("chunk_id", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("named"))
+    named = facts.where(~blank("chunk_id")).select("chunk_id", F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("named"))
+    ids = own.unionByName(named).groupBy("chunk_id").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
+    of = chunks.where(~blank("source_id")).groupBy("source_id").agg(F.count("*").alias("n"))
+    lost = of.join(sources.select("source_id").distinct(), "source_id", "left_anti")
+    parts = [
+        counted(ids, ("warning", "duplicate chunk_id", is_(F.col("n") > 1)), ("warning", "fact with unknown chunk_id", F.when(F.col("n") == 0, F.col("named")).otherwise(0))),
+        counted(lost, ("error", "chunk with unknown source_id", F.col("n"))),
+        counted(chunks, ("error", "chunk without source_id", is_(blank("source_id"))), ("error", "chunk without text", is_(blank("text")))),
+        counted(
+            facts,
+            ("error", "fact without source_id", is_(blank("source_id"))),
+            ("warning", "fact without chunk_id", is_(blank("chunk_id"))),
+            ("error", "fact with a value and no unit", is_(F.col("value").isNotNull() & blank("unit"))),
+        ),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
