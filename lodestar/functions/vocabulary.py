@@ -126,6 +126,10 @@ LETTER = "[A-Za-zА-Яа-яЁё]"
 SPACED_LETTERS = rf"(?:^|\s)(?:{LETTER}\s+){{8,}}{LETTER}(?:\s|$)"
 GLYPH_RUN = r"[\x00-\x1F]|[\u0370-\u03FF]{8,}|[\u0180-\u024F]{8,}"
 
+#: What clean-up may change in one line, beside blanks and image marks: other characters than these, single letters in a row, eleven characters that aren't good ones. Separate, as these are fast alone.
+_BAD = "!\"$&'*?@^_`|~"
+UNTIDY = [r"(?!\u00B0)[^ -~\u0400-\u04FF]|[\u0482-\u0489]", IMAGE_MARK, f" {LETTER} {LETTER} {LETTER} ", f"(?:[{_BAD}][^{_BAD}]*+){{11}}".replace("^_`", r"\^_`")]
+
 # Types of documents (Java syntax).
 STANDARD_NUMBER = r"(?iU)\b(?:ГОСТ|GOST|СТО|ОСТ|ТУ)\s*[РR]?\s*\d+[\d.\-:]*"
 PATENT_WORD = r"(?iU)\bпатент\b|\bpatent\b"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bind, clean_extracted, compact, human_source_name, normalize
+from ..functions.text import bind, clean_extracted, compact, human_source_name, normalize, one_line, text_or_empty, untidy
 
 # Numbers with a unit in evidence, signals of the domain, words of results, contacts, noise, and where a window begins.
 EVIDENCE_NUMERIC = (
@@ -48,9 +48,14 @@ def _found(text: Column, pattern: str) -> Column:
     return text.rlike("(?iU)" + pattern)
 
 
+def _split(text: Column, pattern: str) -> Column:
+    """Parts of a text without NUL: ``split`` alone would compile its pattern for each row, which takes longer than the rest."""
+    return F.split(F.regexp_replace(text, pattern, "\0"), "\0", -1)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """(s, e) of each match, from 0: what stands between the matches and the matches themselves add up to places."""
-    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """(s, e) of each match, from 0: what stands between the matches and the matches themselves add up to places. ``text`` has no NUL, as cleaned texts have none."""
+    between, matches = _split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(i: Column, parts: Column) -> Column:
         start = F.length(F.array_join(F.slice(parts["between"], 1, i + 1), "")) + F.length(F.array_join(F.slice(parts["matches"], 1, i), ""))
@@ -60,7 +65,7 @@ def spans(text: Column, pattern: str) -> Column:
     return bind(whole, lambda p: F.transform(F.filter(F.sequence(F.lit(0), F.size(p["matches"])), lambda i: i < F.size(p["matches"])), lambda i: place(i, p)))
 
 
-def _window(text: Column, bounds: Column, markers: Column, number: Column) -> Column:
+def _window(text: Column, bounds: Column, markers: Column, number: Column, tidy: bool) -> Column:
     """From the boundary before a number to the one behind it, where these are near, else some way to a word's end; from a marker before it, if there is one."""
     s, e = number["s"], number["e"]
     before = F.array_max(F.transform(F.filter(bounds, lambda b: b["e"] <= s), lambda b: b["s"]))
@@ -71,8 +76,7 @@ def _window(text: Column, bounds: Column, markers: Column, number: Column) -> Co
     rest = F.when(F.substring(text, right, F.lit(1)).rlike(r"[\p{L}\p{N}]"), F.length(F.regexp_extract(F.substring(text, right + 1, F.length(text)), r"^[\p{L}\p{N}]*.?", 0))).otherwise(0)
     start = F.coalesce(marker, F.when(s - before <= REACH, before + 1), left - word)
     end = F.coalesce(F.when(behind - e <= REACH, behind + 1), right + rest)
-    cut = F.regexp_replace(F.substring(text, start + 1, end - start), r"^[ ,;:\-|#]+|[ ,;:\-|#]+$", "")
-    return compact(cut, LONGEST_WINDOW)
+    return compact(F.btrim(F.substring(text, start + 1, end - start), F.lit(" ,;:-|#")), LONGEST_WINDOW, tidy=tidy)
 
 
 def windows(text: Column) -> Column:
@@ -80,12 +84,14 @@ def windows(text: Column) -> Column:
     return _windows(clean_extracted(text))
 
 
-def _windows(cleaned: Column) -> Column:
-    flat = F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " "))
+def _windows(cleaned: Column, tidy: bool = False) -> Column:
+    flat = cleaned if tidy else F.trim(one_line(cleaned))
 
     def of(t: Column) -> Column:
-        places = F.struct(spans(t, "(?iU)" + EVIDENCE_NUMERIC).alias("n"), spans(t, BOUNDARY).alias("b"), spans(t, WINDOW_MARKERS).alias("m"))
-        return bind(places, lambda p: F.transform(p["n"], lambda n: _window(t, p["b"], p["m"], n)))
+        numbers = spans(t, "(?iU)" + EVIDENCE_NUMERIC)
+        places = lambda n: F.struct(n.alias("n"), spans(t, BOUNDARY).alias("b"), F.when(t.rlike(WINDOW_MARKERS), spans(t, WINDOW_MARKERS)).alias("m"))
+        around = lambda p: F.transform(p["n"], lambda n: _window(t, p["b"], p["m"], n, tidy))
+        return bind(numbers, lambda n: F.when(F.size(n) > 0, bind(places(n), around)).otherwise(F.array().cast("array<string>")))
 
     return F.filter(bind(flat, of), lambda w: F.length(w) >= LEAST_WINDOW)
 
@@ -96,9 +102,25 @@ def sentences(text: Column) -> Column:
 
 
 def _sentences(cleaned: Column) -> Column:
-    parted = F.regexp_replace(F.regexp_replace(F.translate(cleaned, "\r", "\n"), r"(?U)\s*\|\s*", " \n"), HEADING, "\n")
-    units = F.transform(F.split(parted, SENTENCE_END), lambda p: compact(p, LONGEST_SENTENCE))
-    return F.filter(units, lambda u: (F.length(u) >= LEAST_SENTENCE) & (_found(u, EVIDENCE_NUMERIC) | ~_found(u, NOISE)))
+    return F.transform(F.filter(_told(_parts(cleaned)), _worth), lambda x: x["unit"])
+
+
+def _parts(cleaned: Column, tidy: bool = False) -> Column:
+    lines = F.replace(cleaned, F.lit("\r"), F.lit("\n"))
+    parted = F.when(F.contains(lines, F.lit("|")), F.regexp_replace(lines, r"(?U)\s*\|\s*", " \n")).otherwise(lines)
+    return F.transform(_split(F.regexp_replace(parted, HEADING, "\n"), SENTENCE_END), lambda p: compact(p, LONGEST_SENTENCE, tidy=tidy))
+
+
+def _told(units: Column, tidy: bool = False) -> Column:
+    """Units with what is asked of them more than once: (unit, low, numeric, figures), whether there are numbers with units in the unit and in ``low``."""
+    low = lambda u: F.replace(F.lower(u), F.lit("ё"), F.lit("е")) if tidy else normalize(u)
+    told = F.transform(units, lambda u: F.struct(u.alias("unit"), low(u).alias("low"), _found(u, EVIDENCE_NUMERIC).alias("numeric")))
+    figures = lambda x: x["numeric"] if tidy else _found(x["low"], EVIDENCE_NUMERIC)
+    return F.transform(told, lambda x: F.struct(x["unit"].alias("unit"), x["low"].alias("low"), x["numeric"].alias("numeric"), figures(x).alias("figures")))
+
+
+def _worth(x: Column) -> Column:
+    return (F.length(x["unit"]) >= LEAST_SENTENCE) & (x["numeric"] | ~_found(x["unit"], NOISE))
 
 
 def _firsts(units: Column, key: Callable[[Column], Column]) -> Column:
@@ -107,24 +129,32 @@ def _firsts(units: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def unit_score(unit: Column, tokens: Column) -> Column:
-    def of(low: Column) -> Column:
-        hits = F.size(F.filter(F.array_distinct(tokens), lambda t: F.contains(low, t)))
-        gains = sum((F.when(_found(low, pattern), gain).otherwise(0.0) for pattern, gain in SIGNALS), TOKEN_GAIN * hits)
-        return gains - F.when(_found(low, CONTACT_WORDS) & (hits == 0), CONTACT_LOSS).otherwise(0.0)
+    return bind(normalize(unit), lambda low: _score(unit, low, _found(low, EVIDENCE_NUMERIC), tokens))
+
 
-    return bind(normalize(unit), of) - F.when(F.length(unit) > LONG, LENGTH_LOSS).otherwise(0.0)
+def _score(unit: Column, low: Column, figures: Column, tokens: Column) -> Column:
+    def of(hits: Column) -> Column:
+        found = ((figures if pattern == EVIDENCE_NUMERIC else _found(low, pattern), gain) for pattern, gain in SIGNALS)
+        gains = sum((F.when(signal, gain).otherwise(0.0) for signal, gain in found), TOKEN_GAIN * hits)
+        return gains - F.when((hits == 0) & _found(low, CONTACT_WORDS), CONTACT_LOSS).otherwise(0.0)
+
+    return bind(F.size(F.filter(F.array_distinct(tokens), lambda t: F.contains(low, t))), of) - F.when(F.length(unit) > LONG, LENGTH_LOSS).otherwise(0.0)
 
 
 def evidence(text: Column, tokens: Column, limit: int = 3) -> Column:
     """The best units (score, unit) of a hit's text, of equal ones the first; all of a text without any."""
 
     def of(found: Column) -> Column:
-        useful = F.filter(found, lambda u: (normalize(u) != "") & ((F.length(u) >= LEAST_PLAIN) | _found(u, EVIDENCE_NUMERIC)))
-        whole = F.filter(F.array(compact(text, LONGEST_WINDOW)), lambda u: u != "")
-        return F.when(F.size(found) > 0, _firsts(useful, lambda u: F.substring(normalize(u), 1, UNIT_START))).otherwise(whole)
+        useful = F.filter(found, lambda x: (x["low"] != "") & ((F.length(x["unit"]) >= LEAST_PLAIN) | x["numeric"]))
+        whole = F.filter(_told(F.array(compact(text, LONGEST_WINDOW))), lambda x: x["unit"] != "")
+        return F.when(F.size(found) > 0, _firsts(useful, lambda x: F.substring(x["low"], 1, UNIT_START))).otherwise(whole)
+
+    def units(cleaned: Column, tidy: bool) -> Column:
+        return F.concat(_told(_windows(cleaned, tidy), tidy), F.filter(_told(_parts(cleaned, tidy), tidy), _worth))
 
-    units = bind(clean_extracted(text), lambda cleaned: F.concat(_windows(cleaned), _sentences(cleaned)))  # a text is cleaned once for both
-    ranked = F.transform(bind(units, of), lambda u, i: F.struct((-unit_score(u, tokens)).alias("loss"), i.alias("i"), u.alias("unit")))
+    # a text is cleaned once for both, if it may need it; parts of a text that doesn't need it don't either
+    found = bind(text_or_empty(text), lambda t: F.when(untidy(t), bind(clean_extracted(t), lambda c: units(c, False))).otherwise(units(t, True)))
+    ranked = F.transform(bind(found, of), lambda x, i: F.struct((-_score(x["unit"], x["low"], x["figures"], tokens)).alias("loss"), i.alias("i"), x["unit"].alias("unit")))
     return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda x: F.struct((-x["loss"]).alias("score"), x["unit"].alias("unit")))
 
 
